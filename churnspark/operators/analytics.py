@@ -148,7 +148,10 @@ def box_stats(df: DataFrame, y: str, group: str | None = None, exact: bool = Tru
         out = fences.join(w, on=fences[group].eqNullSafe(w["_g"]), how="inner").drop("_g")
     else:
         fs = fences.select(F.struct("lower_fence", "upper_fence")).scalar()
-        lf, uf = fs.getField("lower_fence"), fs.getField("upper_fence")
+        # fences as columns first: an aggregate may not take a subquery over a
+        # position-numbered (non-deterministic) plan as an argument
+        data = data.withColumns({"_lf": fs.getField("lower_fence"), "_uf": fs.getField("upper_fence")})
+        lf, uf = F.col("_lf"), F.col("_uf")
         ws = data.agg(F.struct(F.min(F.when(yv >= lf, yv)).alias("whisker_low"),
                                F.max(F.when(yv <= uf, yv)).alias("whisker_high"),
                                F.count(F.when((yv < lf) | (yv > uf), 1)).alias("n_outliers"),
