@@ -105,12 +105,12 @@ def read_json_records(spark: SparkSession, path: str, schema: T.StructType | Non
     env = T.StructType([T.StructField("count", T.LongType()),
                         T.StructField(field, T.ArrayType(schema))])
     raw = spark.read.option("multiLine", True).schema(env).json(path)
-    records = raw.select(F.inline(field))
+    if not raw.filter(F.col(field).isNotNull()).isEmpty():          # an envelope
+        records = raw.select(F.inline(field))
+    else:                                                           # a bare list of records
+        records = spark.read.option("multiLine", True).schema(schema).json(path)
     if records.isEmpty():
-        bare = spark.read.option("multiLine", True).schema(schema).json(path)
-        if bare.isEmpty():
-            raise ValueError("the source returned 0 records")
-        return bare
+        raise ValueError("the source returned 0 records")
     return records
 
 
