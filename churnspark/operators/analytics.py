@@ -118,15 +118,41 @@ def histogram(df: DataFrame, x: str, bins: int = 30, group: str | None = None) -
 
 # -- D12 / D13: box statistics and outliers ------------------------------------------
 
-def box_stats(df: DataFrame, y: str, group: str | None = None, exact: bool = True,
-              accuracy: int = 10000) -> DataFrame:
+# Largest group (non-NULL values) that the in-memory exact percentile may hold in one task.
+MAX_IN_MEMORY_GROUP = 1_000_000
+BOX_MODES = ("auto", "distributed", "in_memory", "approx")
+
+
+def _quartile_mode(df: DataFrame, y: str, gcols: list[str], mode: str, max_group: int) -> str:
+    if mode not in BOX_MODES:
+        raise ValueError(f"mode must be one of {BOX_MODES}")
+    if mode != "auto":
+        return mode
+    src = df.filter(_q(y).isNotNull())
+    largest = (src.groupBy(*[_q(c) for c in gcols]).count().agg(F.max("count")).first()[0] if gcols
+               else src.count()) or 0
+    return "in_memory" if largest <= max_group else "distributed"
+
+
+def box_stats(df: DataFrame, y: str, group: str | None = None, mode: str = "auto",
+              accuracy: int = 10000, max_group: int = MAX_IN_MEMORY_GROUP) -> DataFrame:
     """Quartiles (linear interpolation), IQR, 1.5 IQR fences, whiskers (most extreme values
-    inside the fences), outlier count, min and max, per group (NULL group kept)."""
+    inside the fences), outlier count, min and max, per group (NULL group kept).
+
+    Quartile modes (all exact except "approx"):
+    ``distributed``  ranks from range partitions (``rows.exact_quantiles``): no group is
+                     ever held by one task, whatever its size;
+    ``in_memory``    Spark's exact ``percentile`` aggregate (a group's values in one task);
+    ``auto``         counts the largest group first and uses ``in_memory`` only when it
+                     holds at most ``max_group`` values, else ``distributed``;
+    ``approx``       ``percentile_approx`` with ``accuracy`` (one pass, bounded memory)."""
     gcols = [group] if group else []
-    if exact:
+    mode = _quartile_mode(df, y, gcols, mode, max_group)
+    if mode == "distributed":
         q = R.exact_quantiles(df, y, [0.25, 0.5, 0.75], gcols, names=["q1", "median", "q3"])
     else:
-        pa = F.percentile_approx(_q(y), [0.25, 0.5, 0.75], accuracy)
+        pa = (F.percentile_approx(_q(y), [0.25, 0.5, 0.75], accuracy) if mode == "approx"
+              else F.percentile(_q(y).cast("double"), [0.25, 0.5, 0.75]))
         src = df.filter(_q(y).isNotNull())
         agg = [F.count(_q(y)).alias("n"), pa.alias("_p")]
         g = src.groupBy(*[_q(c) for c in gcols]).agg(*agg) if gcols else src.agg(*agg)
@@ -142,6 +168,8 @@ def box_stats(df: DataFrame, y: str, group: str | None = None, exact: bool = Tru
             F.min(yv).alias("min"), F.max(yv).alias("max")]
     data = df.select(*[_q(c) for c in gcols], _q(y)).filter(_q(y).isNotNull())
     if gcols:
+        # one row per group, computed once (persisted) and size-checked before broadcast
+        fences = R.broadcast_if_small(fences)
         f2 = fences.select(F.col(f"`{group}`").alias("_g"), "lower_fence", "upper_fence")
         joined = data.join(f2, on=data[group].eqNullSafe(f2["_g"]), how="inner")
         w = joined.groupBy(F.col("_g")).agg(*aggs)
@@ -162,12 +190,12 @@ def box_stats(df: DataFrame, y: str, group: str | None = None, exact: bool = Tru
 
 
 def box_outliers(df: DataFrame, y: str, group: str | None = None, stats: DataFrame | None = None,
-                 exact: bool = True) -> DataFrame:
+                 mode: str = "auto") -> DataFrame:
     """Rows whose y lies outside the 1.5 IQR fences of their group."""
-    stats = stats if stats is not None else box_stats(df, y, group, exact)
+    stats = stats if stats is not None else box_stats(df, y, group, mode)
     yv = _q(y).cast("double")
     if group:
-        f2 = stats.select(F.col(f"`{group}`").alias("_g"), "lower_fence", "upper_fence")
+        f2 = R.broadcast_if_small(stats.select(F.col(f"`{group}`").alias("_g"), "lower_fence", "upper_fence"))
         joined = df.join(f2, on=df[group].eqNullSafe(f2["_g"]), how="inner").drop("_g")
     else:
         fs = stats.select(F.struct("lower_fence", "upper_fence")).scalar()
@@ -238,8 +266,7 @@ def class_weights(df: DataFrame, label: str) -> DataFrame:
 
 def with_class_weight(df: DataFrame, label: str, name: str = "weight") -> DataFrame:
     w = class_weights(df, label).select(_q(label), F.col("weight").alias(name))
-    # one row per class: bounded, broadcast
-    return df.join(F.broadcast(w), on=label, how="left")
+    return df.join(R.broadcast_if_small(w), on=label, how="left")
 
 
 def class_balance(df: DataFrame, label: str) -> DataFrame:

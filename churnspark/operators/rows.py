@@ -44,12 +44,27 @@ def _one_partitioning(ranged: DataFrame) -> DataFrame:
     return ranged.persist(StorageLevel.MEMORY_AND_DISK)
 
 
+# A derived table joins back to the data by broadcast only below this measured row count.
+MAX_BROADCAST_ROWS = 200_000
+
+
+def broadcast_if_small(small: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
+    """Size-checked broadcast of a derived table (offsets, fences, class weights).
+
+    The table is persisted and counted (one job over already-aggregated rows); below
+    ``max_rows`` it is hinted for broadcast, otherwise it is joined by shuffle, where AQE
+    splits skewed partitions.  Static estimates are not trusted: they can make Spark
+    broadcast the big side of the join instead."""
+    small = small.persist(StorageLevel.MEMORY_AND_DISK)
+    return F.broadcast(small) if small.count() <= max_rows else small
+
+
 def _null_safe_join(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
     cond = None
     for k in keys:
         e = left[k].eqNullSafe(right[f"_r_{k}"])
         cond = e if cond is None else cond & e
-    return left.join(right, on=cond, how="inner").drop(*[f"_r_{k}" for k in keys])
+    return left.join(broadcast_if_small(right), on=cond, how="inner").drop(*[f"_r_{k}" for k in keys])
 
 
 def positions(df: DataFrame, order: Sequence[str | Column], group: Sequence[str] = (),
@@ -166,7 +181,6 @@ def stratified_split(df: DataFrame, label: str, id_col: str, test_fraction: floa
                    .select(label, "_take"))
     hashed = df.withColumn("_h", F.xxhash64(F.col(id_col), F.lit(seed)))
     ranked = positions(hashed, ["_h", id_col], [label], name="_k")
-    # the class table has one row per class: bounded, broadcast
-    out = ranked.join(F.broadcast(alloc), on=label, how="left")
+    out = ranked.join(broadcast_if_small(alloc), on=label, how="left")
     return out.withColumn(name, F.when(F.col("_k") <= F.col("_take"), F.lit("test")).otherwise(F.lit("train"))) \
               .drop("_h", "_k", "_take")

@@ -279,12 +279,16 @@ SELECT f.l_returnflag, f.n, round(f.q1, 6) AS q1, round(f.median, 6) AS median,
        round(min(l.l_extendedprice), 6) AS min, round(max(l.l_extendedprice), 6) AS max
 FROM f JOIN lineitem l ON l.l_returnflag IS NOT DISTINCT FROM f.l_returnflag AND l.l_extendedprice IS NOT NULL
 GROUP BY f.l_returnflag, f.n, f.q1, f.median, f.q3, f.iqr, f.lower_fence, f.upper_fence""")
-def q_box_stats(spark, d):
-    b = A.box_stats(_t(spark, d, "lineitem"), "l_extendedprice", group="l_returnflag")
+def q_box_stats(spark, d, mode="auto"):
+    b = A.box_stats(_t(spark, d, "lineitem"), "l_extendedprice", group="l_returnflag", mode=mode)
     dbl = ["q1", "median", "q3", "iqr", "lower_fence", "upper_fence", "whisker_low", "whisker_high", "min", "max"]
     return b.select("l_returnflag", "n", "n_outliers", *[r6(c).alias(c) for c in dbl])
 
 
+# the same statistics through the distributed rank path (the one taken for big groups)
+query("box_stats_ranked", ORACLES["box_stats"])(lambda spark, d: q_box_stats(spark, d, mode="distributed"))
+
+
 @query("box_outliers", _with(BOX_SQL) + """
 SELECT l.l_orderkey, l.l_linenumber, l.l_returnflag, l.l_extendedprice
 FROM lineitem l JOIN f ON l.l_returnflag IS NOT DISTINCT FROM f.l_returnflag

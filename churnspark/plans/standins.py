@@ -25,8 +25,17 @@ from churnspark.operators import merge as M
 CHURN_CUTOFF = "2001-01-01 00:00:00"
 
 
+_TABLES: dict = {}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    """Lazy parquet read, reused per session: the driver tables are immutable, so one file
+    listing and footer read serves every query (the DataFrame is a plan, not data)."""
+    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
+    key = (id(spark), path)
+    if key not in _TABLES:
+        _TABLES[key] = spark.read.parquet(path)
+    return _TABLES[key]
 
 
 def location(spark: SparkSession, d: str) -> DataFrame:
