@@ -6,7 +6,7 @@ from __future__ import annotations
 
 from typing import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from churnspark.operators import rows as R
@@ -75,9 +75,10 @@ def zscore(df: DataFrame, cols: Sequence[str], suffix: str = "_z", ddof: int = 0
 def category_slots(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """(column, value, slot, n_rows): the slot each known value takes in the one-hot
     vector - frequency descending, ties by value, like ``StringIndexer(frequencyDesc)``.
-    NULL gets no slot (all-zero vector).  The window runs over the distinct-value table."""
+    NULL gets no slot (all-zero vector).  Slots come from distributed positions over the
+    distinct-value table, so a high-cardinality column is never ranked in one task."""
     pairs = F.array(*[F.struct(F.lit(c).alias("column"), _q(c).cast("string").alias("value")) for c in cols])
     counts = (df.select(F.inline(pairs)).filter(F.col("value").isNotNull())
                 .groupBy("column", "value").agg(F.count(F.lit(1)).alias("n_rows")))
-    w = Window.partitionBy("column").orderBy(F.desc("n_rows"), F.asc("value"))
-    return counts.withColumn("slot", (F.row_number().over(w) - 1).cast("int"))
+    ranked = R.positions(counts, [F.desc("n_rows"), F.asc("value")], ["column"], name="_slot")
+    return ranked.withColumn("slot", (F.col("_slot") - 1).cast("int")).drop("_slot")
