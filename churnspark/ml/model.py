@@ -82,6 +82,7 @@ def build_pipeline(num_trees: int = S.FOREST_PARAMS["num_trees"], max_depth: int
     forest = RandomForestClassifier(featuresCol=FEATURES, labelCol=LABEL, weightCol=WEIGHT,
                                     numTrees=num_trees, maxDepth=max_depth, minInstancesPerNode=min_leaf,
                                     featureSubsetStrategy="sqrt", seed=seed, maxBins=max_bins,
+                                    maxMemoryInMB=1024, cacheNodeIds=True,
                                     probabilityCol="_probability", rawPredictionCol="_raw",
                                     predictionCol="_prediction")
     return Pipeline(stages=[indexer, onehot, nums, scaler, assemble, forest])

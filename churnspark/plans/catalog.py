@@ -858,3 +858,14 @@ FROM range(0, 10) b(bin) LEFT JOIN (SELECT bin, count(*) AS cnt FROM hb GROUP BY
 def q_chart_spec_run(spark, d):
     out = CH.run_long(SI.customer_360(spark, d), CHART_SPECS)
     return out.select("chart", "label", r6("value").alias("value"))
+
+
+# -- M3-M9: train the forest on the merged customers, then score every customer ----------
+# rows-only: MLlib forests have no SQL twin (bounds are checked in tests/test_ml.py)
+
+@query("churn_model_scores")
+def q_churn_model_scores(spark, d):
+    from churnspark.ml import model as ML
+    frame = SI.model_frame(spark, d)
+    result = ML.train(frame)
+    return ML.score(result.model, frame.drop("churn_value"), result.metadata["model_version"])

@@ -119,3 +119,35 @@ def scored_labels(spark: SparkSession, d: str) -> DataFrame:
     return (lab.join(doc.select("doc_id", "n_chars"), on="doc_id", how="inner")
                .select("doc_id", F.col("quality").alias("label"),
                        F.round(F.col("n_chars") / (F.col("n_chars") + F.lit(1500.0)), 4).alias("score")))
+
+
+# -- model frame ---------------------------------------------------------------------
+
+def model_frame(spark: SparkSession, d: str) -> DataFrame:
+    """Customer-360 in the model's name space (snake_case aliases): three numerics and the
+    sixteen categoricals, each derived from a stand-in column; NULLs from the merge stay
+    NULL (the training job drops those rows, the scorer handles them)."""
+    c = customer_360(spark, d)
+    yn = lambda cond: F.when(cond, "Yes").when(cond.isNotNull(), "No")
+    return c.select(
+        "customer_id",
+        F.col("n_orders").alias("tenure_in_months"),
+        F.col("monthly_charge"),
+        F.col("total_charges"),
+        F.col("segment").alias("gender"),
+        yn(F.col("balance") > 8000).alias("senior_citizen"),
+        yn(F.col("balance") > 5000).alias("partner"),
+        yn(F.col("n_orders") > 12).alias("dependents"),
+        yn(F.col("monthly_charge") > 150000).alias("phone_service"),
+        yn(F.col("monthly_charge") > 300000).alias("multiple_lines"),
+        F.col("country").alias("internet_service"),
+        yn(F.col("total_charges") > 2000000).alias("online_security"),
+        yn(F.col("total_charges") > 1000000).alias("online_backup"),
+        yn(F.col("balance") > 2500).alias("device_protection"),
+        yn(F.col("balance") > 7500).alias("tech_support"),
+        yn(F.col("n_orders") > 8).alias("streaming_tv"),
+        yn(F.col("n_orders") > 15).alias("streaming_movies"),
+        F.col("contract"),
+        yn(F.col("monthly_charge") > 100000).alias("paperless_billing"),
+        F.col("state").alias("payment_method"),
+        F.col("churn_value"))
