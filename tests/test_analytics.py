@@ -139,3 +139,9 @@ def test_chart_specs(spark, cust):
     with pytest.raises(ValueError):
         CH.run_chart(cust, CH.ChartSpec("histogram", x="charge", bins=3))
     assert C.numeric_columns(cust) == ["churn_value", "charge", "cltv"]
+
+
+def test_sorted_groups_null_last(spark, cust):
+    g = A.group_agg(cust, "contract", "charge", "count")
+    assert [r[0] for r in A.sorted_groups(g, "contract").collect()] == \
+        ["Month-to-month", "One year", "Two year", None]
