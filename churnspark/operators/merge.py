@@ -205,12 +205,18 @@ def except_all_rows(current: DataFrame, previous: DataFrame) -> DataFrame:
 
 # -- G3: order-free fingerprint ------------------------------------------------------
 
+def fingerprint_aggregates(df: DataFrame) -> tuple[Column, Column]:
+    """(row count, order-free sum of row hashes) as aggregate expressions, usable in
+    ``agg`` or in ``observe`` during a write."""
+    cols = [_q(c) for c in df.columns]
+    h = F.xxhash64(*cols, *[c.isNull() for c in cols]).cast("decimal(38,0)")
+    return F.count(F.lit(1)), F.coalesce(F.sum(h), F.lit(0).cast("decimal(38,0)"))
+
+
 def fingerprint(df: DataFrame) -> DataFrame:
     """One row: n_rows, row_hash_sum (decimal, order-free), n_cols, schema string.
     Two frames with equal fingerprints hold the same bag of rows (up to hash collisions)."""
-    cols = [_q(c) for c in df.columns]
-    h = F.xxhash64(*cols, *[c.isNull() for c in cols]).cast("decimal(38,0)")
-    return df.agg(F.count(F.lit(1)).alias("n_rows"),
-                  F.coalesce(F.sum(h), F.lit(0).cast("decimal(38,0)")).cast("string").alias("row_hash_sum")) \
+    n_rows, hash_sum = fingerprint_aggregates(df)
+    return df.agg(n_rows.alias("n_rows"), hash_sum.cast("string").alias("row_hash_sum")) \
              .withColumn("n_cols", F.lit(len(df.columns))) \
              .withColumn("schema", F.lit(df.schema.simpleString()))

@@ -74,31 +74,49 @@ class VersionedTable:
     # -- write ---------------------------------------------------------------------
     def publish(self, df: DataFrame, fingerprint_row=None) -> int:
         """Write ``df`` as the next version, then record it.  Rows are range-partitioned
-        and sorted by key so Parquet min/max statistics serve key lookups."""
+        and sorted by key so Parquet min/max statistics serve key lookups.  The catalog
+        keeps the fingerprint when the caller already computed it (snapshot path);
+        otherwise it is computed from the version's files only when first needed."""
         last = self.latest_version()
         v = 1 if last is None else last + 1
         out = df
         if self.key and self.key in df.columns:
             n = self.files_per_version or int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-            out = df.repartitionByRange(n, self.key).sortWithinPartitions(self.key)
-        out.write.mode("overwrite").parquet(f"{self.path.rstrip('/')}/data/version={v}")
-        written = self.spark.read.parquet(f"{self.path.rstrip('/')}/data/version={v}")
-        fp = fingerprint_row or M.fingerprint(written).first()
-        entry = self.spark.createDataFrame(
-            [(v, None, fp["n_rows"], fp["n_cols"], fp["row_hash_sum"], fp["schema"])], CATALOG_SCHEMA) \
+            out = out.repartitionByRange(n, self.key).sortWithinPartitions(self.key)
+        out.write.mode("overwrite").parquet(self._version_path(v))
+        fp = fingerprint_row or {"n_rows": None, "row_hash_sum": None}
+        self._record(v, fp["n_rows"], fp["row_hash_sum"], len(df.columns), df.schema.simpleString())
+        return v
+
+    def _version_path(self, v: int) -> str:
+        return f"{self.path.rstrip('/')}/data/version={v}"
+
+    def _record(self, v, n_rows, row_hash_sum, n_cols, schema) -> None:
+        entry = self.spark.createDataFrame([(v, None, n_rows, n_cols, row_hash_sum, schema)], CATALOG_SCHEMA) \
             .withColumn("created_at", F.current_timestamp())
         entry.write.mode("append").parquet(self._catalog_path)
-        return v
+
+    def fingerprint_of(self, version: int) -> dict:
+        """Catalog fingerprint of a version; computed from its files (one aggregate pass)
+        and recorded the first time it is asked for."""
+        rows = (self.versions().filter((F.col("version") == version) & F.col("row_hash_sum").isNotNull())
+                .limit(1).collect())
+        if rows:
+            return rows[0].asDict()
+        fp = M.fingerprint(self.read(version)).first().asDict()
+        self._record(version, fp["n_rows"], fp["row_hash_sum"], fp["n_cols"], fp["schema"])
+        return fp
 
     def snapshot_if_changed(self, df: DataFrame) -> int | None:
         """G3 + U2: publish a new version only when the bag of rows or the schema differs
         from the latest version (order-free fingerprint; one small aggregate job)."""
-        fp = M.fingerprint(df).first()
-        last = self.versions().orderBy(F.desc("version")).limit(1).collect()
-        if last and (last[0]["n_rows"], last[0]["row_hash_sum"], last[0]["schema"]) == \
-                (fp["n_rows"], fp["row_hash_sum"], fp["schema"]):
-            return None
-        return self.publish(df)
+        fp = M.fingerprint(df).first().asDict()
+        last = self.latest_version()
+        if last is not None:
+            old = self.fingerprint_of(last)
+            if (old["n_rows"], old["row_hash_sum"], old["schema"]) == (fp["n_rows"], fp["row_hash_sum"], fp["schema"]):
+                return None
+        return self.publish(df, fingerprint_row=fp)
 
     def upsert(self, incoming: DataFrame, blanks: str = "overwrite", order=None) -> int:
         """Merge ``incoming`` into the latest version and publish the result."""
@@ -115,9 +133,11 @@ class VersionedTable:
         return M.added_rows(b, a), M.removed_rows(b, a)
 
     def counts(self, version: int | None = None) -> DataFrame:
-        """Rows and columns of a version, from the catalog (no data scan)."""
+        """Rows and columns of a version, from the catalog once its fingerprint is known."""
         v = self.latest_version() if version is None else version
-        return self.versions().filter(F.col("version") == v).select("version", "n_rows", "n_cols")
+        self.fingerprint_of(v)
+        return (self.versions().filter((F.col("version") == v) & F.col("n_rows").isNotNull())
+                .groupBy("version").agg(F.max("n_rows").alias("n_rows"), F.max("n_cols").alias("n_cols")))
 
 
 # -- A7: inference log append -----------------------------------------------------------
@@ -130,13 +150,7 @@ def append_logs(spark: SparkSession, path: str, scored: DataFrame, model_version
     ``batch_id=N`` with dynamic overwrite, so a replayed batch replaces itself
     (idempotent streaming sink).  Returns the number of rows written."""
     spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-    try:
-        existing = spark.read.parquet(path)
-        if batch_id is not None and "batch_id" in existing.columns:
-            existing = existing.filter(F.col("batch_id") < batch_id)
-        hwm = existing.agg(F.max("inference_id")).first()[0] or 0
-    except Exception:  # noqa: BLE001 - first write
-        hwm = 0
+    hwm = _high_water_mark(spark, path, batch_id)
     version = F.coalesce(F.lit(model_version).cast("string"),
                          F.col("model_version") if "model_version" in scored.columns else F.lit(None).cast("string"),
                          F.lit(S.DEFAULT_MODEL_VERSION))
@@ -149,15 +163,41 @@ def append_logs(spark: SparkSession, path: str, scored: DataFrame, model_version
         F.col("predicted_churn").cast("boolean").alias("predicted_churn"),
         version.alias("model_version"),
         F.current_timestamp().alias("created_at"))
-    n = out.persist(StorageLevel.MEMORY_AND_DISK).count()
     if batch_id is not None:
         out.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").partitionBy("batch_id").parquet(path)
     else:
         out.write.mode("append").parquet(path)
-    out.unpersist()
+    # the numbered rows are cached by the row numbering, so this reads the cache, not the source
+    n, max_rn = numbered.agg(F.count(F.lit(1)), F.max("_rn")).first()
+    if n:
+        spark.createDataFrame([(batch_id, hwm + max_rn)], "batch_id long, max_id long") \
+             .write.mode("append").parquet(f"{path.rstrip('/')}/{HWM_DIR}")
     return n
 
 
+# Ids already handed out, one tiny row per append; Spark's file index skips "_" folders,
+# so readers of the log never see it and the next append needs no scan of the log.
+HWM_DIR = "_hwm"
+
+
+def _high_water_mark(spark: SparkSession, path: str, batch_id: int | None) -> int:
+    try:
+        marks = spark.read.parquet(f"{path.rstrip('/')}/{HWM_DIR}")
+    except Exception:  # noqa: BLE001 - first write, or a log written without marks
+        marks = None
+    if marks is not None:
+        if batch_id is not None:
+            marks = marks.filter(F.col("batch_id").isNull() | (F.col("batch_id") < batch_id))
+        return marks.agg(F.max("max_id")).first()[0] or 0
+    try:
+        existing = spark.read.parquet(path)
+    except Exception:  # noqa: BLE001 - first write
+        return 0
+    if batch_id is not None and "batch_id" in existing.columns:
+        existing = existing.filter(F.col("batch_id") < batch_id)
+    return existing.agg(F.max("inference_id")).first()[0] or 0
+
+
 # -- A11: result export ---------------------------------------------------------------
 
 def export_csv(df: DataFrame, path: str) -> None:
