@@ -29,10 +29,11 @@ def _cols(cs: Sequence[str | Column]) -> list[Column]:
     return [F.col(f"`{c}`") if isinstance(c, str) else c for c in cs]
 
 
-def _num_partitions(df: DataFrame, num_partitions: int | None) -> int:
-    if num_partitions:
-        return num_partitions
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+def _range(df: DataFrame, keys: list[Column], num_partitions: int | None) -> DataFrame:
+    """Range exchange on ``keys``.  Without an explicit count the exchange takes
+    ``spark.sql.shuffle.partitions`` and AQE may coalesce small partitions to the advisory
+    size; the offsets table stays bounded by the shuffle-partition setting either way."""
+    return df.repartitionByRange(num_partitions, *keys) if num_partitions else df.repartitionByRange(*keys)
 
 
 def _one_partitioning(ranged: DataFrame) -> DataFrame:
@@ -75,10 +76,9 @@ def positions(df: DataFrame, order: Sequence[str | Column], group: Sequence[str]
     reproducible numbering; counts and offsets are exact either way.
     ``size_name`` also adds the group size."""
     group = list(group)
-    n = _num_partitions(df, num_partitions)
     keys = _cols(group) + _cols(order)
     ranged = _one_partitioning(
-        df.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
+        _range(df, keys, num_partitions).sortWithinPartitions(*keys)
           .withColumn("_pid", F.spark_partition_id())
           .withColumn("_local", F.monotonically_increasing_id()
                       - F.shiftleft(F.spark_partition_id().cast("long"), 33)))
@@ -115,9 +115,8 @@ def running_sum(df: DataFrame, order: Sequence[str | Column], value: str, name:
     Per-partition totals -> broadcast offsets (one row per partition), plus a running sum
     inside each range partition (a window keyed by partition id, so every task holds one
     range partition)."""
-    n = _num_partitions(df, num_partitions)
     keys = _cols(order)
-    ranged = _one_partitioning(df.repartitionByRange(n, *keys).withColumn("_pid", F.spark_partition_id()))
+    ranged = _one_partitioning(_range(df, keys, num_partitions).withColumn("_pid", F.spark_partition_id()))
     totals = ranged.groupBy("_pid").agg(F.sum(value).alias("_tot"))
     offsets = totals.withColumn(
         "_off", F.coalesce(F.sum("_tot").over(Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)),

@@ -81,8 +81,8 @@ class VersionedTable:
         v = 1 if last is None else last + 1
         out = df
         if self.key and self.key in df.columns:
-            n = self.files_per_version or int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-            out = out.repartitionByRange(n, self.key).sortWithinPartitions(self.key)
+            out = (out.repartitionByRange(self.files_per_version, self.key) if self.files_per_version
+                   else out.repartitionByRange(self.key)).sortWithinPartitions(self.key)
         out.write.mode("overwrite").parquet(self._version_path(v))
         fp = fingerprint_row or {"n_rows": None, "row_hash_sum": None}
         self._record(v, fp["n_rows"], fp["row_hash_sum"], len(df.columns), df.schema.simpleString())
