@@ -32,10 +32,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """Lazy parquet read, reused per session: the driver tables are immutable, so one file
     listing and footer read serves every query (the DataFrame is a plan, not data)."""
     path = f"{sf_dir.rstrip('/')}/{name}.parquet"
-    key = (id(spark), path)
-    if key not in _TABLES:
-        _TABLES[key] = spark.read.parquet(path)
-    return _TABLES[key]
+    key = (spark, path)                  # the session object itself, never a recyclable id
+    df = _TABLES.get(key)
+    if df is None or df.sparkSession is not spark:
+        df = _TABLES[key] = spark.read.parquet(path)
+    return df
 
 
 def location(spark: SparkSession, d: str) -> DataFrame:
