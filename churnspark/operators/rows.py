@@ -7,7 +7,9 @@ the classic two-level scheme:
 1. range-partition the rows on (group..., order...) and sort within partitions;
 2. count rows per (partition, group) - a table of about #groups + #partitions rows;
 3. turn the counts into per-(partition, group) offsets (a window over that small table);
-4. add the offset to the row's position inside its partition.
+4. add the offset to the row's position inside its partition;
+5. checkpoint the numbered rows (reliable, in ``spark.checkpoint.dir``), so the numbering
+   is computed once and never re-derived from a differently sampled exchange.
 
 A hot group is spread over many range partitions, so no task ever holds more than one
 range partition.  The offsets table is joined back on (partition id, group): with few
@@ -23,6 +25,7 @@ from pyspark.sql import functions as F
 from pyspark import StorageLevel
 
 from churnspark import schema as S
+from churnspark.session import checkpoint_dir
 
 
 def _cols(cs: Sequence[str | Column]) -> list[Column]:
@@ -36,6 +39,35 @@ def _range(df: DataFrame, keys: list[Column], num_partitions: int | None) -> Dat
     return df.repartitionByRange(num_partitions, *keys) if num_partitions else df.repartitionByRange(*keys)
 
 
+_PERSISTED: list = []
+
+
+def _keep(df: DataFrame) -> DataFrame:
+    _PERSISTED.append(df)
+    return df.persist(StorageLevel.MEMORY_AND_DISK)
+
+
+def release_caches() -> int:
+    """Unpersist the small size-checked tables cached by ``broadcast_if_small`` (they are
+    deterministic aggregates, so a later recomputation gives the same rows)."""
+    n = len(_PERSISTED)
+    while _PERSISTED:
+        _PERSISTED.pop().unpersist(blocking=False)
+    return n
+
+
+def _materialize(df: DataFrame, temporaries: list[DataFrame]) -> DataFrame:
+    """Reliable checkpoint of a numbered frame into ``spark.checkpoint.dir``, then drop the
+    caches that produced it.  Later actions read the checkpoint, so the numbering can never
+    be recomputed from a second, differently sampled range exchange, and it survives the
+    loss of executors."""
+    checkpoint_dir(df.sparkSession)
+    out = df.checkpoint(eager=True)
+    for t in temporaries:
+        t.unpersist(blocking=False)
+    return out
+
+
 def _one_partitioning(ranged: DataFrame) -> DataFrame:
     """The count pass and the numbering pass must see the SAME range partitioning.  Range
     bounds come from a sample seeded per exchange, and column pruning gives the two
@@ -56,7 +88,14 @@ def broadcast_if_small(small: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) ->
     ``max_rows`` it is hinted for broadcast, otherwise it is joined by shuffle, where AQE
     splits skewed partitions.  Static estimates are not trusted: they can make Spark
     broadcast the big side of the join instead."""
+    small = _keep(small)
+    return F.broadcast(small) if small.count() <= max_rows else small
+
+
+def _sized(small: DataFrame, temporaries: list[DataFrame], max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
+    """``broadcast_if_small`` whose cache is owned (and later dropped) by the caller."""
     small = small.persist(StorageLevel.MEMORY_AND_DISK)
+    temporaries.append(small)
     return F.broadcast(small) if small.count() <= max_rows else small
 
 
@@ -65,7 +104,7 @@ def _null_safe_join(left: DataFrame, right: DataFrame, keys: list[str]) -> DataF
     for k in keys:
         e = left[k].eqNullSafe(right[f"_r_{k}"])
         cond = e if cond is None else cond & e
-    return left.join(broadcast_if_small(right), on=cond, how="inner").drop(*[f"_r_{k}" for k in keys])
+    return left.join(right, on=cond, how="inner").drop(*[f"_r_{k}" for k in keys])
 
 
 def positions(df: DataFrame, order: Sequence[str | Column], group: Sequence[str] = (),
@@ -90,16 +129,18 @@ def positions(df: DataFrame, order: Sequence[str | Column], group: Sequence[str]
         wg = Window.partitionBy(*group) if group else Window.partitionBy(F.lit(1))
         offsets = offsets.withColumn(size_name, F.sum("_cnt").over(wg))
     offsets = offsets.drop("_cnt")
+    temporaries = [ranged]
     if group:
-        right = offsets.select(F.col("_pid").alias("_r__pid"),
-                               *[F.col(f"`{g}`").alias(f"_r_{g}") for g in group],
-                               "_first", "_off", *([size_name] if size_name else []))
+        right = _sized(offsets.select(F.col("_pid").alias("_r__pid"),
+                                      *[F.col(f"`{g}`").alias(f"_r_{g}") for g in group],
+                                      "_first", "_off", *([size_name] if size_name else [])), temporaries)
         joined = _null_safe_join(ranged, right, ["_pid"] + group)
     else:
         # one row per partition: bounded by the partition count, broadcast is safe
         joined = ranged.join(F.broadcast(offsets), on="_pid", how="inner")
-    return (joined.withColumn(name, F.col("_off") + F.col("_local") - F.col("_first") + F.lit(1))
-                  .drop("_pid", "_local", "_first", "_off"))
+    out = (joined.withColumn(name, F.col("_off") + F.col("_local") - F.col("_first") + F.lit(1))
+                 .drop("_pid", "_local", "_first", "_off"))
+    return _materialize(out, temporaries)
 
 
 def row_ids(df: DataFrame, order: Sequence[str | Column], name: str = "row_id",
@@ -123,8 +164,9 @@ def running_sum(df: DataFrame, order: Sequence[str | Column], value: str, name:
                            F.lit(0))).drop("_tot")
     w = Window.partitionBy("_pid").orderBy(*keys).rowsBetween(Window.unboundedPreceding, 0)
     local = ranged.withColumn("_loc", F.sum(value).over(w))
-    return (local.join(F.broadcast(offsets), on="_pid").withColumn(name, F.col("_off") + F.col("_loc"))
-                 .drop("_pid", "_loc", "_off"))
+    out = (local.join(F.broadcast(offsets), on="_pid").withColumn(name, F.col("_off") + F.col("_loc"))
+                .drop("_pid", "_loc", "_off"))
+    return _materialize(out, [ranged])
 
 
 # -- exact quantiles -----------------------------------------------------------------

@@ -75,6 +75,7 @@ def upload_csv(spark: SparkSession, path: str, table: VersionedTable, blanks: st
     last = table.latest_version()
     base = table.read(last) if last is not None else spark.createDataFrame([], S.customer_schema())
     version = table.publish(M.upsert(base, incoming, S.KEY, blanks=blanks, order=["_row"]))
+    # summary and errors stay lazy over the numbered rows (a checkpoint, see rows.positions)
     return UploadResult(version, A.load_summary(with_status, "status"), errors)
 
 

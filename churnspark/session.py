@@ -21,6 +21,8 @@ _DEFAULTS = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     # Parquet timestamps without zone are read as TIMESTAMP_NTZ by Spark 4; keep them so.
     "spark.sql.parquet.inferTimestampNTZ.enabled": "true",
+    # checkpoint files of numbered frames are removed once nothing references them
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 

@@ -167,7 +167,7 @@ def append_logs(spark: SparkSession, path: str, scored: DataFrame, model_version
         out.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").partitionBy("batch_id").parquet(path)
     else:
         out.write.mode("append").parquet(path)
-    # the numbered rows are cached by the row numbering, so this reads the cache, not the source
+    # the numbered rows are a checkpoint (row numbering), so this reads it, not the source
     n, max_rn = numbered.agg(F.count(F.lit(1)), F.max("_rn")).first()
     if n:
         spark.createDataFrame([(batch_id, hwm + max_rn)], "batch_id long, max_id long") \
