@@ -870,3 +870,63 @@ def q_churn_model_scores(spark, d):
     frame = SI.model_frame(spark, d)
     result = ML.train(frame)
     return ML.score(result.model, frame.drop("churn_value"), result.metadata["model_version"])
+
+
+# -- J3 / J5 not-found reports, J4 two-way diff, T19 type errors, B3, B4 -----------------
+
+@query("update_not_found", _with(REGISTRY_SQL) + """
+SELECT DISTINCT customer_id FROM inc WHERE NOT EXISTS (SELECT 1 FROM reg WHERE reg.customer_id = inc.customer_id)""")
+def q_update_not_found(spark, d):
+    _, missing = M.update(SI.registry(spark, d), SI.incoming_batch(spark, d), "customer_id")
+    return missing
+
+
+@query("delete_not_found", _with(REGISTRY_SQL) + """
+SELECT DISTINCT customer_id FROM inc WHERE NOT EXISTS (SELECT 1 FROM reg WHERE reg.customer_id = inc.customer_id)""")
+def q_delete_not_found(spark, d):
+    _, missing = M.delete(SI.registry(spark, d), SI.incoming_batch(spark, d).select("customer_id"), "customer_id")
+    return missing
+
+
+@query("removed_rows", _with(REGISTRY_SQL, UPSERT_SQL) + """
+SELECT * FROM reg WHERE NOT EXISTS (
+  SELECT 1 FROM ups WHERE reg.customer_id IS NOT DISTINCT FROM ups.customer_id
+    AND reg.name IS NOT DISTINCT FROM ups.name AND reg.nationkey IS NOT DISTINCT FROM ups.nationkey
+    AND reg.balance IS NOT DISTINCT FROM ups.balance AND reg.segment IS NOT DISTINCT FROM ups.segment)""")
+def q_removed_rows(spark, d):
+    v1 = SI.registry(spark, d)
+    v2 = M.upsert(v1, SI.incoming_batch(spark, d), "customer_id")
+    return M.removed_rows(v2, v1)
+
+
+@query("type_errors", _with(DIRTY_SQL) + """
+SELECT CAST(event_id AS VARCHAR) AS customer_id, 'age' AS "column", raw AS value
+FROM dirty WHERE raw IS NOT NULL
+  AND (NOT regexp_matches(raw, '^\s*[+-]?[0-9]+\s*$') OR TRY_CAST(raw AS INTEGER) IS NULL)
+UNION ALL
+SELECT CAST(event_id AS VARCHAR), 'monthly_charge', raw
+FROM dirty WHERE raw IS NOT NULL AND TRY_CAST(raw AS DECIMAL(10,2)) IS NULL""")
+def q_type_errors(spark, d):
+    # integers accept digits only (as the source database does): " 46.5 " and "130e1" fail
+    x = _dirty(spark, d).select(F.col("event_id").cast("string").alias("customer_id"),
+                                F.col("raw").alias("age"), F.col("raw").alias("monthly_charge"))
+    return M.type_errors(x, {"age": "int", "monthly_charge": "decimal(10,2)"}, "customer_id")
+
+
+@query("header_normalise", """
+SELECT c_custkey AS customer_id, c_acctbal AS monthly_charges, c_mktsegment AS payment_method FROM customer""")
+def q_header_normalise(spark, d):
+    c = _t(spark, d, "customer").select(F.col("c_custkey").alias(" Customer ID "),
+                                        F.col("c_acctbal").alias("Monthly Charges"),
+                                        F.col("c_mktsegment").alias("Payment Method"))
+    return C.normalise_headers(c)
+
+
+@query("whitelist_fields", """
+SELECT c_custkey AS customer_id, c_mktsegment AS contract, c_acctbal AS monthly_charge FROM customer""")
+def q_whitelist_fields(spark, d):
+    c = _t(spark, d, "customer").select(F.col("c_custkey").alias("customer_id"),
+                                        F.col("c_name").alias("nickname"),          # unknown: ignored
+                                        F.col("c_mktsegment").alias("contract"),
+                                        F.col("c_acctbal").alias("monthly_charge"))
+    return C.whitelist(c)
