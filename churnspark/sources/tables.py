@@ -140,6 +140,41 @@ class VersionedTable:
                 .groupBy("version").agg(F.max("n_rows").alias("n_rows"), F.max("n_cols").alias("n_cols")))
 
 
+# -- A13: time-limited cached view ----------------------------------------------------
+
+class TableCache:
+    """A process's cached view of a table (the dashboard's 60 s customers / 30 s logs caches).
+
+    Within ``ttl_seconds`` the cached frame is returned as is (possibly stale, like the
+    source system).  After that the catalog is checked: the same version is kept (versions
+    are immutable, nothing to re-read), a newer one replaces the cache."""
+
+    def __init__(self, table: VersionedTable, ttl_seconds: float = 60.0, clock=None):
+        import time
+        self.table, self.ttl = table, ttl_seconds
+        self._clock = clock or time.monotonic
+        self._df: DataFrame | None = None
+        self._version: int | None = None
+        self._checked = float("-inf")
+
+    def get(self) -> DataFrame:
+        now = self._clock()
+        if self._df is not None and now - self._checked < self.ttl:
+            return self._df
+        latest = self.table.latest_version()
+        if self._df is None or latest != self._version:
+            if self._df is not None:
+                self._df.unpersist(blocking=False)
+            self._df = self.table.read(latest).persist(StorageLevel.MEMORY_AND_DISK)
+            self._version = latest
+        self._checked = now
+        return self._df
+
+    @property
+    def version(self) -> int | None:
+        return self._version
+
+
 # -- A7: inference log append -----------------------------------------------------------
 
 def append_logs(spark: SparkSession, path: str, scored: DataFrame, model_version: str | None = None,

@@ -114,3 +114,20 @@ def test_versioned_table(spark, tmp):
     assert [tuple(r) for r in removed.collect()] == [("2", "SF")]
     assert [tuple(r) for r in t.counts().collect()] == [(2, 3, 2)]
     assert t.read(1).count() == 2 and t.cached().count() == 3
+
+
+def test_table_cache_ttl(spark, tmp):
+    t = TB.VersionedTable(spark, os.path.join(tmp, "cached"), key="customer_id")
+    t.publish(spark.createDataFrame([("1", "LA")], "customer_id string, city string"))
+    now = [0.0]
+    cache = TB.TableCache(t, ttl_seconds=60, clock=lambda: now[0])
+    first = cache.get()
+    assert cache.version == 1 and first.count() == 1
+    t.publish(spark.createDataFrame([("1", "LA"), ("2", "SF")], "customer_id string, city string"))
+    now[0] = 30.0
+    assert cache.get() is first and cache.version == 1          # within the TTL: stale view kept
+    now[0] = 61.0
+    assert cache.get().count() == 2 and cache.version == 2      # expired and a newer version exists
+    again = cache.get()
+    now[0] = 200.0
+    assert cache.get() is again                                 # expired, same version: no re-read
