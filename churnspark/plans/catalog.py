@@ -8,7 +8,7 @@ name in Spark and SQL, and every limit has a total tie-break.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from churnspark import schema as S
@@ -902,7 +902,7 @@ def q_removed_rows(spark, d):
 @query("type_errors", _with(DIRTY_SQL) + """
 SELECT CAST(event_id AS VARCHAR) AS customer_id, 'age' AS "column", raw AS value
 FROM dirty WHERE raw IS NOT NULL
-  AND (NOT regexp_matches(raw, '^\s*[+-]?[0-9]+\s*$') OR TRY_CAST(raw AS INTEGER) IS NULL)
+  AND (NOT regexp_matches(raw, '^\\s*[+-]?[0-9]+\\s*$') OR TRY_CAST(raw AS INTEGER) IS NULL)
 UNION ALL
 SELECT CAST(event_id AS VARCHAR), 'monthly_charge', raw
 FROM dirty WHERE raw IS NOT NULL AND TRY_CAST(raw AS DECIMAL(10,2)) IS NULL""")

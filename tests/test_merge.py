@@ -1,7 +1,6 @@
 """Merge family on literal rows (FIXTURES §7: outer merge, dedup, upsert, versions)."""
 
 import pytest
-from pyspark.sql import functions as F
 
 from churnspark.operators import merge as M
 
