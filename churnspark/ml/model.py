@@ -142,6 +142,9 @@ def train(df: DataFrame, num_trees: int = S.FOREST_PARAMS["num_trees"], max_dept
     auc = MT.roc_auc(scored, LABEL, "_p").first()[0] if n_classes > 1 else 0.0
     counts = split.groupBy("part").count().collect()
     sizes = {r["part"]: r["count"] for r in counts}
+    # The class balance is reported with every model (one row per class)
+    balance = {str(int(r[LABEL])): round(float(r["share_pct"]), 4)
+               for r in A.class_balance(labelled, LABEL).collect()}
     now = dt.datetime.now(dt.timezone.utc)
     meta = {
         "model_version": now.strftime("v%Y%m%d-%H%M%S"),
@@ -152,6 +155,7 @@ def train(df: DataFrame, num_trees: int = S.FOREST_PARAMS["num_trees"], max_dept
         "metrics": {"accuracy": m["accuracy"], "precision": m["precision"], "recall": m["recall"],
                     "f1": m["f1"], "roc_auc": float(auc)},
         "top_feature_importances": top_importances(model),
+        "class_balance_pct": balance,
     }
     return TrainResult(model, meta, scored)
 

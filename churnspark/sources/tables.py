@@ -249,10 +249,12 @@ def export_csv(df: DataFrame, path: str) -> None:
 
 def write_metadata(spark: SparkSession, meta: dict, path: str) -> None:
     schema = ("model_version string, trained_at string, n_train_rows long, n_test_rows long, "
-              "features array<string>, metrics map<string,double>, top_feature_importances map<string,double>")
+              "features array<string>, metrics map<string,double>, top_feature_importances map<string,double>, "
+              "class_balance_pct map<string,double>")
     row = (meta["model_version"], meta["trained_at"], int(meta["n_train_rows"]), int(meta["n_test_rows"]),
            list(meta["features"]), {k: float(v) for k, v in meta["metrics"].items()},
-           {k: float(v) for k, v in meta["top_feature_importances"].items()})
+           {k: float(v) for k, v in meta["top_feature_importances"].items()},
+           {k: float(v) for k, v in (meta.get("class_balance_pct") or {}).items()})
     spark.createDataFrame([row], schema).write.mode("overwrite").json(path)
 
 
@@ -265,5 +267,6 @@ def read_metadata(spark: SparkSession, path: str) -> dict | None:
         return None
     d = rows[0].asDict(recursive=True)
     d["metrics"] = {k: v for k, v in (d.get("metrics") or {}).items() if v is not None}
-    d["top_feature_importances"] = {k: v for k, v in (d.get("top_feature_importances") or {}).items() if v is not None}
+    for m in ("top_feature_importances", "class_balance_pct"):
+        d[m] = {k: v for k, v in (d.get(m) or {}).items() if v is not None}
     return d

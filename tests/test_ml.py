@@ -50,12 +50,14 @@ def test_train_metadata(trained):
     top = m["top_feature_importances"]
     assert 0 < len(top) <= 15 and list(top.values()) == sorted(top.values(), reverse=True)
     assert any(k.startswith("cat__Contract_") or k == "num__Tenure Months" for k in list(top)[:3])
+    assert set(m["class_balance_pct"]) == {"0", "1"} and sum(m["class_balance_pct"].values()) == pytest.approx(100)
 
 
 def test_save_load_same_scores(spark, trained, tmp):
     v = ML.save(trained, f"{tmp}/models")
     model, meta = ML.load(spark, f"{tmp}/models")
     assert meta["model_version"] == v and meta["metrics"]["roc_auc"] == trained.metadata["metrics"]["roc_auc"]
+    assert meta["class_balance_pct"] == trained.metadata["class_balance_pct"]
     df = spark.createDataFrame(_customers(seed=99, n=50))
     a = {r.customer_id: r.churn_probability for r in ML.score(trained.model, df, v).collect()}
     b = {r.customer_id: r.churn_probability for r in ML.score(model, df, v).collect()}
