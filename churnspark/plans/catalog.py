@@ -930,3 +930,38 @@ def q_whitelist_fields(spark, d):
                                         F.col("c_mktsegment").alias("contract"),
                                         F.col("c_acctbal").alias("monthly_charge"))
     return C.whitelist(c)
+
+
+# -- §3.4 dashboard overview: one persisted filtered frame, five panels ------------------
+
+OVERVIEW_COLUMNS = {"contract": "contract", "internet": "segment", "tenure": "n_orders", "label": "churn_label",
+                    "monthly": "monthly_charge", "churn": "churn_value", "cltv": "total_charges"}
+
+
+@query("dashboard_overview", _with(C360_SQL) + """,
+f AS (SELECT *, CASE WHEN churn_value = 1 THEN 'Yes' WHEN churn_value = 0 THEN 'No' END AS churn_label
+      FROM c360 WHERE contract IN ('1-URGENT', '2-HIGH', '3-MEDIUM')),
+hv AS (SELECT churn_label, CAST(n_orders AS DOUBLE) AS x FROM f WHERE n_orders IS NOT NULL),
+hs AS (SELECT min(x) AS lo, (max(x) - min(x)) / 30.0 AS w FROM hv),
+hc AS (SELECT churn_label, CAST(CASE WHEN (SELECT w FROM hs) > 0
+                 THEN least(floor((x - (SELECT lo FROM hs)) / (SELECT w FROM hs)), 29) ELSE 0 END AS INTEGER) AS bin,
+              count(*) AS cnt FROM hv GROUP BY ALL),
+hf AS (SELECT g.churn_label, b.bin FROM (SELECT DISTINCT churn_label FROM hv) g, range(0, 30) b(bin))
+SELECT 'kpi' AS panel, 'customers' AS label, CAST(count(*) AS DOUBLE) AS value FROM f
+UNION ALL SELECT 'kpi', 'churn_rate_pct', round(coalesce(avg(churn_value) * 100.0, 0.0), 6) FROM f
+UNION ALL SELECT 'kpi', 'avg_cltv', round(coalesce(avg(total_charges), 0.0), 6) FROM f
+UNION ALL SELECT 'kpi', 'avg_tenure', round(coalesce(avg(n_orders), 0.0), 6) FROM f
+UNION ALL SELECT 'rate_by_contract', CAST(contract AS VARCHAR), round(avg(churn_value) * 100.0, 6)
+          FROM f WHERE contract IS NOT NULL GROUP BY contract
+UNION ALL SELECT 'rate_by_internet', CAST(segment AS VARCHAR), round(avg(churn_value) * 100.0, 6)
+          FROM f WHERE segment IS NOT NULL GROUP BY segment
+UNION ALL SELECT 'tenure_histogram', concat_ws('|', hf.churn_label, CAST(hf.bin AS VARCHAR)), CAST(coalesce(hc.cnt, 0) AS DOUBLE)
+          FROM hf LEFT JOIN hc ON hf.churn_label IS NOT DISTINCT FROM hc.churn_label AND hf.bin = hc.bin
+UNION ALL SELECT 'monthly_box', coalesce(churn_label, ''), round(quantile_cont(monthly_charge, 0.5), 6)
+          FROM f WHERE monthly_charge IS NOT NULL GROUP BY churn_label""")
+def q_dashboard_overview(spark, d):
+    from churnspark.plans import dashboard as DB
+    c = SI.customer_360(spark, d)
+    c = c.withColumn("churn_label", F.when(F.col("churn_value") == 1, "Yes").when(F.col("churn_value") == 0, "No"))
+    ov = DB.overview(c, KPI_FILTER, OVERVIEW_COLUMNS)
+    return ov.long_form().select("panel", "label", r6("value").alias("value"))

@@ -145,3 +145,18 @@ def test_sorted_groups_null_last(spark, cust):
     g = A.group_agg(cust, "contract", "charge", "count")
     assert [r[0] for r in A.sorted_groups(g, "contract").collect()] == \
         ["Month-to-month", "One year", "Two year", None]
+
+
+def test_dashboard_overview_shares_one_filtered_frame(spark, cust):
+    from churnspark.plans import dashboard as DB
+    df = cust.withColumn("churn_label", F.when(F.col("churn_value") == 1, "Yes").otherwise("No")) \
+             .withColumn("internet_service", F.col("dependents")).withColumn("tenure_in_months", F.col("cltv") / 10) \
+             .withColumn("monthly_charge", F.col("charge"))
+    ov = DB.overview(df, {"contract": ["Month-to-month", "One year"]}, bins=5)
+    assert ov.filtered.is_cached
+    assert ov.kpis.first()["customers"] == 3
+    assert {r[0] for r in ov.rate_by_contract.collect()} == {"Month-to-month", "One year"}
+    assert ov.tenure_histogram.count() == 10                    # 2 labels x 5 bins
+    assert ov.long_form().filter("panel = 'monthly_box'").count() == 2
+    ov.release()
+    assert not ov.filtered.is_cached
