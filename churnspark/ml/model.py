@@ -26,6 +26,7 @@ from churnspark.operators import clean as C
 from churnspark.operators import metrics as MT
 from churnspark.operators import quality as Q
 from churnspark.operators import rows as R
+from churnspark.sources.readers import with_file_order
 
 LABEL, WEIGHT, FEATURES = "_label", "_weight", "_features"
 
@@ -127,8 +128,8 @@ def train(df: DataFrame, num_trees: int = S.FOREST_PARAMS["num_trees"], max_dept
         raise ValueError("0 customer records available for training")
     id_col = S.KEY if S.KEY in prepared.columns else None
     if id_col is None:
-        prepared = R.row_ids(prepared.withColumn("_seq", F.monotonically_increasing_id()), ["_seq"], "_rid") \
-                    .drop("_seq")
+        # no key: number rows in file order (a plain position when the frame is not a scan)
+        prepared = R.row_ids(with_file_order(prepared, "_ord"), ["_ord"], "_rid").drop("_ord")
         id_col = "_rid"
     labelled = prepared.withColumn(LABEL, F.col(f"`{S.TARGET}`").cast("double"))
     split = R.stratified_split(labelled, LABEL, id_col, test_fraction, seed).persist(StorageLevel.MEMORY_AND_DISK)
@@ -194,7 +195,7 @@ def _shape_for_scoring(df: DataFrame) -> DataFrame:
     C.require_columns(x, S.ALL_FEATURES)
     if S.KEY not in x.columns:
         # ROW_i by file order (ingest sequence), numbered without a single-task window
-        x = R.row_ids(x.withColumn("_seq", F.monotonically_increasing_id()), ["_seq"], "_rn").drop("_seq")
+        x = R.row_ids(with_file_order(x, "_ord"), ["_ord"], "_rn").drop("_ord")
         x = x.withColumn(S.KEY, X.default_row_id(F.lit(None), "_rn")).drop("_rn")
     return x
 

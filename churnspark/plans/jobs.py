@@ -39,9 +39,9 @@ def ingest_topics(spark: SparkSession, paths: Mapping[str, str], table: Versione
         if given:
             ords.append(list(given))
         else:
-            # ingest sequence: file name then position in the file (file order, T10)
-            df = df.withColumn("_file", F.input_file_name()).withColumn("_seq", F.monotonically_increasing_id())
-            ords.append(["_file", "_seq"])
+            # ingest sequence: file order
+            df = RD.with_file_order(df, "_ord")
+            ords.append(["_ord"])
         frames.append(df)
     merged = M.merge_sources(frames, S.KEY, orders=ords)
     full = merged.select(*[F.col(c) if c in merged.columns else F.lit(None).cast(t).alias(c)
@@ -63,7 +63,7 @@ def upload_csv(spark: SparkSession, path: str, table: VersionedTable, blanks: st
     a value that does not fit its column type fails the whole upload before anything is
     written (one transaction); the rest is upserted, last row per key winning."""
     raw = RD.read_upload_csv(spark, path)
-    numbered = R.row_ids(raw.withColumn("_seq", F.monotonically_increasing_id()), ["_seq"], "_row")
+    numbered = R.row_ids(RD.with_file_order(raw, "_ord"), ["_ord"], "_row").drop("_ord")
     numbered = numbered.withColumn("_row", F.col("_row") + 1)               # the header is row 1
     cleaned = C.blanks_to_null(numbered)
     status = F.when(C.has_key(S.KEY), F.lit("saved")).otherwise(F.lit("error"))

@@ -35,6 +35,18 @@ def csv_header(spark: SparkSession, path: str) -> list[str]:
     return next(csv.reader([line]))
 
 
+# -- file order (T10) -----------------------------------------------------------------
+
+def with_file_order(df: DataFrame, name: str = "_ord") -> DataFrame:
+    """Add a sortable file-order key: (file, start of the split, position in the read).
+    Spark packs the splits of a large file into partitions by size, not by offset, so a
+    partition index alone is not file order; the split start is.  Must be applied directly
+    over a file scan (the input-file functions are empty after a shuffle)."""
+    return df.withColumn(name, F.struct(F.input_file_name().alias("file"),
+                                        F.input_file_block_start().alias("block"),
+                                        F.monotonically_increasing_id().alias("pos")))
+
+
 # -- A1: topic files -----------------------------------------------------------------
 
 TOPIC_MAPS: Mapping[str, Mapping[str, str]] = {

@@ -23,6 +23,7 @@ from churnspark.ml import model as ML
 from churnspark.operators import clean as C
 from churnspark.operators import merge as M
 from churnspark.session import checkpoint_dir
+from churnspark.sources.readers import with_file_order
 from churnspark.sources.tables import VersionedTable
 
 
@@ -79,13 +80,13 @@ def continuous_upsert(spark: SparkSession, source_path: str, table: VersionedTab
     schema = T.StructType([T.StructField(c, T.StringType()) for c in header])
 
     def per_batch(batch: DataFrame, batch_id: int) -> None:
-        # ingest order inside the batch: file name, then position in the file
-        ordered = batch.withColumn("_file", F.input_file_name()).withColumn("_seq", F.monotonically_increasing_id())
-        incoming = typed_upload(ordered, table.key, passthrough=("_file", "_seq"))
+        # ingest order inside the batch: file order (file, split start, position)
+        ordered = with_file_order(batch, "_ord")
+        incoming = typed_upload(ordered, table.key, passthrough=("_ord",))
         last = table.latest_version()
         # the first version starts from an empty table with the full customer schema
         base = table.read(last) if last is not None else spark.createDataFrame([], S.customer_schema())
-        merged = M.upsert(base, incoming, table.key, blanks=blanks, order=["_file", "_seq"])
+        merged = M.upsert(base, incoming, table.key, blanks=blanks, order=["_ord"])
         table.snapshot_if_changed(merged)
 
     w = (_source(spark, source_path, schema, "csv", max_files_per_trigger).writeStream

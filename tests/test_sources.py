@@ -131,3 +131,20 @@ def test_table_cache_ttl(spark, tmp):
     again = cache.get()
     now[0] = 200.0
     assert cache.get() is again                                 # expired, same version: no re-read
+
+
+def test_file_order_across_splits(spark, tmp):
+    p = os.path.join(tmp, "big.csv")
+    with open(p, "w") as f:
+        f.write("customer_id,seq\n")
+        for i in range(3000):
+            f.write(f"C{i:05d}{'x' * (i % 7)},{i}\n")
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")              # many splits of one file
+    try:
+        df = RD.with_file_order(RD.read_upload_csv(spark, p), "_ord")
+        assert df.rdd.getNumPartitions() > 5
+        got = [int(r.seq) for r in df.orderBy("_ord").select("seq").collect()]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert got == list(range(3000))
