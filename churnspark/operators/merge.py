@@ -22,7 +22,10 @@ from typing import Iterable, Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pyspark import StorageLevel
+
 from churnspark import schema as S
+from churnspark.operators import rows as R
 
 
 def _q(c: str) -> Column:
@@ -95,17 +98,47 @@ def merge_sources(sources: Sequence[DataFrame], key: str = S.KEY,
                                      for i, p in enumerate(payloads) for c in p])
 
 
+# -- small-batch path ---------------------------------------------------------------------
+# An incoming batch (upload file, micro-batch, update list) is usually tiny next to the
+# table.  A full outer / shuffle join would move the whole table through the network on
+# every batch; instead the deduplicated batch is measured and, under the bound, broadcast:
+# the table is only scanned (twice, once for its key column) and never shuffled.
+
+def _measured(df: DataFrame, max_rows: int) -> tuple[DataFrame, bool]:
+    df = df.persist(StorageLevel.MEMORY_AND_DISK)
+    return df, df.count() <= max_rows
+
+
+def _present_keys(table: DataFrame, small_keys: DataFrame, key: str) -> DataFrame:
+    """Keys of a small batch that exist in the table: a broadcast semi join (at most one row
+    per batch key, so it is as small as the batch and safe to broadcast in turn)."""
+    return table.select(_q(key)).join(F.broadcast(small_keys.select(_q(key))), on=key, how="left_semi")
+
+
+def _choose(strategy: str, batch: DataFrame, max_rows: int) -> tuple[DataFrame, str]:
+    if strategy not in ("auto", "broadcast", "shuffle"):
+        raise ValueError("strategy must be 'auto', 'broadcast' or 'shuffle'")
+    if strategy != "auto":
+        return batch, strategy
+    batch, small = _measured(batch, max_rows)
+    return batch, "broadcast" if small else "shuffle"
+
+
 # -- J2 / A6: upsert -----------------------------------------------------------------
 
 def upsert(table: DataFrame, incoming: DataFrame, key: str = S.KEY,
            blanks: str = "overwrite", order: Sequence[str | Column] | None = None,
-           fields: Iterable[str] | None = None) -> DataFrame:
+           fields: Iterable[str] | None = None, strategy: str = "auto",
+           max_broadcast_rows: int = R.MAX_BROADCAST_ROWS) -> DataFrame:
     """Insert new keys; for existing keys overwrite the columns the incoming frame carries
     and keep all others.  Presence is decided by the incoming *schema*, not by value.
 
     ``blanks="overwrite"``: an incoming NULL overwrites (the source system's behaviour).
     ``blanks="keep"``: an incoming NULL keeps the old value.
     Incoming duplicate keys: the last by ``order`` wins.  Unknown incoming columns are ignored.
+    ``strategy``: "shuffle" = one full outer sort-merge join; "broadcast" = the deduplicated
+    batch is broadcast and the table is never shuffled; "auto" = broadcast when the batch
+    has at most ``max_broadcast_rows`` keys (measured), else shuffle.
     """
     if blanks not in ("overwrite", "keep"):
         raise ValueError("blanks must be 'overwrite' or 'keep'")
@@ -113,20 +146,34 @@ def upsert(table: DataFrame, incoming: DataFrame, key: str = S.KEY,
     given = [c for c in incoming.columns if c != key and c in allowed and c in table.columns]
     inc = dedup_last(incoming, key, order, payload=given)
     inc = inc.select(_q(key), *[_q(c).alias(f"_n_{c}") for c in given], F.lit(True).alias("_in"))
-    joined = table.join(inc, on=key, how="full_outer")
-    cols = []
-    for c in table.columns:
-        if c == key:
-            cols.append(_q(key))
-        elif c in given:
-            new = F.col(f"_n_{c}").cast(table.schema[c].dataType)
-            if blanks == "overwrite":
-                cols.append(F.when(F.col("_in"), new).otherwise(_q(c)).alias(c))
+    inc, strategy = _choose(strategy, inc, max_broadcast_rows)
+
+    def merged_cols(key_col: Column) -> list[Column]:
+        cols = []
+        for c in table.columns:
+            if c == key:
+                cols.append(key_col.alias(key))
+            elif c in given:
+                new = F.col(f"_n_{c}").cast(table.schema[c].dataType)
+                if blanks == "overwrite":
+                    cols.append(F.when(F.col("_in"), new).otherwise(_q(c)).alias(c))
+                else:
+                    cols.append(F.coalesce(new, _q(c)).alias(c))
             else:
-                cols.append(F.coalesce(new, _q(c)).alias(c))
-        else:
-            cols.append(_q(c))
-    return joined.select(cols)
+                cols.append(_q(c))
+        return cols
+
+    if strategy == "shuffle":
+        return table.join(inc, on=key, how="full_outer").select(merged_cols(_q(key)))
+    b = F.broadcast(inc)
+    updated = table.join(b, on=key, how="left").select(merged_cols(_q(key)))
+    fresh = inc.join(F.broadcast(_present_keys(table, inc, key)), on=key, how="left_anti")
+    inserted = fresh.select([
+        _q(key) if c == key else
+        (F.col(f"_n_{c}").cast(table.schema[c].dataType).alias(c) if c in given
+         else F.lit(None).cast(table.schema[c].dataType).alias(c))
+        for c in table.columns])
+    return updated.unionByName(inserted)
 
 
 def type_errors(incoming: DataFrame, types: Mapping[str, str], key: str = S.KEY) -> DataFrame:
@@ -144,33 +191,46 @@ def type_errors(incoming: DataFrame, types: Mapping[str, str], key: str = S.KEY)
 
 # -- J3: update ----------------------------------------------------------------------
 
-def update(table: DataFrame, updates: DataFrame, key: str = S.KEY) -> tuple[DataFrame, DataFrame]:
-    """Set the given columns where the key matches.  Returns (new table, keys not found)."""
+def update(table: DataFrame, updates: DataFrame, key: str = S.KEY, strategy: str = "auto",
+           max_broadcast_rows: int = R.MAX_BROADCAST_ROWS) -> tuple[DataFrame, DataFrame]:
+    """Set the given columns where the key matches.  Returns (new table, keys not found).
+    A small update list is broadcast (measured), so the table is not shuffled."""
     given = [c for c in updates.columns if c != key and c in table.columns]
     if not given:
         raise ValueError(f"no recognised fields in update; expected some of {table.columns}")
     upd = dedup_last(updates.select(_q(key), *[_q(c) for c in given]), key)
     upd = upd.select(_q(key), *[_q(c).alias(f"_n_{c}") for c in given], F.lit(True).alias("_in"))
-    joined = table.join(upd, on=key, how="left")
+    upd, strategy = _choose(strategy, upd, max_broadcast_rows)
+    small = strategy == "broadcast"
+    joined = table.join(F.broadcast(upd) if small else upd, on=key, how="left")
     out = joined.select([
         (F.when(F.col("_in"), F.col(f"_n_{c}").cast(table.schema[c].dataType)).otherwise(_q(c)).alias(c)
          if c in given else _q(c)) for c in table.columns])
-    not_found = updates.select(_q(key)).distinct().join(table.select(_q(key)), on=key, how="left_anti")
+    present = F.broadcast(_present_keys(table, upd, key)) if small else table.select(_q(key))
+    not_found = upd.select(_q(key)).join(present, on=key, how="left_anti")
     return out, not_found
 
 
 # -- J5: delete ----------------------------------------------------------------------
 
-def delete(table: DataFrame, keys: DataFrame, key: str = S.KEY) -> tuple[DataFrame, DataFrame]:
-    """Remove the listed keys.  Returns (new table, keys not found)."""
-    k = keys.select(_q(key)).distinct()
+def delete(table: DataFrame, keys: DataFrame, key: str = S.KEY, strategy: str = "auto",
+           max_broadcast_rows: int = R.MAX_BROADCAST_ROWS) -> tuple[DataFrame, DataFrame]:
+    """Remove the listed keys.  Returns (new table, keys not found).  A small key list is
+    broadcast (measured), so the table is not shuffled."""
+    k, strategy = _choose(strategy, keys.select(_q(key)).distinct(), max_broadcast_rows)
+    if strategy == "broadcast":
+        return (table.join(F.broadcast(k), on=key, how="left_anti"),
+                k.join(F.broadcast(_present_keys(table, k, key)), on=key, how="left_anti"))
     return table.join(k, on=key, how="left_anti"), k.join(table.select(_q(key)), on=key, how="left_anti")
 
 
 # -- A12 / G2: insert, ignore existing keys ------------------------------------------
 
-def insert_ignore(table: DataFrame, rows: DataFrame, key: str = S.KEY) -> DataFrame:
-    new = rows.join(table.select(_q(key)), on=key, how="left_anti")
+def insert_ignore(table: DataFrame, rows: DataFrame, key: str = S.KEY, strategy: str = "auto",
+                  max_broadcast_rows: int = R.MAX_BROADCAST_ROWS) -> DataFrame:
+    rows, strategy = _choose(strategy, rows, max_broadcast_rows)
+    present = F.broadcast(_present_keys(table, rows, key)) if strategy == "broadcast" else table.select(_q(key))
+    new = rows.join(present, on=key, how="left_anti")
     return table.unionByName(new, allowMissingColumns=True)
 
 

@@ -109,3 +109,21 @@ def test_fingerprint_is_order_free(spark):
     fa, fb, fc = (M.fingerprint(x).first() for x in (a, b, c))
     assert fa == fb
     assert fa["row_hash_sum"] != fc["row_hash_sum"]
+
+
+@pytest.mark.parametrize("fn", ["upsert", "update", "delete", "insert_ignore"])
+def test_small_batch_path_equals_shuffle_path(spark, table, fn):
+    batch = spark.createDataFrame([("2", None, 1), ("4", 40.0, 1), ("4", 41.0, 2), (None, 5.0, 1)],
+                                  "customer_id string, charge double, seq int")
+    def run(strategy):
+        if fn == "upsert":
+            return [M.upsert(table, batch, "customer_id", order=["seq"], strategy=strategy)]
+        if fn == "update":
+            return list(M.update(table, batch.drop("seq"), "customer_id", strategy=strategy))
+        if fn == "delete":
+            return list(M.delete(table, batch, "customer_id", strategy=strategy))
+        return [M.insert_ignore(table, batch.drop("seq"), "customer_id", strategy=strategy)]
+    for a, b in zip(run("broadcast"), run("shuffle")):
+        assert sorted(map(tuple, a.collect()), key=repr) == sorted(map(tuple, b.collect()), key=repr)
+    assert sorted(map(tuple, run("auto")[0].collect()), key=repr) == \
+        sorted(map(tuple, run("shuffle")[0].collect()), key=repr)

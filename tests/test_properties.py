@@ -40,6 +40,9 @@ def test_upsert_properties(spark, old, new):
         last[k] = v
     got = dict(a)
     assert all(got[k] == v for k, v in last.items())                            # last incoming wins
+    for strategy in ("broadcast", "shuffle"):                                    # both plans agree
+        other = M.upsert(t, inc.select("k", "v", "o"), "k", order=["o", "v"], strategy=strategy)
+        assert sorted(map(tuple, other.collect()), key=repr) == a
 
 
 @SETTINGS
