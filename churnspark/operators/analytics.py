@@ -101,10 +101,13 @@ def histogram(df: DataFrame, x: str, bins: int = 30, group: str | None = None) -
     counted = vals.withColumn("bin", b).groupBy(*gcols, "bin").agg(F.count(F.lit(1)).alias("count"))
     all_bins = F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin")
     if group:
-        # every (group, bin): the distinct groups, each exploded into the fixed bin list
-        frame = vals.select(_q(group)).distinct().select(_q(group), all_bins)
-        cond = frame[group].eqNullSafe(counted[group]) & (frame["bin"] == counted["bin"])
-        joined = frame.join(counted, on=cond, how="left").select(frame[group], frame["bin"], counted["count"])
+        # every (group, bin): each group that has a value (read off the small count table,
+        # not the data) exploded into the fixed bin list
+        frame = counted.select(_q(group)).distinct().select(_q(group), all_bins).alias("_f")
+        cnt = counted.alias("_c")
+        cond = F.col(f"_f.`{group}`").eqNullSafe(F.col(f"_c.`{group}`")) & (F.col("_f.bin") == F.col("_c.bin"))
+        joined = frame.join(cnt, on=cond, how="left").select(F.col(f"_f.`{group}`").alias(group),
+                                                             F.col("_f.bin").alias("bin"), F.col("_c.count"))
     else:
         frame = vals.agg(F.count(F.lit(1)).alias("_n")).filter("_n > 0").select(all_bins)
         joined = frame.join(counted, on="bin", how="left")
