@@ -122,3 +122,14 @@ def test_training_target_rules(spark):
     assert ML.prepare_training(df).count() == 200
     with pytest.raises(C.MissingColumnsError):
         ML.prepare_training(spark.createDataFrame(pdf.drop(columns=["gender"])))
+
+
+def test_exact_auc_matches_mllib_evaluator(spark, trained):
+    from pyspark.ml.evaluation import BinaryClassificationEvaluator
+    from churnspark.operators import metrics as MT
+    scores = trained.test_scores.select(ML.LABEL, "_p", "_raw")
+    ours = MT.roc_auc(scores, ML.LABEL, "_p", digits=None).first()[0]
+    theirs = BinaryClassificationEvaluator(rawPredictionCol="_raw", labelCol=ML.LABEL,
+                                           metricName="areaUnderROC", numBins=0).evaluate(scores)
+    assert ours == pytest.approx(theirs, abs=1e-9)
+    assert trained.metadata["metrics"]["roc_auc"] == round(ours, 4)
