@@ -60,6 +60,9 @@ def checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> str:
     if current:
         return current
     conf_dir = sc.getConf().get("spark.checkpoint.dir", None)
+    if not conf_dir and not sc.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir is not set: name a shared folder (HDFS/S3/...) "
+                           "for checkpoints; a machine-local folder does not survive lost executors")
     target = conf_dir or fallback or tempfile.mkdtemp(prefix="churnspark-ckpt-")
     sc.setCheckpointDir(target)
     return sc.getCheckpointDir() or target
