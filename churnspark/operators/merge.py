@@ -11,8 +11,9 @@ Scale notes
 * ``dedup_last`` uses the same ``max(struct)`` aggregate instead of a
   ``row_number`` window, so a key holding a third of all rows is pre-aggregated on the
   map side instead of sorted inside one task.
-* Joins on the key are equi-joins; Spark's own size check (AQE
-  ``autoBroadcastJoinThreshold``) decides broadcast against sort-merge at run time.
+* Upsert / update / delete / insert-ignore measure the (deduplicated) incoming batch: a
+  small batch is broadcast and the table is only scanned, never shuffled; a large one
+  uses one sort-merge join, where AQE splits skewed partitions.
 """
 
 from __future__ import annotations
@@ -20,9 +21,8 @@ from __future__ import annotations
 from typing import Iterable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
-
 from pyspark import StorageLevel
+from pyspark.sql import functions as F
 
 from churnspark import schema as S
 from churnspark.operators import rows as R
@@ -110,9 +110,10 @@ def _measured(df: DataFrame, max_rows: int) -> tuple[DataFrame, bool]:
 
 
 def _present_keys(table: DataFrame, small_keys: DataFrame, key: str) -> DataFrame:
-    """Keys of a small batch that exist in the table: a broadcast semi join (at most one row
-    per batch key, so it is as small as the batch and safe to broadcast in turn)."""
-    return table.select(_q(key)).join(F.broadcast(small_keys.select(_q(key))), on=key, how="left_semi")
+    """Keys of a small batch that exist in the table: a broadcast semi join, deduplicated, so
+    it has at most one row per batch key and is safe to broadcast in turn."""
+    return (table.select(_q(key)).join(F.broadcast(small_keys.select(_q(key))), on=key, how="left_semi")
+                 .distinct())
 
 
 def _choose(strategy: str, batch: DataFrame, max_rows: int) -> tuple[DataFrame, str]:
