@@ -7,7 +7,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as E
-from tools.check_oracles import TABLES, rows_of
+from tools.check_oracles import TABLES, duck_type, rows_of, spark_type
 
 from tests.conftest import SF_SMALL
 
@@ -41,10 +41,12 @@ def test_query_matches_oracle(spark, con, key):
     sdf = E.queries()[key](spark, SF_SMALL)
     cols = sdf.columns
     srows = [tuple(r) for r in sdf.collect()]
-    cur = con.execute(E.oracle_sql()[key])
-    dcols = [d[0] for d in cur.description]
+    rel = con.sql(E.oracle_sql()[key])
+    dcols = rel.columns
     assert sorted(cols) == sorted(dcols)
+    stypes = {f.name: spark_type(f.dataType) for f in sdf.schema.fields}
+    assert {c: duck_type(t) for c, t in zip(dcols, rel.types)} == {c: stypes[c] for c in dcols}
     order = sorted(range(len(cols)), key=lambda i: cols[i])
     dorder = sorted(range(len(dcols)), key=lambda i: dcols[i])
     assert rows_of([tuple(r[i] for i in order) for r in srows]) == \
-        rows_of([tuple(r[i] for i in dorder) for r in cur.fetchall()])
+        rows_of([tuple(r[i] for i in dorder) for r in rel.fetchall()])
