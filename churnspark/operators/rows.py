@@ -207,8 +207,11 @@ def stratified_split(df: DataFrame, label: str, id_col: str, test_fraction: floa
                      seed: int = S.SPLIT_SEED, name: str = "part") -> DataFrame:
     """Add ``name`` in {"train", "test"}.  The test set has ceil(f * n) rows, shared among
     classes in proportion (floor, then the largest remainders), and holds in each class
-    the rows with the smallest ``xxhash64(id, seed)``: reproducible whatever the
-    partitioning.  One class only -> plain (unstratified) split by the same hash."""
+    the rows with the smallest ``(xxhash64(id, seed), id)``: reproducible whatever the
+    partitioning.  One class only -> plain (unstratified) split by the same hash.
+    Ranks are computed over (label, id, hash) only, to find each class's boundary row; the
+    full frame then meets a one-row-per-class boundary table by broadcast.  ``id`` must be
+    unique."""
     counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("_nc"))
     tot = Window.partitionBy(F.lit(1))  # over the k-row class table only
     alloc = (counts.withColumn("_n", F.sum("_nc").over(tot))
@@ -220,8 +223,14 @@ def stratified_split(df: DataFrame, label: str, id_col: str, test_fraction: floa
                        F.desc(F.col("_exact") - F.col("_base")), F.col(label))))
                    .withColumn("_take", (F.col("_base") + F.when(F.col("_rr") <= F.col("_rem"), 1).otherwise(0)).cast("long"))
                    .select(label, "_take"))
-    hashed = df.withColumn("_h", F.xxhash64(F.col(id_col), F.lit(seed)))
-    ranked = positions(hashed, ["_h", id_col], [label], name="_k")
-    out = ranked.join(broadcast_if_small(alloc), on=label, how="left")
-    return out.withColumn(name, F.when(F.col("_k") <= F.col("_take"), F.lit("test")).otherwise(F.lit("train"))) \
-              .drop("_h", "_k", "_take")
+    h = F.xxhash64(F.col(id_col), F.lit(seed))
+    # ranks over three narrow columns only; the wide frame is never shuffled or checkpointed
+    ranked = positions(df.select(F.col(label), F.col(id_col), h.alias("_h")), ["_h", id_col], [label], name="_k")
+    # per class, the last test row in (hash, id) order: one row per class
+    bounds = (ranked.join(broadcast_if_small(alloc), on=label, how="inner")
+                    .filter(F.col("_k") == F.col("_take"))
+                    .select(label, F.col("_h").alias("_bh"), F.col(id_col).alias("_bid")))
+    out = df.withColumn("_h", h).join(broadcast_if_small(bounds), on=label, how="left")
+    is_test = (F.col("_h") < F.col("_bh")) | ((F.col("_h") == F.col("_bh")) & (F.col(id_col) <= F.col("_bid")))
+    return (out.withColumn(name, F.when(F.coalesce(is_test, F.lit(False)), F.lit("test")).otherwise(F.lit("train")))
+               .drop("_h", "_bh", "_bid"))
