@@ -26,7 +26,7 @@ from churnspark.operators import clean as C
 from churnspark.operators import metrics as MT
 from churnspark.operators import quality as Q
 from churnspark.operators import rows as R
-from churnspark.sources.readers import with_file_order
+from churnspark.sources.readers import file_row_numbers, with_file_order
 
 LABEL, WEIGHT, FEATURES = "_label", "_weight", "_features"
 
@@ -195,7 +195,7 @@ def _shape_for_scoring(df: DataFrame) -> DataFrame:
     C.require_columns(x, S.ALL_FEATURES)
     if S.KEY not in x.columns:
         # ROW_i by file order (ingest sequence), numbered without a single-task window
-        x = R.row_ids(with_file_order(x, "_ord"), ["_ord"], "_rn").drop("_ord")
+        x = file_row_numbers(x, "_rn")
         x = x.withColumn(S.KEY, X.default_row_id(F.lit(None), "_rn")).drop("_rn")
     return x
 

@@ -63,8 +63,7 @@ def upload_csv(spark: SparkSession, path: str, table: VersionedTable, blanks: st
     a value that does not fit its column type fails the whole upload before anything is
     written (one transaction); the rest is upserted, last row per key winning."""
     raw = RD.read_upload_csv(spark, path)
-    numbered = R.row_ids(RD.with_file_order(raw, "_ord"), ["_ord"], "_row").drop("_ord")
-    numbered = numbered.withColumn("_row", F.col("_row") + 1)               # the header is row 1
+    numbered = RD.file_row_numbers(raw, "_row").withColumn("_row", F.col("_row") + 1)   # header = row 1
     cleaned = C.blanks_to_null(numbered)
     status = F.when(C.has_key(S.KEY), F.lit("saved")).otherwise(F.lit("error"))
     with_status = cleaned.withColumn("status", status)

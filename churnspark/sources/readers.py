@@ -47,6 +47,28 @@ def with_file_order(df: DataFrame, name: str = "_ord") -> DataFrame:
                                         F.monotonically_increasing_id().alias("pos")))
 
 
+def file_row_numbers(df: DataFrame, name: str = "row_id") -> DataFrame:
+    """1-based row number in file order (files by name, then split start, then position),
+    computed without a range shuffle: rows are counted per file split (one row per split),
+    the counts become offsets, and each row adds its position inside its split.  The
+    numbering is a function of the files, so recomputation gives the same numbers.  Must be
+    applied directly over a file scan."""
+    from churnspark.operators.rows import broadcast_if_small
+    from pyspark.sql import Window
+    # the partition id is part of the split key: for a scan it changes nothing (a split is
+    # read by one task); for a frame that is not a scan it still gives a valid numbering
+    x = (df.withColumn("_file", F.input_file_name()).withColumn("_block", F.input_file_block_start())
+           .withColumn("_pid", F.spark_partition_id()).withColumn("_mono", F.monotonically_increasing_id()))
+    key = ["_file", "_block", "_pid"]
+    splits = x.groupBy(*key).agg(F.count(F.lit(1)).alias("_cnt"), F.min("_mono").alias("_first"))
+    # the window runs over the split table: one row per file split
+    w = Window.orderBy(*key).rowsBetween(Window.unboundedPreceding, 0)
+    offsets = splits.withColumn("_off", F.sum("_cnt").over(w) - F.col("_cnt")).drop("_cnt")
+    out = x.join(broadcast_if_small(offsets), on=key, how="inner")
+    return (out.withColumn(name, F.col("_off") + F.col("_mono") - F.col("_first") + F.lit(1))
+               .drop(*key, "_mono", "_first", "_off"))
+
+
 # -- A1: topic files -----------------------------------------------------------------
 
 TOPIC_MAPS: Mapping[str, Mapping[str, str]] = {

@@ -145,6 +145,15 @@ def test_file_order_across_splits(spark, tmp):
         df = RD.with_file_order(RD.read_upload_csv(spark, p), "_ord")
         assert df.rdd.getNumPartitions() > 5
         got = [int(r.seq) for r in df.orderBy("_ord").select("seq").collect()]
+        numbered = RD.file_row_numbers(RD.read_upload_csv(spark, p), "rn")
+        pairs = sorted((int(r.rn), int(r.seq)) for r in numbered.select("rn", "seq").collect())
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", old)
     assert got == list(range(3000))
+    assert pairs == [(i + 1, i) for i in range(3000)]                       # numbering without a shuffle
+
+
+def test_file_row_numbers_on_a_shuffled_frame(spark):
+    df = spark.range(500).repartition(7)                  # not a file scan: still a valid 1..n numbering
+    got = sorted(r.rn for r in RD.file_row_numbers(df, "rn").select("rn").collect())
+    assert got == list(range(1, 501))
