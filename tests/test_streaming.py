@@ -66,3 +66,17 @@ def test_bad_types_fail_the_batch(spark):
     bad = spark.createDataFrame([("1", "abc")], "customer_id string, age string")
     with pytest.raises(SJ.BatchTypeError):
         SJ.typed_upload(bad)
+
+
+def test_log_batch_replay_is_idempotent(spark, tmp):
+    from churnspark.sources import tables as TB
+    log = os.path.join(tmp, "replay_log")
+    rows = spark.createDataFrame([("a", 0.7, True), ("b", 0.2, False)],
+                                 "customer_id string, churn_probability double, predicted_churn boolean")
+    more = spark.createDataFrame([("c", 0.5, False)], "customer_id string, churn_probability double, predicted_churn boolean")
+    assert TB.append_logs(spark, log, rows, "v1", batch_id=0) == 2
+    assert TB.append_logs(spark, log, more, "v1", batch_id=1) == 1
+    first = sorted(map(tuple, spark.read.parquet(log).select("inference_id", "customer_id", "batch_id").collect()))
+    assert TB.append_logs(spark, log, more, "v1", batch_id=1) == 1            # the micro-batch is replayed
+    again = sorted(map(tuple, spark.read.parquet(log).select("inference_id", "customer_id", "batch_id").collect()))
+    assert first == again == [(1, "a", 0), (2, "b", 0), (3, "c", 1)]
