@@ -4,12 +4,17 @@
 ``partitionBy(group)`` window puts a hot group into one task.  Both are avoided here with
 the classic two-level scheme:
 
-1. range-partition the rows on (group..., order...) and sort within partitions;
+1. range-partition the rows on (group..., order...), sort within partitions, record each
+   row's partition id and position, and checkpoint that (reliable, ``spark.checkpoint.dir``):
+   range bounds come from a per-exchange sample, so the partitioning is fixed once in files
+   and every later pass reads the same rows in the same partitions;
 2. count rows per (partition, group) - a table of about #groups + #partitions rows;
 3. turn the counts into per-(partition, group) offsets (a window over that small table);
-4. add the offset to the row's position inside its partition;
-5. checkpoint the numbered rows (reliable, in ``spark.checkpoint.dir``), so the numbering
-   is computed once and never re-derived from a differently sampled exchange.
+4. add the offset to the row's position inside its partition.
+
+Everything after step 1 is a deterministic function of the checkpoint files, so the
+result can be recomputed any number of times (lost executors included) with the same
+numbering, and nothing else is cached or written.
 
 A hot group is spread over many range partitions, so no task ever holds more than one
 range partition.  The offsets table is joined back on (partition id, group): with few
@@ -48,33 +53,22 @@ def _keep(df: DataFrame) -> DataFrame:
 
 
 def release_caches() -> int:
-    """Unpersist the small size-checked tables cached by ``broadcast_if_small`` (they are
-    deterministic aggregates, so a later recomputation gives the same rows)."""
+    """Unpersist the small size-checked tables cached by ``broadcast_if_small`` (offsets,
+    fences, weights: deterministic aggregates, recomputed the same way when needed again)."""
     n = len(_PERSISTED)
     while _PERSISTED:
         _PERSISTED.pop().unpersist(blocking=False)
     return n
 
 
-def _materialize(df: DataFrame, temporaries: list[DataFrame]) -> DataFrame:
-    """Reliable checkpoint of a numbered frame into ``spark.checkpoint.dir``, then drop the
-    caches that produced it.  Later actions read the checkpoint, so the numbering can never
-    be recomputed from a second, differently sampled range exchange, and it survives the
-    loss of executors."""
-    checkpoint_dir(df.sparkSession)
-    out = df.checkpoint(eager=True)
-    for t in temporaries:
-        t.unpersist(blocking=False)
-    return out
-
-
 def _one_partitioning(ranged: DataFrame) -> DataFrame:
     """The count pass and the numbering pass must see the SAME range partitioning.  Range
-    bounds come from a sample seeded per exchange, and column pruning gives the two
-    branches different exchanges, so the partitioned frame is persisted once and both
-    passes read it.  A lost cached block is recomputed from the same shuffle dependency
-    (same partitioner, same bounds), so executor loss does not change the numbering."""
-    return ranged.persist(StorageLevel.MEMORY_AND_DISK)
+    bounds come from a sample seeded per exchange (and column pruning would give the two
+    passes different exchanges), so the partitioned rows, with their partition id and
+    position as columns, are written once with a reliable checkpoint and both passes read
+    those files."""
+    checkpoint_dir(ranged.sparkSession)
+    return ranged.checkpoint(eager=True)
 
 
 # A derived table joins back to the data by broadcast only below this measured row count.
@@ -92,13 +86,6 @@ def broadcast_if_small(small: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) ->
     return F.broadcast(small) if small.count() <= max_rows else small
 
 
-def _sized(small: DataFrame, temporaries: list[DataFrame], max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
-    """``broadcast_if_small`` whose cache is owned (and later dropped) by the caller."""
-    small = small.persist(StorageLevel.MEMORY_AND_DISK)
-    temporaries.append(small)
-    return F.broadcast(small) if small.count() <= max_rows else small
-
-
 def _null_safe_join(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
     cond = None
     for k in keys:
@@ -129,18 +116,16 @@ def positions(df: DataFrame, order: Sequence[str | Column], group: Sequence[str]
         wg = Window.partitionBy(*group) if group else Window.partitionBy(F.lit(1))
         offsets = offsets.withColumn(size_name, F.sum("_cnt").over(wg))
     offsets = offsets.drop("_cnt")
-    temporaries = [ranged]
     if group:
-        right = _sized(offsets.select(F.col("_pid").alias("_r__pid"),
-                                      *[F.col(f"`{g}`").alias(f"_r_{g}") for g in group],
-                                      "_first", "_off", *([size_name] if size_name else [])), temporaries)
+        right = broadcast_if_small(offsets.select(F.col("_pid").alias("_r__pid"),
+                                                  *[F.col(f"`{g}`").alias(f"_r_{g}") for g in group],
+                                                  "_first", "_off", *([size_name] if size_name else [])))
         joined = _null_safe_join(ranged, right, ["_pid"] + group)
     else:
         # one row per partition: bounded by the partition count, broadcast is safe
         joined = ranged.join(F.broadcast(offsets), on="_pid", how="inner")
-    out = (joined.withColumn(name, F.col("_off") + F.col("_local") - F.col("_first") + F.lit(1))
-                 .drop("_pid", "_local", "_first", "_off"))
-    return _materialize(out, temporaries)
+    return (joined.withColumn(name, F.col("_off") + F.col("_local") - F.col("_first") + F.lit(1))
+                  .drop("_pid", "_local", "_first", "_off"))
 
 
 def row_ids(df: DataFrame, order: Sequence[str | Column], name: str = "row_id",
@@ -155,7 +140,8 @@ def running_sum(df: DataFrame, order: Sequence[str | Column], value: str, name:
 
     Per-partition totals -> broadcast offsets (one row per partition), plus a running sum
     inside each range partition (a window keyed by partition id, so every task holds one
-    range partition)."""
+    range partition).  Give a total order: rows tied on ``order`` may swap running values
+    between recomputations."""
     keys = _cols(order)
     ranged = _one_partitioning(_range(df, keys, num_partitions).withColumn("_pid", F.spark_partition_id()))
     totals = ranged.groupBy("_pid").agg(F.sum(value).alias("_tot"))
@@ -164,9 +150,8 @@ def running_sum(df: DataFrame, order: Sequence[str | Column], value: str, name:
                            F.lit(0))).drop("_tot")
     w = Window.partitionBy("_pid").orderBy(*keys).rowsBetween(Window.unboundedPreceding, 0)
     local = ranged.withColumn("_loc", F.sum(value).over(w))
-    out = (local.join(F.broadcast(offsets), on="_pid").withColumn(name, F.col("_off") + F.col("_loc"))
-                .drop("_pid", "_loc", "_off"))
-    return _materialize(out, [ranged])
+    return (local.join(F.broadcast(offsets), on="_pid").withColumn(name, F.col("_off") + F.col("_loc"))
+                 .drop("_pid", "_loc", "_off"))
 
 
 # -- exact quantiles -----------------------------------------------------------------
