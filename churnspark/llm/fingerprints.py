@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from churnspark.llm._shared import col, row_key, staged, table, text_or_empty, words_of
+from churnspark.llm._shared import row_key, staged, table, text_or_empty, words_of
 from churnspark.operators.rows import positions
 
 K, S, SKETCH = 3, 1, 32
@@ -83,38 +83,34 @@ def _same_key(left: DataFrame, right: DataFrame, a: str, b: str):
 
 
 def with_edited(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Fingerprints of every text, of its edited text and the likeness to both that and the
-    next document, in descending order of id (after the last: the first).
+    """Fingerprints of every text and of its edited text, with the anchors of the next document
+    in descending order of id (after the last: the first).
 
-    Only (id, text hash, length) is put in order; the donor of each text then sends the prefix
-    that its receiver takes over, a third of the text on average, to the receiver's key."""
-    prints = staged(fingerprints(docs, id_col, text_col), "fingerprints")
-    keys = prints.select("id", "th", "n_chars").distinct()
+    Only (id, text hash, length) is put in order.  Texts are shuffled once by their key; each
+    then sends its receiver (the document before it) its anchors and the prefix that the
+    receiver takes over, a third of a text on average."""
+    base = docs.select(*row_key(id_col, text_col), text_or_empty(text_col).alias("t"))
+    keys = base.select("id", "th", F.length("t").cast("long").alias("n_chars")).distinct()
     order = [F.col("id").desc_nulls_last(), F.col("th").desc()]
     at = staged(positions(keys, order, name="pos"), "order")
     top = at.agg(F.max("pos").alias("top")).scalar()
-    want = at.select(
-        F.col("id").alias("r_id"), F.col("th").alias("r_th"), F.expr("n_chars div 3").alias("takes"),
-        (F.col("pos") % top + 1).alias("pos"))
+    want = at.select(F.col("id").alias("r_id"), F.col("th").alias("r_th"), F.expr("n_chars div 3").alias("takes"),
+                     (F.col("pos") % top + 1).alias("pos"))
     link = staged(want.join(at.select("pos", F.col("id").alias("d_id"), F.col("th").alias("d_th")), "pos")
                   .drop("pos"), "links")
 
-    base = docs.select(*row_key(id_col, text_col), text_or_empty(text_col).alias("t"))
-    one = prints.dropDuplicates(["id", "th"]).select("id", "th", F.col("anchors").alias("next_anchors"))
-    donor = base.join(link, _same_key(base, link, "", "d_")).select(
-        "r_id", "r_th", F.expr("substring(t, 1, int(takes))").alias("part"), "takes")
-    # rows equal in id and text donate the same part once
-    donor = donor.groupBy("r_id", "r_th").agg(F.first("part").alias("part"), F.first("takes").alias("takes"))
-    keep = F.expr("substring(t, 1, int(length(t) - takes))")
-    edited = base.join(donor, _same_key(base, donor, "", "r_")).select(
-        "id", "th", F.concat(keep, F.col("part")).alias("e"))
-    edited = with_anchors(edited.select("id", "th", "e", F.sha2("e", 256).alias("edited_sha256")), "e",
-                          "edited_anchors").drop("e")
-    nxt = link.join(one, _same_key(link, one, "d_", "")).select("r_id", "r_th", "next_anchors")
-    own = prints.dropDuplicates(["id", "th"])
-    own = own.join(nxt, _same_key(own, nxt, "", "r_")).drop("r_id", "r_th")
-    own = own.select(F.col("id").alias("o_id"), F.col("th").alias("o_th"), "n_chars", "anchors", "next_anchors")
-    return edited.join(own, _same_key(edited, own, "", "o_"))
+    sent = base.join(link, _same_key(base, link, "", "d_"))
+    sent = with_anchors(sent.select("r_id", "r_th", "takes", "t"), "t", "next_anchors").select(
+        "r_id", "r_th", "takes", "next_anchors", F.expr("substring(t, 1, int(takes))").alias("part"))
+    # rows equal in id and text send the same once
+    sent = sent.groupBy("r_id", "r_th").agg(*[F.first(c).alias(c) for c in ("takes", "next_anchors", "part")])
+    both = base.join(sent, _same_key(base, sent, "", "r_")).select(
+        "id", "th", "t", F.concat(F.expr("substring(t, 1, int(length(t) - takes))"), F.col("part")).alias("e"),
+        "next_anchors")
+    both = with_anchors(both, "t", "anchors").select(
+        "id", "th", F.length("t").cast("long").alias("n_chars"), "e", "anchors", "next_anchors",
+        F.sha2("e", 256).alias("edited_sha256"))
+    return with_anchors(both, "e", "edited_anchors").drop("e")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,10 +12,10 @@ ledger.  A very long text is one row whose arrays hold its word hashes only.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from churnspark.llm._shared import WS_CHARS, col, text_or_empty, words_of
+from churnspark.llm._shared import WS_CHARS, col, fresh, table, text_or_empty, words_of
 
 WINDOW = 8
 
@@ -56,7 +56,7 @@ def _covered(positions: Column) -> Column:
     return F.aggregate(reach, F.lit(0), lambda a, x: a + x)
 
 
-def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str | Column = "text") -> DataFrame:
     """One row per input row: ``doc_id`` and the measurements of its whole text.
 
     ``n_repeat_words`` counts words inside 8-word windows that the text holds twice or more:
@@ -91,7 +91,7 @@ def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
                        "n_upper")
 
 
-def ledger(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def ledger(docs: DataFrame, id_col: str = "doc_id", text_col: str | Column = "text") -> DataFrame:
     """Measurements plus ``fail_bits``: bit i is set when rule i of ``RULES`` fails."""
     bits = sum((F.when(F.expr(cond), F.lit(bit(r))).otherwise(F.lit(0)) for r, cond in RULES.items()),
                F.lit(0))
@@ -108,6 +108,21 @@ def apply_policy(led: DataFrame, version: str = CURRENT_POLICY) -> DataFrame:
                .withColumn("kept", bits.bitwiseAND(mask(version) | base) == 0))
 
 
+def keep(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+         version: str = CURRENT_POLICY) -> DataFrame:
+    """The input rows and columns that the policy keeps.  The verdict is an expression over the
+    row itself, so nothing is shuffled or joined.
+
+    A row number in the condition keeps the optimizer from pushing the filter below the steps
+    of ``measure``: it would put each step's expression into the next one's lambda, to be
+    evaluated once per word."""
+    whole = fresh(docs, "row")
+    rows = docs.select(F.struct(*[col(c) for c in docs.columns]).alias(whole))
+    judged = apply_policy(ledger(rows, whole, F.col(whole).getField(text_col)), version)
+    judged = judged.select("doc_id", "kept", F.monotonically_increasing_id().alias("at"))
+    return judged.filter("kept AND at >= 0").select(*[F.col("doc_id").getField(c).alias(c) for c in docs.columns])
+
+
 def ablations(led: DataFrame, version: str = CURRENT_POLICY) -> DataFrame:
     """Per rule of a policy: documents it fails, documents only it fails, and documents kept
     when it alone is switched off.  One aggregation over the stored bits."""
@@ -124,8 +139,7 @@ def ablations(led: DataFrame, version: str = CURRENT_POLICY) -> DataFrame:
     return led.agg(*agg).select(rows.alias("r")).select("r.*")
 
 
-def query(spark, sf_dir: str) -> DataFrame:
-    from churnspark.llm._shared import table
+def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = apply_policy(ledger(table(spark, sf_dir, "documents")))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
                       "base_failed", "kept", "n_lines", "n_upper", "fail_bits")

@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
-from churnspark.llm import chat_format, fingerprints, quality_rules
+from churnspark.llm import (bpe, chat_format, fingerprints, jaccard_join, licenses, line_dedup, packing,
+                            quality_rules, secrets, token_counts)
 
 QUERIES = {
+    "op1_line_dedup": line_dedup.query,
+    "op2_secret_scan": secrets.query,
+    "op3_license_scan": licenses.query,
+    "op4_bpe": bpe.query,
+    "op5_packing": packing.query,
+    "op6_jaccard_join": jaccard_join.query,
     "op7_quality_rules": quality_rules.query,
+    "op8_token_counts": token_counts.query,
     "op9_fingerprints": fingerprints.query,
     "op10_chat_format": chat_format.query,
 }
