@@ -46,7 +46,7 @@ from churnspark.llm._shared import col, fresh, row_key, staged, table, text_or_e
 #: Links hold at 100 * |both| >= PERCENT * |either|.
 PERCENT = 90
 #: Share of a set that the candidate test must find shared, in thousandths.
-EVIDENCE = 40
+EVIDENCE = 150
 #: Entries of one block of an inverted list.
 BLOCK = 20_000
 #: Word hashes kept by a task.
