@@ -46,7 +46,7 @@ from churnspark.llm._shared import col, fresh, row_key, staged, table, text_or_e
 #: Links hold at 100 * |both| >= PERCENT * |either|.
 PERCENT = 90
 #: Share of a set that the candidate test must find shared, in thousandths.
-EVIDENCE = 150
+EVIDENCE = 200
 #: Entries of one block of an inverted list.
 BLOCK = 20_000
 #: Word hashes kept by a task.
@@ -308,8 +308,10 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     texts = base.join(chosen.select("rec", F.col("id").alias("c_id"), F.col("th").alias("c_th")),
                       F.col("id").eqNullSafe(F.col("c_id")) & (F.col("th") == F.col("c_th"))).select("rec", "t")
     sets = texts.mapInArrow(_sets, "rec bigint, tokens array<bigint>")
-    # rows equal in id and text give a class twice
-    sets = staged(sets.groupBy("rec").agg(F.first("tokens").alias("tokens")), "sets")
+    if not prints.groupBy("id", "th").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").isEmpty():
+        # rows equal in id and text give a class twice
+        sets = sets.groupBy("rec").agg(F.first("tokens").alias("tokens"))
+    sets = staged(sets, "sets")
 
     lists = staged(short_lists(sets), "short")
     links = staged(verified(leader_pairs(lists), sets), "links")
