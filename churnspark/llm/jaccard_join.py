@@ -305,8 +305,9 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
                               "n", "prefix"), "classes")
 
     chosen = staged(candidate_classes(reps.select("rec", "id", "th", "n", "prefix")), "candidates")
-    texts = base.join(chosen.select("rec", F.col("id").alias("c_id"), F.col("th").alias("c_th")),
-                      F.col("id").eqNullSafe(F.col("c_id")) & (F.col("th") == F.col("c_th"))).select("rec", "t")
+    # the list of candidates grows with the input: a sort-merge join at every size, no broadcast
+    wanted = chosen.select("rec", F.col("id").alias("c_id"), F.col("th").alias("c_th")).hint("merge")
+    texts = base.join(wanted, F.col("id").eqNullSafe(F.col("c_id")) & (F.col("th") == F.col("c_th"))).select("rec", "t")
     sets = texts.mapInArrow(_sets, "rec bigint, tokens array<bigint>")
     if not prints.groupBy("id", "th").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").isEmpty():
         # rows equal in id and text give a class twice
