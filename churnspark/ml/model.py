@@ -137,7 +137,8 @@ def train(df: DataFrame, num_trees: int = S.FOREST_PARAMS["num_trees"], max_dept
     test_df = split.filter(F.col("part") == "test")
     model = build_pipeline(num_trees, max_depth, min_leaf, seed, max_bins).fit(train_df)
     scored = probability_of_churn(model.transform(test_df.withColumn(WEIGHT, F.lit(1.0))))
-    scored = scored.withColumn("_pred", F.col("_p") > 0.5)
+    # read for the confusion cells and again for the AUC: the forest scores the test set once
+    scored = scored.withColumn("_pred", F.col("_p") > 0.5).persist(StorageLevel.MEMORY_AND_DISK)
     m = MT.binary_metrics(scored, LABEL, "_pred").first()
     n_classes = labelled.select(LABEL).distinct().count()
     auc = MT.roc_auc(scored, LABEL, "_p").first()[0] if n_classes > 1 else 0.0
@@ -158,6 +159,8 @@ def train(df: DataFrame, num_trees: int = S.FOREST_PARAMS["num_trees"], max_dept
         "top_feature_importances": top_importances(model),
         "class_balance_pct": balance,
     }
+    scored.unpersist(blocking=False)
+    split.unpersist(blocking=False)
     return TrainResult(model, meta, scored)
 
 
@@ -224,11 +227,16 @@ def score(model: PipelineModel, df: DataFrame, model_version: str | None = None)
 
 
 def score_with_status(model: PipelineModel, df: DataFrame, model_version: str | None = None) -> DataFrame:
-    """Every row gets a result; a row with a missing required value gets
-    prediction "Error", no probability and the error text instead of failing the file."""
+    """Every row gets a result; rows of a file that lacks a required field get prediction
+    "Error", no probability and the error text instead of failing the file.  A blank value in
+    a field that is there is scored (an unknown category), and a blank id is "N/A"."""
     x = C.apply_aliases(C.normalise_headers(df))
-    x = x.withColumns({c: F.lit(None).cast("string") for c in S.ALL_FEATURES if c not in x.columns})
-    checked = Q.row_status(x, S.ALL_FEATURES)
+    absent = [c for c in S.ALL_FEATURES if c not in x.columns]
+    x = x.withColumns({c: F.lit(None).cast("string") for c in absent})
+    no_id = F.lit(None).cast("string") if S.KEY not in x.columns else F.col(S.KEY).cast("string")
+    x = x.withColumn(S.KEY, F.coalesce(F.when(F.trim(no_id) != "", no_id), F.lit("N/A")))
+    error = F.lit(f"missing required value: {', '.join(absent)}" if absent else None).cast("string")
+    checked = x.withColumn("error", error).withColumn("status", F.lit("Error" if absent else "OK"))
     shaped = _shape_for_scoring(checked)
     scored = _result_columns(probability_of_churn(model.transform(shaped)), model_version)
     ok = F.col("status") == "OK"
@@ -243,11 +251,11 @@ def score_with_status(model: PipelineModel, df: DataFrame, model_version: str |
 # -- M12: score and log ------------------------------------------------------------------
 
 def score_and_log(model: PipelineModel, df: DataFrame, log_path: str, model_version: str | None = None,
-                  batch_id: int | None = None) -> DataFrame:
+                  batch_id: int | None = None, source: str | None = None) -> DataFrame:
     """Score, keep rows with an id (B12), append them to the inference log."""
     from churnspark.sources import tables as TB
     res = score(model, df, model_version)
-    TB.append_logs(df.sparkSession, log_path, C.loggable(res, S.KEY), model_version, batch_id)
+    TB.append_logs(df.sparkSession, log_path, C.loggable(res, S.KEY), model_version, batch_id, source)
     return res
 
 

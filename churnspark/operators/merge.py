@@ -21,7 +21,6 @@ from __future__ import annotations
 from typing import Iterable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
-from pyspark import StorageLevel
 from pyspark.sql import functions as F
 
 from churnspark import schema as S
@@ -56,6 +55,28 @@ def dedup_last(df: DataFrame, key: str | Sequence[str], order: Sequence[str | Co
               .select(*[_q(k) for k in keys], "_m._row.*"))
 
 
+class RepeatedKeysError(ValueError):
+    pass
+
+
+def require_order(df: DataFrame, key: str, order: Sequence[str | Column] | None) -> None:
+    """Without an ``order`` no row of a repeated key is the last one: raise when a key has
+    different rows.  One partial aggregation over the batch; NULL keys match nothing."""
+    if order:
+        return
+    row = F.struct(*[_q(c) for c in df.columns])
+    clash = (df.filter(_q(key).isNotNull()).groupBy(_q(key))
+               .agg((~F.min(row).eqNullSafe(F.max(row))).alias("_clash")).filter("_clash").limit(3).collect())
+    if clash:
+        raise RepeatedKeysError(f"keys with different rows and no order, e.g. {[r[0] for r in clash]}")
+
+
+def dedup_first(df: DataFrame, key: str, order: Sequence[str | Column] | None = None) -> DataFrame:
+    """One row per key: the least by ``order`` (ties broken by the row values)."""
+    packed = F.struct(_order_struct(order).alias("_ord"), F.struct(*[_q(c) for c in df.columns]).alias("_row"))
+    return df.groupBy(_q(key).alias("_k")).agg(F.min(packed).alias("_m")).select("_m._row.*")
+
+
 # -- J1: merge of topic sources ------------------------------------------------------
 
 def merge_sources(sources: Sequence[DataFrame], key: str = S.KEY,
@@ -105,7 +126,7 @@ def merge_sources(sources: Sequence[DataFrame], key: str = S.KEY,
 # the table is only scanned (twice, once for its key column) and never shuffled.
 
 def _measured(df: DataFrame, max_rows: int) -> tuple[DataFrame, bool]:
-    df = df.persist(StorageLevel.MEMORY_AND_DISK)
+    df = R._keep(df)                       # released by R.release_caches(), after each published version
     return df, df.count() <= max_rows
 
 
@@ -136,7 +157,8 @@ def upsert(table: DataFrame, incoming: DataFrame, key: str = S.KEY,
 
     ``blanks="overwrite"``: an incoming NULL overwrites (the source system's behaviour).
     ``blanks="keep"``: an incoming NULL keeps the old value.
-    Incoming duplicate keys: the last by ``order`` wins.  Unknown incoming columns are ignored.
+    Incoming duplicate keys: the last by ``order`` wins; without an order, keys with different
+    rows raise ``RepeatedKeysError``.  Unknown incoming columns are ignored.
     ``strategy``: "shuffle" = one full outer sort-merge join; "broadcast" = the deduplicated
     batch is broadcast and the table is never shuffled; "auto" = broadcast when the batch
     has at most ``max_broadcast_rows`` keys (measured), else shuffle.
@@ -145,6 +167,7 @@ def upsert(table: DataFrame, incoming: DataFrame, key: str = S.KEY,
         raise ValueError("blanks must be 'overwrite' or 'keep'")
     allowed = set(fields) if fields is not None else set(table.columns)
     given = [c for c in incoming.columns if c != key and c in allowed and c in table.columns]
+    require_order(incoming.select(_q(key), *[_q(c) for c in given]), key, order)
     inc = dedup_last(incoming, key, order, payload=given)
     inc = inc.select(_q(key), *[_q(c).alias(f"_n_{c}") for c in given], F.lit(True).alias("_in"))
     inc, strategy = _choose(strategy, inc, max_broadcast_rows)
@@ -193,13 +216,17 @@ def type_errors(incoming: DataFrame, types: Mapping[str, str], key: str = S.KEY)
 # -- J3: update ----------------------------------------------------------------------
 
 def update(table: DataFrame, updates: DataFrame, key: str = S.KEY, strategy: str = "auto",
-           max_broadcast_rows: int = R.MAX_BROADCAST_ROWS) -> tuple[DataFrame, DataFrame]:
+           max_broadcast_rows: int = R.MAX_BROADCAST_ROWS,
+           order: Sequence[str | Column] | None = None) -> tuple[DataFrame, DataFrame]:
     """Set the given columns where the key matches.  Returns (new table, keys not found).
-    A small update list is broadcast (measured), so the table is not shuffled."""
-    given = [c for c in updates.columns if c != key and c in table.columns]
+    The last row of a key by ``order`` wins; order columns named as strings are ordering only.
+    Without an order, keys with different rows raise ``RepeatedKeysError``.  A small update list is broadcast (measured), so the table is not shuffled."""
+    named = {c for c in (order or []) if isinstance(c, str)}
+    given = [c for c in updates.columns if c != key and c in table.columns and c not in named]
     if not given:
         raise ValueError(f"no recognised fields in update; expected some of {table.columns}")
-    upd = dedup_last(updates.select(_q(key), *[_q(c) for c in given]), key)
+    require_order(updates.select(_q(key), *[_q(c) for c in given]), key, order)
+    upd = dedup_last(updates, key, order, payload=given)
     upd = upd.select(_q(key), *[_q(c).alias(f"_n_{c}") for c in given], F.lit(True).alias("_in"))
     upd, strategy = _choose(strategy, upd, max_broadcast_rows)
     small = strategy == "broadcast"
@@ -228,7 +255,15 @@ def delete(table: DataFrame, keys: DataFrame, key: str = S.KEY, strategy: str =
 # -- A12 / G2: insert, ignore existing keys ------------------------------------------
 
 def insert_ignore(table: DataFrame, rows: DataFrame, key: str = S.KEY, strategy: str = "auto",
-                  max_broadcast_rows: int = R.MAX_BROADCAST_ROWS) -> DataFrame:
+                  max_broadcast_rows: int = R.MAX_BROADCAST_ROWS,
+                  order: Sequence[str | Column] | None = None) -> DataFrame:
+    """Insert the rows whose key the table does not hold.  Of rows that share a key the first
+    by ``order`` goes in (order columns unknown to the table are ordering only); without an
+    order, keys with different rows raise ``RepeatedKeysError``."""
+    known = [c for c in rows.columns if c in table.columns]
+    require_order(rows.select(*[_q(c) for c in known]), key, order)
+    rows = dedup_first(rows, key, order)
+    rows = rows.drop(*[c for c in (order or []) if isinstance(c, str) and c not in table.columns])
     rows, strategy = _choose(strategy, rows, max_broadcast_rows)
     present = F.broadcast(_present_keys(table, rows, key)) if strategy == "broadcast" else table.select(_q(key))
     new = rows.join(present, on=key, how="left_anti")

@@ -290,13 +290,14 @@ def q_box_stats(spark, d, mode="auto"):
 query("box_stats_ranked", ORACLES["box_stats"])(lambda spark, d: q_box_stats(spark, d, mode="distributed"))
 
 
-@query("box_outliers", _with(BOX_SQL) + """
-SELECT l.l_orderkey, l.l_linenumber, l.l_returnflag, l.l_extendedprice
-FROM lineitem l JOIN f ON l.l_returnflag IS NOT DISTINCT FROM f.l_returnflag
-WHERE l.l_extendedprice < f.lower_fence OR l.l_extendedprice > f.upper_fence""")
+@query("box_outliers", """
+WITH q AS (SELECT lang, quantile_cont(n_chars::DOUBLE, 0.25) AS q1, quantile_cont(n_chars::DOUBLE, 0.75) AS q3
+           FROM documents GROUP BY lang),
+f AS (SELECT lang, q1 - 1.5 * (q3 - q1) AS lower_fence, q3 + 1.5 * (q3 - q1) AS upper_fence FROM q)
+SELECT d.doc_id, d.lang, d.n_chars FROM documents d JOIN f ON d.lang IS NOT DISTINCT FROM f.lang
+WHERE d.n_chars < f.lower_fence OR d.n_chars > f.upper_fence""")
 def q_box_outliers(spark, d):
-    li = _t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag", "l_extendedprice")
-    return A.box_outliers(li, "l_extendedprice", group="l_returnflag")
+    return A.box_outliers(_t(spark, d, "documents").select("doc_id", "lang", "n_chars"), "n_chars", group="lang")
 
 
 # -- D14 --------------------------------------------------------------------------------

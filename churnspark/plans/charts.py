@@ -50,7 +50,7 @@ class ChartSpec:
 def run_chart(df: DataFrame, spec: ChartSpec) -> DataFrame:
     spec.validate()
     if spec.kind in ("bar", "line"):
-        return A.group_agg(df, spec.x, spec.y, spec.aggregation)
+        return A.sorted_groups(A.group_agg(df, spec.x, spec.y, spec.aggregation), spec.x)
     if spec.kind == "pie":
         return A.category_share(df, spec.x, spec.y, spec.aggregation)
     if spec.kind == "histogram":

@@ -18,11 +18,15 @@ def _all_strings(names) -> T.StructType:
     return T.StructType([T.StructField(n, T.StringType()) for n in names])
 
 
-def _csv(spark: SparkSession, header_names, path: str) -> DataFrame:
+def _csv(spark: SparkSession, header_names, path: str, multiline: bool = False) -> DataFrame:
+    """All-string CSV.  The header of every file is compared with the given names, so a folder
+    whose files order their columns differently raises instead of being read by position, and
+    a row with too few or too many fields raises (a quoted line feed without ``multiline``
+    makes such rows).  ``multiline`` reads quoted line feeds; a file is then one task."""
     # escape='"' keeps doubled quotes inside a quoted field ("""36.7, -119.7""") in one column
-    return (spark.read.schema(_all_strings(header_names)).option("header", True)
-            .option("escape", '"').option("multiLine", False).option("encoding", "UTF-8")
-            .option("mode", "PERMISSIVE").csv(path))
+    return (spark.read.schema(_all_strings(header_names)).option("header", True).option("enforceSchema", False)
+            .option("escape", '"').option("multiLine", multiline).option("encoding", "UTF-8")
+            .option("mode", "FAILFAST").csv(path))
 
 
 def csv_header(spark: SparkSession, path: str) -> list[str]:
@@ -93,21 +97,23 @@ def read_topic(spark: SparkSession, topic: str, path: str, fmt: str = "csv") ->
 
 # -- A2: upload CSV ------------------------------------------------------------------
 
-def read_upload_csv(spark: SparkSession, path: str, key: str = S.KEY) -> DataFrame:
-    """All-string read of a bulk-upload CSV; the key column is required in the header."""
+def read_upload_csv(spark: SparkSession, path: str, key: str = S.KEY, multiline: bool = False) -> DataFrame:
+    """All-string read of a bulk-upload CSV; the key column is required in the header.
+    ``multiline``: free text holds quoted line feeds."""
     header = csv_header(spark, path)
     if key not in header:
         raise C.MissingColumnsError([key], [key])
-    return _csv(spark, header, path)
+    return _csv(spark, header, path, multiline)
 
 
 # -- A3: scoring file ----------------------------------------------------------------
 
-def read_scoring_file(spark: SparkSession, path: str) -> DataFrame:
-    """CSV or Parquet by suffix; header names normalised; unknown suffix raises."""
+def read_scoring_file(spark: SparkSession, path: str, multiline: bool = False) -> DataFrame:
+    """CSV or Parquet by suffix, names as in the file (scoring normalises them); an unknown
+    suffix raises."""
     low = path.lower().rstrip("/")
     if low.endswith(".csv"):
-        df = _csv(spark, csv_header(spark, path), path)
+        df = _csv(spark, csv_header(spark, path), path, multiline)
     elif low.endswith(".parquet"):
         df = spark.read.parquet(path)
     else:

@@ -10,10 +10,12 @@ storage (the same file system as ``spark.checkpoint.dir``).
 
 from __future__ import annotations
 
+import uuid
 import warnings
 from dataclasses import dataclass
 
 from pyspark import StorageLevel
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -29,6 +31,22 @@ class VersionNotFound(LookupError):
     pass
 
 
+class VersionConflict(RuntimeError):
+    """The folder of the next version exists already: another writer took that number (or a
+    failed write left it behind).  Nothing was changed."""
+
+
+def _read_if_there(spark: SparkSession, path: str, schema: str) -> DataFrame | None:
+    """None only when the path does not exist; any other failure is raised, since taking an
+    unreadable folder for an empty one would lose what it holds."""
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() == "PATH_NOT_FOUND":
+            return None
+        raise
+
+
 @dataclass
 class VersionedTable:
     spark: SparkSession
@@ -42,10 +60,8 @@ class VersionedTable:
         return f"{self.path.rstrip('/')}/_catalog"
 
     def versions(self) -> DataFrame:
-        try:
-            return self.spark.read.schema(CATALOG_SCHEMA).parquet(self._catalog_path)
-        except Exception:  # noqa: BLE001 - no catalog yet
-            return self.spark.createDataFrame([], CATALOG_SCHEMA)
+        known = _read_if_there(self.spark, self._catalog_path, CATALOG_SCHEMA)
+        return self.spark.createDataFrame([], CATALOG_SCHEMA) if known is None else known
 
     def latest_version(self) -> int | None:
         row = self.versions().agg(F.max("version")).first()
@@ -83,7 +99,14 @@ class VersionedTable:
         if self.key and self.key in df.columns:
             out = (out.repartitionByRange(self.files_per_version, self.key) if self.files_per_version
                    else out.repartitionByRange(self.key)).sortWithinPartitions(self.key)
-        out.write.mode("overwrite").parquet(self._version_path(v))
+        try:
+            out.write.mode("errorifexists").parquet(self._version_path(v))
+        except AnalysisException as e:
+            if e.getCondition() == "PATH_ALREADY_EXISTS":
+                raise VersionConflict(f"{self._version_path(v)} exists: version {v} was taken by another writer") from e
+            raise
+        # the version's files exist now; frames measured on the way are no longer needed
+        R.release_caches()
         fp = fingerprint_row or {"n_rows": None, "row_hash_sum": None}
         self._record(v, fp["n_rows"], fp["row_hash_sum"], len(df.columns), df.schema.simpleString())
         return v
@@ -177,35 +200,42 @@ class TableCache:
 
 # -- A7: inference log append -----------------------------------------------------------
 
+LOG_SCHEMA = ("inference_id long, customer_id string, churn_probability decimal(5,4), predicted_churn boolean, "
+              "model_version string, created_at timestamp, source string, batch_id long")
+MARK_SCHEMA = "source string, batch_id long, base_id long, max_id long"
+
+
 def append_logs(spark: SparkSession, path: str, scored: DataFrame, model_version: str | None = None,
-                batch_id: int | None = None) -> int:
+                batch_id: int | None = None, source: str | None = None) -> int:
     """Append scored rows to the log: inference_id = high-water mark + global row number
     (no single-task numbering), model_version = given or the row's or the default,
-    created_at = write time.  With ``batch_id`` the rows go to partition
-    ``batch_id=N`` with dynamic overwrite, so a replayed batch replaces itself
-    (idempotent streaming sink).  Returns the number of rows written."""
-    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-    hwm = _high_water_mark(spark, path, batch_id)
+    created_at = write time.  Returns the number of rows written.
+
+    Every write goes to ``source=<writer>/batch_id=<n>``: a stream names itself (its query id)
+    and its micro-batch, so a replayed batch replaces itself and no other writer's rows; a
+    batch write is a source of its own.  The overwrite mode is an option of this one writer."""
+    if batch_id is None:
+        source, batch_id = f"run-{uuid.uuid4().hex}", 0
+    source = source or "stream"
+    base = _high_water_mark(spark, path, source, batch_id)
     version = F.coalesce(F.lit(model_version).cast("string"),
                          F.col("model_version") if "model_version" in scored.columns else F.lit(None).cast("string"),
                          F.lit(S.DEFAULT_MODEL_VERSION))
     order = ["customer_id"] + (["churn_probability"] if "churn_probability" in scored.columns else [])
     numbered = R.row_ids(scored.withColumn("_seq", F.monotonically_increasing_id()), order + ["_seq"], "_rn")
     out = numbered.select(
-        (F.lit(hwm) + F.col("_rn")).cast("long").alias("inference_id"),
+        (F.lit(base) + F.col("_rn")).cast("long").alias("inference_id"),
         F.col("customer_id").cast("string").alias("customer_id"),
         F.col("churn_probability").cast("decimal(5,4)").alias("churn_probability"),
         F.col("predicted_churn").cast("boolean").alias("predicted_churn"),
         version.alias("model_version"),
-        F.current_timestamp().alias("created_at"))
-    if batch_id is not None:
-        out.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").partitionBy("batch_id").parquet(path)
-    else:
-        out.write.mode("append").parquet(path)
+        F.current_timestamp().alias("created_at"),
+        F.lit(source).alias("source"), F.lit(batch_id).cast("long").alias("batch_id"))
+    out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("source", "batch_id").parquet(path)
     # the numbered rows are a checkpoint (row numbering), so this reads it, not the source
     n, max_rn = numbered.agg(F.count(F.lit(1)), F.max("_rn")).first()
     if n:
-        spark.createDataFrame([(batch_id, hwm + max_rn)], "batch_id long, max_id long") \
+        spark.createDataFrame([(source, batch_id, base, base + max_rn)], MARK_SCHEMA) \
              .write.mode("append").parquet(f"{path.rstrip('/')}/{HWM_DIR}")
     return n
 
@@ -215,22 +245,15 @@ def append_logs(spark: SparkSession, path: str, scored: DataFrame, model_version
 HWM_DIR = "_hwm"
 
 
-def _high_water_mark(spark: SparkSession, path: str, batch_id: int | None) -> int:
-    try:
-        marks = spark.read.parquet(f"{path.rstrip('/')}/{HWM_DIR}")
-    except Exception:  # noqa: BLE001 - first write, or a log written without marks
-        marks = None
+def _high_water_mark(spark: SparkSession, path: str, source: str, batch_id: int) -> int:
+    """Ids handed out before this write.  A replayed batch gets the mark it started from."""
+    marks = _read_if_there(spark, f"{path.rstrip('/')}/{HWM_DIR}", MARK_SCHEMA)
     if marks is not None:
-        if batch_id is not None:
-            marks = marks.filter(F.col("batch_id").isNull() | (F.col("batch_id") < batch_id))
-        return marks.agg(F.max("max_id")).first()[0] or 0
-    try:
-        existing = spark.read.parquet(path)
-    except Exception:  # noqa: BLE001 - first write
-        return 0
-    if batch_id is not None and "batch_id" in existing.columns:
-        existing = existing.filter(F.col("batch_id") < batch_id)
-    return existing.agg(F.max("inference_id")).first()[0] or 0
+        own = (F.col("source") == source) & (F.col("batch_id") == batch_id)
+        again, top = marks.agg(F.min(F.when(own, F.col("base_id"))), F.max("max_id")).first()
+        return again if again is not None else (top or 0)
+    existing = _read_if_there(spark, path, LOG_SCHEMA)
+    return 0 if existing is None else existing.agg(F.max("inference_id")).first()[0] or 0
 
 
 # -- A11: result export ---------------------------------------------------------------

@@ -5,7 +5,7 @@ S2  continuous upsert: arriving upload CSV files -> typed, checked -> versioned
 
 Both use ``foreachBatch`` so that each micro-batch runs the same batch operators as the
 batch jobs (stream result = batch result), and both are idempotent on replay: S1 writes
-each batch to its own ``batch_id`` partition with dynamic overwrite, S2 publishes a new
+each batch to its own (query id, batch id) partition with dynamic overwrite, S2 publishes a new
 table version only when the merged content differs from the latest one.  Checkpoints
 default to ``<spark.checkpoint.dir>/streams/<name>`` (shared storage).
 """
@@ -22,6 +22,7 @@ from churnspark import schema as S
 from churnspark.ml import model as ML
 from churnspark.operators import clean as C
 from churnspark.operators import merge as M
+from churnspark.operators.rows import release_caches
 from churnspark.session import checkpoint_dir
 from churnspark.sources.readers import with_file_order
 from churnspark.sources.tables import VersionedTable
@@ -35,6 +36,12 @@ def _checkpoint(spark: SparkSession, name: str, given: str | None) -> str:
     return given or f"{checkpoint_dir(spark).rstrip('/')}/streams/{name}"
 
 
+def _query_id(spark: SparkSession, checkpoint: str) -> str:
+    """The stream's id as its checkpoint keeps it: the same after a restart, another one for
+    another checkpoint folder."""
+    return spark.read.schema("id string").json(f"{checkpoint.rstrip('/')}/metadata").first()[0]
+
+
 def _source(spark: SparkSession, path: str, schema: T.StructType, fmt: str, max_files: int | None) -> DataFrame:
     r = spark.readStream.schema(schema)
     if max_files:
@@ -50,11 +57,13 @@ def continuous_scoring(spark: SparkSession, source_path: str, schema: T.StructTy
                        log_path: str, model_version: str | None = None, fmt: str = "csv",
                        checkpoint: str | None = None, available_now: bool = True,
                        max_files_per_trigger: int | None = None) -> StreamingQuery:
+    folder = _checkpoint(spark, "scoring", checkpoint)
+
     def per_batch(batch: DataFrame, batch_id: int) -> None:
-        ML.score_and_log(model, batch, log_path, model_version, batch_id=batch_id)
+        ML.score_and_log(model, batch, log_path, model_version, batch_id=batch_id, source=_query_id(spark, folder))
 
     w = (_source(spark, source_path, schema, fmt, max_files_per_trigger).writeStream
-         .foreachBatch(per_batch).option("checkpointLocation", _checkpoint(spark, "scoring", checkpoint)))
+         .foreachBatch(per_batch).option("checkpointLocation", folder))
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="30 seconds")
     return w.start()
 
@@ -71,6 +80,10 @@ def typed_upload(batch: DataFrame, key: str = S.KEY, passthrough: tuple = ()) ->
     bad = M.type_errors(good, types, key)
     if not bad.isEmpty():
         raise BatchTypeError(f"values that do not fit the table types, e.g. {bad.limit(5).collect()}")
+    long = [F.when(F.length(F.col(c)) > n, F.lit(c)) for c, n in S.STRING_LIMITS.items() if c in good.columns]
+    over = good.select(F.col(key), F.concat_ws(", ", *long).alias("too_long")).filter("too_long <> ''") if long else None
+    if over is not None and not over.isEmpty():
+        raise BatchTypeError(f"values longer than their columns, e.g. {over.limit(5).collect()}")
     return C.cast_to_schema(good, types)
 
 
@@ -88,6 +101,7 @@ def continuous_upsert(spark: SparkSession, source_path: str, table: VersionedTab
         base = table.read(last) if last is not None else spark.createDataFrame([], S.customer_schema())
         merged = M.upsert(base, incoming, table.key, blanks=blanks, order=["_ord"])
         table.snapshot_if_changed(merged)
+        release_caches()
 
     w = (_source(spark, source_path, schema, "csv", max_files_per_trigger).writeStream
          .foreachBatch(per_batch).option("checkpointLocation", _checkpoint(spark, "upsert", checkpoint)))

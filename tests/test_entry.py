@@ -2,6 +2,7 @@
 oracle on the smallest driver tables (the same gate the driver runs at sf0.01)."""
 
 import os
+import re
 
 import duckdb
 import pytest
@@ -33,7 +34,9 @@ def test_entry_runs(spark):
 def test_every_query_has_a_callable_and_most_have_sql():
     qs, sql = E.queries(), E.oracle_sql()
     assert len(qs) >= 71 and set(sql) <= set(qs)
-    assert set(qs) - set(sql) == {"table_fingerprint", "churn_model_scores"}
+    # the optional training-data queries state their own tests
+    own = {k for k in set(qs) - set(sql) if not re.match(r"op\d+_|pipeline$", k)}
+    assert own == {"table_fingerprint", "churn_model_scores"}
 
 
 @pytest.mark.parametrize("key", sorted(E.oracle_sql()))

@@ -119,11 +119,26 @@ def test_small_batch_path_equals_shuffle_path(spark, table, fn):
         if fn == "upsert":
             return [M.upsert(table, batch, "customer_id", order=["seq"], strategy=strategy)]
         if fn == "update":
-            return list(M.update(table, batch.drop("seq"), "customer_id", strategy=strategy))
+            return list(M.update(table, batch, "customer_id", strategy=strategy, order=["seq"]))
         if fn == "delete":
             return list(M.delete(table, batch, "customer_id", strategy=strategy))
-        return [M.insert_ignore(table, batch.drop("seq"), "customer_id", strategy=strategy)]
+        return [M.insert_ignore(table, batch, "customer_id", strategy=strategy, order=["seq"])]
     for a, b in zip(run("broadcast"), run("shuffle")):
         assert sorted(map(tuple, a.collect()), key=repr) == sorted(map(tuple, b.collect()), key=repr)
     assert sorted(map(tuple, run("auto")[0].collect()), key=repr) == \
         sorted(map(tuple, run("shuffle")[0].collect()), key=repr)
+
+
+def test_repeated_keys_need_an_order(spark, table):
+    batch = spark.createDataFrame([("4", 9.0, 1), ("4", 3.0, 2), ("1", 7.0, 1), ("1", 5.0, 2)],
+                                  "customer_id string, charge double, seq int")
+    for fn in (M.upsert, M.update, M.insert_ignore):
+        with pytest.raises(M.RepeatedKeysError):
+            fn(table, batch.drop("seq"), "customer_id")
+    charge = lambda df: {r.customer_id: r.charge for r in df.collect()}
+    assert charge(M.upsert(table, batch, "customer_id", order=["seq"])) == {"1": 5.0, "2": 20.0, "3": None, "4": 3.0}
+    assert charge(M.update(table, batch, "customer_id", order=["seq"])[0])["1"] == 5.0
+    ignored = M.insert_ignore(table, batch, "customer_id", order=["seq"])
+    assert ignored.columns == table.columns and ignored.count() == 4 and charge(ignored)["4"] == 9.0
+    # equal rows are no conflict
+    assert M.insert_ignore(table, batch.filter("seq = 1").unionByName(batch.filter("seq = 1")).drop("seq"), "customer_id").count() == 4

@@ -88,9 +88,11 @@ def test_score_with_status(spark, trained):
     pdf.loc[3, "gender"] = None
     df = spark.createDataFrame(pdf.drop(columns=["churn_value"]).rename(columns={"contract": "Contract"}))
     out = ML.score_with_status(trained.model, df, "v1").toPandas().set_index("customer_id")
-    assert out.loc["C00003", "prediction"] == "Error" and "Gender" in out.loc["C00003", "error"]
-    ok = out.drop(index="C00003")
-    assert (ok.status == "OK").all() and ok.probability.between(0, 1).all()
+    # a blank category is scored; a field the file lacks is an error on every row
+    assert (out.status == "OK").all() and out.probability.between(0, 1).all()
+    lacking = ML.score_with_status(trained.model, df.drop("Contract"), "v1").collect()
+    assert len(lacking) == 10 and all(r.prediction == "Error" and r.probability is None and "Contract" in r.error for r in lacking)
+    assert {r.customer_id for r in ML.score_with_status(trained.model, df.drop("customer_id"), "v1").collect()} == {"N/A"}
 
 
 def test_whatif_and_log(spark, trained, tmp):

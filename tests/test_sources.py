@@ -157,3 +157,67 @@ def test_file_row_numbers_on_a_shuffled_frame(spark):
     df = spark.range(500).repartition(7)                  # not a file scan: still a valid 1..n numbering
     got = sorted(r.rn for r in RD.file_row_numbers(df, "rn").select("rn").collect())
     assert got == list(range(1, 501))
+
+
+def _log_rows(spark, *ids):
+    return spark.createDataFrame([(i, 0.5, True) for i in ids], "customer_id string, churn_probability double, predicted_churn boolean")
+
+
+def test_log_keeps_rows_of_every_writer(spark, tmp):
+    log = os.path.join(tmp, "shared_log")
+    before = spark.conf.get("spark.sql.sources.partitionOverwriteMode")
+    assert TB.append_logs(spark, log, _log_rows(spark, "a", "b", "c")) == 3
+    TB.append_logs(spark, log, _log_rows(spark, "d"), batch_id=0, source="first")
+    TB.append_logs(spark, log, _log_rows(spark, "e"), batch_id=0, source="second")
+    TB.append_logs(spark, log, _log_rows(spark, "f"))
+    TB.append_logs(spark, log, _log_rows(spark, "d"), batch_id=0, source="first")          # replayed
+    rows = sorted((r.customer_id, r.inference_id) for r in spark.read.parquet(log).collect())
+    assert rows == [("a", 1), ("b", 2), ("c", 3), ("d", 4), ("e", 5), ("f", 6)]
+    assert spark.conf.get("spark.sql.sources.partitionOverwriteMode") == before
+
+
+def test_unreadable_catalog_raises_and_versions_are_never_overwritten(spark, tmp, monkeypatch):
+    t = TB.VersionedTable(spark, os.path.join(tmp, "guarded"), key="customer_id")
+    three = spark.createDataFrame([("1", "LA"), ("2", "SF"), ("3", "SD")], "customer_id string, city string")
+    assert t.publish(three) == 1
+    one = spark.createDataFrame([("9", "NY")], "customer_id string, city string")
+
+    def unreadable(*a, **k):
+        raise PermissionError("catalog cannot be listed")
+
+    with monkeypatch.context() as m:
+        m.setattr(TB, "_read_if_there", unreadable)
+        with pytest.raises(PermissionError):
+            t.upsert(one)
+    assert t.read().count() == 3
+    # two writers that both started from version 1
+    with monkeypatch.context() as m:
+        m.setattr(TB.VersionedTable, "latest_version", lambda self: 1)
+        assert t.publish(three.limit(2)) == 2
+        with pytest.raises(TB.VersionConflict):
+            t.publish(one)
+    assert t.latest_version() == 2 and t.read(2).count() == 2
+
+
+def test_csv_rows_are_never_shifted(spark, tmp):
+    p = os.path.join(tmp, "newline.csv")
+    with open(p, "w") as f:
+        f.write('customer_id,churn_reason,age\n1,"two\nlines",30\n2,plain,40\n')
+    with pytest.raises(Exception, match="(?i)malformed"):
+        RD.read_upload_csv(spark, p).collect()
+    rows = RD.read_upload_csv(spark, p, multiline=True).orderBy("customer_id").collect()
+    assert [tuple(r) for r in rows] == [("1", "two\nlines", "30"), ("2", "plain", "40")]
+    folder = os.path.join(tmp, "orders")
+    os.makedirs(folder)
+    for name, text in (("a.csv", "customer_id,age,cltv\n1,30,2000\n"), ("b.csv", "customer_id,cltv,age\n2,2000,40\n")):
+        with open(os.path.join(folder, name), "w") as f:
+            f.write(text)
+    with pytest.raises(Exception, match="(?i)header"):
+        RD.read_upload_csv(spark, folder).collect()
+
+
+def test_overlong_values_fail_the_upload(spark):
+    from churnspark.streaming import jobs as SJ
+    long = spark.createDataFrame([("1", "x" * 500)], "customer_id string, gender string")
+    with pytest.raises(SJ.BatchTypeError, match="longer"):
+        SJ.typed_upload(long)
