@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from churnspark.llm import bpe
-from churnspark.llm._shared import table
+from churnspark.llm._shared import staged, table
 
 BLOCK = 1024
 
@@ -31,6 +31,8 @@ def suffix_sums(hist: DataFrame) -> DataFrame:
     """Per distinct length L: ``docs_ge`` and ``tokens_ge`` of documents of at least L tokens,
     ``truncated_total`` (tokens left when every document is cut at L), ``total_tokens`` and
     ``share_le`` (share of documents of at most L tokens)."""
+    # read for the rows and for the blocks: written once, or the texts would be encoded twice
+    hist = staged(hist, "histogram")
     rows = hist.withColumn("block", F.expr(f"n_tokens div {BLOCK}")).withColumn("tokens", F.col("n_tokens") * F.col("n_docs"))
     after = Window.orderBy(F.desc("block")).rowsBetween(Window.unboundedPreceding, -1)
     every = Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
