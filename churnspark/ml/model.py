@@ -158,6 +158,7 @@ def train(df: DataFrame, num_trees: int = S.FOREST_PARAMS["num_trees"], max_dept
                     "f1": m["f1"], "roc_auc": float(auc)},
         "top_feature_importances": top_importances(model),
         "class_balance_pct": balance,
+        "null_targets": null_targets(df),
     }
     scored.unpersist(blocking=False)
     split.unpersist(blocking=False)

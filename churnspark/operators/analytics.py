@@ -109,7 +109,8 @@ def histogram(df: DataFrame, x: str, bins: int = 30, group: str | None = None) -
         joined = frame.join(cnt, on=cond, how="left").select(F.col(f"_f.`{group}`").alias(group),
                                                              F.col("_f.bin").alias("bin"), F.col("_c.count"))
     else:
-        frame = vals.agg(F.count(F.lit(1)).alias("_n")).filter("_n > 0").select(all_bins)
+        # no values, no minimum, no bins
+        frame = df.sparkSession.range(1).filter(lo.isNotNull()).select(all_bins)
         joined = frame.join(counted, on="bin", how="left")
     return joined.select(
         *gcols,
@@ -121,89 +122,49 @@ def histogram(df: DataFrame, x: str, bins: int = 30, group: str | None = None) -
 
 # -- D12 / D13: box statistics and outliers ------------------------------------------
 
-# Largest group (non-NULL values) that the in-memory exact percentile may hold in one task.
-MAX_IN_MEMORY_GROUP = 1_000_000
-BOX_MODES = ("auto", "distributed", "in_memory", "approx")
-
-
-def _quartile_mode(df: DataFrame, y: str, gcols: list[str], mode: str, max_group: int) -> str:
-    if mode not in BOX_MODES:
-        raise ValueError(f"mode must be one of {BOX_MODES}")
-    if mode != "auto":
-        return mode
-    src = df.filter(_q(y).isNotNull())
-    largest = (src.groupBy(*[_q(c) for c in gcols]).count().agg(F.max("count")).first()[0] if gcols
-               else src.count()) or 0
-    return "in_memory" if largest <= max_group else "distributed"
+def _with_fences(df: DataFrame, fences: DataFrame, group: str | None) -> DataFrame:
+    """``df`` with the lower_fence and upper_fence of its group (rows of other groups go)."""
+    if group:
+        # one row per group, size-checked before the broadcast
+        f = R.broadcast_if_small(fences.select(_q(group).alias("_g"), "lower_fence", "upper_fence"))
+        return df.join(f, on=df[group].eqNullSafe(f["_g"]), how="inner").drop("_g")
+    fs = fences.select(F.struct("lower_fence", "upper_fence")).scalar()
+    return df.withColumns({"lower_fence": fs.getField("lower_fence"), "upper_fence": fs.getField("upper_fence")})
 
 
-def box_stats(df: DataFrame, y: str, group: str | None = None, mode: str = "auto",
-              accuracy: int = 10000, max_group: int = MAX_IN_MEMORY_GROUP) -> DataFrame:
+def box_stats(df: DataFrame, y: str, group: str | None = None) -> DataFrame:
     """Quartiles (linear interpolation), IQR, 1.5 IQR fences, whiskers (most extreme values
-    inside the fences), outlier count, min and max, per group (NULL group kept).
-
-    Quartile modes (all exact except "approx"):
-    ``distributed``  ranks from range partitions (``rows.exact_quantiles``): no group is
-                     ever held by one task, whatever its size;
-    ``in_memory``    Spark's exact ``percentile`` aggregate (a group's values in one task);
-    ``auto``         counts the largest group first and uses ``in_memory`` only when it
-                     holds at most ``max_group`` values, else ``distributed``;
-    ``approx``       ``percentile_approx`` with ``accuracy`` (one pass, bounded memory)."""
+    inside the fences), outlier count, min and max, per group (NULL group kept; no row for a
+    group, or a frame, without values).
+
+    One algorithm for every size: values are counted per (group, distinct value) in one pass
+    over the data, and all statistics are read off the counted values."""
     gcols = [group] if group else []
-    mode = _quartile_mode(df, y, gcols, mode, max_group)
-    if mode == "distributed":
-        q = R.exact_quantiles(df, y, [0.25, 0.5, 0.75], gcols, names=["q1", "median", "q3"])
-    else:
-        pa = (F.percentile_approx(_q(y), [0.25, 0.5, 0.75], accuracy) if mode == "approx"
-              else F.percentile(_q(y).cast("double"), [0.25, 0.5, 0.75]))
-        src = df.filter(_q(y).isNotNull())
-        agg = [F.count(_q(y)).alias("n"), pa.alias("_p")]
-        g = src.groupBy(*[_q(c) for c in gcols]).agg(*agg) if gcols else src.agg(*agg)
-        q = g.select(*[_q(c) for c in gcols], "n", F.col("_p")[0].cast("double").alias("q1"),
-                     F.col("_p")[1].cast("double").alias("median"), F.col("_p")[2].cast("double").alias("q3"))
+    ranks = R.value_ranks(df, y, gcols)
+    q = R.quantiles_of(ranks, [0.25, 0.5, 0.75], gcols, ["q1", "median", "q3"])
     fences = (q.withColumn("iqr", F.col("q3") - F.col("q1"))
                .withColumn("lower_fence", F.col("q1") - 1.5 * F.col("iqr"))
                .withColumn("upper_fence", F.col("q3") + 1.5 * F.col("iqr")))
-    yv = _q(y).cast("double")
-    aggs = [F.min(F.when(yv >= F.col("lower_fence"), yv)).alias("whisker_low"),
-            F.max(F.when(yv <= F.col("upper_fence"), yv)).alias("whisker_high"),
-            F.count(F.when((yv < F.col("lower_fence")) | (yv > F.col("upper_fence")), 1)).alias("n_outliers"),
+    yv, lo, hi = F.col("_y"), F.col("lower_fence"), F.col("upper_fence")
+    aggs = [F.min(F.when(yv >= lo, yv)).alias("whisker_low"), F.max(F.when(yv <= hi, yv)).alias("whisker_high"),
+            F.sum(F.when((yv < lo) | (yv > hi), F.col("_c")).otherwise(F.lit(0))).alias("n_outliers"),
             F.min(yv).alias("min"), F.max(yv).alias("max")]
-    data = df.select(*[_q(c) for c in gcols], _q(y)).filter(_q(y).isNotNull())
-    if gcols:
-        # one row per group, computed once (persisted) and size-checked before broadcast
-        fences = R.broadcast_if_small(fences)
-        f2 = fences.select(F.col(f"`{group}`").alias("_g"), "lower_fence", "upper_fence")
-        joined = data.join(f2, on=data[group].eqNullSafe(f2["_g"]), how="inner")
-        w = joined.groupBy(F.col("_g")).agg(*aggs)
+    fenced = _with_fences(ranks, fences, group)
+    if group:
+        w = fenced.groupBy(_q(group).alias("_g")).agg(*aggs)
         out = fences.join(w, on=fences[group].eqNullSafe(w["_g"]), how="inner").drop("_g")
     else:
-        fs = fences.select(F.struct("lower_fence", "upper_fence")).scalar()
-        # fences as columns first: an aggregate may not take a subquery over a
-        # position-numbered (non-deterministic) plan as an argument
-        data = data.withColumns({"_lf": fs.getField("lower_fence"), "_uf": fs.getField("upper_fence")})
-        lf, uf = F.col("_lf"), F.col("_uf")
-        ws = data.agg(F.struct(F.min(F.when(yv >= lf, yv)).alias("whisker_low"),
-                               F.max(F.when(yv <= uf, yv)).alias("whisker_high"),
-                               F.count(F.when((yv < lf) | (yv > uf), 1)).alias("n_outliers"),
-                               F.min(yv).alias("min"), F.max(yv).alias("max"))).scalar()
+        ws = fenced.agg(F.struct(*aggs)).scalar()
         out = fences.select("*", ws.alias("_w")).select(*fences.columns, "_w.*")
     return out.select(*[_q(c) for c in gcols], "n", "q1", "median", "q3", "iqr", "lower_fence", "upper_fence",
                       "whisker_low", "whisker_high", "n_outliers", "min", "max")
 
 
-def box_outliers(df: DataFrame, y: str, group: str | None = None, stats: DataFrame | None = None,
-                 mode: str = "auto") -> DataFrame:
+def box_outliers(df: DataFrame, y: str, group: str | None = None, stats: DataFrame | None = None) -> DataFrame:
     """Rows whose y lies outside the 1.5 IQR fences of their group."""
-    stats = stats if stats is not None else box_stats(df, y, group, mode)
+    stats = stats if stats is not None else box_stats(df, y, group)
     yv = _q(y).cast("double")
-    if group:
-        f2 = R.broadcast_if_small(stats.select(F.col(f"`{group}`").alias("_g"), "lower_fence", "upper_fence"))
-        joined = df.join(f2, on=df[group].eqNullSafe(f2["_g"]), how="inner").drop("_g")
-    else:
-        fs = stats.select(F.struct("lower_fence", "upper_fence")).scalar()
-        joined = df.withColumns({"lower_fence": fs.getField("lower_fence"),
-                                 "upper_fence": fs.getField("upper_fence")})
+    joined = _with_fences(df, stats, group)
     return joined.filter((yv < F.col("lower_fence")) | (yv > F.col("upper_fence"))).drop("lower_fence", "upper_fence")
 
 

@@ -125,9 +125,9 @@ def merge_sources(sources: Sequence[DataFrame], key: str = S.KEY,
 # every batch; instead the deduplicated batch is measured and, under the bound, broadcast:
 # the table is only scanned (twice, once for its key column) and never shuffled.
 
-def _measured(df: DataFrame, max_rows: int) -> tuple[DataFrame, bool]:
+def _measured(df: DataFrame, max_bytes: int) -> tuple[DataFrame, bool]:
     df = R._keep(df)                       # released by R.release_caches(), after each published version
-    return df, df.count() <= max_rows
+    return df, R.measured_bytes(df) <= max_bytes
 
 
 def _present_keys(table: DataFrame, small_keys: DataFrame, key: str) -> DataFrame:
@@ -137,12 +137,12 @@ def _present_keys(table: DataFrame, small_keys: DataFrame, key: str) -> DataFram
                  .distinct())
 
 
-def _choose(strategy: str, batch: DataFrame, max_rows: int) -> tuple[DataFrame, str]:
+def _choose(strategy: str, batch: DataFrame, max_bytes: int) -> tuple[DataFrame, str]:
     if strategy not in ("auto", "broadcast", "shuffle"):
         raise ValueError("strategy must be 'auto', 'broadcast' or 'shuffle'")
     if strategy != "auto":
         return batch, strategy
-    batch, small = _measured(batch, max_rows)
+    batch, small = _measured(batch, max_bytes)
     return batch, "broadcast" if small else "shuffle"
 
 
@@ -151,7 +151,7 @@ def _choose(strategy: str, batch: DataFrame, max_rows: int) -> tuple[DataFrame,
 def upsert(table: DataFrame, incoming: DataFrame, key: str = S.KEY,
            blanks: str = "overwrite", order: Sequence[str | Column] | None = None,
            fields: Iterable[str] | None = None, strategy: str = "auto",
-           max_broadcast_rows: int = R.MAX_BROADCAST_ROWS) -> DataFrame:
+           max_broadcast_bytes: int = R.MAX_BROADCAST_BYTES) -> DataFrame:
     """Insert new keys; for existing keys overwrite the columns the incoming frame carries
     and keep all others.  Presence is decided by the incoming *schema*, not by value.
 
@@ -161,7 +161,7 @@ def upsert(table: DataFrame, incoming: DataFrame, key: str = S.KEY,
     rows raise ``RepeatedKeysError``.  Unknown incoming columns are ignored.
     ``strategy``: "shuffle" = one full outer sort-merge join; "broadcast" = the deduplicated
     batch is broadcast and the table is never shuffled; "auto" = broadcast when the batch
-    has at most ``max_broadcast_rows`` keys (measured), else shuffle.
+    takes at most ``max_broadcast_bytes`` (measured), else shuffle.
     """
     if blanks not in ("overwrite", "keep"):
         raise ValueError("blanks must be 'overwrite' or 'keep'")
@@ -170,7 +170,7 @@ def upsert(table: DataFrame, incoming: DataFrame, key: str = S.KEY,
     require_order(incoming.select(_q(key), *[_q(c) for c in given]), key, order)
     inc = dedup_last(incoming, key, order, payload=given)
     inc = inc.select(_q(key), *[_q(c).alias(f"_n_{c}") for c in given], F.lit(True).alias("_in"))
-    inc, strategy = _choose(strategy, inc, max_broadcast_rows)
+    inc, strategy = _choose(strategy, inc, max_broadcast_bytes)
 
     def merged_cols(key_col: Column) -> list[Column]:
         cols = []
@@ -216,7 +216,7 @@ def type_errors(incoming: DataFrame, types: Mapping[str, str], key: str = S.KEY)
 # -- J3: update ----------------------------------------------------------------------
 
 def update(table: DataFrame, updates: DataFrame, key: str = S.KEY, strategy: str = "auto",
-           max_broadcast_rows: int = R.MAX_BROADCAST_ROWS,
+           max_broadcast_bytes: int = R.MAX_BROADCAST_BYTES,
            order: Sequence[str | Column] | None = None) -> tuple[DataFrame, DataFrame]:
     """Set the given columns where the key matches.  Returns (new table, keys not found).
     The last row of a key by ``order`` wins; order columns named as strings are ordering only.
@@ -228,7 +228,7 @@ def update(table: DataFrame, updates: DataFrame, key: str = S.KEY, strategy: str
     require_order(updates.select(_q(key), *[_q(c) for c in given]), key, order)
     upd = dedup_last(updates, key, order, payload=given)
     upd = upd.select(_q(key), *[_q(c).alias(f"_n_{c}") for c in given], F.lit(True).alias("_in"))
-    upd, strategy = _choose(strategy, upd, max_broadcast_rows)
+    upd, strategy = _choose(strategy, upd, max_broadcast_bytes)
     small = strategy == "broadcast"
     joined = table.join(F.broadcast(upd) if small else upd, on=key, how="left")
     out = joined.select([
@@ -242,10 +242,10 @@ def update(table: DataFrame, updates: DataFrame, key: str = S.KEY, strategy: str
 # -- J5: delete ----------------------------------------------------------------------
 
 def delete(table: DataFrame, keys: DataFrame, key: str = S.KEY, strategy: str = "auto",
-           max_broadcast_rows: int = R.MAX_BROADCAST_ROWS) -> tuple[DataFrame, DataFrame]:
+           max_broadcast_bytes: int = R.MAX_BROADCAST_BYTES) -> tuple[DataFrame, DataFrame]:
     """Remove the listed keys.  Returns (new table, keys not found).  A small key list is
     broadcast (measured), so the table is not shuffled."""
-    k, strategy = _choose(strategy, keys.select(_q(key)).distinct(), max_broadcast_rows)
+    k, strategy = _choose(strategy, keys.select(_q(key)).distinct(), max_broadcast_bytes)
     if strategy == "broadcast":
         return (table.join(F.broadcast(k), on=key, how="left_anti"),
                 k.join(F.broadcast(_present_keys(table, k, key)), on=key, how="left_anti"))
@@ -255,7 +255,7 @@ def delete(table: DataFrame, keys: DataFrame, key: str = S.KEY, strategy: str =
 # -- A12 / G2: insert, ignore existing keys ------------------------------------------
 
 def insert_ignore(table: DataFrame, rows: DataFrame, key: str = S.KEY, strategy: str = "auto",
-                  max_broadcast_rows: int = R.MAX_BROADCAST_ROWS,
+                  max_broadcast_bytes: int = R.MAX_BROADCAST_BYTES,
                   order: Sequence[str | Column] | None = None) -> DataFrame:
     """Insert the rows whose key the table does not hold.  Of rows that share a key the first
     by ``order`` goes in (order columns unknown to the table are ordering only); without an
@@ -264,7 +264,7 @@ def insert_ignore(table: DataFrame, rows: DataFrame, key: str = S.KEY, strategy:
     require_order(rows.select(*[_q(c) for c in known]), key, order)
     rows = dedup_first(rows, key, order)
     rows = rows.drop(*[c for c in (order or []) if isinstance(c, str) and c not in table.columns])
-    rows, strategy = _choose(strategy, rows, max_broadcast_rows)
+    rows, strategy = _choose(strategy, rows, max_broadcast_bytes)
     present = F.broadcast(_present_keys(table, rows, key)) if strategy == "broadcast" else table.select(_q(key))
     new = rows.join(present, on=key, how="left_anti")
     return table.unionByName(new, allowMissingColumns=True)
@@ -304,8 +304,13 @@ def except_all_rows(current: DataFrame, previous: DataFrame) -> DataFrame:
 def fingerprint_aggregates(df: DataFrame) -> tuple[Column, Column]:
     """(row count, order-free sum of row hashes) as aggregate expressions, usable in
     ``agg`` or in ``observe`` during a write."""
-    cols = [_q(c) for c in df.columns]
-    h = F.xxhash64(*cols, *[c.isNull() for c in cols]).cast("decimal(38,0)")
+    def part(c: str) -> Column:
+        text = _q(c).cast("string")
+        return F.coalesce(F.concat(F.lit("V"), F.octet_length(text).cast("string"), F.lit(":"), text), F.lit("N"))
+
+    # each value as its byte length and text, so no two rows share a text; 60 bits of md5
+    row = F.concat(*[F.concat(part(c), F.lit(";")) for c in df.columns]) if df.columns else F.lit("")
+    h = F.conv(F.substring(F.md5(row), 1, 15), 16, 10).cast("decimal(38,0)")
     return F.count(F.lit(1)), F.coalesce(F.sum(h), F.lit(0).cast("decimal(38,0)"))
 
 

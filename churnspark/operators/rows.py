@@ -71,19 +71,31 @@ def _one_partitioning(ranged: DataFrame) -> DataFrame:
     return ranged.checkpoint(eager=True)
 
 
-# A derived table joins back to the data by broadcast only below this measured row count.
-MAX_BROADCAST_ROWS = 200_000
+# A derived table joins back to the data by broadcast only below this measured size.
+MAX_BROADCAST_BYTES = 32 << 20
 
 
-def broadcast_if_small(small: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
+def measured_bytes(df: DataFrame) -> int:
+    """Size of the rows in memory, bounded from above: 16 bytes a value, and the bytes of
+    everything that has no fixed width."""
+    fixed = {"ByteType", "ShortType", "IntegerType", "LongType", "FloatType", "DoubleType", "BooleanType",
+             "DateType", "TimestampType", "TimestampNTZType", "DecimalType"}
+    size = F.lit(16 * max(1, len(df.columns))).cast("long")
+    for f in df.schema.fields:
+        if type(f.dataType).__name__ not in fixed:
+            size = size + F.coalesce(F.octet_length(F.col(f"`{f.name}`").cast("string")), F.lit(0))
+    return df.agg(F.sum(size)).first()[0] or 0
+
+
+def broadcast_if_small(small: DataFrame, max_bytes: int = MAX_BROADCAST_BYTES) -> DataFrame:
     """Size-checked broadcast of a derived table (offsets, fences, class weights).
 
-    The table is persisted and counted (one job over already-aggregated rows); below
-    ``max_rows`` it is hinted for broadcast, otherwise it is joined by shuffle, where AQE
-    splits skewed partitions.  Static estimates are not trusted: they can make Spark
+    The table is persisted and its bytes are summed (one job over already-aggregated rows);
+    up to ``max_bytes`` it is hinted for broadcast, otherwise it is joined by shuffle, where
+    AQE splits skewed partitions.  Static estimates are not trusted: they can make Spark
     broadcast the big side of the join instead."""
     small = _keep(small)
-    return F.broadcast(small) if small.count() <= max_rows else small
+    return F.broadcast(small) if measured_bytes(small) <= max_bytes else small
 
 
 def _null_safe_join(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
@@ -156,34 +168,57 @@ def running_sum(df: DataFrame, order: Sequence[str | Column], value: str, name:
 
 # -- exact quantiles -----------------------------------------------------------------
 
+def value_ranks(df: DataFrame, value: str, group: Sequence[str] = (),
+                num_partitions: int | None = None) -> DataFrame:
+    """One row per (group, distinct value): ``_y`` (double), ``_c`` (rows that hold it), ``_lo``
+    (0-based rank of the first of them in its group) and ``_n`` (group size).
+
+    Values are counted first, so a tied value is one row whatever share of the data it is;
+    ranks come from running sums over range partitions of the distinct values.  NULL values
+    are ignored; a group of only NULLs yields no row."""
+    group = list(group)
+    gcols = [F.col(f"`{g}`") for g in group]
+    base = df.select(*gcols, F.col(f"`{value}`").cast("double").alias("_y")).filter(F.col("_y").isNotNull())
+    counted = base.groupBy(*gcols, "_y").agg(F.count(F.lit(1)).alias("_c"))
+    # written once: group starts, quantiles and statistics all scan it without a shuffle
+    cum = _one_partitioning(running_sum(counted, [*group, "_y"], "_c", "_cum", num_partitions))
+    if not group:
+        total = cum.agg(F.sum("_c")).scalar()
+        return cum.select("_y", "_c", (F.col("_cum") - F.col("_c")).alias("_lo"), total.alias("_n"))
+    # running sums cross groups: a group starts where its first value's sum starts
+    starts = cum.groupBy(*gcols).agg(F.min(F.col("_cum") - F.col("_c")).alias("_start"), F.sum("_c").alias("_n"))
+    starts = broadcast_if_small(starts.select(*[F.col(f"`{g}`").alias(f"_r_{g}") for g in group], "_start", "_n"))
+    return _null_safe_join(cum, starts, group).select(
+        *gcols, "_y", "_c", (F.col("_cum") - F.col("_c") - F.col("_start")).alias("_lo"), "_n")
+
+
+def quantiles_of(ranks: DataFrame, probs: Sequence[float], group: Sequence[str], names: Sequence[str]) -> DataFrame:
+    """Linear-interpolation quantiles of ``value_ranks``: one row per group."""
+    has = lambda i: (F.col("_lo") <= i) & (i < F.col("_lo") + F.col("_c"))
+    h = lambda p: (F.col("_n") - 1) * F.lit(float(p))
+    picks = [(nm, F.floor(h(p)), F.ceil(h(p)), h(p) - F.floor(h(p))) for p, nm in zip(probs, names)]
+    need = F.lit(False)
+    for _, lo, hi, _ in picks:
+        need = need | has(lo) | has(hi)
+    cols = []
+    for nm, lo, hi, frac in picks:
+        cols += [F.when(has(lo), F.col("_y")).alias(f"_lo_{nm}"), F.when(has(hi), F.col("_y")).alias(f"_hi_{nm}"),
+                 frac.alias(f"_d_{nm}")]
+    gcols = [F.col(f"`{g}`") for g in group]
+    picked = ranks.filter(need).select(*gcols, "_n", *cols)
+    aggs = [F.max("_n").alias("n")] + [F.max(f"{k}_{nm}").alias(f"{k}_{nm}") for nm in names for k in ("_lo", "_hi", "_d")]
+    g = picked.groupBy(*gcols).agg(*aggs) if group else picked.agg(*aggs).filter(F.col("n").isNotNull())
+    return g.select(*gcols, "n", *[(F.col(f"_lo_{nm}") + (F.col(f"_hi_{nm}") - F.col(f"_lo_{nm}")) * F.col(f"_d_{nm}")).alias(nm)
+                                   for nm in names])
+
+
 def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float], group: Sequence[str] = (),
                     names: Sequence[str] | None = None, num_partitions: int | None = None) -> DataFrame:
-    """Exact linear-interpolation quantiles (the ``quantile_cont`` / pandas rule) per group,
-    computed from distributed positions: no group is ever collected into one task.
+    """Exact linear-interpolation quantiles (the ``quantile_cont`` / pandas rule) per group from
+    counts of distinct values: no group and no tied value is ever collected into one task.
     NULL values are ignored; a group of only NULLs yields no row."""
-    group = list(group)
     names = list(names) if names else [f"q{int(round(p * 100))}" for p in probs]
-    base = df.select(*[F.col(f"`{g}`") for g in group], F.col(f"`{value}`").alias("_y")).filter(F.col("_y").isNotNull())
-    ranked = positions(base, ["_y"], group, name="_r", size_name="_n", num_partitions=num_partitions)
-    i0 = F.col("_r") - 1
-    need = None
-    for p in probs:
-        h = (F.col("_n") - 1) * F.lit(float(p))
-        e = (i0 == F.floor(h)) | (i0 == F.ceil(h))
-        need = e if need is None else need | e
-    picked = ranked.filter(need)
-    aggs = [F.first("_n").alias("_n")]
-    for p, nm in zip(probs, names):
-        h = (F.col("_n") - 1) * F.lit(float(p))
-        aggs.append(F.max(F.when(i0 == F.floor(h), F.col("_y"))).alias(f"_lo_{nm}"))
-        aggs.append(F.max(F.when(i0 == F.ceil(h), F.col("_y"))).alias(f"_hi_{nm}"))
-        aggs.append(F.first(h - F.floor(h)).alias(f"_d_{nm}"))
-    g = picked.groupBy(*[F.col(f"`{c}`") for c in group]).agg(*aggs) if group else picked.agg(*aggs)
-    out = [F.col(f"`{c}`") for c in group] + [F.col("_n").alias("n")]
-    for nm in names:
-        lo, hi, d = F.col(f"_lo_{nm}"), F.col(f"_hi_{nm}"), F.col(f"_d_{nm}")
-        out.append((lo + (hi - lo) * d).alias(nm))
-    return g.select(out)
+    return quantiles_of(value_ranks(df, value, group, num_partitions), probs, list(group), names)
 
 
 # -- W3 / M3: stratified exact split -------------------------------------------------
@@ -192,7 +227,7 @@ def stratified_split(df: DataFrame, label: str, id_col: str, test_fraction: floa
                      seed: int = S.SPLIT_SEED, name: str = "part") -> DataFrame:
     """Add ``name`` in {"train", "test"}.  The test set has ceil(f * n) rows, shared among
     classes in proportion (floor, then the largest remainders), and holds in each class
-    the rows with the smallest ``(xxhash64(id, seed), id)``: reproducible whatever the
+    the rows with the smallest ``(md5("id:seed"), id)``: reproducible whatever the
     partitioning.  One class only -> plain (unstratified) split by the same hash.
     Ranks are computed over (label, id, hash) only, to find each class's boundary row; the
     full frame then meets a one-row-per-class boundary table by broadcast.  ``id`` must be
@@ -208,7 +243,7 @@ def stratified_split(df: DataFrame, label: str, id_col: str, test_fraction: floa
                        F.desc(F.col("_exact") - F.col("_base")), F.col(label))))
                    .withColumn("_take", (F.col("_base") + F.when(F.col("_rr") <= F.col("_rem"), 1).otherwise(0)).cast("long"))
                    .select(label, "_take"))
-    h = F.xxhash64(F.col(id_col), F.lit(seed))
+    h = F.md5(F.concat(F.col(id_col).cast("string"), F.lit(f":{seed}")))
     # ranks over three narrow columns only; the wide frame is never shuffled or checkpointed
     ranked = positions(df.select(F.col(label), F.col(id_col), h.alias("_h")), ["_h", id_col], [label], name="_k")
     # per class, the last test row in (hash, id) order: one row per class

@@ -38,17 +38,19 @@ def _t(spark, d, name):
 # ---------------------------------------------------------------------------
 C360_SQL = """
 loc AS (
-  SELECT c.c_custkey AS customer_id, r.r_name AS country, n.n_name AS state
+  SELECT c.c_custkey AS customer_id, r.r_name AS country, n.n_name AS state, c.c_mktsegment AS segment
   FROM customer c LEFT JOIN nation n ON c.c_nationkey = n.n_nationkey
   LEFT JOIN region r ON n.n_regionkey = r.r_regionkey),
 demo AS (
-  SELECT c_custkey AS customer_id, c_mktsegment AS segment, c_acctbal AS balance
-  FROM customer WHERE c_acctbal >= 0),
+  SELECT customer_id, balance FROM (
+    SELECT user_id * 20 AS customer_id, value AS balance,
+           row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn
+    FROM events) WHERE rn = 1),
 svc AS (
   SELECT customer_id, contract, monthly_charge FROM (
     SELECT o_custkey AS customer_id, o_orderpriority AS contract, o_totalprice AS monthly_charge,
            row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS rn
-    FROM orders WHERE o_orderstatus = 'O') WHERE rn = 1),
+    FROM orders) WHERE rn = 1),
 st AS (
   SELECT o_custkey AS customer_id, round(sum(o_totalprice), 2) AS total_charges,
          count(*) AS n_orders,
@@ -62,10 +64,13 @@ c360 AS (
 REGISTRY_SQL = """
 reg AS (SELECT c_custkey AS customer_id, c_name AS name, c_nationkey AS nationkey,
                c_acctbal AS balance, c_mktsegment AS segment
-        FROM customer WHERE c_mktsegment <> 'BUILDING'),
-inc AS (SELECT c_custkey AS customer_id, c_acctbal + 100.0 AS balance,
-               c_mktsegment AS segment
-        FROM customer WHERE c_mktsegment IN ('BUILDING', 'MACHINERY'))
+        FROM customer),
+batch AS (SELECT user_id * 20 AS customer_id, value AS balance, event_type AS segment,
+                 row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS nth,
+                 row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS nth_last
+          FROM events),
+inc AS (SELECT customer_id, balance, segment FROM batch WHERE nth_last = 1),
+inc_first AS (SELECT customer_id, balance, segment FROM batch WHERE nth = 1)
 """
 
 UPSERT_SQL = """
@@ -280,14 +285,14 @@ SELECT f.l_returnflag, f.n, round(f.q1, 6) AS q1, round(f.median, 6) AS median,
        round(min(l.l_extendedprice), 6) AS min, round(max(l.l_extendedprice), 6) AS max
 FROM f JOIN lineitem l ON l.l_returnflag IS NOT DISTINCT FROM f.l_returnflag AND l.l_extendedprice IS NOT NULL
 GROUP BY f.l_returnflag, f.n, f.q1, f.median, f.q3, f.iqr, f.lower_fence, f.upper_fence""")
-def q_box_stats(spark, d, mode="auto"):
-    b = A.box_stats(_t(spark, d, "lineitem"), "l_extendedprice", group="l_returnflag", mode=mode)
+def q_box_stats(spark, d):
+    b = A.box_stats(_t(spark, d, "lineitem"), "l_extendedprice", group="l_returnflag")
     dbl = ["q1", "median", "q3", "iqr", "lower_fence", "upper_fence", "whisker_low", "whisker_high", "min", "max"]
     return b.select("l_returnflag", "n", "n_outliers", *[r6(c).alias(c) for c in dbl])
 
 
-# the same statistics through the distributed rank path (the one taken for big groups)
-query("box_stats_ranked", ORACLES["box_stats"])(lambda spark, d: q_box_stats(spark, d, mode="distributed"))
+# an earlier key of the same statistics: one algorithm serves every size now
+query("box_stats_ranked", ORACLES["box_stats"])(q_box_stats)
 
 
 @query("box_outliers", """
@@ -568,9 +573,9 @@ SELECT customer_id, age,
        CASE WHEN age < 30 THEN 'Yes' WHEN age IS NOT NULL THEN 'No' END AS under_30,
        CASE WHEN age >= 65 THEN 'Yes' WHEN age IS NOT NULL THEN 'No' END AS senior_citizen,
        CASE WHEN churn_value = 1 THEN 'Churned' WHEN n_orders <= 3 THEN 'Joined' ELSE 'Stayed' END AS customer_status
-FROM (SELECT *, CAST(floor(balance / 125.0) AS INTEGER) AS age FROM c360)""")
+FROM (SELECT *, CAST(floor(balance / 5.0) AS INTEGER) AS age FROM c360)""")
 def q_derived_flags(spark, d):
-    c = SI.customer_360(spark, d).withColumn("age", F.floor(F.col("balance") / 125.0).cast("int"))
+    c = SI.customer_360(spark, d).withColumn("age", F.floor(F.col("balance") / 5.0).cast("int"))
     return c.select("customer_id", "age", X.under_30("age").alias("under_30"),
                     X.senior("age").alias("senior_citizen"),
                     X.customer_status("churn_value", "n_orders").alias("customer_status"))
@@ -653,7 +658,7 @@ def q_dedup_last(spark, d):
 
 @query("upsert_merge", _with(REGISTRY_SQL, UPSERT_SQL) + "SELECT * FROM ups")
 def q_upsert_merge(spark, d):
-    return M.upsert(SI.registry(spark, d), SI.incoming_batch(spark, d), "customer_id")
+    return M.upsert(SI.registry(spark, d), SI.incoming_batch(spark, d), "customer_id", order=SI.EVENTS_ORDER)
 
 
 @query("update_merge", _with(REGISTRY_SQL) + """
@@ -662,17 +667,17 @@ SELECT reg.customer_id, reg.name, reg.nationkey,
        CASE WHEN inc.customer_id IS NOT NULL THEN inc.segment ELSE reg.segment END AS segment
 FROM reg LEFT JOIN inc ON reg.customer_id = inc.customer_id""")
 def q_update_merge(spark, d):
-    out, _ = M.update(SI.registry(spark, d), SI.incoming_batch(spark, d), "customer_id")
+    out, _ = M.update(SI.registry(spark, d), SI.incoming_batch(spark, d), "customer_id", order=SI.EVENTS_ORDER)
     return out
 
 
 @query("insert_ignore", _with(REGISTRY_SQL) + """
 SELECT customer_id, name, nationkey, balance, segment FROM reg
 UNION ALL
-SELECT customer_id, NULL, NULL, balance, segment FROM inc
-WHERE NOT EXISTS (SELECT 1 FROM reg WHERE reg.customer_id = inc.customer_id)""")
+SELECT customer_id, NULL, NULL, balance, segment FROM inc_first
+WHERE NOT EXISTS (SELECT 1 FROM reg WHERE reg.customer_id = inc_first.customer_id)""")
 def q_insert_ignore(spark, d):
-    return M.insert_ignore(SI.registry(spark, d), SI.incoming_batch(spark, d), "customer_id")
+    return M.insert_ignore(SI.registry(spark, d), SI.incoming_batch(spark, d), "customer_id", order=SI.EVENTS_ORDER)
 
 
 @query("delete_keys", _with(REGISTRY_SQL) + """
@@ -689,7 +694,7 @@ SELECT * FROM ups WHERE NOT EXISTS (
     AND reg.balance IS NOT DISTINCT FROM ups.balance AND reg.segment IS NOT DISTINCT FROM ups.segment)""")
 def q_added_rows(spark, d):
     v1 = SI.registry(spark, d)
-    v2 = M.upsert(v1, SI.incoming_batch(spark, d), "customer_id")
+    v2 = M.upsert(v1, SI.incoming_batch(spark, d), "customer_id", order=SI.EVENTS_ORDER)
     return M.added_rows(v2, v1)
 
 
@@ -697,7 +702,7 @@ def q_added_rows(spark, d):
 SELECT * FROM reg EXCEPT ALL SELECT * FROM ups""")
 def q_except_all_rows(spark, d):
     v1 = SI.registry(spark, d)
-    v2 = M.upsert(v1, SI.incoming_batch(spark, d), "customer_id")
+    v2 = M.upsert(v1, SI.incoming_batch(spark, d), "customer_id", order=SI.EVENTS_ORDER)
     return M.except_all_rows(v1, v2)
 
 
@@ -706,17 +711,27 @@ SELECT 1 AS version, count(*) AS n_rows, 5 AS n_cols FROM reg
 UNION ALL SELECT 2, count(*), 5 FROM ups""")
 def q_version_counts(spark, d):
     v1 = SI.registry(spark, d)
-    v2 = M.upsert(v1, SI.incoming_batch(spark, d), "customer_id")
+    v2 = M.upsert(v1, SI.incoming_batch(spark, d), "customer_id", order=SI.EVENTS_ORDER)
     return (A.version_counts(v1).select(F.lit(1).alias("version"), "n_rows", "n_cols")
             .unionByName(A.version_counts(v2).select(F.lit(2).alias("version"), "n_rows", "n_cols")))
 
 
-@query("table_fingerprint")
+def _hash_sum_sql(src: str) -> str:
+    """The order-free sum of row hashes: each value as its byte length and text, NULL as N."""
+    row = " || ".join(f"coalesce('V' || strlen(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR), 'N') || ';'"
+                      for c in ("customer_id", "name", "nationkey", "balance", "segment"))
+    return f"CAST(sum(CAST('0x' || substr(md5({row}), 1, 15) AS BIGINT)) AS VARCHAR) FROM {src}"
+
+
+@query("table_fingerprint", _with(REGISTRY_SQL, UPSERT_SQL) + f"""
+SELECT 1 AS version, (SELECT count(*) FROM reg) AS n_rows, (SELECT {_hash_sum_sql('reg')}) AS row_hash_sum, 5 AS n_cols
+UNION ALL
+SELECT 2, (SELECT count(*) FROM ups), (SELECT {_hash_sum_sql('ups')}), 5""")
 def q_table_fingerprint(spark, d):
     v1 = SI.registry(spark, d)
-    v2 = M.upsert(v1, SI.incoming_batch(spark, d), "customer_id")
-    return (M.fingerprint(v1).select(F.lit(1).alias("version"), "*")
-            .unionByName(M.fingerprint(v2).select(F.lit(2).alias("version"), "*")))
+    v2 = M.upsert(v1, SI.incoming_batch(spark, d), "customer_id", order=SI.EVENTS_ORDER)
+    return (M.fingerprint(v1).select(F.lit(1).alias("version"), "n_rows", "row_hash_sum", "n_cols")
+            .unionByName(M.fingerprint(v2).select(F.lit(2).alias("version"), "n_rows", "row_hash_sum", "n_cols")))
 
 
 # -- W2 / H13 ---------------------------------------------------------------------------
@@ -742,12 +757,14 @@ b AS (SELECT label, n_c, floor(ex) AS base, ex - floor(ex) AS frac FROM a),
 r AS (SELECT *, row_number() OVER (ORDER BY frac DESC, label) AS rr,
              (SELECT n_test FROM t) - sum(base) OVER () AS rem FROM b),
 k AS (SELECT label, n_c, CAST(base + CASE WHEN rr <= rem THEN 1 ELSE 0 END AS BIGINT) AS take FROM r)
-SELECT label, 'test' AS part, take AS n FROM k WHERE take > 0
-UNION ALL SELECT label, 'train', n_c - take FROM k WHERE n_c - take > 0""")
+SELECT l.doc_id, l.quality AS label,
+       CASE WHEN row_number() OVER (PARTITION BY l.quality
+                                    ORDER BY md5(CAST(l.doc_id AS VARCHAR) || ':42'), l.doc_id) <= k.take
+            THEN 'test' ELSE 'train' END AS part
+FROM labels l JOIN k ON l.quality IS NOT DISTINCT FROM k.label""")
 def q_stratified_split(spark, d):
     lab = _t(spark, d, "labels").select("doc_id", F.col("quality").alias("label"))
-    s = R.stratified_split(lab, "label", "doc_id")
-    return s.groupBy("label", "part").agg(F.count(F.lit(1)).alias("n"))
+    return R.stratified_split(lab, "label", "doc_id")
 
 
 @query("class_weights", """
@@ -842,21 +859,62 @@ def q_whatif_grid(spark, d):
 
 CHART_SPECS = [CH.ChartSpec("bar", x="segment", y="monthly_charge", aggregation="mean"),
                CH.ChartSpec("pie", x="contract", y="total_charges", aggregation="sum"),
-               CH.ChartSpec("histogram", x="n_orders", bins=10)]
+               CH.ChartSpec("histogram", x="n_orders", bins=10),
+               CH.ChartSpec("line", x="n_orders", y="total_charges", aggregation="max"),
+               CH.ChartSpec("box", x="segment", y="monthly_charge"),
+               CH.ChartSpec("scatter", x="n_orders", y="monthly_charge", color="segment"),
+               CH.ChartSpec("heatmap", columns=("monthly_charge", "total_charges", "n_orders", "balance"))]
+
+
+def _chart_box_sql(i: int) -> str:
+    """Box statistics of monthly_charge by segment as (chart, label, value)."""
+    stats = {"q1": "f.q1", "median": "f.median", "q3": "f.q3",
+             "whisker_low": "min(CASE WHEN y >= f.q1 - 1.5 * (f.q3 - f.q1) THEN y END)",
+             "whisker_high": "max(CASE WHEN y <= f.q3 + 1.5 * (f.q3 - f.q1) THEN y END)",
+             "n_outliers": "CAST(count(CASE WHEN y < f.q1 - 1.5 * (f.q3 - f.q1) OR y > f.q3 + 1.5 * (f.q3 - f.q1) "
+                           "THEN 1 END) AS DOUBLE)"}
+    return "\nUNION ALL\n".join(
+        f"SELECT '{i}:box', coalesce(f.segment, '') || '|{name}', round({sql}, 6) FROM bq f "
+        f"JOIN (SELECT segment, monthly_charge AS y FROM c360 WHERE monthly_charge IS NOT NULL) v "
+        f"ON v.segment IS NOT DISTINCT FROM f.segment GROUP BY f.segment, f.q1, f.median, f.q3"
+        for name, sql in stats.items())
+
+
+def _chart_heatmap_sql(i: int, cols) -> str:
+    parts = []
+    for a in cols:
+        for b in cols:
+            both = f"{a} IS NOT NULL AND {b} IS NOT NULL"
+            va, vb = f"var_pop({a}) FILTER (WHERE {both})", f"var_pop({b}) FILTER (WHERE {both})"
+            cv = f"covar_pop({a}, {b}) FILTER (WHERE {both})"
+            r = f"CASE WHEN {va} * {vb} > 0 THEN greatest(-1.0, least(1.0, {cv} / sqrt({va} * {vb}))) END"
+            parts.append(f"SELECT '{i}:heatmap', '{a}|{b}', round({r}, 6) FROM c360")
+    return "\nUNION ALL\n".join(parts)
 
 
 @query("chart_spec_run", _with(C360_SQL) + """,
 h AS (SELECT min(n_orders) AS lo, (max(n_orders) - min(n_orders)) / 10.0 AS w FROM c360 WHERE n_orders IS NOT NULL),
 hb AS (SELECT CAST(CASE WHEN (SELECT w FROM h) > 0
                    THEN least(floor((n_orders - (SELECT lo FROM h)) / (SELECT w FROM h)), 9) ELSE 0 END AS INTEGER) AS bin
-       FROM c360 WHERE n_orders IS NOT NULL)
+       FROM c360 WHERE n_orders IS NOT NULL),
+bq AS (SELECT segment, quantile_cont(monthly_charge, 0.25) AS q1, quantile_cont(monthly_charge, 0.5) AS median,
+              quantile_cont(monthly_charge, 0.75) AS q3
+       FROM c360 WHERE monthly_charge IS NOT NULL GROUP BY segment)
 SELECT '0:bar' AS chart, CAST(segment AS VARCHAR) AS label, round(avg(monthly_charge), 6) AS value FROM c360 GROUP BY segment
 UNION ALL
 SELECT '1:pie', CAST(contract AS VARCHAR),
        round(coalesce(sum(total_charges), 0) / sum(coalesce(sum(total_charges), 0)) OVER (), 6) FROM c360 GROUP BY contract
 UNION ALL
 SELECT '2:histogram', CAST(b.bin AS VARCHAR), CAST(coalesce(c.cnt, 0) AS DOUBLE)
-FROM range(0, 10) b(bin) LEFT JOIN (SELECT bin, count(*) AS cnt FROM hb GROUP BY bin) c ON b.bin = c.bin""")
+FROM range(0, 10) b(bin) LEFT JOIN (SELECT bin, count(*) AS cnt FROM hb GROUP BY bin) c ON b.bin = c.bin
+UNION ALL
+SELECT '3:line', CAST(n_orders AS VARCHAR), max(total_charges) FROM c360 GROUP BY n_orders
+UNION ALL
+""" + _chart_box_sql(4) + """
+UNION ALL
+SELECT '5:scatter', concat_ws('|', coalesce(CAST(n_orders AS VARCHAR), ''), coalesce(segment, '')), round(monthly_charge, 6) FROM c360
+UNION ALL
+""" + _chart_heatmap_sql(6, CHART_SPECS[6].columns))
 def q_chart_spec_run(spark, d):
     out = CH.run_long(SI.customer_360(spark, d), CHART_SPECS)
     return out.select("chart", "label", r6("value").alias("value"))
@@ -878,7 +936,7 @@ def q_churn_model_scores(spark, d):
 @query("update_not_found", _with(REGISTRY_SQL) + """
 SELECT DISTINCT customer_id FROM inc WHERE NOT EXISTS (SELECT 1 FROM reg WHERE reg.customer_id = inc.customer_id)""")
 def q_update_not_found(spark, d):
-    _, missing = M.update(SI.registry(spark, d), SI.incoming_batch(spark, d), "customer_id")
+    _, missing = M.update(SI.registry(spark, d), SI.incoming_batch(spark, d), "customer_id", order=SI.EVENTS_ORDER)
     return missing
 
 
@@ -896,7 +954,7 @@ SELECT * FROM reg WHERE NOT EXISTS (
     AND reg.balance IS NOT DISTINCT FROM ups.balance AND reg.segment IS NOT DISTINCT FROM ups.segment)""")
 def q_removed_rows(spark, d):
     v1 = SI.registry(spark, d)
-    v2 = M.upsert(v1, SI.incoming_batch(spark, d), "customer_id")
+    v2 = M.upsert(v1, SI.incoming_batch(spark, d), "customer_id", order=SI.EVENTS_ORDER)
     return M.removed_rows(v2, v1)
 
 

@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from churnspark.operators import analytics as A
 from churnspark.operators import clean as C
 
+#: The statistics of a box chart in its long form.
+BOX_LONG = ("q1", "median", "q3", "whisker_low", "whisker_high", "n_outliers")
 KINDS = ("bar", "line", "pie", "histogram", "box", "scatter", "heatmap")
 
 
@@ -84,8 +86,16 @@ def run_long(df: DataFrame, specs: Sequence[ChartSpec]) -> DataFrame:
             parts.append(out.select(name.alias("chart"), lab.alias("label"), F.col("count").cast("double").alias("value")))
         elif s.kind == "heatmap":
             parts.append(out.select(name.alias("chart"), F.concat_ws("|", "a", "b").alias("label"), F.col("r").alias("value")))
+        elif s.kind == "box":
+            group = s.x or s.group
+            key = F.coalesce(F.col(f"`{group}`").cast("string"), F.lit("")) if group else F.lit("")
+            pairs = F.array(*[F.struct(F.concat_ws("|", key, F.lit(c)).alias("label"),
+                                       F.col(c).cast("double").alias("value")) for c in BOX_LONG])
+            parts.append(out.select(name.alias("chart"), F.inline(pairs)))
         else:
-            raise ValueError(f"{s.kind} has no long form")
+            text = [F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")) for c in (s.x, s.color) if c]
+            parts.append(out.select(name.alias("chart"), F.concat_ws("|", *text).alias("label"),
+                                    F.col(f"`{s.y}`").cast("double").alias("value")))
     res = parts[0]
     for p in parts[1:]:
         res = res.unionByName(p)

@@ -1,18 +1,17 @@
 """Driver tables as stand-ins for the churn inputs.
 
 The telco files are not part of the driver data, so the operators (which are
-column-generic) are fed frames derived from the driver tables.  Partial coverage of the
-topic sources comes from data-driven rules, so that the merge really produces NULLs:
-
-location      every customer, with nation (state) and region (country)
-demographics  customers with a non-negative account balance (a negative balance has no
-              demographics record)
-services      each customer's latest OPEN order (status 'O'); customers without an open
-              order have no services record
+column-generic) are fed frames derived from the driver tables.  The keys of the sources
+differ by nature (event users are account numbers in steps of ACCOUNT_STEP), so the merge
+really produces matched and unmatched keys and NULLs without any filter:
+
+location      every customer, with segment, nation (state) and region (country)
+demographics  the last event of every user: balance
+services      the last order of every customer
 status        per-customer order history: total charges, order count (tenure stand-in),
               churned = no order on or after 2001-01-01
 
-Every frame reads the whole table it derives from; nothing is sampled or capped.
+Every frame reads the whole table it derives from; nothing is filtered, sampled or capped.
 """
 
 from __future__ import annotations
@@ -23,6 +22,8 @@ from pyspark.sql import functions as F
 from churnspark.operators import merge as M
 
 CHURN_CUTOFF = "2001-01-01 00:00:00"
+#: Event user u is account u * ACCOUNT_STEP: some accounts are customers, some are not.
+ACCOUNT_STEP = 20
 
 
 _TABLES: dict = {}
@@ -45,24 +46,26 @@ def location(spark: SparkSession, d: str) -> DataFrame:
     return (c.join(n, c.c_nationkey == n.n_nationkey, "left")
              .join(r, n.n_regionkey == r.r_regionkey, "left")
              .select(F.col("c_custkey").alias("customer_id"),
-                     F.col("r_name").alias("country"), F.col("n_name").alias("state")))
+                     F.col("r_name").alias("country"), F.col("n_name").alias("state"),
+                     F.col("c_mktsegment").alias("segment")))
 
 
 def demographics(spark: SparkSession, d: str) -> DataFrame:
-    return (table(spark, d, "customer").filter(F.col("c_acctbal") >= 0)
-            .select(F.col("c_custkey").alias("customer_id"),
-                    F.col("c_mktsegment").alias("segment"), F.col("c_acctbal").alias("balance")))
+    """All events; the merge keeps the last per account by (ts, event_id)."""
+    return table(spark, d, "events").select((F.col("user_id") * ACCOUNT_STEP).alias("customer_id"),
+                                            F.col("value").alias("balance"), "ts", "event_id")
 
 
 def services_rows(spark: SparkSession, d: str) -> DataFrame:
-    """All open orders; the merge keeps the last per customer by (o_orderdate, o_orderkey)."""
-    return (table(spark, d, "orders").filter(F.col("o_orderstatus") == "O")
+    """All orders; the merge keeps the last per customer by (o_orderdate, o_orderkey)."""
+    return (table(spark, d, "orders")
             .select(F.col("o_custkey").alias("customer_id"),
                     F.col("o_orderpriority").alias("contract"),
                     F.col("o_totalprice").alias("monthly_charge"),
                     "o_orderdate", "o_orderkey"))
 
 
+EVENTS_ORDER = ["ts", "event_id"]
 SERVICES_ORDER = ["o_orderdate", "o_orderkey"]
 
 
@@ -78,26 +81,25 @@ def customer_360(spark: SparkSession, d: str, strategy: str = "aggregate") -> Da
     """J1 over the four stand-in sources (one row per customer)."""
     return M.merge_sources(
         [location(spark, d), demographics(spark, d), services_rows(spark, d), status(spark, d)],
-        key="customer_id", orders=[None, None, SERVICES_ORDER, None], strategy=strategy)
+        key="customer_id", orders=[None, EVENTS_ORDER, SERVICES_ORDER, None], strategy=strategy)
 
 
 # -- old / incoming tables for the merge family --------------------------------------
 
 def registry(spark: SparkSession, d: str) -> DataFrame:
-    """The stored table: customers of every segment except BUILDING."""
-    return (table(spark, d, "customer").filter(F.col("c_mktsegment") != "BUILDING")
+    """The stored table: every customer."""
+    return (table(spark, d, "customer")
             .select(F.col("c_custkey").alias("customer_id"), F.col("c_name").alias("name"),
                     F.col("c_nationkey").alias("nationkey"), F.col("c_acctbal").alias("balance"),
                     F.col("c_mktsegment").alias("segment")))
 
 
 def incoming_batch(spark: SparkSession, d: str) -> DataFrame:
-    """An arriving batch: BUILDING (new keys) and MACHINERY (existing keys) customers with a
-    balance raised by 100; it carries fewer columns than the table (name, nationkey absent)."""
-    return (table(spark, d, "customer").filter(F.col("c_mktsegment").isin("BUILDING", "MACHINERY"))
-            .select(F.col("c_custkey").alias("customer_id"),
-                    (F.col("c_acctbal") + F.lit(100.0)).alias("balance"),
-                    F.col("c_mktsegment").alias("segment")))
+    """An arriving batch: every event, so keys repeat and need EVENTS_ORDER.  Some keys are in
+    the table and some are new; name and nationkey are absent."""
+    return table(spark, d, "events").select((F.col("user_id") * ACCOUNT_STEP).alias("customer_id"),
+                                            F.col("value").alias("balance"),
+                                            F.col("event_type").alias("segment"), "ts", "event_id")
 
 
 # -- inference log stand-in ----------------------------------------------------------
@@ -136,16 +138,16 @@ def model_frame(spark: SparkSession, d: str) -> DataFrame:
         F.col("monthly_charge"),
         F.col("total_charges"),
         F.col("segment").alias("gender"),
-        yn(F.col("balance") > 8000).alias("senior_citizen"),
-        yn(F.col("balance") > 5000).alias("partner"),
+        yn(F.col("monthly_charge") > 250000).alias("senior_citizen"),
+        yn(F.col("total_charges") > 1500000).alias("partner"),
         yn(F.col("n_orders") > 12).alias("dependents"),
         yn(F.col("monthly_charge") > 150000).alias("phone_service"),
         yn(F.col("monthly_charge") > 300000).alias("multiple_lines"),
         F.col("country").alias("internet_service"),
         yn(F.col("total_charges") > 2000000).alias("online_security"),
         yn(F.col("total_charges") > 1000000).alias("online_backup"),
-        yn(F.col("balance") > 2500).alias("device_protection"),
-        yn(F.col("balance") > 7500).alias("tech_support"),
+        yn(F.col("n_orders") > 10).alias("device_protection"),
+        yn(F.col("total_charges") > 3000000).alias("tech_support"),
         yn(F.col("n_orders") > 8).alias("streaming_tv"),
         yn(F.col("n_orders") > 15).alias("streaming_movies"),
         F.col("contract"),

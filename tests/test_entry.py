@@ -36,7 +36,7 @@ def test_every_query_has_a_callable_and_most_have_sql():
     assert len(qs) >= 71 and set(sql) <= set(qs)
     # the optional training-data queries state their own tests
     own = {k for k in set(qs) - set(sql) if not re.match(r"op\d+_|pipeline$", k)}
-    assert own == {"table_fingerprint", "churn_model_scores"}
+    assert own == {"churn_model_scores"}
 
 
 @pytest.mark.parametrize("key", sorted(E.oracle_sql()))
