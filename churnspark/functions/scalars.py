@@ -145,10 +145,6 @@ def customer_status(churned, tenure) -> Column:
 
 # -- H15: dependent-service rule -----------------------------------------------------
 
-INTERNET_EXTRAS = ["online_security", "online_backup", "device_protection",
-                   "tech_support", "streaming_tv", "streaming_movies"]
-
-
 def breaks_dependency(base, extra) -> Column:
     """An extra service other than "No" while its base service is "No"."""
     return (_c(base) == F.lit("No")) & (F.coalesce(_c(extra), F.lit("No")) != F.lit("No"))

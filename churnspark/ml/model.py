@@ -8,7 +8,6 @@ frame); evaluation uses the churnspark aggregate operators, never a collected sc
 from __future__ import annotations
 
 import datetime as dt
-import math
 from dataclasses import dataclass, field
 
 from pyspark import StorageLevel
@@ -131,8 +130,9 @@ def train(df: DataFrame, num_trees: int = S.FOREST_PARAMS["num_trees"], max_dept
         # no key: number rows in file order (a plain position when the frame is not a scan)
         prepared = R.row_ids(with_file_order(prepared, "_ord"), ["_ord"], "_rid").drop("_ord")
         id_col = "_rid"
-    labelled = prepared.withColumn(LABEL, F.col(f"`{S.TARGET}`").cast("double"))
-    split = R.stratified_split(labelled, LABEL, id_col, test_fraction, seed).persist(StorageLevel.MEMORY_AND_DISK)
+    # the input is computed once: class counts, split ranks, fit and evaluation read this copy
+    labelled = prepared.withColumn(LABEL, F.col(f"`{S.TARGET}`").cast("double")).persist(StorageLevel.MEMORY_AND_DISK)
+    split = R.stratified_split(labelled, LABEL, id_col, test_fraction, seed)
     train_df = A.with_class_weight(split.filter(F.col("part") == "train"), LABEL, WEIGHT)
     test_df = split.filter(F.col("part") == "test")
     model = build_pipeline(num_trees, max_depth, min_leaf, seed, max_bins).fit(train_df)
@@ -161,7 +161,8 @@ def train(df: DataFrame, num_trees: int = S.FOREST_PARAMS["num_trees"], max_dept
         "null_targets": null_targets(df),
     }
     scored.unpersist(blocking=False)
-    split.unpersist(blocking=False)
+    labelled.unpersist(blocking=False)
+    R.release_caches()
     return TrainResult(model, meta, scored)
 
 
@@ -258,7 +259,3 @@ def score_and_log(model: PipelineModel, df: DataFrame, log_path: str, model_vers
     res = score(model, df, model_version)
     TB.append_logs(df.sparkSession, log_path, C.loggable(res, S.KEY), model_version, batch_id, source)
     return res
-
-
-def expected_test_rows(n: int, test_fraction: float = S.TEST_FRACTION) -> int:
-    return int(math.ceil(n * test_fraction))

@@ -152,6 +152,14 @@ def upsert(table: DataFrame, incoming: DataFrame, key: str = S.KEY,
            blanks: str = "overwrite", order: Sequence[str | Column] | None = None,
            fields: Iterable[str] | None = None, strategy: str = "auto",
            max_broadcast_bytes: int = R.MAX_BROADCAST_BYTES) -> DataFrame:
+    """The merged table, see ``upsert_plan``."""
+    return upsert_plan(table, incoming, key, blanks, order, fields, strategy, max_broadcast_bytes)[0]
+
+
+def upsert_plan(table: DataFrame, incoming: DataFrame, key: str = S.KEY,
+                blanks: str = "overwrite", order: Sequence[str | Column] | None = None,
+                fields: Iterable[str] | None = None, strategy: str = "auto",
+                max_broadcast_bytes: int = R.MAX_BROADCAST_BYTES) -> tuple[DataFrame, str]:
     """Insert new keys; for existing keys overwrite the columns the incoming frame carries
     and keep all others.  Presence is decided by the incoming *schema*, not by value.
 
@@ -162,6 +170,9 @@ def upsert(table: DataFrame, incoming: DataFrame, key: str = S.KEY,
     ``strategy``: "shuffle" = one full outer sort-merge join; "broadcast" = the deduplicated
     batch is broadcast and the table is never shuffled; "auto" = broadcast when the batch
     takes at most ``max_broadcast_bytes`` (measured), else shuffle.
+
+    Returns (merged table, strategy taken): after "broadcast" the table's rows stand in the
+    partitions and the order they were read in.
     """
     if blanks not in ("overwrite", "keep"):
         raise ValueError("blanks must be 'overwrite' or 'keep'")
@@ -188,7 +199,7 @@ def upsert(table: DataFrame, incoming: DataFrame, key: str = S.KEY,
         return cols
 
     if strategy == "shuffle":
-        return table.join(inc, on=key, how="full_outer").select(merged_cols(_q(key)))
+        return table.join(inc, on=key, how="full_outer").select(merged_cols(_q(key))), strategy
     b = F.broadcast(inc)
     updated = table.join(b, on=key, how="left").select(merged_cols(_q(key)))
     fresh = inc.join(F.broadcast(_present_keys(table, inc, key)), on=key, how="left_anti")
@@ -197,7 +208,7 @@ def upsert(table: DataFrame, incoming: DataFrame, key: str = S.KEY,
         (F.col(f"_n_{c}").cast(table.schema[c].dataType).alias(c) if c in given
          else F.lit(None).cast(table.schema[c].dataType).alias(c))
         for c in table.columns])
-    return updated.unionByName(inserted)
+    return updated.unionByName(inserted), strategy
 
 
 def type_errors(incoming: DataFrame, types: Mapping[str, str], key: str = S.KEY) -> DataFrame:

@@ -369,7 +369,8 @@ def q_lookup_keys(spark, d):
 
 @query("scan_ordered", "SELECT * FROM customer ORDER BY c_custkey")
 def q_scan_ordered(spark, d):
-    return _t(spark, d, "customer").orderBy("c_custkey")
+    from churnspark.sources import readers as RD
+    return RD.scan_ordered(_t(spark, d, "customer"), "c_custkey")
 
 
 @query("page_limit_offset", "SELECT * FROM customer ORDER BY c_custkey LIMIT 50 OFFSET 100")

@@ -11,12 +11,12 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 from typing import Mapping
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from churnspark.operators import analytics as A
 from churnspark.operators import clean as C
+from churnspark.operators import rows as R
 
 # panel columns of the overview (table column names)
 PANEL_COLUMNS = {"contract": "contract", "internet": "internet_service", "tenure": "tenure_in_months",
@@ -69,7 +69,8 @@ def overview(df: DataFrame, selections: Mapping[str, list | None] | None = None,
     histogram split by churn label (shared edges) and monthly-charge box by churn label,
     all over one persisted filtered frame."""
     c = dict(PANEL_COLUMNS, **(columns or {}))
-    filtered = C.filter_in(df, selections or {}).persist(StorageLevel.MEMORY_AND_DISK)
+    # freed by release(), or with all other cached tables by rows.release_caches()
+    filtered = R._keep(C.filter_in(df, selections or {}))
     return Overview(
         filtered=filtered,
         kpis=A.kpi_overview(filtered, churn=c["churn"], cltv=c["cltv"], tenure=c["tenure"]),

@@ -17,7 +17,7 @@ from churnspark.ml import model as ML
 from churnspark.operators import analytics as A
 from churnspark.operators import clean as C
 from churnspark.operators import merge as M
-from churnspark.operators import rows as R
+from churnspark.session import cut_lineage
 from churnspark.sources import readers as RD
 from churnspark.sources.tables import VersionedTable, append_logs, export_csv
 from churnspark.streaming.jobs import typed_upload
@@ -56,6 +56,7 @@ class UploadResult:
     version: int | None
     summary: DataFrame        # (status, n): saved / error
     errors: DataFrame         # (row, error): file row numbers, header = row 1
+    saved: DataFrame          # (row, customer_id) of every row that was saved
 
 
 def upload_csv(spark: SparkSession, path: str, table: VersionedTable, blanks: str = "overwrite") -> UploadResult:
@@ -63,7 +64,8 @@ def upload_csv(spark: SparkSession, path: str, table: VersionedTable, blanks: st
     a value that does not fit its column type fails the whole upload before anything is
     written (one transaction); the rest is upserted, last row per key winning."""
     raw = RD.read_upload_csv(spark, path)
-    numbered = RD.file_row_numbers(raw, "_row").withColumn("_row", F.col("_row") + 1)   # header = row 1
+    # written once: the checks, the merge and the lazy results below read the parsed rows, not the file
+    numbered = cut_lineage(RD.file_row_numbers(raw, "_row").withColumn("_row", F.col("_row") + 1))  # header = row 1
     cleaned = C.blanks_to_null(numbered)
     status = F.when(C.has_key(S.KEY), F.lit("saved")).otherwise(F.lit("error"))
     with_status = cleaned.withColumn("status", status)
@@ -73,9 +75,10 @@ def upload_csv(spark: SparkSession, path: str, table: VersionedTable, blanks: st
                             passthrough=("_row",))
     last = table.latest_version()
     base = table.read(last) if last is not None else spark.createDataFrame([], S.customer_schema())
-    version = table.publish(M.upsert(base, incoming, S.KEY, blanks=blanks, order=["_row"]))
-    # summary and errors stay lazy over the numbered rows (a checkpoint, see rows.positions)
-    return UploadResult(version, A.load_summary(with_status, "status"), errors)
+    merged, strategy = M.upsert_plan(base, incoming, S.KEY, blanks=blanks, order=["_row"])
+    version = table.publish(merged, clustered=strategy == "broadcast")
+    saved = incoming.select(F.col("_row").alias("row"), S.KEY)
+    return UploadResult(version, A.load_summary(with_status, "status"), errors, saved)
 
 
 # -- §3.2 train from the table ---------------------------------------------------------
@@ -96,6 +99,8 @@ def score_file(spark: SparkSession, path: str, model_dir: str, out_path: str | N
     version = meta["model_version"] if meta else None
     df = RD.read_scoring_file(spark, path)
     res = ML.score_with_status(model, df, version) if with_status else ML.score(model, df, version)
+    if log_path and out_path and not with_status:
+        res = cut_lineage(res)               # scored once for the log and the export
     if log_path and not with_status:
         append_logs(spark, log_path, C.loggable(res, S.KEY), version)
     if out_path:

@@ -184,11 +184,6 @@ FEATURE_OPTIONS = {
         "Credit card (automatic)",
     ],
 }
-NUMERIC_RANGES = {
-    "Tenure Months": (0, 72),
-    "Monthly Charges": (0.0, 150.0),
-    "Total Charges": (0.0, 10000.0),
-}
 # Services the what-if form does not ask for; they are sent as "No".
 WHATIF_DEFAULTS = {
     "Multiple Lines": "No",
@@ -200,13 +195,6 @@ WHATIF_DEFAULTS = {
     "Streaming Movies": "No",
 }
 
-# Dashboard filter columns, in sidebar order.
-FILTER_COLUMNS = [
-    "phone_service", "multiple_lines", "internet_service", "internet_type",
-    "online_security", "online_backup", "contract", "paperless_billing",
-    "payment_method", "gender", "senior_citizen", "dependents",
-]
-
 # Risk bands on the rounded probability.
 RISK_HIGH = 0.7
 RISK_MEDIUM = 0.4
@@ -227,10 +215,6 @@ def customer_schema() -> T.StructType:
     return T.StructType.fromDDL(", ".join(f"`{c}` {t}" for c, t, _ in CUSTOMER_COLUMNS))
 
 
-def log_schema() -> T.StructType:
-    return T.StructType.fromDDL(", ".join(f"`{c}` {t}" for c, t in LOG_COLUMNS))
-
-
 def customer_types() -> dict[str, str]:
     return {c: t for c, t, _ in CUSTOMER_COLUMNS}
 
@@ -238,11 +222,3 @@ def customer_types() -> dict[str, str]:
 def upload_csv_columns() -> list[str]:
     """The bulk-upload CSV carries every table column except tenure."""
     return [c for c, _, _ in CUSTOMER_COLUMNS if c != "tenure_in_months"]
-
-
-def scoring_csv_schema() -> T.StructType:
-    """Explicit schema of the scoring file: id, three numerics, sixteen categories."""
-    fields = [T.StructField("customer_id", T.StringType())]
-    fields += [T.StructField(c, T.StringType()) for c in NUMERIC_FEATURES]
-    fields += [T.StructField(c, T.StringType()) for c in CATEGORICAL_FEATURES]
-    return T.StructType(fields)

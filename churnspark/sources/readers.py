@@ -138,10 +138,17 @@ def page(df: DataFrame, key: str = S.KEY, limit: int | None = None, offset: int
 # -- A5: JSON envelope ---------------------------------------------------------------
 
 def read_json_records(spark: SparkSession, path: str, schema: T.StructType | None = None,
-                      field: str = "customers") -> DataFrame:
+                      field: str = "customers", lines: bool = False) -> DataFrame:
     """A bare JSON array of records, or an envelope ``{count, customers: [...]}``.
+    Either is one document, which one task must read whole; ``lines`` reads one record per
+    line, split over many tasks, and is the form for large sources.
     Raises when no record is found (no job beyond an emptiness probe)."""
     schema = schema or S.customer_schema()
+    if lines:
+        records = spark.read.schema(schema).json(path)
+        if records.isEmpty():
+            raise ValueError("the source returned 0 records")
+        return records
     env = T.StructType([T.StructField("count", T.LongType()),
                         T.StructField(field, T.ArrayType(schema))])
     raw = spark.read.option("multiLine", True).schema(env).json(path)

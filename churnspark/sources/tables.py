@@ -88,15 +88,17 @@ class VersionedTable:
         return self.read(version).persist(StorageLevel.MEMORY_AND_DISK)
 
     # -- write ---------------------------------------------------------------------
-    def publish(self, df: DataFrame, fingerprint_row=None) -> int:
+    def publish(self, df: DataFrame, fingerprint_row=None, clustered: bool = False) -> int:
         """Write ``df`` as the next version, then record it.  Rows are range-partitioned
-        and sorted by key so Parquet min/max statistics serve key lookups.  The catalog
+        and sorted by key so Parquet min/max statistics serve key lookups.  ``clustered`` says
+        that ``df`` keeps the partitions of a version that was (a small batch merged without a
+        shuffle): they are written as they stand, and ``df`` is evaluated once.  The catalog
         keeps the fingerprint when the caller already computed it (snapshot path);
         otherwise it is computed from the version's files only when first needed."""
         last = self.latest_version()
         v = 1 if last is None else last + 1
         out = df
-        if self.key and self.key in df.columns:
+        if self.key and self.key in df.columns and not clustered:
             out = (out.repartitionByRange(self.files_per_version, self.key) if self.files_per_version
                    else out.repartitionByRange(self.key)).sortWithinPartitions(self.key)
         try:
@@ -130,7 +132,7 @@ class VersionedTable:
         self._record(version, fp["n_rows"], fp["row_hash_sum"], fp["n_cols"], fp["schema"])
         return fp
 
-    def snapshot_if_changed(self, df: DataFrame) -> int | None:
+    def snapshot_if_changed(self, df: DataFrame, clustered: bool = False) -> int | None:
         """G3 + U2: publish a new version only when the bag of rows or the schema differs
         from the latest version (order-free fingerprint; one small aggregate job)."""
         fp = M.fingerprint(df).first().asDict()
@@ -139,16 +141,15 @@ class VersionedTable:
             old = self.fingerprint_of(last)
             if (old["n_rows"], old["row_hash_sum"], old["schema"]) == (fp["n_rows"], fp["row_hash_sum"], fp["schema"]):
                 return None
-        return self.publish(df, fingerprint_row=fp)
+        return self.publish(df, fingerprint_row=fp, clustered=clustered)
 
     def upsert(self, incoming: DataFrame, blanks: str = "overwrite", order=None) -> int:
         """Merge ``incoming`` into the latest version and publish the result."""
         last = self.latest_version()
         if last is None:
-            base = M.dedup_last(incoming, self.key, order)
-        else:
-            base = M.upsert(self.read(last), incoming, self.key, blanks=blanks, order=order)
-        return self.publish(base)
+            return self.publish(M.dedup_last(incoming, self.key, order))
+        merged, strategy = M.upsert_plan(self.read(last), incoming, self.key, blanks=blanks, order=order)
+        return self.publish(merged, clustered=strategy == "broadcast")
 
     def diff(self, old: int, new: int) -> tuple[DataFrame, DataFrame]:
         """(rows added in ``new``, rows removed since ``old``); a changed row is in both."""

@@ -99,8 +99,9 @@ def continuous_upsert(spark: SparkSession, source_path: str, table: VersionedTab
         last = table.latest_version()
         # the first version starts from an empty table with the full customer schema
         base = table.read(last) if last is not None else spark.createDataFrame([], S.customer_schema())
-        merged = M.upsert(base, incoming, table.key, blanks=blanks, order=["_ord"])
-        table.snapshot_if_changed(merged)
+        merged, strategy = M.upsert_plan(base, incoming, table.key, blanks=blanks, order=["_ord"])
+        # a micro-batch small enough to broadcast leaves the table where it stands
+        table.snapshot_if_changed(merged, clustered=strategy == "broadcast")
         release_caches()
 
     w = (_source(spark, source_path, schema, "csv", max_files_per_trigger).writeStream

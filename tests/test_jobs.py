@@ -56,6 +56,7 @@ def test_upload_csv(spark, tmp):
     res = J.upload_csv(spark, path, table)
     assert {r.status: r.n for r in res.summary.collect()} == {"saved": 3, "error": 1}
     assert [tuple(r) for r in res.errors.collect()] == [(3, "customer_id is required")]
+    assert [tuple(r) for r in res.saved.orderBy("row").collect()] == [(2, "X1"), (4, "X2"), (5, "X1")]
     got = {r.customer_id: (r.city, r.age) for r in table.read().collect()}
     assert got == {"X1": ("Oakland", 31), "X2": ("SF", None)}           # last row of a key wins
     # "30.0" is not an integer either (the database rejects it as well)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from churnspark import schema as S
 from churnspark.operators import clean as C
+from churnspark.operators import merge as M
 from churnspark.sources import readers as RD
 from churnspark.sources import tables as TB
 
@@ -78,6 +79,13 @@ def test_json_envelope_and_bare_list(spark, tmp):
     with open(bare, "w") as f:
         json.dump([{"customer_id": "c", "city": "X"}], f)
     assert RD.read_json_records(spark, bare).first()["city"] == "X"
+    lines = os.path.join(tmp, "lines.json")
+    with open(lines, "w") as f:
+        f.write('{"customer_id": "d", "age": 5}\n{"customer_id": "e"}\n')
+    assert [r["customer_id"] for r in RD.read_json_records(spark, lines, lines=True).orderBy("customer_id").collect()] == ["d", "e"]
+    open(os.path.join(tmp, "none.json"), "w").close()
+    with pytest.raises(ValueError):
+        RD.read_json_records(spark, os.path.join(tmp, "none.json"), lines=True)
     empty = os.path.join(tmp, "empty.json")
     with open(empty, "w") as f:
         json.dump({"count": 0, "customers": []}, f)
@@ -116,6 +124,29 @@ def test_versioned_table(spark, tmp):
     assert t.read(1).count() == 2 and t.cached().count() == 3
 
 
+def test_small_upsert_leaves_the_table_where_it_stands(spark, tmp, monkeypatch):
+    t = TB.VersionedTable(spark, os.path.join(tmp, "standing"), key="customer_id", files_per_version=4)
+    rows = spark.range(1000).select(F.format_string("%05d", "id").alias("customer_id"), F.lit("LA").alias("city"))
+    t.publish(rows)
+    batch = spark.createDataFrame([("00007", "SF"), ("99999", "SD")], rows.schema)
+
+    def refuse(*args, **kwargs):
+        raise AssertionError("the table was range-partitioned")
+
+    with monkeypatch.context() as m:
+        m.setattr(type(rows), "repartitionByRange", refuse)
+        assert t.upsert(batch) == 2
+    got = t.read()
+    assert got.count() == 1001 and got.select("customer_id").distinct().count() == 1001
+    assert {r.customer_id: r.city for r in got.filter("city <> 'LA'").collect()} == {"00007": "SF", "99999": "SD"}
+    # key ranges of the old files are still apart
+    spans = got.filter("customer_id < '99999'").groupBy(F.input_file_name().alias("f")).agg(
+        F.min("customer_id").alias("lo"), F.max("customer_id").alias("hi")).orderBy("lo").collect()
+    assert all(a.hi < b.lo for a, b in zip(spans, spans[1:]))
+    merged, strategy = M.upsert_plan(t.read(), batch, "customer_id", max_broadcast_bytes=0)
+    assert strategy == "shuffle" and merged.count() == 1001
+
+
 def test_table_cache_ttl(spark, tmp):
     t = TB.VersionedTable(spark, os.path.join(tmp, "cached"), key="customer_id")
     t.publish(spark.createDataFrame([("1", "LA")], "customer_id string, city string"))
