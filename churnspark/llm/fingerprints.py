@@ -4,14 +4,13 @@ Words are hashed; a k-mer is ``K`` words in a row and holds ``K - S + 1`` inner
 ``S`` words.  A k-mer is a closed syncmer, and its hash an anchor, when the smallest of its
 inner s-mer hashes is the first or the last one.  Whether a k-mer is an anchor depends on its
 own words alone, so that an edit changes only the anchors that overlap it.  The fingerprint
-keeps the ``SKETCH`` smallest distinct anchors, written as 16 hex digits each with the word
-position of its first occurrence, in order of hash.
+keeps every anchor at every place, written as 16 hex digits with its word position, in order
+of hash, then of position; it grows with the text.
 
-Likeness is the share of common anchors among the ``SKETCH`` smallest of both (the bottom
-sketch estimate of Jaccard similarity); ``aligned`` counts the common anchors that also stand
-at the same position.  Texts without a word have the empty fingerprint; two equal
-fingerprints have likeness 1, an empty and a non-empty one 0.  Texts of fewer than ``K``
-words have one anchor, the hash of all their words.
+Likeness is the Jaccard similarity of the two sets of anchors, exact; ``aligned`` counts the
+places where both texts have the same anchor at the same position.  Texts without a word have
+the empty fingerprint; two equal fingerprints have likeness 1, an empty and a non-empty one 0.
+Texts of fewer than ``K`` words have one anchor, the hash of all their words.
 
 Null texts count as empty.  Rows that share an id are ordered by text hash; rows equal in id
 and text count as one document in the order of documents and get equal results; a null id
@@ -26,12 +25,12 @@ from pyspark.sql import functions as F
 from churnspark.llm._shared import row_key, staged, table, text_or_empty, words_of
 from churnspark.operators.rows import positions
 
-K, S, SKETCH = 3, 1, 32
+K, S = 3, 1
 
 
 def with_anchors(df: DataFrame, text: str, name: str) -> DataFrame:
-    """Add ``name``: array of (h, p), the ``SKETCH`` smallest distinct anchors of the column
-    ``text`` with the position of their first occurrence."""
+    """Add ``name``: array of (h, p), all anchors of the column ``text`` with their positions,
+    in order of both."""
     h, s = F.col("_h"), F.col("_s")
     n = F.size("_h")
     inner = K - S + 1
@@ -47,29 +46,25 @@ def with_anchors(df: DataFrame, text: str, name: str) -> DataFrame:
         F.array().cast("array<struct<h:bigint,p:int>>"))
     every = F.when(n < K, short).otherwise(F.array_compact(F.transform(
         F.sequence(F.lit(0), F.greatest(n - K, F.lit(0))), anchor)))
-    df = df.withColumn("_a", F.sort_array(every)).drop("_s", "_h")
-    a = F.col("_a")
-    # smallest first; of equal hashes the first position is kept
-    first = F.filter(a, lambda x, i: (i == 0) | (x["h"] != F.get(a, i - 1)["h"]))
-    return df.withColumn(name, F.slice(first, 1, SKETCH)).drop("_a")
+    return df.withColumn(name, F.sort_array(every)).drop("_s", "_h")
 
 
 def as_string(anchors: Column) -> Column:
-    return F.concat_ws(",", F.transform(anchors, lambda x: F.concat(
-        F.lpad(F.lower(F.hex(x["h"])), 16, "0"), F.lit(":"), x["p"].cast("string"))))
+    return F.lower(F.concat_ws(",", F.transform(anchors, lambda x: F.concat(
+        F.lpad(F.hex(x["h"]), 16, "0"), F.lit(":"), x["p"].cast("string")))))
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """Jaccard estimate from two anchor arrays, 0 to 1."""
-    ha, hb = F.transform(a, lambda x: x["h"]), F.transform(b, lambda x: x["h"])
-    low = F.slice(F.array_sort(F.array_union(ha, hb)), 1, SKETCH)
-    common = F.size(F.array_intersect(F.array_intersect(ha, hb), low))
+    """Jaccard similarity of two anchor arrays, 0 to 1."""
+    common, either = F.size(F.array_intersect(a["h"], b["h"])), F.size(F.array_union(a["h"], b["h"]))
     return (F.when((F.size(a) == 0) & (F.size(b) == 0), F.lit(1.0))
-             .otherwise(common.cast("double") / F.greatest(F.size(low), F.lit(1))))
+             .otherwise(common.cast("double") / F.greatest(either, F.lit(1))))
 
 
 def aligned(a: Column, b: Column) -> Column:
-    return F.size(F.array_intersect(a, b)).cast("long")
+    """Common places.  Long hashes of (h, p), since structs are intersected pair by pair."""
+    pa, pb = (F.transform(x, lambda y: F.xxhash64(y["h"], y["p"])) for x in (a, b))
+    return F.size(F.array_intersect(pa, pb)).cast("long")
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -78,36 +73,30 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return with_anchors(base.withColumn("n_chars", F.length("t").cast("long")), "t", "anchors").drop("t")
 
 
-def _same_key(left: DataFrame, right: DataFrame, a: str, b: str):
-    return left[f"{a}id"].eqNullSafe(right[f"{b}id"]) & (left[f"{a}th"] == right[f"{b}th"])
-
-
 def with_edited(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Fingerprints of every text and of its edited text, with the anchors of the next document
     in descending order of id (after the last: the first).
 
     Only (id, text hash, length) is put in order.  Texts are shuffled once by their key; each
-    then sends its receiver (the document before it) its anchors and the prefix that the
-    receiver takes over, a third of a text on average."""
-    base = docs.select(*row_key(id_col, text_col), text_or_empty(text_col).alias("t"))
-    keys = base.select("id", "th", F.length("t").cast("long").alias("n_chars")).distinct()
+    is then sent to its receiver (the document before it), which takes over a prefix and
+    computes the anchors (a text is smaller than all its anchors)."""
+    # one column, equal for null ids too: the aggregate and the joins below share its partitions
+    key = F.struct(*row_key(id_col, text_col)).alias("key")
+    base = docs.select(key, text_or_empty(text_col).alias("t"))
+    keys = base.select("key.id", "key.th", F.length("t").cast("long").alias("n_chars")).distinct()
     order = [F.col("id").desc_nulls_last(), F.col("th").desc()]
     at = staged(positions(keys, order, name="pos"), "order")
     top = at.agg(F.max("pos").alias("top")).scalar()
-    want = at.select(F.col("id").alias("r_id"), F.col("th").alias("r_th"), F.expr("n_chars div 3").alias("takes"),
+    want = at.select(F.struct("id", "th").alias("receiver"), F.expr("n_chars div 3").alias("takes"),
                      (F.col("pos") % top + 1).alias("pos"))
-    link = staged(want.join(at.select("pos", F.col("id").alias("d_id"), F.col("th").alias("d_th")), "pos")
-                  .drop("pos"), "links")
+    link = staged(want.join(at.select("pos", F.struct("id", "th").alias("key")), "pos").drop("pos"), "links")
 
-    sent = base.join(link, _same_key(base, link, "", "d_"))
-    sent = with_anchors(sent.select("r_id", "r_th", "takes", "t"), "t", "next_anchors").select(
-        "r_id", "r_th", "takes", "next_anchors", F.expr("substring(t, 1, int(takes))").alias("part"))
     # rows equal in id and text send the same once
-    sent = sent.groupBy("r_id", "r_th").agg(*[F.first(c).alias(c) for c in ("takes", "next_anchors", "part")])
-    both = base.join(sent, _same_key(base, sent, "", "r_")).select(
-        "id", "th", "t", F.concat(F.expr("substring(t, 1, int(length(t) - takes))"), F.col("part")).alias("e"),
-        "next_anchors")
-    both = with_anchors(both, "t", "anchors").select(
+    sent = base.join(link, "key").select(F.col("receiver").alias("key"), "takes", F.col("t").alias("next"))
+    sent = sent.groupBy("key").agg(*[F.first(c).alias(c) for c in ("takes", "next")])
+    edited = F.concat(F.expr("substring(t, 1, int(length(t) - takes))"), F.expr("substring(next, 1, int(takes))"))
+    both = base.join(sent, "key").select("key.id", "key.th", "t", "next", edited.alias("e"))
+    both = with_anchors(with_anchors(both, "next", "next_anchors").drop("next"), "t", "anchors").select(
         "id", "th", F.length("t").cast("long").alias("n_chars"), "e", "anchors", "next_anchors",
         F.sha2("e", 256).alias("edited_sha256"))
     return with_anchors(both, "e", "edited_anchors").drop("e")

@@ -42,3 +42,22 @@ def test_edge_rows(edge, nothing, spark):
     assert len(rows) == 2 and rows[0] == rows[1]
     one = spark.createDataFrame([(1, "abc def")], "doc_id long, text string")
     assert P.with_edited(one).first().edited_sha256 == hashlib.sha256(b"abc dab").hexdigest()
+
+
+def test_every_anchor_is_kept(spark):
+    """Long texts keep anchors all along, repeated ones at each place; likeness and aligned are exact."""
+    t = [f"w{k}" for k in range(900)]
+    lines = " ".join([*t[:300], *t[:300]])
+    rows = [(1, " ".join(t)), (2, " ".join([*t[:20], *(f"x{k}" for k in range(880))])), (3, lines)]
+    got = {r.id: [(x.h, x.p) for x in r.anchors] for r in
+           P.fingerprints(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    places = sorted(p for _, p in got[1])
+    assert len(places) > 500 and max(b - a for a, b in zip(places, places[1:])) < 20 and places[-1] > 880
+    twice = {h for h, p in got[3] if p < 297} & {h for h, p in got[3] if p >= 300}
+    assert len(twice) > 150 and len(got[3]) > len({h for h, _ in got[3]})
+    pair = spark.createDataFrame([(got[1], got[2])], "a array<struct<h:bigint,p:int>>, b array<struct<h:bigint,p:int>>")
+    row = pair.select(P.likeness(F.col("a"), F.col("b")), P.aligned(F.col("a"), F.col("b")), P.as_string(F.col("a"))).first()
+    one, two = ({h for h, _ in got[k]} for k in (1, 2))
+    assert 0 < row[0] == len(one & two) / len(one | two) < .02
+    assert row[1] == len(set(got[1]) & set(got[2])) > 5
+    assert row[2] == ",".join(f"{h % 2 ** 64:016x}:{p}" for h, p in got[1])
