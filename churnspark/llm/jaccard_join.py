@@ -228,8 +228,9 @@ def components(edges: DataFrame) -> DataFrame:
 
 def _bound(n: str, s: str, m: str, o: str):
     """Can sets of n and m shingles, s and o of them shared by anyone, be linked?"""
-    k = F.least(F.col(s), F.col(o))
-    return 100 * k >= PERCENT * (F.col(n) + F.col(m) - k)
+    n, s, m, o = (F.col(c).cast("long") for c in (n, s, m, o))
+    k = F.least(s, o)
+    return 100 * k >= PERCENT * (n + m - k)
 
 
 def candidate_classes(reps: DataFrame) -> DataFrame:
@@ -238,7 +239,7 @@ def candidate_classes(reps: DataFrame) -> DataFrame:
     shared = posts.groupBy("token").agg(F.count(F.lit(1)).alias("df")).filter("df > 1").select("token")
     hits = posts.join(shared, "token").groupBy("rec").agg(F.count(F.lit(1)).alias("hits"))
     # a linked set has at least 0.9 n shingles, and so its own l at least 0.9 times as much
-    need = F.greatest(F.lit(1), F.expr(f"n * {EVIDENCE * PERCENT} div 100000"))
+    need = F.greatest(F.lit(1), F.expr(f"bigint(n) * {EVIDENCE * PERCENT} div 100000"))
     return reps.drop("prefix").join(hits, "rec").filter(F.col("hits") >= need).drop("hits")
 
 
@@ -248,7 +249,7 @@ def short_lists(sets: DataFrame) -> DataFrame:
     df = posts.groupBy("token").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
     own = posts.join(df, "token").groupBy("rec").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("own"))
     own = own.join(sets.select("rec", F.size("tokens").alias("n")), "rec").withColumn("s", F.size("own"))
-    t = F.ceil(F.col("n") * PERCENT / 100).cast("int")
+    t = F.ceil(F.col("n").cast("long") * PERCENT / 100).cast("int")
     own = own.filter(F.col("s") >= t)
     return own.select("rec", "n", "s", F.explode(F.slice("own", 1, F.col("s") - t + 1)).alias("x")).select(
         "rec", "n", "s", F.col("x.token").alias("token"))

@@ -66,6 +66,13 @@ def test_one_row_of_repeated_rows_stays(spark):
     assert [tuple(r) for r in J.keep_one(docs).collect()] == [(1, text, "a")]
 
 
+def test_sets_of_over_120_000_shingles(spark):
+    words = [f"w{k}" for k in range(121_000)]
+    near = [f"x{k}" if k % 9000 == 5 else w for k, w in enumerate(words)]
+    want = check([(1, " ".join(words)), (2, " ".join(near)), (3, "w1 w2 w3")], spark)
+    assert [c for _, _, c in want] == [1, 1, 3]
+
+
 def test_divide_skip_counts_occurrences():
     rnd = random.Random(9)
     for _ in range(200):
