@@ -11,6 +11,9 @@ empty texts have length 0 and take one slot of the smallest bucket; documents lo
 budget form batches of one; equal lengths share a bucket; repeated rows are packed each; an
 empty table gives no rows.  A bucket with a third of all rows is numbered over many
 partitions.
+
+The query measures encoded tokens (operator 4's tokenizer file); without a tokenizer ``pack``
+counts words or takes a given length column.
 """
 
 from __future__ import annotations
@@ -19,6 +22,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from churnspark.llm import bpe
 from churnspark.llm._shared import row_key, staged, table, text_or_empty, words_of
 from churnspark.operators.rows import positions
 
@@ -83,12 +87,19 @@ def padded(n: Column, multiple: int = MULTIPLE) -> Column:
 
 
 def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: Column | None = None,
-         n_buckets: int = N_BUCKETS, multiple: int = MULTIPLE, token_budget: int = TOKEN_BUDGET) -> DataFrame:
+         n_buckets: int = N_BUCKETS, multiple: int = MULTIPLE, token_budget: int = TOKEN_BUDGET,
+         tokenizer: str | None = None) -> DataFrame:
     """One row per input row: ``doc_id``, ``n_tokens``, ``bucket`` (its length), ``batch`` and
-    ``slot`` (both from 0, inside the bucket) and ``padding``."""
-    n = word_length(text_or_empty(text_col)) if length is None else F.coalesce(length.cast("long"), F.lit(0))
-    rows = docs.select(*row_key(id_col, text_col), n.alias("n_tokens")).withColumn("padded", padded(F.col("n_tokens"), multiple))
-    rows = staged(rows, "lengths")
+    ``slot`` (both from 0, inside the bucket) and ``padding``.  With the path of a ``tokenizer``
+    file, lengths are encoded tokens."""
+    key = row_key(id_col, text_col)
+    if tokenizer is not None:
+        texts = docs.select(F.struct(*key).alias("key"), text_or_empty(text_col).alias("t"))
+        rows = bpe.encoded_lengths(texts, tokenizer, "key", "t").select("doc_id.id", "doc_id.th", "n_tokens")
+    else:
+        n = word_length(text_or_empty(text_col)) if length is None else F.coalesce(length.cast("long"), F.lit(0))
+        rows = docs.select(*key, n.alias("n_tokens"))
+    rows = staged(rows.withColumn("padded", padded(F.col("n_tokens"), multiple)), "lengths")
     hist = histogram(rows, multiple).collect()
     bounds = best_buckets([r.padded for r in hist], [r.n_docs for r in hist], n_buckets)
     if not bounds:
@@ -106,4 +117,4 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack(table(spark, sf_dir, "documents"))
+    return pack(table(spark, sf_dir, "documents"), tokenizer=bpe.tokenizer_path())

@@ -1,7 +1,9 @@
 import itertools
 import random
 
-from churnspark.llm import packing
+from tokenizers import Tokenizer
+
+from churnspark.llm import bpe, packing
 
 
 def padding(bounds, lengths, counts):
@@ -34,3 +36,22 @@ def test_batches(edge, nothing):
         cap = max(1, 4096 // b)
         assert slots == [(k // cap, k % cap) for k in range(len(slots))]
     assert packing.pack(nothing).count() == 0
+
+
+def test_lengths_are_encoded_tokens(spark, edge):
+    lib = Tokenizer.from_file(bpe.tokenizer_path())
+    n_tokens = lambda t: len(lib.encode(t or "", add_special_tokens=False).ids)
+    sf = "/root/testdata/sf0.001"
+    want = {r.doc_id: n_tokens(r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    rows = packing.query(spark, sf).collect()
+    assert {r.doc_id: r.n_tokens for r in rows} == want and len(rows) == len(want)
+    # batches hold the budget in tokens
+    held = {}
+    for r in rows:
+        held[r.bucket, r.batch] = held.get((r.bucket, r.batch), 0) + r.bucket
+    assert all(n <= max(packing.TOKEN_BUDGET, b) for (b, _), n in held.items())
+    by_row = sorted(((r.doc_id, n_tokens(r.text)) for r in edge.collect()), key=repr)
+    got = packing.pack(edge, tokenizer=bpe.tokenizer_path()).collect()
+    assert sorted(((r.doc_id, r.n_tokens) for r in got), key=repr) == by_row
+    solid = spark.createDataFrame([(1, "ab9" * 5000), (2, "a")], "doc_id long, text string")
+    assert {r.doc_id: r.bucket for r in packing.pack(solid, tokenizer=bpe.tokenizer_path()).collect()}[1] > 1000
