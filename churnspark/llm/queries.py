@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from churnspark.llm import (bpe, chat_format, fingerprints, jaccard_join, licenses, line_dedup, packing,
-                            quality_rules, secrets, token_counts)
+from churnspark.llm import (alignment, bpe, chat_format, fingerprints, jaccard_join, licenses, line_dedup, packing,
+                            quality_rules, resampling, ring, secrets, token_counts)
 
 QUERIES = {
     "op1_line_dedup": line_dedup.query,
@@ -16,6 +16,9 @@ QUERIES = {
     "op8_token_counts": token_counts.query,
     "op9_fingerprints": fingerprints.query,
     "op10_chat_format": chat_format.query,
+    "op11_tokenizer_alignment": alignment.query,
+    "op12_importance_resampling": resampling.query,
+    "op13_ring_sharding": ring.query,
 }
 
 ORACLES = {
