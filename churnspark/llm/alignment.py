@@ -7,18 +7,21 @@ split between tokens, byte-fallback tokens) are told apart by the lengths of the
 Places where tokens of both end cut a text into groups; every pair of tokens whose byte ranges
 overlap is a link.
 
+No token of either tokenizer reaches over a single space between two other characters (see
+``Tokenizers``), so texts are cut into chunks there, a chunk is aligned once and found again in a
+dictionary of bounded size.
+
 Links are counted over the corpus in two steps.  A task works in blocks of about ``BLOCK_CHARS``
-characters of whole texts and writes, per text, its links as codes into the block's own list of
-distinct id pairs, and per block that list with counts.  Only these lists are shuffled to be
-summed; the sums travel back to their block, never to the driver or to every executor.  Joins are
-on the id pair, where a frequent pair is one row a block, and on the block, whose size is bounded
-by ``BLOCK_CHARS`` and the longest text.
+characters of whole texts and writes, per text, its chunks as codes into the block's own list of
+distinct chunks, and per block that list with its id pairs and their counts.  Only the pairs are
+shuffled to be summed; the sums travel back to their block, never to the driver or to every
+executor.  Joins are on the id pair, where a frequent pair is one row a block, and on the block,
+whose size is bounded by ``BLOCK_CHARS`` and the longest text.
 
 Null and empty texts, and texts whose joined token bytes differ from space + text, have no tokens:
-zeros and an empty ``groups_sha256``.  Very long texts are encoded in segments cut at a space
-between two letters (no token of either tokenizer reaches over one, see ``Tokenizers``); a text
-without such a place is encoded whole.  Ties for the best partner of a B id all count as best.  Each
-of repeated rows counts.  Extra columns are not read.  An empty table gives no rows.
+zeros and an empty ``groups_sha256``.  Very long texts are read piece by piece; a chunk is encoded
+whole, however long.  Ties for the best partner of a B id all count as best.  Each of repeated rows
+counts.  Extra columns are not read.  An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -26,11 +29,13 @@ from __future__ import annotations
 import hashlib
 import os
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,12 +43,17 @@ from pyspark.sql import functions as F
 from churnspark.llm._shared import col, staged, table, text_or_empty
 from churnspark.llm.bpe import byte_alphabet, read_tokenizer
 
-#: Characters of whole texts that share one list of id pairs.
-BLOCK_CHARS = 8_000_000
-#: Characters encoded at once, and of a segment of a longer text.
-CHUNK_CHARS = 500_000
-#: Where a long text may be cut: before a space between two letters.
-_CUT = re.compile("(?<=[A-Za-z])(?= [A-Za-z])")
+#: Characters of whole texts that share one list of chunks and id pairs.
+BLOCK_CHARS = 16_000_000
+#: Characters of texts that are cut and looked up at once.
+PIECE_CHARS = 1_000_000
+#: Characters of unknown chunks that are encoded as one text.
+PART_CHARS = 4_000
+#: A dictionary of more chunks, or characters in chunks, starts anew with the next block.
+KEPT_CHUNKS = 200_000
+KEPT_CHARS = 4_000_000
+#: Where a text may be cut: before a single space between two other characters.
+_CUT = re.compile(r"(?<=\S)(?= \S)")
 
 
 class Tokenizers:
@@ -67,7 +77,7 @@ class Tokenizers:
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.bytes_b = [bytes([int(p[3:-1], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode()
                         for i, p in enumerate(pieces)]
-        # A starts a new word at such a space by its pattern; B must hold no piece that goes on over one
+        # A's pattern starts a new word at a single space; B must hold no piece that goes on over one
         self.can_cut = not any("▁" in p.lstrip("▁") for p in pieces)
         self.len_a = np.array([len(x) for x in self.bytes_a], dtype=np.int64)
         self.len_b = np.array([len(x) for x in self.bytes_b], dtype=np.int64)
@@ -80,17 +90,17 @@ def tokenizers_of(raw_a: bytes, raw_b: bytes) -> Tokenizers:
     return Tokenizers(raw_a, raw_b)
 
 
-def segments(text: str, can_cut: bool, size: int = CHUNK_CHARS) -> list[str]:
-    """Space + text in segments that all begin with a space."""
-    full = " " + text
-    out, start = [], 0
-    while can_cut and len(full) - start > size:
-        cut = _CUT.search(full, start + size)
-        if cut is None:
-            break
-        out.append(full[start:cut.start()])
-        start = cut.start()
-    return [*out, full[start:]]
+def cut(text: str, can_cut: bool, size: int = PIECE_CHARS) -> Iterator[list[str]]:
+    """Chunks of space + text, a list for every ``size`` characters or so."""
+    full, start = " " + text, 0
+    if not can_cut:
+        yield [full]
+        return
+    while start < len(full):
+        end = _CUT.search(full, start + size) if len(full) - start > size else None
+        stop = len(full) if end is None else end.start()
+        yield _CUT.split(full[start:stop])
+        start = stop
 
 
 def refine(begin: np.ndarray, end: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -113,7 +123,8 @@ def char_starts(text: str) -> np.ndarray | None:
 
 
 def encode(tok: Tokenizers, parts: list[str]) -> Iterator[tuple[np.ndarray, ...] | None]:
-    """(A ids, A byte ends, B ids, B byte ends) of each segment, None where joined bytes differ."""
+    """(A ids, A byte ends, B ids, B byte ends) of each part (all begin with a space), None where
+    joined bytes differ."""
     for part, a, b in zip(parts, tok.a.encode_batch(parts, add_special_tokens=False),
                           tok.b.encode([p[1:] for p in parts], return_type="proto", num_threads=1)):
         raw = part.encode()
@@ -123,11 +134,11 @@ def encode(tok: Tokenizers, parts: list[str]) -> Iterator[tuple[np.ndarray, ...]
             yield None
             continue
         ids_a = np.array(ids_a, dtype=np.int64)
-        at = np.array(a.offsets, dtype=np.int64).reshape(-1, 2)
+        at = np.fromiter(chain.from_iterable(a.offsets), dtype=np.int64, count=2 * len(ids_a)).reshape(-1, 2)
         starts = char_starts(part)
         if starts is not None:
             at = starts[at]
-        spans = np.array(pieces, dtype=np.int64).reshape(-1, 3)
+        spans = np.fromiter(chain.from_iterable(pieces), dtype=np.int64, count=3 * len(pieces)).reshape(-1, 3)
         # B's spans are byte places in the text: one more with the space, which the first token holds
         begin = spans[:, 1] + 1
         begin[0] = 0
@@ -135,8 +146,9 @@ def encode(tok: Tokenizers, parts: list[str]) -> Iterator[tuple[np.ndarray, ...]
                spans[:, 0], refine(begin, spans[:, 2] + 1, tok.len_b[spans[:, 0]]))
 
 
-def align(tok: Tokenizers, ids_a, ends_a, ids_b, ends_b) -> tuple[int, np.ndarray, str]:
-    """(groups, id pairs of the links in order, group text) of one segment."""
+def align(tok: Tokenizers, chunks: list[str], ids_a, ends_a, ids_b, ends_b) -> Iterator[tuple[int, int, int, np.ndarray, str]]:
+    """(A tokens, B tokens, groups, id pairs of the links in order, group text) of each chunk of an
+    encoded part."""
     common = np.intersect1d(ends_a, ends_b, assume_unique=True)
     cuts = np.union1d(ends_a, ends_b)
     # between two neighbouring cuts lies one token of each: one link
@@ -147,105 +159,184 @@ def align(tok: Tokenizers, ids_a, ends_a, ids_b, ends_b) -> tuple[int, np.ndarra
     # A's tokens of a group stand before B's: places by the other side's tokens of earlier groups
     order[np.arange(n_a) + np.searchsorted(group_b, group_a)] = ids_a * 3 + last_a
     order[np.arange(n_b) + np.searchsorted(group_a, group_b, side="right")] = ids_b * 3 + 2 * last_b
-    return len(common), links, "".join([tok.names[k] for k in order.tolist()])
+    names = [tok.names[k] for k in order.tolist()]
+    bounds = np.cumsum([len(c.encode()) for c in chunks])
+    a, b, g, u = (np.searchsorted(x, bounds, side="right").tolist() for x in (ends_a, ends_b, common, cuts))
+    if not np.array_equal(common[np.array(g) - 1], bounds):
+        raise ValueError("a token reaches over a chunk")
+    pa_, pb, pg, pu = 0, 0, 0, 0
+    for k in range(len(chunks)):
+        yield a[k] - pa_, b[k] - pb, g[k] - pg, links[pu:u[k]], "".join(names[pa_ + pb:a[k] + b[k]])
+        pa_, pb, pg, pu = a[k], b[k], g[k], u[k]
 
 
-class Block:
-    """Texts that share one list of id pairs."""
+class Chunks:
+    """Aligned chunks by number.  A chunk whose bytes differ has no tokens and ``sound`` false."""
 
     def __init__(self, tok: Tokenizers):
-        self.tok, self.rows, self.pending, self.links, self.chars, self.waiting = tok, [], [], [], 0, 0
+        self.tok = tok
+        self.clear()
+
+    def clear(self) -> None:
+        self.number: dict[str, int] = {}
+        self.chars = 0
+        self.sizes: list[tuple[int, int, int]] = []
+        self.sound: list[bool] = []
+        self.links: list[np.ndarray] = []
+        self.texts: list[str] = []
+
+    def _keep(self, chunk: str, got: tuple | None) -> None:
+        self.number[chunk] = len(self.sizes)
+        self.chars += len(chunk)
+        self.sound.append(got is not None)
+        self.sizes.append(got[:3] if got else (0, 0, 0))
+        self.links.append(got[3].copy() if got else np.empty(0, dtype=np.int64))
+        self.texts.append(got[4] if got else "")
+
+    def learn(self, chunks: Iterable[str]) -> None:
+        """Unknown chunks that begin with one space and end with another character can follow each
+        other in one text; the others are encoded alone."""
+        parts, size = [[]], 0
+        for c in chunks:
+            if self.tok.can_cut and len(c) > 1 and not c[1].isspace() and not c[-1].isspace():
+                parts[-1].append(c)
+                size += len(c)
+                if size >= PART_CHARS:
+                    parts.append([])
+                    size = 0
+            else:
+                parts.insert(0, [c])
+        parts = [p for p in parts if p]
+        for k in range(0, len(parts), 64):
+            self._learn(parts[k:k + 64])
+
+    def _learn(self, parts: list[list[str]]) -> None:
+        unsound = []
+        for part, got in zip(parts, encode(self.tok, ["".join(p) for p in parts])):
+            if got is not None:
+                for c, x in zip(part, align(self.tok, part, *got)):
+                    self._keep(c, x)
+            elif len(part) == 1:
+                self._keep(part[0], None)
+            else:
+                unsound += [[c] for c in part]
+        if unsound:
+            self._learn(unsound)
+
+
+class Block:
+    """Texts that share one list of chunks and id pairs."""
+
+    def __init__(self, known: Chunks):
+        self.known, self.numbers, self.digests, self.pending = known, [], [], []
+        self.chars = self.waiting = 0
 
     def add(self, text: str) -> None:
         self.chars += len(text)
+        if len(text) > PIECE_CHARS:
+            self.flush()
+            self._take(cut(text, self.known.tok.can_cut, PIECE_CHARS))
+            return
         self.waiting += len(text)
-        self.pending.append(segments(text, self.tok.can_cut) if text else [])
-        if self.waiting >= CHUNK_CHARS:
+        self.pending.append(next(cut(text, self.known.tok.can_cut, PIECE_CHARS)) if text else [])
+        if self.waiting >= PIECE_CHARS:
             self.flush()
 
     def flush(self) -> None:
-        tok, parts = self.tok, [p for ps in self.pending for p in ps]
-        done = iter([])
-        if parts:
-            done = encode(tok, parts)
-        for ps in self.pending:
-            n_a = n_b = n_groups = 0
-            links, digest, whole = [], hashlib.sha256(), bool(ps)
-            for k, _ in enumerate(ps):
-                got = next(done)
-                if got is None or not whole:
-                    whole = False
-                    continue
-                groups, pairs, text = align(tok, *got)
-                n_a, n_b, n_groups = n_a + len(got[0]), n_b + len(got[2]), n_groups + groups
-                links.append(pairs)
-                digest.update((text[:-1] if k == len(ps) - 1 else text).encode())
-            if whole:
-                self.links.append(np.concatenate(links))
-                self.rows.append((n_a, n_b, n_groups, len(self.links[-1]), digest.hexdigest()))
-            else:
-                self.links.append(np.empty(0, dtype=np.int64))
-                self.rows.append((0, 0, 0, 0, ""))
+        number = self.known.number
+        self.known.learn({c: None for cs in self.pending for c in cs if c not in number})
+        for cs in self.pending:
+            self._take([cs] if cs else [])
         self.pending, self.waiting = [], 0
 
-    def coded(self) -> tuple[list[bytes], bytes, bytes]:
-        """Links of each text as places in the block's list of pairs, the list and its counts."""
-        pairs, codes, counts = np.unique(np.concatenate(self.links), return_inverse=True, return_counts=True)
-        # frequent pairs get small codes, which pack better
-        order = np.argsort(-counts, kind="stable")
-        place = np.empty(len(order), dtype=np.uint32)
-        place[order] = np.arange(len(order), dtype=np.uint32)
-        cut = np.split(place[codes.ravel()], np.cumsum([len(x) for x in self.links])[:-1])
-        return ([x.astype("<u4").tobytes() for x in cut], pairs[order].astype("<i8").tobytes(),
-                counts[order].astype("<i8").tobytes())
+    def _take(self, pieces: Iterable[list[str]]) -> None:
+        known, parts, digest, held, sound = self.known, [], hashlib.sha256(), "", True
+        for cs in pieces:
+            known.learn({c: None for c in cs if c not in known.number})
+            ks = [known.number[c] for c in cs]
+            sound = sound and all([known.sound[k] for k in ks])
+            text = held + "".join([known.texts[k] for k in ks])
+            # the last semicolon ends the text and is left out
+            digest.update(text[:-1].encode())
+            held = text[-1:]
+            parts.append(np.array(ks, dtype=np.int64))
+        whole = sound and bool(parts)
+        self.numbers.append(np.concatenate(parts) if whole else np.empty(0, dtype=np.int64))
+        self.digests.append(digest.hexdigest() if whole else "")
+
+    def coded(self) -> tuple[list[list], list[bytes]]:
+        """Columns of the text rows (sizes, links, digests and chunk codes), and of the block's list:
+        id pairs, their counts, the links of its chunks as places in the pairs, links per chunk."""
+        known, lengths = self.known, np.array([len(x) for x in self.numbers])
+        every = np.concatenate(self.numbers)
+        sizes = np.array(known.sizes, dtype=np.int64).reshape(-1, 3)
+        n_links = np.array([len(x) for x in known.links], dtype=np.int64)
+        ends = np.concatenate([[0], np.cumsum(lengths)])
+        sums = [np.concatenate([[0], np.cumsum(x[every])])[ends] for x in (*sizes.T, n_links)]
+        cols = [np.diff(x).tolist() for x in sums] + [self.digests]
+        times = np.bincount(every, minlength=len(sizes))
+        # frequent chunks get small codes, which pack better
+        used = np.argsort(-times, kind="stable")[:np.count_nonzero(times)]
+        place = np.zeros(len(sizes), dtype="<u4")
+        place[used] = np.arange(len(used))
+        cols.append([x.tobytes() for x in np.split(place[every], ends[1:-1])])
+        if not len(used):
+            return cols, []
+        links = np.concatenate([known.links[k] for k in used.tolist()])
+        pairs, at = np.unique(links, return_inverse=True)
+        counts = np.zeros(len(pairs), dtype="<i8")
+        np.add.at(counts, at, np.repeat(times[used], n_links[used]))
+        return cols, [pairs.astype("<i8").tobytes(), counts.tobytes(), at.astype("<u4").tobytes(),
+                      n_links[used].astype("<u4").tobytes()]
 
 
 _TEXT_ROW = [("n_a", "bigint", pa.int64()), ("n_b", "bigint", pa.int64()), ("n_groups", "bigint", pa.int64()),
-             ("n_links", "bigint", pa.int64()), ("groups_sha256", "string", pa.string())]
+             ("n_links", "bigint", pa.int64()), ("groups_sha256", "string", pa.string()), ("codes", "binary", pa.binary())]
+_LIST_ROW = ["pairs", "counts", "chunk_links", "chunk_sizes"]
 
 
 def encoded_blocks(docs: DataFrame, path_a: str, path_b: str, id_col: str, text_col: str,
                    block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """One row per text (``is_list`` false, ``codes``: places of its links in the block's list) and
-    one per block (``is_list`` true, ``codes``: its id pairs, ``counts``)."""
+    """One row per text (``is_list`` false, ``codes``: its chunks as places in the block's list) and
+    one per block (``is_list`` true: the list, see ``Block.coded``)."""
     sc = docs.sparkSession.sparkContext
     raw_a, raw_b = sc.broadcast(read_tokenizer(path_a)), sc.broadcast(read_tokenizer(path_b))
     id_type = docs.schema[id_col].dataType.simpleString()
-    schema = f"is_list boolean, block bigint, doc_id {id_type}, " + ", ".join(f"{n} {t}" for n, t, _ in _TEXT_ROW) + \
-        ", codes binary, counts binary"
+    schema = f"is_list boolean, block bigint, doc_id {id_type}, " + ", ".join(
+        [f"{n} {t}" for n, t, _ in _TEXT_ROW] + [f"{n} binary" for n in _LIST_ROW])
+    names = ["is_list", "block", "doc_id", *[x[0] for x in _TEXT_ROW], *_LIST_ROW]
 
     def run(batches):
-        tok = tokenizers_of(raw_a.value, raw_b.value)
-        block, ids, number = Block(tok), [], TaskContext.get().partitionId() << 32
+        known = Chunks(tokenizers_of(raw_a.value, raw_b.value))
+        block, ids, number = Block(known), [], TaskContext.get().partitionId() << 32
 
-        def rows(field: pa.Field) -> Iterator[pa.RecordBatch]:
+        def rows(id_type: pa.DataType) -> Iterator[pa.RecordBatch]:
             block.flush()
-            codes, pairs, counts = block.coded()
-            n = len(block.rows)
-            names = ["is_list", "block", "doc_id", *[x[0] for x in _TEXT_ROW], "codes", "counts"]
-            cols = [pa.array([False] * n), pa.array([number] * n, pa.int64()), pa.chunked_array(ids, field.type).combine_chunks()]
-            cols += [pa.array(list(c), x[2]) for c, x in zip(zip(*block.rows), _TEXT_ROW)]
-            cols += [pa.array(codes, pa.binary()), pa.nulls(n, pa.binary())]
-            yield pa.RecordBatch.from_arrays(cols, names)
-            if pairs:
-                one = [pa.array([True]), pa.array([number], pa.int64()), pa.nulls(1, field.type)]
-                one += [pa.nulls(1, x[2]) for x in _TEXT_ROW] + [pa.array([pairs], pa.binary()), pa.array([counts], pa.binary())]
-                yield pa.RecordBatch.from_arrays(one, names)
-
-        field = None
+            cols, listed = block.coded()
+            n = len(block.digests)
+            start = [pa.array([False] * n), pa.array([number] * n, pa.int64()), pa.chunked_array(ids, id_type).combine_chunks()]
+            yield pa.RecordBatch.from_arrays(start + [pa.array(c, x[2]) for c, x in zip(cols, _TEXT_ROW)] +
+                                             [pa.nulls(n, pa.binary())] * len(_LIST_ROW), names)
+            if listed:
+                start = [pa.array([True]), pa.array([number], pa.int64()), pa.nulls(1, id_type)]
+                yield pa.RecordBatch.from_arrays(start + [pa.nulls(1, x[2]) for x in _TEXT_ROW] +
+                                                 [pa.array([x], pa.binary()) for x in listed], names)
+            if len(known.number) > KEPT_CHUNKS or known.chars > KEPT_CHARS:
+                known.clear()
+
         for batch in batches:
-            field, start = batch.schema[0], 0
+            kind, start = batch.schema[0].type, 0
             for k, text in enumerate(batch.column(1).to_pylist()):
                 block.add(text)
                 if block.chars >= block_chars:
                     ids.append(batch.column(0).slice(start, k + 1 - start))
                     start = k + 1
-                    yield from rows(field)
-                    block, ids, number = Block(tok), [], number + 1
+                    yield from rows(kind)
+                    block, ids, number = Block(known), [], number + 1
             if start < batch.num_rows:
                 ids.append(batch.column(0).slice(start))
         if ids:
-            yield from rows(field)
+            yield from rows(kind)
 
     texts = docs.select(col(id_col).alias("doc_id"), text_or_empty(text_col).alias("t"))
     return texts.mapInArrow(run, schema)
@@ -263,18 +354,25 @@ def _listed(batches):
                     ["block", "code", "pair", "n"])
 
 
-def _summed(texts: pa.Table, pairs: pa.Table) -> pa.Table:
-    """Corpus counts of a block's pairs, summed over the links of each of its texts."""
-    size = pairs.num_rows
-    total, best = np.zeros(size + 1, dtype=np.int64), np.zeros(size + 1, dtype=np.int64)
-    if size:
+def _summed(rows: pa.Table, pairs: pa.Table) -> pa.Table:
+    """Corpus counts of a block's pairs, summed over the links of its chunks, then over the chunks of
+    its texts."""
+    total = best = np.zeros(0, dtype=np.int64)
+    for one in rows.filter(rows["is_list"]).select(["chunk_links", "chunk_sizes"]).to_pylist():
         code = pairs["code"].to_numpy()
-        total[code], best[code] = pairs["total"].to_numpy(), pairs["is_best"].to_numpy()
+        links, sizes = np.frombuffer(one["chunk_links"], dtype="<u4"), np.frombuffer(one["chunk_sizes"], dtype="<u4")
+        starts = np.cumsum(sizes, dtype=np.int64) - sizes
+        of_pair = np.empty(pairs.num_rows, dtype=np.int64)
+        of_pair[code] = pairs["total"].to_numpy()
+        total = np.add.reduceat(of_pair[links], starts)
+        of_pair[code] = pairs["is_best"].to_numpy()
+        best = np.add.reduceat(of_pair[links], starts)
+    texts = rows.filter(pc.invert(rows["is_list"]))
     sums = []
-    for codes in texts["codes"]:
-        c = np.frombuffer(codes.as_buffer(), dtype="<u4")
+    for codes in texts["codes"].to_pylist():
+        c = np.frombuffer(codes, dtype="<u4")
         sums.append((int(best[c].sum()), int(total[c].sum())))
-    out = texts.drop_columns(["block", "codes"])
+    out = texts.drop_columns(["is_list", "block", "codes", "chunk_links", "chunk_sizes"])
     return out.append_column("n_best", pa.array([x[0] for x in sums], pa.int64())) \
               .append_column("count_sum", pa.array([x[1] for x in sums], pa.int64()))
 
@@ -297,14 +395,14 @@ def align_tokenizers(docs: DataFrame, path_a: str, path_b: str, id_col: str = "d
     spark = docs.sparkSession
     blocks = staged(encoded_blocks(docs, path_a, path_b, id_col, text_col, block_chars), "aligned")
     size_b = _size_b(path_b)
-    listed = blocks.filter("is_list").select("block", "codes", "counts").mapInArrow(
+    listed = blocks.filter("is_list").select("block", "pairs", "counts").mapInArrow(
         _listed, "block bigint, code int, pair bigint, n bigint")
     pairs = listed.join(pair_counts(listed, size_b), "pair").select("block", "code", "total", "is_best")
-    texts = blocks.filter("not is_list").select("block", "doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "codes")
+    rows = blocks.drop("pairs", "counts")
     id_type = docs.schema[id_col].dataType.simpleString()
     schema = (f"doc_id {id_type}, n_a bigint, n_b bigint, n_groups bigint, n_links bigint, groups_sha256 string, "
               "n_best bigint, count_sum bigint")
-    out = texts.groupBy("block").cogroup(pairs.groupBy("block")).applyInArrow(_summed, schema)
+    out = rows.groupBy("block").cogroup(pairs.groupBy("block")).applyInArrow(_summed, schema)
     return out.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
 
 

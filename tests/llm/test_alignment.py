@@ -97,18 +97,41 @@ def test_equals_brute_force(spark, libraries):
     assert rows_of(alignment.align_tokenizers(docs, A, B, block_chars=300)) == want
 
 
-def test_segments_change_nothing(libraries):
+def test_chunks_change_nothing(libraries):
     tok = alignment.Tokenizers(open(A, "rb").read(), open(B, "rb").read())
     assert tok.can_cut
     rnd = random.Random(8)
-    text = " ".join(rnd.choice(["the", "x1", "naïve", "中文", "don't", "\n", "a", "Data", "Straße"]) for _ in range(3000))
-    parts = alignment.segments(text, True, 200)
-    assert len(parts) > 20 and "".join(parts) == " " + text and all(p[0] == " " for p in parts)
-    got = [alignment.align(tok, *x) for x in alignment.encode(tok, parts)]
+    text = " ".join(rnd.choice(["the", "x1", "naïve", "中文", "don't", "\n", "a", "Data", "Straße", "", "\x1c", "3.", "...", "\xa0y"])
+                    for _ in range(3000))
     groups, links = aligned(tokens(libraries, text))
-    assert "".join(x[2] for x in got)[:-1] == ";".join(groups) and sum(x[0] for x in got) == len(groups)
-    assert [divmod(int(p), len(tok.bytes_b)) for x in got for p in x[1]] == links
-    assert alignment.segments("x" * 1000, True, 200) == [" " + "x" * 1000]
+    for size in (1, 200, 10 ** 6):
+        known = alignment.Chunks(tok)
+        chunks = [c for cs in alignment.cut(text, True, size) for c in cs]
+        assert "".join(chunks) == " " + text and len(chunks) > 1000
+        known.learn(dict.fromkeys(chunks))
+        ks = [known.number[c] for c in chunks]
+        assert "".join([known.texts[k] for k in ks])[:-1] == ";".join(groups)
+        assert sum(known.sizes[k][2] for k in ks) == len(groups)
+        assert [divmod(int(p), len(tok.bytes_b)) for k in ks for p in known.links[k]] == links
+    # one chunk that cannot be encoded does not touch its neighbours
+    known = alignment.Chunks(tok)
+    known.learn([" a", " b▁c", " d"])
+    assert [known.sound[known.number[c]] for c in (" a", " b▁c", " d")] == [True, False, True]
+    assert list(alignment.cut("x" * 1000, True, 200)) == [[" " + "x" * 1000]] and list(alignment.cut("a b", False)) == [[" a b"]]
+
+
+def test_long_texts(spark, libraries, monkeypatch):
+    rnd = random.Random(4)
+    texts = [" ".join(rnd.choice(["alpha", "beta\n", "中文", "x" * 70, "é,"]) for _ in range(900)), "y" * 5000, "a ▁ " * 400]
+    want = brute(libraries, texts)
+    known = alignment.Chunks(alignment.Tokenizers(open(A, "rb").read(), open(B, "rb").read()))
+    monkeypatch.setattr(alignment, "PIECE_CHARS", 100)
+    block = alignment.Block(known)
+    for t in texts:
+        block.add(t)
+    block.flush()
+    cols, _ = block.coded()
+    assert list(zip(*cols[:5])) == [(w[0], w[1], w[2], w[3], w[6]) for w in want]
 
 
 def test_edge_rows(edge, nothing, libraries):
