@@ -44,13 +44,13 @@ from churnspark.llm._shared import col, staged, table, text_or_empty
 from churnspark.llm.bpe import byte_alphabet, read_tokenizer
 
 #: Characters of whole texts that share one list of chunks and id pairs.
-BLOCK_CHARS = 16_000_000
+BLOCK_CHARS = 8_000_000
 #: Characters of texts that are cut and looked up at once.
 PIECE_CHARS = 1_000_000
 #: Characters of unknown chunks that are encoded as one text.
 PART_CHARS = 4_000
 #: A dictionary of more chunks, or characters in chunks, starts anew with the next block.
-KEPT_CHUNKS = 200_000
+KEPT_CHUNKS = 150_000
 KEPT_CHARS = 4_000_000
 #: Where a text may be cut: before a single space between two other characters.
 _CUT = re.compile(r"(?<=\S)(?= \S)")
@@ -146,9 +146,9 @@ def encode(tok: Tokenizers, parts: list[str]) -> Iterator[tuple[np.ndarray, ...]
                spans[:, 0], refine(begin, spans[:, 2] + 1, tok.len_b[spans[:, 0]]))
 
 
-def align(tok: Tokenizers, chunks: list[str], ids_a, ends_a, ids_b, ends_b) -> Iterator[tuple[int, int, int, np.ndarray, str]]:
-    """(A tokens, B tokens, groups, id pairs of the links in order, group text) of each chunk of an
-    encoded part."""
+def align(tok: Tokenizers, chunks: list[str], ids_a, ends_a, ids_b, ends_b) -> tuple[np.ndarray, np.ndarray, list[str]]:
+    """Of the chunks of an encoded part: an array of their A tokens, B tokens, groups and links, the
+    id pairs of all links in order, and the group texts."""
     common = np.intersect1d(ends_a, ends_b, assume_unique=True)
     cuts = np.union1d(ends_a, ends_b)
     # between two neighbouring cuts lies one token of each: one link
@@ -161,17 +161,16 @@ def align(tok: Tokenizers, chunks: list[str], ids_a, ends_a, ids_b, ends_b) -> I
     order[np.arange(n_b) + np.searchsorted(group_a, group_b, side="right")] = ids_b * 3 + 2 * last_b
     names = [tok.names[k] for k in order.tolist()]
     bounds = np.cumsum([len(c.encode()) for c in chunks])
-    a, b, g, u = (np.searchsorted(x, bounds, side="right").tolist() for x in (ends_a, ends_b, common, cuts))
-    if not np.array_equal(common[np.array(g) - 1], bounds):
+    upto = np.stack([np.searchsorted(x, bounds, side="right") for x in (ends_a, ends_b, common, cuts)])
+    if not np.array_equal(common[upto[2] - 1], bounds):
         raise ValueError("a token reaches over a chunk")
-    pa_, pb, pg, pu = 0, 0, 0, 0
-    for k in range(len(chunks)):
-        yield a[k] - pa_, b[k] - pb, g[k] - pg, links[pu:u[k]], "".join(names[pa_ + pb:a[k] + b[k]])
-        pa_, pb, pg, pu = a[k], b[k], g[k], u[k]
+    stops = (upto[0] + upto[1]).tolist()
+    texts = ["".join(names[i:j]) for i, j in zip([0, *stops], stops)]
+    return np.diff(upto, axis=1, prepend=0).T, links, texts
 
 
 class Chunks:
-    """Aligned chunks by number.  A chunk whose bytes differ has no tokens and ``sound`` false."""
+    """Aligned chunks by number.  A chunk whose bytes differ has no tokens and is in ``unsound``."""
 
     def __init__(self, tok: Tokenizers):
         self.tok = tok
@@ -180,18 +179,27 @@ class Chunks:
     def clear(self) -> None:
         self.number: dict[str, int] = {}
         self.chars = 0
-        self.sizes: list[tuple[int, int, int]] = []
-        self.sound: list[bool] = []
-        self.links: list[np.ndarray] = []
         self.texts: list[str] = []
-
-    def _keep(self, chunk: str, got: tuple | None) -> None:
-        self.number[chunk] = len(self.sizes)
-        self.chars += len(chunk)
-        self.sound.append(got is not None)
-        self.sizes.append(got[:3] if got else (0, 0, 0))
-        self.links.append(got[3].copy() if got else np.empty(0, dtype=np.int64))
-        self.texts.append(got[4] if got else "")
+        self.unsound: set[int] = set()
+        self._sizes: list[np.ndarray] = []
+        self._links: list[np.ndarray] = []
+
+    def sizes(self) -> np.ndarray:
+        """A tokens, B tokens, groups and links of each chunk."""
+        self._sizes = [np.concatenate([np.empty((0, 4), dtype=np.int64), *self._sizes])]
+        return self._sizes[0]
+
+    def links(self) -> np.ndarray:
+        """The id pairs of all chunks, one chunk after the other."""
+        self._links = [np.concatenate([np.empty(0, dtype=np.int64), *self._links])]
+        return self._links[0]
+
+    def _keep(self, chunks: list[str], sizes: np.ndarray, links: np.ndarray, texts: list[str]) -> None:
+        self.number.update(zip(chunks, range(len(self.texts), len(self.texts) + len(chunks))))
+        self.chars += sum(map(len, chunks))
+        self.texts += texts
+        self._sizes.append(sizes)
+        self._links.append(links)
 
     def learn(self, chunks: Iterable[str]) -> None:
         """Unknown chunks that begin with one space and end with another character can follow each
@@ -214,10 +222,10 @@ class Chunks:
         unsound = []
         for part, got in zip(parts, encode(self.tok, ["".join(p) for p in parts])):
             if got is not None:
-                for c, x in zip(part, align(self.tok, part, *got)):
-                    self._keep(c, x)
+                self._keep(part, *align(self.tok, part, *got))
             elif len(part) == 1:
-                self._keep(part[0], None)
+                self.unsound.add(len(self.texts))
+                self._keep(part, np.zeros((1, 4), dtype=np.int64), np.empty(0, dtype=np.int64), [""])
             else:
                 unsound += [[c] for c in part]
         if unsound:
@@ -254,7 +262,7 @@ class Block:
         for cs in pieces:
             known.learn({c: None for c in cs if c not in known.number})
             ks = [known.number[c] for c in cs]
-            sound = sound and all([known.sound[k] for k in ks])
+            sound = sound and known.unsound.isdisjoint(ks)
             text = held + "".join([known.texts[k] for k in ks])
             # the last semicolon ends the text and is left out
             digest.update(text[:-1].encode())
@@ -268,11 +276,9 @@ class Block:
         """Columns of the text rows (sizes, links, digests and chunk codes), and of the block's list:
         id pairs, their counts, the links of its chunks as places in the pairs, links per chunk."""
         known, lengths = self.known, np.array([len(x) for x in self.numbers])
-        every = np.concatenate(self.numbers)
-        sizes = np.array(known.sizes, dtype=np.int64).reshape(-1, 3)
-        n_links = np.array([len(x) for x in known.links], dtype=np.int64)
+        every, sizes = np.concatenate(self.numbers), known.sizes()
         ends = np.concatenate([[0], np.cumsum(lengths)])
-        sums = [np.concatenate([[0], np.cumsum(x[every])])[ends] for x in (*sizes.T, n_links)]
+        sums = [np.concatenate([[0], np.cumsum(x[every])])[ends] for x in sizes.T]
         cols = [np.diff(x).tolist() for x in sums] + [self.digests]
         times = np.bincount(every, minlength=len(sizes))
         # frequent chunks get small codes, which pack better
@@ -282,12 +288,13 @@ class Block:
         cols.append([x.tobytes() for x in np.split(place[every], ends[1:-1])])
         if not len(used):
             return cols, []
-        links = np.concatenate([known.links[k] for k in used.tolist()])
-        pairs, at = np.unique(links, return_inverse=True)
-        counts = np.zeros(len(pairs), dtype="<i8")
-        np.add.at(counts, at, np.repeat(times[used], n_links[used]))
+        n_links = sizes[used, 3]
+        starts = np.cumsum(sizes[:, 3]) - sizes[:, 3]
+        at = np.arange(n_links.sum()) + np.repeat(starts[used] - (np.cumsum(n_links) - n_links), n_links)
+        pairs, at = np.unique(known.links()[at], return_inverse=True)
+        counts = np.bincount(at, weights=np.repeat(times[used], n_links)).astype("<i8")
         return cols, [pairs.astype("<i8").tobytes(), counts.tobytes(), at.astype("<u4").tobytes(),
-                      n_links[used].astype("<u4").tobytes()]
+                      n_links.astype("<u4").tobytes()]
 
 
 _TEXT_ROW = [("n_a", "bigint", pa.int64()), ("n_b", "bigint", pa.int64()), ("n_groups", "bigint", pa.int64()),
