@@ -48,10 +48,11 @@ BLOCK_CHARS = 8_000_000
 #: Characters of texts that are cut and looked up at once.
 PIECE_CHARS = 1_000_000
 #: Characters of unknown chunks that are encoded as one text.
-PART_CHARS = 4_000
-#: A dictionary of more chunks, or characters in chunks, starts anew with the next block.
-KEPT_CHUNKS = 150_000
-KEPT_CHARS = 4_000_000
+PART_CHARS = 16_000
+#: A dictionary of more chunks, or characters in chunks, keeps those that a block held repeatedly, if
+#: they are few enough, and starts anew otherwise.
+KEPT_CHUNKS = 300_000
+KEPT_CHARS = 6_000_000
 #: Where a text may be cut: before a single space between two other characters.
 _CUT = re.compile(r"(?<=\S)(?= \S)")
 
@@ -184,15 +185,28 @@ class Chunks:
         self._sizes: list[np.ndarray] = []
         self._links: list[np.ndarray] = []
 
+    def trim(self, times: np.ndarray) -> None:
+        """Hold the bounds of the dictionary: ``times`` says how often a block held each chunk."""
+        if len(self.number) <= KEPT_CHUNKS and self.chars <= KEPT_CHARS:
+            return
+        chunks, texts, unsound, sizes = list(self.number), self.texts, self.unsound, self.sizes()
+        kept = np.array([k for k in np.flatnonzero(times > 1).tolist() if k not in unsound], dtype=np.int64)
+        links = self.links_of(kept)
+        self.clear()
+        if len(kept) <= KEPT_CHUNKS and sum([len(chunks[k]) for k in kept.tolist()]) <= KEPT_CHARS:
+            self._keep([chunks[k] for k in kept.tolist()], sizes[kept], links, [texts[k] for k in kept.tolist()])
+
     def sizes(self) -> np.ndarray:
         """A tokens, B tokens, groups and links of each chunk."""
         self._sizes = [np.concatenate([np.empty((0, 4), dtype=np.int64), *self._sizes])]
         return self._sizes[0]
 
-    def links(self) -> np.ndarray:
-        """The id pairs of all chunks, one chunk after the other."""
+    def links_of(self, chunks) -> np.ndarray:
+        """The id pairs of the given chunks, one chunk after the other."""
         self._links = [np.concatenate([np.empty(0, dtype=np.int64), *self._links])]
-        return self._links[0]
+        n = self.sizes()[:, 3]
+        starts, n = (np.cumsum(n) - n)[chunks], n[chunks]
+        return self._links[0][np.arange(n.sum()) + np.repeat(starts - (np.cumsum(n) - n), n)]
 
     def _keep(self, chunks: list[str], sizes: np.ndarray, links: np.ndarray, texts: list[str]) -> None:
         self.number.update(zip(chunks, range(len(self.texts), len(self.texts) + len(chunks))))
@@ -215,8 +229,8 @@ class Chunks:
             else:
                 parts.insert(0, [c])
         parts = [p for p in parts if p]
-        for k in range(0, len(parts), 64):
-            self._learn(parts[k:k + 64])
+        for k in range(0, len(parts), 16):
+            self._learn(parts[k:k + 16])
 
     def _learn(self, parts: list[list[str]]) -> None:
         unsound = []
@@ -243,13 +257,18 @@ class Block:
         self.chars += len(text)
         if len(text) > PIECE_CHARS:
             self.flush()
-            self._take(cut(text, self.known.tok.can_cut, PIECE_CHARS))
+            self._take(self._learned(cut(text, self.known.tok.can_cut, PIECE_CHARS)))
             return
         self.waiting += len(text)
         self.pending.append(next(cut(text, self.known.tok.can_cut, PIECE_CHARS)) if text else [])
         if self.waiting >= PIECE_CHARS:
             self.flush()
 
+    def _learned(self, pieces: Iterable[list[str]]) -> Iterator[list[str]]:
+        for cs in pieces:
+            self.known.learn({c: None for c in cs if c not in self.known.number})
+            yield cs
+
     def flush(self) -> None:
         number = self.known.number
         self.known.learn({c: None for cs in self.pending for c in cs if c not in number})
@@ -260,7 +279,6 @@ class Block:
     def _take(self, pieces: Iterable[list[str]]) -> None:
         known, parts, digest, held, sound = self.known, [], hashlib.sha256(), "", True
         for cs in pieces:
-            known.learn({c: None for c in cs if c not in known.number})
             ks = [known.number[c] for c in cs]
             sound = sound and known.unsound.isdisjoint(ks)
             text = held + "".join([known.texts[k] for k in ks])
@@ -280,7 +298,7 @@ class Block:
         ends = np.concatenate([[0], np.cumsum(lengths)])
         sums = [np.concatenate([[0], np.cumsum(x[every])])[ends] for x in sizes.T]
         cols = [np.diff(x).tolist() for x in sums] + [self.digests]
-        times = np.bincount(every, minlength=len(sizes))
+        times = self.times = np.bincount(every, minlength=len(sizes))
         # frequent chunks get small codes, which pack better
         used = np.argsort(-times, kind="stable")[:np.count_nonzero(times)]
         place = np.zeros(len(sizes), dtype="<u4")
@@ -289,9 +307,7 @@ class Block:
         if not len(used):
             return cols, []
         n_links = sizes[used, 3]
-        starts = np.cumsum(sizes[:, 3]) - sizes[:, 3]
-        at = np.arange(n_links.sum()) + np.repeat(starts[used] - (np.cumsum(n_links) - n_links), n_links)
-        pairs, at = np.unique(known.links()[at], return_inverse=True)
+        pairs, at = np.unique(known.links_of(used), return_inverse=True)
         counts = np.bincount(at, weights=np.repeat(times[used], n_links)).astype("<i8")
         return cols, [pairs.astype("<i8").tobytes(), counts.tobytes(), at.astype("<u4").tobytes(),
                       n_links.astype("<u4").tobytes()]
@@ -328,8 +344,7 @@ def encoded_blocks(docs: DataFrame, path_a: str, path_b: str, id_col: str, text_
                 start = [pa.array([True]), pa.array([number], pa.int64()), pa.nulls(1, id_type)]
                 yield pa.RecordBatch.from_arrays(start + [pa.nulls(1, x[2]) for x in _TEXT_ROW] +
                                                  [pa.array([x], pa.binary()) for x in listed], names)
-            if len(known.number) > KEPT_CHUNKS or known.chars > KEPT_CHARS:
-                known.clear()
+            known.trim(block.times)
 
         for batch in batches:
             kind, start = batch.schema[0].type, 0

@@ -111,10 +111,8 @@ def test_chunks_change_nothing(libraries):
         known.learn(dict.fromkeys(chunks))
         ks = [known.number[c] for c in chunks]
         assert "".join([known.texts[k] for k in ks])[:-1] == ";".join(groups)
-        sizes, pairs = known.sizes(), known.links()
-        assert sum(sizes[k][2] for k in ks) == len(groups)
-        ends = sizes[:, 3].cumsum()
-        assert [divmod(int(p), len(tok.bytes_b)) for k in ks for p in pairs[ends[k] - sizes[k][3]:ends[k]]] == links
+        assert sum(known.sizes()[k][2] for k in ks) == len(groups)
+        assert [divmod(int(p), len(tok.bytes_b)) for p in known.links_of(ks)] == links
     # one chunk that cannot be encoded does not touch its neighbours
     known = alignment.Chunks(tok)
     known.learn([" a", " b▁c", " d"])
@@ -122,6 +120,26 @@ def test_chunks_change_nothing(libraries):
     assert list(alignment.cut("x" * 1000, True, 200)) == [[" " + "x" * 1000]] and list(alignment.cut("a b", False)) == [[" a b"]]
 
 
+def test_trimmed_dictionary(spark, libraries, monkeypatch):
+    texts = odd_texts()
+    want = sorted(enumerate(brute(libraries, texts)), key=repr)
+    tok = alignment.Tokenizers(open(A, "rb").read(), open(B, "rb").read())
+    for most, left in ((60, True), (5, False)):
+        monkeypatch.setattr(alignment, "KEPT_CHUNKS", most)
+        known, got = alignment.Chunks(tok), []
+        for k in range(0, len(texts), 25):
+            block = alignment.Block(known)
+            for t in texts[k:k + 25]:
+                block.add(t or "")
+            block.flush()
+            cols, _ = block.coded()
+            got += list(zip(*cols[:5]))
+            known.trim(block.times)
+            assert len(known.number) <= most
+        assert got == [(w[0], w[1], w[2], w[3], w[6]) for _, w in sorted(want)]
+        assert bool(known.number) or not left
+
+
 def test_long_texts(spark, libraries, monkeypatch):
     rnd = random.Random(4)
     texts = [" ".join(rnd.choice(["alpha", "beta\n", "中文", "x" * 70, "é,"]) for _ in range(900)), "y" * 5000, "a ▁ " * 400]
