@@ -23,6 +23,7 @@ import re
 import unicodedata
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +35,8 @@ from churnspark.llm._shared import col, table, text_or_empty
 WIDE = 256
 #: Words kept by a task; beyond it the dictionary starts anew.
 KEPT_WORDS = 200_000
+#: Words whose number of tokens a worker process keeps, for all its tasks.
+KEPT_LENGTHS = 1_000_000
 #: Characters of text that are worked on together.
 CHUNK_CHARS = 2_000_000
 NONE = np.iinfo(np.int64).max
@@ -50,6 +53,14 @@ def byte_alphabet() -> dict[int, str]:
     return {b: chr(b) for b in own} | {b: chr(256 + k) for k, b in enumerate(rest)}
 
 
+def _ascii_form(pattern: str) -> re.Pattern | None:
+    """The splitting pattern for lower-case ASCII texts, where the standard engine is faster; None
+    if it names other classes than letters, numbers and white space."""
+    for name, chars in ((r"[\p{L}]", "[a-z]"), (r"[\p{N}]", "[0-9]"), (r"\p{L}", "a-z"), (r"\p{N}", "0-9"), (r"\s", r"\t-\r ")):
+        pattern = pattern.replace(name, chars)
+    return None if re.search(r"\\[a-zA-Z]", pattern.replace(r"\t-\r", "")) else re.compile(pattern)
+
+
 class Vocabulary:
     """Symbols, merges and splitting rules of a tokenizer file (BPE on words with word ends)."""
 
@@ -74,12 +85,15 @@ class Vocabulary:
         self.rank_of = dict(zip(keys.tolist(), range(len(merges))))
         split = next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.word = regex.compile(split["pattern"]["Regex"])
+        self.ascii_word = _ascii_form(split["pattern"]["Regex"])
         marks = sorted(map(re.escape, self.special), key=len, reverse=True)
         self.mark = re.compile(f"({'|'.join(marks)})") if marks else None
         self._library = None
 
     def words(self, text: str) -> list[str]:
         """The words of a text without special tokens, normalised."""
+        if self.ascii_word is not None and text.isascii():
+            return self.ascii_word.findall(text.lower())
         if _UNSURE.search(text):
             return self._words_by_library(text)
         if not text.isascii():
@@ -263,6 +277,37 @@ class Encoder:
             del known[w]
 
 
+class Lengths(Encoder):
+    """Numbers of tokens, from a dictionary of words to theirs."""
+
+    def __init__(self, vocab: Vocabulary):
+        super().__init__(vocab)
+        self.known: dict[str, int] = {}
+
+    def _keep(self, word: str, ids: np.ndarray) -> None:
+        self.known[word] = len(ids)
+
+    def count(self, texts: list[str]) -> list[int]:
+        cut = [self.vocab.parts(t) for t in texts]
+        if len(self.known) > KEPT_LENGTHS:
+            self.known.clear()
+        words = set(chain.from_iterable([ws for parts in cut for special, ws in parts if not special]))
+        new = words.difference(self.known)
+        self.learn(new)
+        of = self.known.__getitem__
+        out = [sum([len(ws) if special else sum(map(of, ws)) for special, ws in parts]) for parts in cut]
+        for w in new:
+            if len(w) > WIDE:
+                del self.known[w]
+        return out
+
+
+@lru_cache(maxsize=1)
+def lengths_of(raw: bytes) -> Lengths:
+    """One dictionary a worker process: tasks that follow each other in it share what it knows."""
+    return Lengths(vocabulary(raw))
+
+
 def decode(vocab: Vocabulary, ids: bytes) -> str:
     """Ids (little-endian unsigned 32-bit) -> text; the tokenizer file names no decoder, so the
     tokens are joined by spaces, special tokens included."""
@@ -317,10 +362,6 @@ def _full(words: list[tuple[bytes, str]]) -> tuple[list[int], str]:
     return np.frombuffer(b"".join([w[0] for w in words]), dtype="<u4").tolist(), " ".join([w[1] for w in words])
 
 
-def _count(words: list[tuple[bytes, str]]) -> tuple[int]:
-    return (sum([len(w[0]) for w in words]) // 4,)
-
-
 def encode_texts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id``, ``ids`` (array of int) and ``decoded`` of every whole text."""
     return _mapped(docs, id_col, text_col, path, _full, "ids array<int>, decoded string", pa.schema(
@@ -336,9 +377,18 @@ def encode_digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
 
 
 def encoded_lengths(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id`` and ``n_tokens``."""
-    return _mapped(docs, id_col, text_col, path, _count, "n_tokens bigint", pa.schema(
-        [pa.field("doc_id", pa.int64()), pa.field("n_tokens", pa.int64())]))
+    """``doc_id`` and ``n_tokens``: every text is split and its words' numbers of tokens are summed."""
+    raw = docs.sparkSession.sparkContext.broadcast(read_tokenizer(path))
+
+    def run(batches):
+        known = lengths_of(raw.value)
+        for batch in batches:
+            n = [x for _, part in chunks(batch.column(1).to_pylist()) for x in known.count(part)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64())], ["doc_id", "n_tokens"])
+
+    key = docs.schema[id_col].dataType.simpleString()
+    return docs.select(col(id_col).alias("doc_id"), text_or_empty(text_col).alias("t")).mapInArrow(
+        run, f"doc_id {key}, n_tokens bigint")
 
 
 def tokenizer_path() -> str:

@@ -63,6 +63,20 @@ def test_equals_the_library(spark, library):
         assert short[i].decoded_sha256 == hashlib.sha256(text.encode()).hexdigest()
 
 
+def test_ascii_words_and_lengths(spark, library):
+    vocab = bpe.vocabulary(bpe.read_tokenizer(PATH))
+    rnd = random.Random(6)
+    assert vocab.ascii_word is not None
+    plain = ["".join(chr(rnd.randrange(128)) for _ in range(200)) for _ in range(200)] + ["i'll don't we're o'd x's'sa 12a3"]
+    for t in plain:
+        assert vocab.ascii_word.findall(t.lower()) == vocab.word.findall(t.lower()), repr(t)
+    known = bpe.Lengths(vocab)
+    every = plain + texts()
+    want = [len(library.encode(t, add_special_tokens=False).ids) for t in every]
+    assert known.count(every) == want and known.count(every[::-1]) == want[::-1]
+    assert not any(len(w) > bpe.WIDE for w in known.known)
+
+
 def test_edge_rows(edge, nothing):
     assert bpe.encode_digests(edge, PATH).count() == edge.count()
     assert bpe.encode_digests(nothing, PATH).count() == 0 and bpe.encode_texts(nothing, PATH).count() == 0
