@@ -1,9 +1,9 @@
 """Operator 6: n-gram Jaccard join by T-occurrence search (DivideSkip).
 
-A document is the set of its distinct 3-word shingles, hashed to 64 bits; documents with equal
-sets form one class, and only classes are searched.  Two classes of n and m shingles are
-linked when 100 * |both| >= 90 * |either|, so each must share at least T = ceil(0.9 n) of its
-own shingles with the other.  The result is the connected components of the links.
+A document is the set of its distinct shingles, hashed to 64 bits; documents with equal sets
+form one class, and only classes are searched.  ``Rule`` names the words of a shingle (3) and the
+percentage p (90) of a link: two classes of n and m shingles are linked when 100 * |both| >=
+p * |either|, so each must share at least T = ceil(p n / 100) of its own shingles with the other.  The result is the connected components of the links.
 
 1.  Candidate classes.  Shingles are ordered by hash.  Of T shared shingles, at least l lie among
     the first n - T + l of each side, so a class without that many shingles in other classes'
@@ -22,8 +22,8 @@ own shingles with the other.  The result is the connected components of the link
     are stored in blocks of bounded size, so no task holds a whole long list.
 5.  Candidates of 3 and 4 are verified by binary probes over the whole sorted shingle sets.
 
-Words split at space and U+0009 to U+000D, A to Z are lowered.  Texts of one or two words are
-one shingle; texts without words and null texts have an empty set and are linked with
+Words split at space and U+0009 to U+000D, A to Z are lowered.  Texts of fewer words than a
+shingle are one shingle; texts without words and null texts have an empty set and are linked with
 nothing.  A null id is a document of its own class rules; components take the smallest id that
 is not null (null when there is none).  Rows equal in id and text are two documents of one
 class.  An empty table gives no rows.
@@ -34,6 +34,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 from bisect import bisect_left
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -43,16 +44,35 @@ from pyspark.sql import functions as F
 
 from churnspark.llm._shared import col, fresh, row_key, staged, table, text_or_empty
 
-#: Links hold at 100 * |both| >= PERCENT * |either|.
-PERCENT = 90
-#: Share of a set that the candidate test must find shared, in thousandths.
-EVIDENCE = 200
+#: Share of a set that the candidate test reads, in thousandths: the part that linked sets may differ
+#: in, and beyond it the shingles that must be found shared.
+READ = 300
 #: Entries of one block of an inverted list.
 BLOCK = 20_000
 #: Word hashes kept by a task.
 KEPT_WORDS = 400_000
 
 
+@dataclass(frozen=True)
+class Rule:
+    """``words`` of a shingle (up to 6); links hold at 100 * |both| >= ``percent`` * |either|."""
+
+    words: int = 3
+    percent: int = 90
+
+    def least_overlap(self, n):
+        """T: shingles that a set of n must share with any linked set."""
+        return -(-self.percent * n // 100)
+
+    @property
+    def thousandths(self) -> int:
+        return max(50, READ - 10 * (100 - self.percent))
+
+    def evidence(self, n):
+        """l: shared shingles looked for among the first n - T + l of the set."""
+        return np.maximum(1, n * self.thousandths // 1000)
+
+
 # -- shingles ---------------------------------------------------------------------------
 
 class _WordHashes(dict):
@@ -62,7 +82,8 @@ class _WordHashes(dict):
         return h
 
 
-_ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
+_ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xA24BAED4963EE407,
+                             0x9FB21C651E98DF25, 0x8CB92BA72F3D8DD7, 0xD6E8FEB86659FD93)]
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -71,54 +92,52 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def shingles(text: str, known: _WordHashes) -> np.ndarray:
+def shingles(text: str, known: _WordHashes, size: int = 3) -> np.ndarray:
     """Sorted distinct shingle hashes (signed 64-bit) of a whole text."""
     words = text.encode().lower().split()
     n = len(words)
     if len(known) > KEPT_WORDS:
         known.clear()
     h = np.fromiter(map(known.__getitem__, words), dtype=np.uint64, count=n)
-    if n >= 3:
-        x = h[:-2] * _ODD[0] + h[1:-1] * _ODD[1] + h[2:] * _ODD[2]
+    if n >= size:
+        x = h[:n - size + 1] * _ODD[0]
+        for k in range(1, size):
+            x += h[k:n - size + 1 + k] * _ODD[k]
     elif n:
-        x = (h * np.array(_ODD[:n])).sum(keepdims=True, dtype=np.uint64) + _ODD[3] * np.uint64(n)
+        x = (h * np.array(_ODD[:n])).sum(keepdims=True, dtype=np.uint64) + _ODD[-1] * np.uint64(n)
     else:
         return np.empty(0, dtype=np.int64)
     return np.unique(_mixed(x).view(np.int64))
 
 
-def least_overlap(n):
-    """T: shingles that a set of n must share with any linked set."""
-    return -(-PERCENT * n // 100)
-
-
-def evidence(n):
-    """l: shared shingles looked for among the first n - T + l of the set."""
-    return np.maximum(1, n * EVIDENCE // 1000)
+def _prefixes(rule: Rule):
+    def run(batches):
+        known = _WordHashes()
+        for batch in batches:
+            n, d1, d2, prefix = [], [], [], []
+            for text in batch.column("t").to_pylist():
+                s = shingles(text, known, rule.words)
+                d = hashlib.blake2b(s.tobytes(), digest_size=16).digest()
+                n.append(len(s))
+                d1.append(int.from_bytes(d[:8], "little", signed=True))
+                d2.append(int.from_bytes(d[8:], "little", signed=True))
+                prefix.append(s[:len(s) - rule.least_overlap(len(s)) + int(rule.evidence(len(s)))] if len(s) else s)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("id"), batch.column("th"), pa.array(n, pa.int32()), pa.array(d1, pa.int64()),
+                 pa.array(d2, pa.int64()), pa.array(prefix, pa.list_(pa.int64()))],
+                names=["id", "th", "n", "d1", "d2", "prefix"])
 
+    return run
 
-def _prefixes(batches):
-    known = _WordHashes()
-    for batch in batches:
-        n, d1, d2, prefix = [], [], [], []
-        for text in batch.column("t").to_pylist():
-            s = shingles(text, known)
-            d = hashlib.blake2b(s.tobytes(), digest_size=16).digest()
-            n.append(len(s))
-            d1.append(int.from_bytes(d[:8], "little", signed=True))
-            d2.append(int.from_bytes(d[8:], "little", signed=True))
-            prefix.append(s[:len(s) - least_overlap(len(s)) + int(evidence(len(s)))] if len(s) else s)
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("id"), batch.column("th"), pa.array(n, pa.int32()), pa.array(d1, pa.int64()),
-             pa.array(d2, pa.int64()), pa.array(prefix, pa.list_(pa.int64()))],
-            names=["id", "th", "n", "d1", "d2", "prefix"])
 
+def _sets(rule: Rule):
+    def run(batches):
+        known = _WordHashes()
+        for batch in batches:
+            sets = [shingles(t, known, rule.words) for t in batch.column("t").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("rec"), pa.array(sets, pa.list_(pa.int64()))], names=["rec", "tokens"])
 
-def _sets(batches):
-    known = _WordHashes()
-    for batch in batches:
-        sets = [shingles(t, known) for t in batch.column("t").to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column("rec"), pa.array(sets, pa.list_(pa.int64()))], names=["rec", "tokens"])
+    return run
 
 
 # -- verification and search, on plain arrays ----------------------------------------------
@@ -156,38 +175,44 @@ def divide_skip(lists: list[list[int]], need: int) -> dict[int, int]:
     return found
 
 
-def _verify(batches):
-    for batch in batches:
-        a, b = batch.column("ta"), batch.column("tb")
-        keep = []
-        va, vb, oa, ob = a.flatten().to_numpy(), b.flatten().to_numpy(), a.offsets.to_numpy(), b.offsets.to_numpy()
-        oa, ob = oa - oa[0], ob - ob[0]
-        for k in range(len(batch)):
-            x, y = va[oa[k]:oa[k + 1]], vb[ob[k]:ob[k + 1]]
-            both = probe(x, y)
-            keep.append(100 * both >= PERCENT * (len(x) + len(y) - both))
-        yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-
-def _search(key, pdf):
-    """One query class against one block number of its lists."""
-    q = pdf.iloc[0]
-    n, s, comp = int(q.n), int(q.s), int(q.comp)
-    recs = [np.asarray(x) for x in pdf["recs"]]
-    comps, ns, ss = (np.concatenate([np.asarray(x) for x in pdf[c]]) for c in ("comps", "ns", "ss"))
-    every = np.concatenate(recs)
-    ns, ss = ns.astype(np.int64), ss.astype(np.int64)
-    most = np.minimum(s, ss)
-    able = (comps != comp) & (100 * most >= PERCENT * (n + ns - most))
-    total = -(-PERCENT * (n + ns) // (100 + PERCENT))
-    need = np.maximum(1, total - np.maximum(least_overlap(n), least_overlap(ns)) + 1)
-    out = []
-    if able.any():
-        ends = np.cumsum([len(x) for x in recs])[:-1]
-        lists = [np.sort(x[m]).tolist() for x, m in zip(recs, np.split(able, ends))]
-        wanted = dict(zip(every[able].tolist(), need[able].tolist()))
-        out = [r for r, c in divide_skip(lists, min(wanted.values())).items() if c >= wanted[r]]
-    return pd.DataFrame({"a": np.full(len(out), int(key[0]), dtype=np.int64), "b": np.array(out, dtype=np.int64)})
+def _verify(rule: Rule):
+    def run(batches):
+        for batch in batches:
+            a, b = batch.column("ta"), batch.column("tb")
+            keep = []
+            va, vb, oa, ob = a.flatten().to_numpy(), b.flatten().to_numpy(), a.offsets.to_numpy(), b.offsets.to_numpy()
+            oa, ob = oa - oa[0], ob - ob[0]
+            for k in range(len(batch)):
+                x, y = va[oa[k]:oa[k + 1]], vb[ob[k]:ob[k + 1]]
+                both = probe(x, y)
+                keep.append(100 * both >= rule.percent * (len(x) + len(y) - both))
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return run
+
+
+def _search(rule: Rule):
+    def run(key, pdf):
+        """One query class against one block number of its lists."""
+        q = pdf.iloc[0]
+        n, s, comp = int(q.n), int(q.s), int(q.comp)
+        recs = [np.asarray(x) for x in pdf["recs"]]
+        comps, ns, ss = (np.concatenate([np.asarray(x) for x in pdf[c]]) for c in ("comps", "ns", "ss"))
+        every = np.concatenate(recs)
+        ns, ss = ns.astype(np.int64), ss.astype(np.int64)
+        most = np.minimum(s, ss)
+        able = (comps != comp) & (100 * most >= rule.percent * (n + ns - most))
+        total = -(-rule.percent * (n + ns) // (100 + rule.percent))
+        need = np.maximum(1, total - np.maximum(rule.least_overlap(n), rule.least_overlap(ns)) + 1)
+        out = []
+        if able.any():
+            ends = np.cumsum([len(x) for x in recs])[:-1]
+            lists = [np.sort(x[m]).tolist() for x, m in zip(recs, np.split(able, ends))]
+            wanted = dict(zip(every[able].tolist(), need[able].tolist()))
+            out = [r for r, c in divide_skip(lists, min(wanted.values())).items() if c >= wanted[r]]
+        return pd.DataFrame({"a": np.full(len(out), int(key[0]), dtype=np.int64), "b": np.array(out, dtype=np.int64)})
+
+    return run
 
 
 # -- components ----------------------------------------------------------------------------
@@ -226,51 +251,51 @@ def components(edges: DataFrame) -> DataFrame:
 
 # -- the join ------------------------------------------------------------------------------
 
-def _bound(n: str, s: str, m: str, o: str):
+def _bound(rule: Rule, n: str, s: str, m: str, o: str):
     """Can sets of n and m shingles, s and o of them shared by anyone, be linked?"""
     n, s, m, o = (F.col(c).cast("long") for c in (n, s, m, o))
     k = F.least(s, o)
-    return 100 * k >= PERCENT * (n + m - k)
+    return 100 * k >= rule.percent * (n + m - k)
 
 
-def candidate_classes(reps: DataFrame) -> DataFrame:
+def candidate_classes(reps: DataFrame, rule: Rule) -> DataFrame:
     """Step 1: classes (rec, n, id, th) with enough shared shingles in their prefixes."""
     posts = reps.select("rec", F.explode("prefix").alias("token"))
     shared = posts.groupBy("token").agg(F.count(F.lit(1)).alias("df")).filter("df > 1").select("token")
     hits = posts.join(shared, "token").groupBy("rec").agg(F.count(F.lit(1)).alias("hits"))
-    # a linked set has at least 0.9 n shingles, and so its own l at least 0.9 times as much
-    need = F.greatest(F.lit(1), F.expr(f"bigint(n) * {EVIDENCE * PERCENT} div 100000"))
+    # a linked set has at least p n / 100 shingles, and so its own l at least that share of this one's
+    need = F.greatest(F.lit(1), F.expr(f"bigint(n) * {rule.thousandths * rule.percent} div 100000"))
     return reps.drop("prefix").join(hits, "rec").filter(F.col("hits") >= need).drop("hits")
 
 
-def short_lists(sets: DataFrame) -> DataFrame:
+def short_lists(sets: DataFrame, rule: Rule) -> DataFrame:
     """Step 2: (rec, n, s, token): the short lists of each class that can have a link."""
     posts = sets.select("rec", F.explode("tokens").alias("token"))
     df = posts.groupBy("token").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
     own = posts.join(df, "token").groupBy("rec").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("own"))
     own = own.join(sets.select("rec", F.size("tokens").alias("n")), "rec").withColumn("s", F.size("own"))
-    t = F.ceil(F.col("n").cast("long") * PERCENT / 100).cast("int")
+    t = F.ceil(F.col("n").cast("long") * rule.percent / 100).cast("int")
     own = own.filter(F.col("s") >= t)
     return own.select("rec", "n", "s", F.explode(F.slice("own", 1, F.col("s") - t + 1)).alias("x")).select(
         "rec", "n", "s", F.col("x.token").alias("token"))
 
 
-def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def verified(pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
     """The pairs (a, b) that are linked.  Each set travels once per pair it is in."""
     one = sets.select(F.col("rec").alias("a"), F.col("tokens").alias("ta"))
     two = sets.select(F.col("rec").alias("b"), F.col("tokens").alias("tb"))
-    return pairs.join(one, "a").join(two, "b").select("a", "b", "ta", "tb").mapInArrow(_verify, "a bigint, b bigint")
+    return pairs.join(one, "a").join(two, "b").select("a", "b", "ta", "tb").mapInArrow(_verify(rule), "a bigint, b bigint")
 
 
-def leader_pairs(lists: DataFrame) -> DataFrame:
+def leader_pairs(lists: DataFrame, rule: Rule) -> DataFrame:
     """Step 3: every class of a list with the list's most central class."""
     centre = F.struct((-F.col("s") / F.col("n")).alias("x"), F.col("rec").alias("b"), F.col("n").alias("m"), F.col("s").alias("o"))
     lead = lists.groupBy("token").agg(F.min(centre).alias("l"), F.count(F.lit(1)).alias("len")).filter("len > 1")
-    pairs = lists.join(lead.select("token", "l.*"), "token").filter((F.col("rec") != F.col("b")) & _bound("n", "s", "m", "o"))
+    pairs = lists.join(lead.select("token", "l.*"), "token").filter((F.col("rec") != F.col("b")) & _bound(rule, "n", "s", "m", "o"))
     return pairs.select(F.least("rec", "b").alias("a"), F.greatest("rec", "b").alias("b")).distinct()
 
 
-def remaining_pairs(lists: DataFrame, comps: DataFrame) -> DataFrame:
+def remaining_pairs(lists: DataFrame, comps: DataFrame, rule: Rule) -> DataFrame:
     """Step 4: candidate pairs (a, b) of different components."""
     lists = staged(lists.join(comps.select(F.col("node").alias("rec"), "root"), "rec", "left").select(
         "rec", "n", "s", "token", F.coalesce("root", "rec").alias("comp")), "lists")
@@ -288,16 +313,16 @@ def remaining_pairs(lists: DataFrame, comps: DataFrame) -> DataFrame:
     inverted = inverted.select("token", "block", F.col("l.rec").alias("recs"), F.col("l.comp").alias("comps"),
                                F.col("l.n").alias("ns"), F.col("l.s").alias("ss"))
     asked = entries.join(asking, "rec", "left_semi").select("rec", "n", "s", "comp", "token").join(inverted, "token")
-    found = asked.groupBy("rec", "block").applyInPandas(_search, "a bigint, b bigint")
+    found = asked.groupBy("rec", "block").applyInPandas(_search(rule), "a bigint, b bigint")
     return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rule: Rule = Rule()) -> DataFrame:
     """One row per input row: ``id``, ``th``, ``n`` (set size), ``rec`` (class, null for empty
     sets), ``comp`` (smallest class number of the component) and ``component_id``."""
     base = docs.select(*row_key(id_col, text_col), text_or_empty(text_col).alias("t"))
     kind = base.schema["id"].dataType.simpleString()
-    prints = staged(base.mapInArrow(_prefixes, f"id {kind}, th bigint, n int, d1 bigint, d2 bigint, prefix array<bigint>"),
+    prints = staged(base.mapInArrow(_prefixes(rule), f"id {kind}, th bigint, n int, d1 bigint, d2 bigint, prefix array<bigint>"),
                     "prints")
     reps = prints.filter("n > 0").groupBy("d1", "d2").agg(
         F.min("id").alias("least_id"), F.min(F.struct("id", "th")).alias("rep"), F.first("n").alias("n"),
@@ -305,20 +330,20 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     reps = staged(reps.select(F.monotonically_increasing_id().alias("rec"), "d1", "d2", "least_id", "rep.id", "rep.th",
                               "n", "prefix"), "classes")
 
-    chosen = staged(candidate_classes(reps.select("rec", "id", "th", "n", "prefix")), "candidates")
+    chosen = staged(candidate_classes(reps.select("rec", "id", "th", "n", "prefix"), rule), "candidates")
     # the list of candidates grows with the input: a sort-merge join at every size, no broadcast
     wanted = chosen.select("rec", F.col("id").alias("c_id"), F.col("th").alias("c_th")).hint("merge")
     texts = base.join(wanted, F.col("id").eqNullSafe(F.col("c_id")) & (F.col("th") == F.col("c_th"))).select("rec", "t")
-    sets = texts.mapInArrow(_sets, "rec bigint, tokens array<bigint>")
+    sets = texts.mapInArrow(_sets(rule), "rec bigint, tokens array<bigint>")
     if not prints.groupBy("id", "th").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").isEmpty():
         # rows equal in id and text give a class twice
         sets = sets.groupBy("rec").agg(F.first("tokens").alias("tokens"))
     sets = staged(sets, "sets")
 
-    lists = staged(short_lists(sets), "short")
-    links = staged(verified(leader_pairs(lists), sets), "links")
+    lists = staged(short_lists(sets, rule), "short")
+    links = staged(verified(leader_pairs(lists, rule), sets, rule), "links")
     comps = components(links)
-    more = verified(remaining_pairs(lists, comps), sets)
+    more = verified(remaining_pairs(lists, comps, rule), sets, rule)
     # the components found so far stand for their links
     known = comps.select(F.col("node").alias("a"), F.col("root").alias("b"))
     comps = components(known.unionByName(more))
@@ -333,11 +358,11 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     return some.select(*none.columns).unionByName(none)
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rule: Rule = Rule()) -> DataFrame:
     """The input rows and columns of one document per component: the row of the smallest id,
     then of the smallest text hash, then of the smallest other columns.  Documents without
     words are each their own component."""
-    found = staged(similar_documents(docs, id_col, text_col), "components")
+    found = staged(similar_documents(docs, id_col, text_col, rule), "components")
     some = found.filter("comp IS NOT NULL").groupBy("comp").agg(F.min(F.struct("id", "th")).alias("k")).select("k.id", "k.th")
     some = some.withColumn("only", F.lit(True))
     none = found.filter("comp IS NULL").select("id", "th").distinct().withColumn("only", F.lit(False))

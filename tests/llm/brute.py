@@ -30,14 +30,14 @@ def deleted_lines(docs: list[tuple], min_words: int) -> dict[int, set[int]]:
     return out
 
 
-def shingle_set(text: str | None) -> frozenset:
+def shingle_set(text: str | None, size: int = 3) -> frozenset:
     words = WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
-    if len(words) < 3:
+    if len(words) < size:
         return frozenset([tuple(words)] if words else [])
-    return frozenset(zip(words, words[1:], words[2:]))
+    return frozenset(zip(*[words[k:] for k in range(size)]))
 
 
-def components(sets: list[frozenset]) -> list[int]:
+def components(sets: list[frozenset], percent: int = 90) -> list[int]:
     """Component of each set (its smallest index), from all pairs."""
     root = list(range(len(sets)))
 
@@ -51,7 +51,7 @@ def components(sets: list[frozenset]) -> list[int]:
             b = sets[j]
             if a and b:
                 both = len(a & b)
-                if 100 * both >= 90 * (len(a) + len(b) - both):
+                if 100 * both >= percent * (len(a) + len(b) - both):
                     x, y = find(i), find(j)
                     root[max(x, y)] = min(x, y)
     return [find(i) for i in range(len(sets))]

@@ -6,11 +6,11 @@ from churnspark.llm import jaccard_join as J
 from tests.llm import brute
 
 
-def check(docs_rows, spark):
+def check(docs_rows, spark, rule=J.Rule()):
     docs = spark.createDataFrame(docs_rows, "doc_id long, text string")
-    got = J.similar_documents(docs).collect()
-    sets = [brute.shingle_set(t) for _, t in docs_rows]
-    comp = brute.components(sets)
+    got = J.similar_documents(docs, rule=rule).collect()
+    sets = [brute.shingle_set(t, rule.words) for _, t in docs_rows]
+    comp = brute.components(sets, rule.percent)
     least = {}
     for (i, _), c in zip(docs_rows, comp):
         if i is not None:
@@ -49,6 +49,13 @@ def test_documents_against_all_pairs(spark):
     check(rows, spark)
 
 
+def test_other_rules_against_all_pairs(spark):
+    rows = families(4, 6, 20, 110, 5) + [(10 ** 6 + i, t) for i, t in families(5, 25, 2, 9, 1)]
+    for rule in (J.Rule(5, 80), J.Rule(1, 70), J.Rule(2, 100)):
+        want = check(rows, spark, rule)
+        assert 1 < len({w[2] for w in want}) < len(want)
+
+
 def test_edge_rows(edge, nothing, spark):
     check([(r.doc_id, r.text) for r in edge.collect()], spark)
     kept = J.keep_one(edge)
@@ -86,7 +93,7 @@ def test_divide_skip_counts_occurrences():
 
 def test_search_finds_what_leaders_leave(spark, monkeypatch):
     """Without leaders' links the search alone must give the same components."""
-    monkeypatch.setattr(J, "leader_pairs", lambda lists: lists.select(lists["rec"].alias("a"), lists["rec"].alias("b")).filter("a <> b"))
+    monkeypatch.setattr(J, "leader_pairs", lambda lists, rule: lists.select(lists["rec"].alias("a"), lists["rec"].alias("b")).filter("a <> b"))
     check(families(3, 3, 14, 60, 4), spark)
 
 
