@@ -7,10 +7,16 @@ All stages but the last return the columns of their input.
 1.  quality rules: documents that the current policy rejects go.
 2.  line dedup: later copies of repeated line runs are deleted; a document that loses all its
     words with them goes.
-3.  n-gram Jaccard join: one document of each component stays (links at 0.9 on three-word
-    shingles, the contract of the operator).
+3.  n-gram Jaccard join: one document of each component stays (links at 0.8 on five-word
+    shingles).
 4.  secret scans: live-looking secrets are replaced by a mark; copied examples stay.
-5.  packing: documents are put into length buckets and token-budget batches.
+5.  packing: documents are put into length buckets and token-budget batches, by encoded tokens.
+
+Null and empty texts, and texts without words, fail the quality rules and go with the first stage;
+in later stages alone they are left as they are.  Very long texts are worked on whole.  Ties go to the
+smaller id, then text hash.  Rows equal in all columns are near duplicates: one stays.  Extra
+columns are carried along, whatever their names, by every stage but the last.  An empty table gives
+an empty result at every stage.
 """
 
 from __future__ import annotations
@@ -18,10 +24,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from churnspark.llm import jaccard_join, line_dedup, packing, quality_rules, secrets
+from churnspark.llm import bpe, jaccard_join, line_dedup, packing, quality_rules, secrets
 from churnspark.llm._shared import WORD_RE, col, fresh, staged, table
 
 
+#: Near duplicates: words of a shingle and percentage of shared ones.
+NEAR = jaccard_join.Rule(words=5, percent=80)
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality_rules.keep(docs)
 
@@ -33,7 +43,7 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return jaccard_join.keep_one(docs)
+    return jaccard_join.keep_one(docs, rule=NEAR)
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,7 +51,7 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack(docs)
+    return packing.pack(docs, tokenizer=bpe.tokenizer_path())
 
 
 STAGES = [
