@@ -1,21 +1,22 @@
 """Sinks and stored tables: versioned table (upsert target, snapshots), the inference log,
 result export and run metadata.
 
-A table is a folder of immutable ``version=N`` Parquet snapshots plus a small catalog
-(also Parquet).  A new version is written first and only then recorded in the catalog,
-so readers never see a half-written version and a job never overwrites the path it reads
-(the Spark form of the source system's single transaction).  Paths must be on shared
-storage (the same file system as ``spark.checkpoint.dir``).
+A table is a folder of immutable Parquet snapshots, one folder per write attempt, plus a small
+catalog (also Parquet) that says which attempt is which version.  An attempt is written first and
+only then claims its version number, so readers never see a half-written version, a job never
+overwrites the path it reads (the Spark form of the source system's single transaction), and what a
+lost writer leaves behind is never read and blocks nobody.  Paths must be on shared storage (the same
+file system as ``spark.checkpoint.dir``).
 """
 
 from __future__ import annotations
 
+import datetime as dt
 import uuid
 import warnings
 from dataclasses import dataclass
 
 from pyspark import StorageLevel
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -23,8 +24,12 @@ from pyspark.sql import types as T
 from churnspark import schema as S
 from churnspark.operators import merge as M
 from churnspark.operators import rows as R
+from churnspark.sources.claims import Taken, claim, claims, is_void, read_if_there, settle
 
-CATALOG_SCHEMA = "version int, created_at timestamp, n_rows long, n_cols int, row_hash_sum string, schema string"
+CATALOG_SCHEMA = "version int, created_at timestamp, n_rows long, n_cols int, row_hash_sum string, schema string, attempt string"
+#: What a version's claim holds, and what is learned about it later.
+ENTRY_SCHEMA = "attempt string, created_at timestamp, n_cols int, schema string"
+FACTS_SCHEMA = "version int, n_rows long, row_hash_sum string"
 
 
 class VersionNotFound(LookupError):
@@ -32,19 +37,7 @@ class VersionNotFound(LookupError):
 
 
 class VersionConflict(RuntimeError):
-    """The folder of the next version exists already: another writer took that number (or a
-    failed write left it behind).  Nothing was changed."""
-
-
-def _read_if_there(spark: SparkSession, path: str, schema: str) -> DataFrame | None:
-    """None only when the path does not exist; any other failure is raised, since taking an
-    unreadable folder for an empty one would lose what it holds."""
-    try:
-        return spark.read.schema(schema).parquet(path)
-    except AnalysisException as e:
-        if e.getCondition() == "PATH_NOT_FOUND":
-            return None
-        raise
+    """Another writer took the number of the next version.  Nothing was changed."""
 
 
 @dataclass
@@ -53,27 +46,40 @@ class VersionedTable:
     path: str
     key: str | None = S.KEY
     files_per_version: int | None = None
+    #: How long the row of a claimed version may be missing before its writer counts as lost.
+    settle_seconds: float = 30.0
 
     # -- catalog -------------------------------------------------------------------
     @property
     def _catalog_path(self) -> str:
         return f"{self.path.rstrip('/')}/_catalog"
 
+    @property
+    def _facts_path(self) -> str:
+        return f"{self.path.rstrip('/')}/_facts"
+
+    def _entries(self) -> DataFrame:
+        return claims(self.spark, self._catalog_path, ENTRY_SCHEMA).withColumnRenamed("n", "version")
+
     def versions(self) -> DataFrame:
-        known = _read_if_there(self.spark, self._catalog_path, CATALOG_SCHEMA)
-        return self.spark.createDataFrame([], CATALOG_SCHEMA) if known is None else known
+        """One row per version; ``n_rows`` and ``row_hash_sum`` once they are known."""
+        facts = read_if_there(self.spark, self._facts_path, FACTS_SCHEMA)
+        facts = self.spark.createDataFrame([], FACTS_SCHEMA) if facts is None else facts
+        facts = facts.groupBy("version").agg(F.max("n_rows").alias("n_rows"), F.max("row_hash_sum").alias("row_hash_sum"))
+        names = [x.split()[0] for x in CATALOG_SCHEMA.split(", ")]
+        return self._entries().join(facts, "version", "left").select(*names)
 
     def latest_version(self) -> int | None:
-        row = self.versions().agg(F.max("version")).first()
+        row = self._entries().agg(F.max("version")).first()
         return row[0] if row else None
 
     # -- read ----------------------------------------------------------------------
     def read(self, version: int | None = None) -> DataFrame:
         v = self.latest_version() if version is None else version
-        known = self.versions().filter(F.col("version") == F.lit(v)).limit(1).count() if v is not None else 0
+        known = self._entries().filter(F.col("version") == F.lit(v)).select("attempt").collect() if v is not None else []
         if not known:
             raise VersionNotFound(f"version {version} is not available in {self.path}")
-        return self.spark.read.parquet(f"{self.path.rstrip('/')}/data/version={v}")
+        return self.spark.read.parquet(self._data_path(known[0]["attempt"]))
 
     def read_or_warn(self, version: int | None = None) -> DataFrame | None:
         try:
@@ -89,37 +95,48 @@ class VersionedTable:
 
     # -- write ---------------------------------------------------------------------
     def publish(self, df: DataFrame, fingerprint_row=None, clustered: bool = False) -> int:
-        """Write ``df`` as the next version, then record it.  Rows are range-partitioned
-        and sorted by key so Parquet min/max statistics serve key lookups.  ``clustered`` says
-        that ``df`` keeps the partitions of a version that was (a small batch merged without a
-        shuffle): they are written as they stand, and ``df`` is evaluated once.  The catalog
-        keeps the fingerprint when the caller already computed it (snapshot path);
-        otherwise it is computed from the version's files only when first needed."""
+        """Write ``df`` in a folder of its own, then claim the next version number for it.  Rows
+        are range-partitioned and sorted by key so Parquet min/max statistics serve key lookups.
+        ``clustered`` says that ``df`` keeps the partitions of a version that was (a small batch
+        merged without a shuffle): they are written as they stand, and ``df`` is evaluated once.
+        The fingerprint is kept when the caller already computed it (snapshot path); otherwise it
+        is computed from the version's files only when first needed.
+
+        A writer that lost the number to another raises ``VersionConflict``; a writer that was lost
+        itself, at whatever point, leaves nothing that a later one has to clear away."""
         last = self.latest_version()
         v = 1 if last is None else last + 1
         out = df
         if self.key and self.key in df.columns and not clustered:
             out = (out.repartitionByRange(self.files_per_version, self.key) if self.files_per_version
                    else out.repartitionByRange(self.key)).sortWithinPartitions(self.key)
-        try:
-            out.write.mode("errorifexists").parquet(self._version_path(v))
-        except AnalysisException as e:
-            if e.getCondition() == "PATH_ALREADY_EXISTS":
-                raise VersionConflict(f"{self._version_path(v)} exists: version {v} was taken by another writer") from e
-            raise
+        attempt = uuid.uuid4().hex
+        out.write.mode("errorifexists").parquet(self._data_path(attempt))
         # the version's files exist now; frames measured on the way are no longer needed
         R.release_caches()
-        fp = fingerprint_row or {"n_rows": None, "row_hash_sum": None}
-        self._record(v, fp["n_rows"], fp["row_hash_sum"], len(df.columns), df.schema.simpleString())
+        v = self._record(v, attempt, len(df.columns), df.schema.simpleString())
+        if fingerprint_row:
+            self._learn(v, fingerprint_row)
         return v
 
-    def _version_path(self, v: int) -> str:
-        return f"{self.path.rstrip('/')}/data/version={v}"
-
-    def _record(self, v, n_rows, row_hash_sum, n_cols, schema) -> None:
-        entry = self.spark.createDataFrame([(v, None, n_rows, n_cols, row_hash_sum, schema)], CATALOG_SCHEMA) \
-            .withColumn("created_at", F.current_timestamp())
-        entry.write.mode("append").parquet(self._catalog_path)
+    def _data_path(self, attempt: str) -> str:
+        return f"{self.path.rstrip('/')}/data/attempt-{attempt}"
+
+    def _record(self, v: int, attempt: str, n_cols: int, schema: str) -> int:
+        """Claim version ``v``, or the first after it that no lost writer made void."""
+        while True:
+            now = dt.datetime.now(dt.timezone.utc)
+            try:
+                claim(self.spark, self._catalog_path, v, (attempt, now, n_cols, schema), ENTRY_SCHEMA)
+                return v
+            except Taken as e:
+                if settle(self.spark, self._catalog_path, v, ENTRY_SCHEMA, self.settle_seconds):
+                    raise VersionConflict(f"{self.path}: version {v} was taken by another writer") from e
+                v += 1
+
+    def _learn(self, v: int, fp: dict) -> None:
+        self.spark.createDataFrame([(v, fp["n_rows"], fp["row_hash_sum"])], FACTS_SCHEMA) \
+            .coalesce(1).write.mode("append").parquet(self._facts_path)
 
     def fingerprint_of(self, version: int) -> dict:
         """Catalog fingerprint of a version; computed from its files (one aggregate pass)
@@ -129,7 +146,7 @@ class VersionedTable:
         if rows:
             return rows[0].asDict()
         fp = M.fingerprint(self.read(version)).first().asDict()
-        self._record(version, fp["n_rows"], fp["row_hash_sum"], fp["n_cols"], fp["schema"])
+        self._learn(version, fp)
         return fp
 
     def snapshot_if_changed(self, df: DataFrame, clustered: bool = False) -> int | None:
@@ -144,9 +161,12 @@ class VersionedTable:
         return self.publish(df, fingerprint_row=fp, clustered=clustered)
 
     def upsert(self, incoming: DataFrame, blanks: str = "overwrite", order=None) -> int:
-        """Merge ``incoming`` into the latest version and publish the result."""
+        """Merge ``incoming`` into the latest version and publish the result.  Repeated keys
+        need an ``order``, in the first version as in any other."""
         last = self.latest_version()
         if last is None:
+            named = {c for c in (order or []) if isinstance(c, str)}
+            M.require_order(incoming.drop(*named), self.key, order)
             return self.publish(M.dedup_last(incoming, self.key, order))
         merged, strategy = M.upsert_plan(self.read(last), incoming, self.key, blanks=blanks, order=order)
         return self.publish(merged, clustered=strategy == "broadcast")
@@ -203,27 +223,35 @@ class TableCache:
 
 LOG_SCHEMA = ("inference_id long, customer_id string, churn_probability decimal(5,4), predicted_churn boolean, "
               "model_version string, created_at timestamp, source string, batch_id long")
-MARK_SCHEMA = "source string, batch_id long, base_id long, max_id long"
+RANGE_SCHEMA = "source string, batch_id long, base_id long, size long"
 
 
 def append_logs(spark: SparkSession, path: str, scored: DataFrame, model_version: str | None = None,
                 batch_id: int | None = None, source: str | None = None) -> int:
-    """Append scored rows to the log: inference_id = high-water mark + global row number
+    """Append scored rows to the log: inference_id = start of a reserved range + global row number
     (no single-task numbering), model_version = given or the row's or the default,
     created_at = write time.  Returns the number of rows written.
 
+    The rows are numbered first (a checkpoint), then their ids are reserved, then they are written:
+    no other writer gets these ids, whatever happens to this one.  A replayed batch finds its own
+    range and keeps its ids; a range that was never written is a gap.
+
     Every write goes to ``source=<writer>/batch_id=<n>``: a stream names itself (its query id)
     and its micro-batch, so a replayed batch replaces itself and no other writer's rows; a
     batch write is a source of its own.  The overwrite mode is an option of this one writer."""
     if batch_id is None:
         source, batch_id = f"run-{uuid.uuid4().hex}", 0
     source = source or "stream"
-    base = _high_water_mark(spark, path, source, batch_id)
     version = F.coalesce(F.lit(model_version).cast("string"),
                          F.col("model_version") if "model_version" in scored.columns else F.lit(None).cast("string"),
                          F.lit(S.DEFAULT_MODEL_VERSION))
     order = ["customer_id"] + (["churn_probability"] if "churn_probability" in scored.columns else [])
     numbered = R.row_ids(scored.withColumn("_seq", F.monotonically_increasing_id()), order + ["_seq"], "_rn")
+    # the numbered rows are a checkpoint (row numbering), so this reads it, not the source
+    n = numbered.count()
+    if not n:
+        return 0
+    base = reserve_ids(spark, path, source, batch_id, n)
     out = numbered.select(
         (F.lit(base) + F.col("_rn")).cast("long").alias("inference_id"),
         F.col("customer_id").cast("string").alias("customer_id"),
@@ -233,28 +261,38 @@ def append_logs(spark: SparkSession, path: str, scored: DataFrame, model_version
         F.current_timestamp().alias("created_at"),
         F.lit(source).alias("source"), F.lit(batch_id).cast("long").alias("batch_id"))
     out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("source", "batch_id").parquet(path)
-    # the numbered rows are a checkpoint (row numbering), so this reads it, not the source
-    n, max_rn = numbered.agg(F.count(F.lit(1)), F.max("_rn")).first()
-    if n:
-        spark.createDataFrame([(source, batch_id, base, base + max_rn)], MARK_SCHEMA) \
-             .write.mode("append").parquet(f"{path.rstrip('/')}/{HWM_DIR}")
     return n
 
 
-# Ids already handed out, one tiny row per append; Spark's file index skips "_" folders,
-# so readers of the log never see it and the next append needs no scan of the log.
-HWM_DIR = "_hwm"
-
-
-def _high_water_mark(spark: SparkSession, path: str, source: str, batch_id: int) -> int:
-    """Ids handed out before this write.  A replayed batch gets the mark it started from."""
-    marks = _read_if_there(spark, f"{path.rstrip('/')}/{HWM_DIR}", MARK_SCHEMA)
-    if marks is not None:
-        own = (F.col("source") == source) & (F.col("batch_id") == batch_id)
-        again, top = marks.agg(F.min(F.when(own, F.col("base_id"))), F.max("max_id")).first()
-        return again if again is not None else (top or 0)
-    existing = _read_if_there(spark, path, LOG_SCHEMA)
-    return 0 if existing is None else existing.agg(F.max("inference_id")).first()[0] or 0
+# Ranges of ids handed out, one tiny claim per append; Spark's file index skips "_" folders, so
+# readers of the log never see it and the next append needs no scan of the log.
+RANGES_DIR = "_ids"
+
+
+def reserve_ids(spark: SparkSession, path: str, source: str, batch_id: int, size: int,
+                settle_seconds: float = 30.0) -> int:
+    """The number before the first id of a range of ``size`` ids that no other writer has or gets.
+    The batch's own range if it reserved one before and fits in it."""
+    root = f"{path.rstrip('/')}/{RANGES_DIR}"
+    while True:
+        known = claims(spark, root, RANGE_SCHEMA)
+        own = (F.col("source") == source) & (F.col("batch_id") == batch_id) & (F.col("size") >= size)
+        again, top, number = known.agg(F.min(F.when(own, F.col("base_id"))), F.max(F.col("base_id") + F.col("size")),
+                                       F.max("n")).first()
+        if again is not None:
+            return again
+        if number is None:
+            # a log that was written without ranges
+            existing = read_if_there(spark, path, LOG_SCHEMA)
+            top = 0 if existing is None else existing.agg(F.max("inference_id")).first()[0] or 0
+        number = (number or 0) + 1
+        while is_void(spark, root, RANGE_SCHEMA, number):
+            number += 1
+        try:
+            claim(spark, root, number, (source, batch_id, top, size), RANGE_SCHEMA)
+            return top
+        except Taken:
+            settle(spark, root, number, RANGE_SCHEMA, settle_seconds)
 
 
 # -- A11: result export ---------------------------------------------------------------
@@ -271,22 +309,24 @@ def export_csv(df: DataFrame, path: str) -> None:
 
 # -- A10: run metadata ----------------------------------------------------------------
 
-def write_metadata(spark: SparkSession, meta: dict, path: str) -> None:
-    schema = ("model_version string, trained_at string, n_train_rows long, n_test_rows long, "
+METADATA_SCHEMA = ("model_version string, trained_at string, n_train_rows long, n_test_rows long, "
               "features array<string>, metrics map<string,double>, top_feature_importances map<string,double>, "
-              "class_balance_pct map<string,double>")
+              "class_balance_pct map<string,double>, null_targets long")
+
+
+def write_metadata(spark: SparkSession, meta: dict, path: str) -> None:
     row = (meta["model_version"], meta["trained_at"], int(meta["n_train_rows"]), int(meta["n_test_rows"]),
            list(meta["features"]), {k: float(v) for k, v in meta["metrics"].items()},
            {k: float(v) for k, v in meta["top_feature_importances"].items()},
-           {k: float(v) for k, v in (meta.get("class_balance_pct") or {}).items()})
-    spark.createDataFrame([row], schema).write.mode("overwrite").json(path)
+           {k: float(v) for k, v in (meta.get("class_balance_pct") or {}).items()},
+           int(meta["null_targets"]) if meta.get("null_targets") is not None else None)
+    spark.createDataFrame([row], METADATA_SCHEMA).write.mode("overwrite").json(path)
 
 
 def read_metadata(spark: SparkSession, path: str) -> dict | None:
-    try:
-        rows = spark.read.json(path).collect()
-    except Exception:  # noqa: BLE001
-        return None
+    """None when there is no metadata at the path; what cannot be read raises."""
+    found = read_if_there(spark, path, METADATA_SCHEMA, "json")
+    rows = [] if found is None else found.collect()
     if not rows:
         return None
     d = rows[0].asDict(recursive=True)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from churnspark import schema as S
 from churnspark.operators import clean as C
 from churnspark.operators import merge as M
+from churnspark.sources import claims
 from churnspark.sources import readers as RD
 from churnspark.sources import tables as TB
 
@@ -217,7 +218,7 @@ def test_unreadable_catalog_raises_and_versions_are_never_overwritten(spark, tmp
         raise PermissionError("catalog cannot be listed")
 
     with monkeypatch.context() as m:
-        m.setattr(TB, "_read_if_there", unreadable)
+        m.setattr(claims, "read_if_there", unreadable)
         with pytest.raises(PermissionError):
             t.upsert(one)
     assert t.read().count() == 3
@@ -252,3 +253,80 @@ def test_overlong_values_fail_the_upload(spark):
     long = spark.createDataFrame([("1", "x" * 500)], "customer_id string, gender string")
     with pytest.raises(SJ.BatchTypeError, match="longer"):
         SJ.typed_upload(long)
+
+
+def test_a_lost_writer_blocks_nobody(spark, tmp, monkeypatch):
+    t = TB.VersionedTable(spark, os.path.join(tmp, "lost"), key="customer_id", settle_seconds=0)
+    rows = lambda *x: spark.createDataFrame(list(x), "customer_id string, city string")
+    assert t.publish(rows(("1", "LA"))) == 1
+
+    def dies(*a, **k):
+        raise RuntimeError("driver lost")
+
+    # between the data and the catalog
+    with monkeypatch.context() as m:
+        m.setattr(TB.VersionedTable, "_record", dies)
+        with pytest.raises(RuntimeError):
+            t.publish(rows(("1", "SF")))
+    assert t.latest_version() == 1 and t.read().first()["city"] == "LA"
+    assert t.publish(rows(("1", "SD"))) == 2 and t.read().first()["city"] == "SD"
+    # while the catalog entry was written: a folder without a row
+    os.makedirs(os.path.join(tmp, "lost", "_catalog", "n=3", "try=0"))
+    assert t.latest_version() == 2
+    assert t.publish(rows(("1", "NY"))) == 4 and t.read().first()["city"] == "NY"
+    # the writer of version 3 was only slow: it finds its number void
+    with pytest.raises(claims.Taken):
+        os.rmdir(os.path.join(tmp, "lost", "_catalog", "n=3", "try=0"))
+        claims.claim(spark, t._catalog_path, 3, ("x", None, 1, ""), TB.ENTRY_SCHEMA)
+    assert [r.version for r in t.versions().orderBy("version").collect()] == [1, 2, 4]
+    assert t.publish(rows(("1", "LV"))) == 5
+
+
+def test_log_ids_never_repeat(spark, tmp, monkeypatch):
+    log = os.path.join(tmp, "ids")
+    TB.append_logs(spark, log, _log_rows(spark, "a", "b"), batch_id=0, source="s")
+
+    def dies(*a, **k):
+        raise RuntimeError("driver lost")
+
+    # lost after the ids were reserved, before the rows were written
+    with monkeypatch.context() as m:
+        m.setattr(TB.F, "current_timestamp", dies)
+        with pytest.raises(RuntimeError):
+            TB.append_logs(spark, log, _log_rows(spark, "c"), batch_id=1, source="s")
+    TB.append_logs(spark, log, _log_rows(spark, "d"), batch_id=0, source="other")
+    TB.append_logs(spark, log, _log_rows(spark, "c"), batch_id=1, source="s")                # replayed
+    ids = lambda: sorted((r.customer_id, r.inference_id) for r in spark.read.parquet(log).collect())
+    assert ids() == [("a", 1), ("b", 2), ("c", 3), ("d", 4)]
+    # two writers that read the same ranges: the second one takes the next
+    stale = [TB.claims(spark, f"{log}/_ids", TB.RANGE_SCHEMA).filter("n <= 3")]
+    real = TB.claims
+    with monkeypatch.context() as m:
+        m.setattr(TB, "claims", lambda *a: stale.pop() if stale else real(*a))
+        TB.append_logs(spark, log, _log_rows(spark, "e"))
+        stale.append(real(spark, f"{log}/_ids", TB.RANGE_SCHEMA).filter("n <= 3"))
+        TB.append_logs(spark, log, _log_rows(spark, "f"))
+    assert ids()[4:] == [("e", 5), ("f", 6)]
+    # a log without ranges goes on after its greatest id
+    old = os.path.join(tmp, "old")
+    spark.read.parquet(log).write.partitionBy("source", "batch_id").parquet(old)
+    TB.append_logs(spark, old, _log_rows(spark, "g"))
+    assert max(r.inference_id for r in spark.read.parquet(old).collect()) == 7
+
+
+def test_first_upsert_needs_an_order_for_repeated_keys(spark, tmp):
+    t = TB.VersionedTable(spark, os.path.join(tmp, "first"), key="customer_id")
+    twice = spark.createDataFrame([("1", "9", 1), ("1", "3", 2)], "customer_id string, city string, seq int")
+    with pytest.raises(M.RepeatedKeysError):
+        t.upsert(twice.drop("seq"))
+    assert t.latest_version() is None
+    assert t.upsert(twice, order=["seq"]) == 1 and t.read().first()["city"] == "3"
+
+
+def test_metadata_round_trip(spark, tmp):
+    meta = {"model_version": "v1", "trained_at": "now", "n_train_rows": 8, "n_test_rows": 2, "features": ["a"],
+            "metrics": {"f1": 0.5}, "top_feature_importances": {"a": 1.0}, "class_balance_pct": {"0": 60.0}, "null_targets": 7}
+    p = os.path.join(tmp, "meta")
+    assert TB.read_metadata(spark, p) is None
+    TB.write_metadata(spark, meta, p)
+    assert TB.read_metadata(spark, p) == meta
