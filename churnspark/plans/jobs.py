@@ -28,13 +28,13 @@ TOPICS = ("location", "demographics", "services", "status")
 # -- §3.1 load: four topic files -> merged table -> upsert -----------------------------
 
 def ingest_topics(spark: SparkSession, paths: Mapping[str, str], table: VersionedTable,
-                  fmt: str = "csv", orders: Mapping[str, Sequence[str]] | None = None) -> int:
+                  fmt: str = "csv", orders: Mapping[str, Sequence[str]] | None = None, multiline: bool = False) -> int:
     """Read the four topic exports, merge them into one row per customer (J1, last row per
     key within a source by file order unless ``orders`` names columns), upsert into the
     table (J2) and publish a new version.  Returns the version number."""
     frames, ords = [], []
     for topic in TOPICS:
-        df = RD.read_topic(spark, topic, paths[topic], fmt)
+        df = RD.read_topic(spark, topic, paths[topic], fmt, multiline)
         given = (orders or {}).get(topic)
         if given:
             ords.append(list(given))
@@ -59,11 +59,12 @@ class UploadResult:
     saved: DataFrame          # (row, customer_id) of every row that was saved
 
 
-def upload_csv(spark: SparkSession, path: str, table: VersionedTable, blanks: str = "overwrite") -> UploadResult:
-    """Rows without a customer id are reported with their file row number and skipped;
+def upload_csv(spark: SparkSession, path: str, table: VersionedTable, blanks: str = "overwrite",
+               multiline: bool = False) -> UploadResult:
+    """``multiline``: values hold quoted line feeds.  Rows without a customer id are reported with their file row number and skipped;
     a value that does not fit its column type fails the whole upload before anything is
     written (one transaction); the rest is upserted, last row per key winning."""
-    raw = RD.read_upload_csv(spark, path)
+    raw = RD.read_upload_csv(spark, path, multiline=multiline)
     # written once: the checks, the merge and the lazy results below read the parsed rows, not the file
     numbered = cut_lineage(RD.file_row_numbers(raw, "_row").withColumn("_row", F.col("_row") + 1))  # header = row 1
     cleaned = C.blanks_to_null(numbered)
@@ -92,12 +93,12 @@ def train_from_table(table: VersionedTable, model_dir: str, version: int | None
 # -- §3.3 score a file -------------------------------------------------------------------
 
 def score_file(spark: SparkSession, path: str, model_dir: str, out_path: str | None = None,
-               log_path: str | None = None, with_status: bool = False) -> DataFrame:
+               log_path: str | None = None, with_status: bool = False, multiline: bool = False) -> DataFrame:
     """Read a scoring file, score every row with the current model, optionally log the rows
     that carry an id and export the result as CSV."""
     model, meta = ML.load(spark, model_dir)
     version = meta["model_version"] if meta else None
-    df = RD.read_scoring_file(spark, path)
+    df = RD.read_scoring_file(spark, path, multiline)
     res = ML.score_with_status(model, df, version) if with_status else ML.score(model, df, version)
     if log_path and out_path and not with_status:
         res = cut_lineage(res)               # scored once for the log and the export

@@ -4,7 +4,8 @@ the plan is fixed before any file is touched, and keeps parquet pushdown intact.
 
 from __future__ import annotations
 
-from typing import Mapping
+from concurrent.futures import ThreadPoolExecutor
+from typing import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,15 +19,19 @@ def _all_strings(names) -> T.StructType:
     return T.StructType([T.StructField(n, T.StringType()) for n in names])
 
 
-def _csv(spark: SparkSession, header_names, path: str, multiline: bool = False) -> DataFrame:
-    """All-string CSV.  The header of every file is compared with the given names, so a folder
-    whose files order their columns differently raises instead of being read by position, and
-    a row with too few or too many fields raises (a quoted line feed without ``multiline``
-    makes such rows).  ``multiline`` reads quoted line feeds; a file is then one task."""
+def _csv(spark: SparkSession, header_names, path: str | list[str], multiline: bool = False,
+         corrupt: str | None = None) -> DataFrame:
+    """All-string CSV of files that share one header (which is compared with the given names).  A
+    row with too few or too many fields raises (a quoted line feed without ``multiline`` makes
+    such rows); with ``corrupt``, a column of that name holds the text of such a row instead.
+    ``multiline`` reads quoted line feeds; a file is then one task."""
     # escape='"' keeps doubled quotes inside a quoted field ("""36.7, -119.7""") in one column
-    return (spark.read.schema(_all_strings(header_names)).option("header", True).option("enforceSchema", False)
-            .option("escape", '"').option("multiLine", multiline).option("encoding", "UTF-8")
-            .option("mode", "FAILFAST").csv(path))
+    reader = (spark.read.schema(_all_strings([*header_names, *([corrupt] if corrupt else [])])).option("header", True)
+              .option("enforceSchema", False).option("escape", '"').option("multiLine", multiline)
+              .option("encoding", "UTF-8").option("mode", "PERMISSIVE" if corrupt else "FAILFAST"))
+    if corrupt:
+        reader = reader.option("columnNameOfCorruptRecord", corrupt)
+    return reader.csv(path)
 
 
 def csv_header(spark: SparkSession, path: str) -> list[str]:
@@ -34,11 +39,49 @@ def csv_header(spark: SparkSession, path: str) -> list[str]:
     first = spark.read.text(path).limit(1).collect()
     if not first:
         return []
-    line = first[0][0].lstrip("﻿")
+    line = first[0][0].lstrip("\ufeff")
     import csv
     return next(csv.reader([line]))
 
 
+#: Schema of the file listing source; only ``path`` is ever read, so no content is.
+LISTING = T.StructType([T.StructField("path", T.StringType()), T.StructField("modificationTime", T.TimestampType()),
+                        T.StructField("length", T.LongType()), T.StructField("content", T.BinaryType())])
+#: Files whose first lines are read at the same time.
+HEADER_JOBS = 8
+
+
+def csv_headers(spark: SparkSession, path: str | list[str]) -> dict[tuple[str, ...], list[str]]:
+    """Header -> the files (of a file, folder, glob or list) that have it, both in path order.
+    Empty files are left out.  Only names and first lines reach the driver."""
+    files = sorted(r.path for r in spark.read.format("binaryFile").load(path).select("path").collect())
+    found: dict[tuple[str, ...], list[str]] = {}
+    with ThreadPoolExecutor(HEADER_JOBS) as pool:
+        for f, header in zip(files, pool.map(lambda f: tuple(csv_header(spark, f)), files)):
+            if header:
+                found.setdefault(header, []).append(f)
+    return found
+
+
+def read_csv(spark: SparkSession, path: str | list[str], required: Sequence[str] = (), multiline: bool = False,
+             corrupt: str | None = None, headers: Mapping[tuple[str, ...], list[str]] | None = None) -> DataFrame:
+    """All-string CSV, read by column name: files are grouped by their own header, each group is
+    read with it, and the groups are put together by name.  A column that a file lacks is NULL
+    there; ``required`` columns must be in every header."""
+    headers = csv_headers(spark, path) if headers is None else headers
+    if not headers:
+        raise ValueError(f"no CSV file with a header in {path}")
+    for header in headers:
+        missing = [c for c in required if c not in header]
+        if missing:
+            raise C.MissingColumnsError(missing, list(required))
+    out = None
+    for header, files in headers.items():
+        df = _csv(spark, header, files, multiline, corrupt)
+        out = df if out is None else out.unionByName(df, allowMissingColumns=True)
+    return out
+
+
 # -- file order (T10) -----------------------------------------------------------------
 
 def with_file_order(df: DataFrame, name: str = "_ord") -> DataFrame:
@@ -81,11 +124,11 @@ TOPIC_MAPS: Mapping[str, Mapping[str, str]] = {
 }
 
 
-def read_topic(spark: SparkSession, topic: str, path: str, fmt: str = "csv") -> DataFrame:
+def read_topic(spark: SparkSession, topic: str, path: str, fmt: str = "csv", multiline: bool = False) -> DataFrame:
     """One topic export (CSV with source headers, or Parquet) -> renamed, pruned, typed."""
     mapping = TOPIC_MAPS[topic]
     if fmt == "csv":
-        df = _csv(spark, csv_header(spark, path), path)
+        df = read_csv(spark, path, multiline=multiline)
     elif fmt == "parquet":
         df = spark.read.parquet(path)
     else:
@@ -98,12 +141,9 @@ def read_topic(spark: SparkSession, topic: str, path: str, fmt: str = "csv") ->
 # -- A2: upload CSV ------------------------------------------------------------------
 
 def read_upload_csv(spark: SparkSession, path: str, key: str = S.KEY, multiline: bool = False) -> DataFrame:
-    """All-string read of a bulk-upload CSV; the key column is required in the header.
+    """All-string read of a bulk-upload CSV; the key column is required in every header.
     ``multiline``: free text holds quoted line feeds."""
-    header = csv_header(spark, path)
-    if key not in header:
-        raise C.MissingColumnsError([key], [key])
-    return _csv(spark, header, path, multiline)
+    return read_csv(spark, path, [key], multiline)
 
 
 # -- A3: scoring file ----------------------------------------------------------------
@@ -113,7 +153,7 @@ def read_scoring_file(spark: SparkSession, path: str, multiline: bool = False) -
     suffix raises."""
     low = path.lower().rstrip("/")
     if low.endswith(".csv"):
-        df = _csv(spark, csv_header(spark, path), path, multiline)
+        df = read_csv(spark, path, multiline=multiline)
     elif low.endswith(".parquet"):
         df = spark.read.parquet(path)
     else:

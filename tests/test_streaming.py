@@ -80,3 +80,57 @@ def test_log_batch_replay_is_idempotent(spark, tmp):
     assert TB.append_logs(spark, log, more, "v1", batch_id=1) == 1            # the micro-batch is replayed
     again = sorted(map(tuple, spark.read.parquet(log).select("inference_id", "customer_id", "batch_id").collect()))
     assert first == again == [(1, "a", 0), (2, "b", 0), (3, "c", 1)]
+
+
+def _write(folder, name, text):
+    os.makedirs(folder, exist_ok=True)
+    with open(os.path.join(folder, name), "w") as f:
+        f.write(text)
+
+
+def test_streams_read_by_column_name(spark, small_model, tmp):
+    src = os.path.join(tmp, "swapped")
+    _write(src, "a.csv", "customer_id,city,state\n1,LA,California\n")
+    _write(src, "b.csv", "customer_id,state,city\n2,Texas,Paris\n")
+    table = TB.VersionedTable(spark, os.path.join(tmp, "swapped_table"))
+    SJ.continuous_upsert(spark, src, table, checkpoint=os.path.join(tmp, "ck")).awaitTermination(300)
+    assert sorted((r.customer_id, r.city, r.state) for r in table.read().collect()) == [("1", "LA", "California"), ("2", "Paris", "Texas")]
+    rows = _customers(seed=41, n=12).drop(columns=["churn_value"])
+    first, second = os.path.join(tmp, "first"), os.path.join(tmp, "second")
+    for folder, cols in ((first, list(rows.columns)), (second, list(rows.columns)[::-1])):
+        os.makedirs(folder)
+        rows[cols].to_csv(os.path.join(folder, "x.csv"), index=False)
+    schema = spark.read.option("header", True).csv(first).schema
+    logs = []
+    for folder in (first, second):
+        SJ.continuous_scoring(spark, folder, schema, small_model, folder + "_log", "v", checkpoint=folder + "_ck").awaitTermination(300)
+        logs.append(sorted((r.customer_id, r.churn_probability) for r in spark.read.parquet(folder + "_log").collect()))
+    assert logs[0] == logs[1] and len(logs[0]) == 12
+
+
+def test_bad_files_are_quarantined_and_the_stream_goes_on(spark, tmp, monkeypatch):
+    src = os.path.join(tmp, "mixed")
+    _write(src, "a.csv", "customer_id,age\n1,30\n")
+    _write(src, "b.csv", "customer_id,age\n2,many\n3,40\n")               # a value that is no number
+    _write(src, "c.csv", "city,age\nLA,1\n")                              # no key
+    _write(src, "d.csv", "customer_id,age\n4,50,extra\n")                 # a shifted row
+    _write(src, "e.csv", "customer_id,gender\n5," + "x" * 500 + "\n")     # too long
+    _write(src, "f.csv", "age,customer_id\n60,6\n")
+    table = TB.VersionedTable(spark, os.path.join(tmp, "mixed_table"), settle_seconds=0)
+    ck = os.path.join(tmp, "ck")
+
+    def dies(*a, **k):
+        raise RuntimeError("driver lost")
+
+    # lost between the data and the catalog: the restarted stream replays the batch
+    with monkeypatch.context() as m:
+        m.setattr(TB.VersionedTable, "_record", dies)
+        with pytest.raises(Exception):
+            SJ.continuous_upsert(spark, src, table, checkpoint=ck).awaitTermination(300)
+    SJ.continuous_upsert(spark, src, table, checkpoint=ck).awaitTermination(300)
+    assert sorted((r.customer_id, r.age) for r in table.read().collect()) == [("1", 30), ("6", 60)]
+    dead = spark.read.parquet(os.path.join(tmp, "mixed_table", "_quarantine")).collect()
+    assert sorted(os.path.basename(r.file) for r in dead) == ["b.csv", "c.csv", "d.csv", "e.csv"]
+    _write(src, "g.csv", "customer_id,age\n7,70\n")
+    SJ.continuous_upsert(spark, src, table, checkpoint=ck).awaitTermination(300)
+    assert table.read().count() == 3 and table.latest_version() == 2
