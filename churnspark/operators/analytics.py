@@ -1,9 +1,9 @@
 """Dashboard analytics as lazy DataFrame queries: KPIs, group-bys, shares, histograms,
 box statistics, correlation, filter options, class balance and load summaries.
 
-Every aggregate is algebraic (partial aggregation map-side) except the exact quartiles,
-which go through distributed positions (``rows.exact_quantiles``) so no group is ever
-held by one task.  Small derived tables (one stats row, k class rows, <= 100 bins) are
+Every aggregate is algebraic (partial aggregation map-side), the exact quartiles included:
+``rows.exact_quantiles`` selects them in a few counting passes, so no group is ever held by one
+task.  Small derived tables (one stats row, k class rows, <= 100 bins) are
 joined with an explicit broadcast only where their size is bounded by construction.
 """
 
@@ -137,19 +137,19 @@ def box_stats(df: DataFrame, y: str, group: str | None = None) -> DataFrame:
     inside the fences), outlier count, min and max, per group (NULL group kept; no row for a
     group, or a frame, without values).
 
-    One algorithm for every size: values are counted per (group, distinct value) in one pass
-    over the data, and all statistics are read off the counted values."""
+    One algorithm for every size: quartiles by exact selection, the rest in one more pass over
+    (group, value); no value is shuffled."""
     gcols = [group] if group else []
-    ranks = R.value_ranks(df, y, gcols)
-    q = R.quantiles_of(ranks, [0.25, 0.5, 0.75], gcols, ["q1", "median", "q3"])
+    q = R.exact_quantiles(df, y, [0.25, 0.5, 0.75], gcols, ["q1", "median", "q3"])
     fences = (q.withColumn("iqr", F.col("q3") - F.col("q1"))
                .withColumn("lower_fence", F.col("q1") - 1.5 * F.col("iqr"))
                .withColumn("upper_fence", F.col("q3") + 1.5 * F.col("iqr")))
     yv, lo, hi = F.col("_y"), F.col("lower_fence"), F.col("upper_fence")
     aggs = [F.min(F.when(yv >= lo, yv)).alias("whisker_low"), F.max(F.when(yv <= hi, yv)).alias("whisker_high"),
-            F.sum(F.when((yv < lo) | (yv > hi), F.col("_c")).otherwise(F.lit(0))).alias("n_outliers"),
+            F.sum(F.when((yv < lo) | (yv > hi), F.lit(1)).otherwise(F.lit(0))).alias("n_outliers"),
             F.min(yv).alias("min"), F.max(yv).alias("max")]
-    fenced = _with_fences(ranks, fences, group)
+    values = df.select(*[_q(c) for c in gcols], _q(y).cast("double").alias("_y")).filter("_y IS NOT NULL")
+    fenced = _with_fences(values, fences, group)
     if group:
         w = fenced.groupBy(_q(group).alias("_g")).agg(*aggs)
         out = fences.join(w, on=fences[group].eqNullSafe(w["_g"]), how="inner").drop("_g")

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark import StorageLevel
 
 from churnspark import schema as S
-from churnspark.session import checkpoint_dir
+from churnspark.session import checkpoint_dir, cut_lineage
 
 
 def _cols(cs: Sequence[str | Column]) -> list[Column]:
@@ -78,13 +78,17 @@ MAX_BROADCAST_BYTES = 32 << 20
 def measured_bytes(df: DataFrame) -> int:
     """Size of the rows in memory, bounded from above: 16 bytes a value, and the bytes of
     everything that has no fixed width."""
+    return df.agg(F.sum(_row_bytes(df))).first()[0] or 0
+
+
+def _row_bytes(df: DataFrame) -> Column:
     fixed = {"ByteType", "ShortType", "IntegerType", "LongType", "FloatType", "DoubleType", "BooleanType",
              "DateType", "TimestampType", "TimestampNTZType", "DecimalType"}
     size = F.lit(16 * max(1, len(df.columns))).cast("long")
     for f in df.schema.fields:
         if type(f.dataType).__name__ not in fixed:
             size = size + F.coalesce(F.octet_length(F.col(f"`{f.name}`").cast("string")), F.lit(0))
-    return df.agg(F.sum(size)).first()[0] or 0
+    return size
 
 
 def broadcast_if_small(small: DataFrame, max_bytes: int = MAX_BROADCAST_BYTES) -> DataFrame:
@@ -167,58 +171,89 @@ def running_sum(df: DataFrame, order: Sequence[str | Column], value: str, name:
 
 
 # -- exact quantiles -----------------------------------------------------------------
-
-def value_ranks(df: DataFrame, value: str, group: Sequence[str] = (),
-                num_partitions: int | None = None) -> DataFrame:
-    """One row per (group, distinct value): ``_y`` (double), ``_c`` (rows that hold it), ``_lo``
-    (0-based rank of the first of them in its group) and ``_n`` (group size).
-
-    Values are counted first, so a tied value is one row whatever share of the data it is;
-    ranks come from running sums over range partitions of the distinct values.  NULL values
-    are ignored; a group of only NULLs yields no row."""
+# The values at given ranks are found by narrowing: one pass counts the values of an interval in
+# ordered buckets, and the bucket that holds the rank, with its least and greatest value, is the next
+# interval.  Counts are summed map-side, so no value is shuffled, sorted or stored.
+
+#: Buckets of one pass.
+SELECT_BUCKETS = 1024
+#: Intervals of at most this many rows are counted value by value, which ends the search.
+SELECT_FINISH = 100_000
+
+
+def _bucket(y: Column, lo: Column, hi: Column, log_scale: bool) -> Column:
+    """Ordered bucket of ``y`` in [lo, hi].  The bounds have buckets of their own, so every pass
+    takes something off the interval, whatever the values (infinities and NaN included); the
+    others are spread evenly, or evenly in the logarithm of their distance from the lower bound."""
+    inner = SELECT_BUCKETS - 2
+    share = (y / 2 - lo / 2) / (hi / 2 - lo / 2)                       # halves: no overflow
+    if log_scale:
+        share = F.log1p(share * 1e15) / F.log1p(F.lit(1e15))
+    place = F.when(F.isnan(share), F.lit(0.0)).otherwise(F.greatest(F.lit(0.0), F.least(share, F.lit(1.0))))
+    return (F.when(y == lo, F.lit(0)).when(y == hi, F.lit(SELECT_BUCKETS - 1))
+             .otherwise(F.lit(1) + F.least(F.floor(place * inner).cast("int"), F.lit(inner - 1))))
+
+
+def select_ranks(df: DataFrame, value: str, ranks: Sequence[Column], group: Sequence[str] = ()) -> DataFrame:
+    """One row per (group, rank): the group, ``n`` (its values), ``t`` (which of ``ranks``) and ``y``, the
+    value at that 0-based rank of the group's ascending values.  ``ranks`` are expressions of ``n``.
+    NULL values are ignored; a group of only NULLs yields no row.
+
+    Each pass reads (group, value) once and keeps a table of one row per group and rank.  Evenly
+    and logarithmically spread buckets take turns, so skewed values need few passes too."""
     group = list(group)
-    gcols = [F.col(f"`{g}`") for g in group]
-    base = df.select(*gcols, F.col(f"`{value}`").cast("double").alias("_y")).filter(F.col("_y").isNotNull())
-    counted = base.groupBy(*gcols, "_y").agg(F.count(F.lit(1)).alias("_c"))
-    # written once: group starts, quantiles and statistics all scan it without a shuffle
-    cum = _one_partitioning(running_sum(counted, [*group, "_y"], "_c", "_cum", num_partitions))
-    if not group:
-        total = cum.agg(F.sum("_c")).scalar()
-        return cum.select("_y", "_c", (F.col("_cum") - F.col("_c")).alias("_lo"), total.alias("_n"))
-    # running sums cross groups: a group starts where its first value's sum starts
-    starts = cum.groupBy(*gcols).agg(F.min(F.col("_cum") - F.col("_c")).alias("_start"), F.sum("_c").alias("_n"))
-    starts = broadcast_if_small(starts.select(*[F.col(f"`{g}`").alias(f"_r_{g}") for g in group], "_start", "_n"))
-    return _null_safe_join(cum, starts, group).select(
-        *gcols, "_y", "_c", (F.col("_cum") - F.col("_c") - F.col("_start")).alias("_lo"), "_n")
-
-
-def quantiles_of(ranks: DataFrame, probs: Sequence[float], group: Sequence[str], names: Sequence[str]) -> DataFrame:
-    """Linear-interpolation quantiles of ``value_ranks``: one row per group."""
-    has = lambda i: (F.col("_lo") <= i) & (i < F.col("_lo") + F.col("_c"))
-    h = lambda p: (F.col("_n") - 1) * F.lit(float(p))
-    picks = [(nm, F.floor(h(p)), F.ceil(h(p)), h(p) - F.floor(h(p))) for p, nm in zip(probs, names)]
-    need = F.lit(False)
-    for _, lo, hi, _ in picks:
-        need = need | has(lo) | has(hi)
-    cols = []
-    for nm, lo, hi, frac in picks:
-        cols += [F.when(has(lo), F.col("_y")).alias(f"_lo_{nm}"), F.when(has(hi), F.col("_y")).alias(f"_hi_{nm}"),
-                 frac.alias(f"_d_{nm}")]
-    gcols = [F.col(f"`{g}`") for g in group]
-    picked = ranks.filter(need).select(*gcols, "_n", *cols)
-    aggs = [F.max("_n").alias("n")] + [F.max(f"{k}_{nm}").alias(f"{k}_{nm}") for nm in names for k in ("_lo", "_hi", "_d")]
-    g = picked.groupBy(*gcols).agg(*aggs) if group else picked.agg(*aggs).filter(F.col("n").isNotNull())
-    return g.select(*gcols, "n", *[(F.col(f"_lo_{nm}") + (F.col(f"_hi_{nm}") - F.col(f"_lo_{nm}")) * F.col(f"_d_{nm}")).alias(nm)
-                                   for nm in names])
+    names = [f"_g{i}" for i in range(len(group))] or ["_g0"]
+    keys = [F.col(f"`{g}`").alias(nm) for g, nm in zip(group, names)] or [F.lit(0).alias("_g0")]
+    base = df.select(*keys, F.col(f"`{value}`").cast("double").alias("y")).filter("y IS NOT NULL")
+    wanted = F.array(*[F.struct(F.lit(t).alias("t"), r.cast("long").alias("k")) for t, r in enumerate(ranks)])
+    sizes = base.groupBy(*names).agg(F.count(F.lit(1)).alias("n"), F.min("y").alias("lo"), F.max("y").alias("hi"))
+    # a pass reads the table of the pass before several times: it is checkpointed, which keeps plans short
+    state = cut_lineage(sizes.select(*names, "n", F.inline(wanted), "lo", "hi", F.col("n").alias("c")).select(
+        *names, "n", "t", "k", "lo", "hi", "c"))
+    part = [*names, "lo", "hi"]
+    before = Window.partitionBy(*part).orderBy("digit").rowsBetween(Window.unboundedPreceding, -1)
+    turn = 0
+    while True:
+        todo = state.filter("lo < hi")
+        most, held = todo.agg(F.max("c"), F.sum(_row_bytes(state))).first()
+        if most is None:
+            break
+        spans = todo.select(*[F.col(c).alias(f"_r_{c}") for c in names], "lo", "hi").distinct()
+        if held <= MAX_BROADCAST_BYTES:
+            spans = F.broadcast(spans)
+        cond = F.col("y").between(F.col("lo"), F.col("hi"))
+        for c in names:
+            cond = cond & base[c].eqNullSafe(spans[f"_r_{c}"])
+        rows = base.join(spans, cond)
+        digit = F.col("y") if most <= SELECT_FINISH else _bucket(F.col("y"), F.col("lo"), F.col("hi"), turn % 2 == 1)
+        counts = rows.groupBy(*part, digit.alias("digit")).agg(F.count(F.lit(1)).alias("cnt"), F.min("y").alias("least"), F.max("y").alias("most"))
+        counts = counts.withColumn("skipped", F.coalesce(F.sum("cnt").over(before), F.lit(0)))
+        counts = counts.select(*[F.col(c).alias(f"_r_{c}") for c in part], "cnt", "least", "most", "skipped")
+        cond = (F.col("k") >= F.col("skipped")) & (F.col("k") < F.col("skipped") + F.col("cnt"))
+        for c in part:
+            cond = cond & todo[c].eqNullSafe(counts[f"_r_{c}"])
+        found = todo.join(counts, cond).select(*names, "n", "t", (F.col("k") - F.col("skipped")).alias("k"),
+                                               F.col("least").alias("lo"), F.col("most").alias("hi"), F.col("cnt").alias("c"))
+        state = cut_lineage(state.filter("lo >= hi").unionByName(found))
+        turn += 1
+    return state.select(*[F.col(nm).alias(g) for g, nm in zip(group, names)], "n", "t", F.col("lo").alias("y"))
 
 
 def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float], group: Sequence[str] = (),
-                    names: Sequence[str] | None = None, num_partitions: int | None = None) -> DataFrame:
-    """Exact linear-interpolation quantiles (the ``quantile_cont`` / pandas rule) per group from
-    counts of distinct values: no group and no tied value is ever collected into one task.
-    NULL values are ignored; a group of only NULLs yields no row."""
+                    names: Sequence[str] | None = None) -> DataFrame:
+    """Exact linear-interpolation quantiles (the ``quantile_cont`` / pandas rule) and ``n`` per group:
+    the values at the ranks around each quantile are selected in a few counting passes, and no
+    group and no tied value is ever collected into one task.  NULL values are ignored; a group of
+    only NULLs yields no row."""
     names = list(names) if names else [f"q{int(round(p * 100))}" for p in probs]
-    return quantiles_of(value_ranks(df, value, group, num_partitions), probs, list(group), names)
+    at = [(F.col("n") - 1) * F.lit(float(p)) for p in probs]
+    picked = select_ranks(df, value, [f(h) for h in at for f in (F.floor, F.ceil)], group)
+    gcols = [F.col(f"`{g}`") for g in group]
+    sides = [F.max(F.when(F.col("t") == t, F.col("y"))).alias(f"_y{t}") for t in range(2 * len(names))]
+    out = picked.groupBy(*gcols, "n").agg(*sides)
+    return out.select(*gcols, "n", *[
+        (F.col(f"_y{2 * i}") + (F.col(f"_y{2 * i + 1}") - F.col(f"_y{2 * i}")) * (h - F.floor(h))).alias(nm)
+        for i, (h, nm) in enumerate(zip(at, names))])
 
 
 # -- W3 / M3: stratified exact split -------------------------------------------------

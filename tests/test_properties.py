@@ -78,7 +78,7 @@ def test_row_ids_are_sorted_positions(spark, xs, parts):
        p=st.sampled_from([0.0, 0.1, 0.25, 0.5, 0.75, 1.0]))
 def test_exact_quantile_is_numpy(spark, ys, p):
     df = spark.createDataFrame([(y,) for y in ys], "y double")
-    got = R.exact_quantiles(df, "y", [p], names=["q"], num_partitions=3).first()
+    got = R.exact_quantiles(df, "y", [p], names=["q"]).first()
     assert got["n"] == len(ys)
     assert got["q"] == pytest.approx(float(np.quantile(ys, p)), abs=1e-9)
 

@@ -39,7 +39,7 @@ def test_running_sum(spark):
 def test_exact_quantiles_vs_numpy(spark):
     rng = np.random.default_rng(3)
     pdf = pd.DataFrame({"g": rng.choice(["a", "b"], 999), "y": rng.normal(size=999)})
-    got = R.exact_quantiles(spark.createDataFrame(pdf), "y", [0.1, 0.5, 0.9], ["g"], num_partitions=5).toPandas()
+    got = R.exact_quantiles(spark.createDataFrame(pdf), "y", [0.1, 0.5, 0.9], ["g"]).toPandas()
     for _, row in got.iterrows():
         ys = pdf[pdf.g == row.g].y
         assert row.n == len(ys)
@@ -47,6 +47,27 @@ def test_exact_quantiles_vs_numpy(spark):
             assert row[name] == pytest.approx(np.quantile(ys, p))
 
 
+@pytest.mark.parametrize("finish", [0, 10 ** 6])
+def test_selection_of_awkward_values(spark, monkeypatch, finish):
+    """Heavy tails, ties, infinities, huge ranges: bucket passes alone, mixed and counts alone."""
+    monkeypatch.setattr(R, "SELECT_FINISH", finish)
+    monkeypatch.setattr(R, "SELECT_BUCKETS", 512)
+    rng = np.random.default_rng(11)
+    groups = {"tail": np.exp(rng.normal(0, 60, 300)), "left": -np.exp(rng.normal(0, 60, 300)), "tied": np.repeat([1.0, 2.0], [250, 50]),
+              "inf": np.array([-np.inf, -1e308, 0.0, -0.0, 5e-324, 1e308, np.inf] * 7), "one": np.array([3.5]),
+              "huge": rng.uniform(-8e307, 8e307, 200) * 2, None: rng.normal(size=77)}
+    rows = [(g, float(y)) for g, ys in groups.items() for y in ys] + [("none", None), ("tail", None)]
+    df = spark.createDataFrame(rows, "g string, y double").repartition(5)
+    n = F.col("n")
+    got = R.select_ranks(df, "y", [F.lit(0), n - 1, F.floor(n / 2), F.floor(n / 3)], ["g"]).collect()
+    want = {(g, t): np.sort(ys)[k] for g, ys in groups.items() for t, k in enumerate([0, len(ys) - 1, len(ys) // 2, len(ys) // 3])}
+    assert len(got) == len(want) and {(r.g, r.t): r.y for r in got} == want
+    whole = np.sort(np.concatenate(list(groups.values())))
+    assert [r.y for r in R.select_ranks(df, "y", [F.floor(n / 4)]).collect()] == [whole[len(whole) // 4]]
+    assert R.select_ranks(df.filter("y > 2 and y < 1"), "y", [F.lit(0)], ["g"]).count() == 0
+    R.release_caches()
+
+
 def test_stratified_split_properties(spark):
     lab = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(1001)], "id long, y int")
     s1 = R.stratified_split(lab, "y", "id").toPandas()
