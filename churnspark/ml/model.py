@@ -40,7 +40,7 @@ def _oh(c: str) -> str:
 
 # -- shaping (B2, H1, H3, H4, B5, B8) -------------------------------------------------
 
-def prepare_training(df: DataFrame) -> DataFrame:
+def prepare_training(df: DataFrame, passthrough: tuple = ()) -> DataFrame:
     """Table -> model frame: aliases folded, numerics coerced (bad or NULL -> 0), target
     from ``Churn Value`` (bad or NULL -> 0) or, only when that column is missing, from
     ``churn_label``; required columns checked; rows with a NULL feature dropped.
@@ -54,7 +54,7 @@ def prepare_training(df: DataFrame) -> DataFrame:
     else:
         target = None
     C.require_columns(x if target is None else x.withColumn(S.TARGET, F.lit(0)), S.ALL_FEATURES + [S.TARGET])
-    keep = ([S.KEY] if S.KEY in x.columns else []) + S.ALL_FEATURES
+    keep = ([S.KEY] if S.KEY in x.columns else []) + S.ALL_FEATURES + list(passthrough)
     out = x.select(*[F.col(f"`{c}`") for c in keep], target.alias(S.TARGET))
     return C.dropna_any(out, S.ALL_FEATURES + [S.TARGET])
 
@@ -122,16 +122,21 @@ def train(df: DataFrame, num_trees: int = S.FOREST_PARAMS["num_trees"], max_dept
           min_leaf: int = S.FOREST_PARAMS["min_leaf"], seed: int = S.FOREST_PARAMS["seed"],
           test_fraction: float = S.TEST_FRACTION, max_bins: int = 64) -> TrainResult:
     """Table -> fitted pipeline + metadata (version, sizes, features, metrics, top-15)."""
-    prepared = prepare_training(df)
+    source = C.apply_aliases(df)
+    numbered = S.KEY not in source.columns
+    if numbered:
+        # no key: rows are numbered in file order (a plain position when the frame is not a scan)
+        source = with_file_order(source, "_ord")
+    used = [S.KEY, *S.ALL_FEATURES, S.TARGET, "churn_label", "_ord"]
+    # the input is computed once: the checks, class counts, split ranks, fit and evaluation read this copy
+    source = source.select(*[F.col(f"`{c}`") for c in used if c in source.columns]).persist(StorageLevel.MEMORY_AND_DISK)
+    prepared = prepare_training(source, ("_ord",) if numbered else ())
     if prepared.isEmpty():
         raise ValueError("0 customer records available for training")
-    id_col = S.KEY if S.KEY in prepared.columns else None
-    if id_col is None:
-        # no key: number rows in file order (a plain position when the frame is not a scan)
-        prepared = R.row_ids(with_file_order(prepared, "_ord"), ["_ord"], "_rid").drop("_ord")
-        id_col = "_rid"
-    # the input is computed once: class counts, split ranks, fit and evaluation read this copy
-    labelled = prepared.withColumn(LABEL, F.col(f"`{S.TARGET}`").cast("double")).persist(StorageLevel.MEMORY_AND_DISK)
+    id_col = "_rid" if numbered else S.KEY
+    if numbered:
+        prepared = R.row_ids(prepared, ["_ord"], "_rid").drop("_ord")
+    labelled = prepared.withColumn(LABEL, F.col(f"`{S.TARGET}`").cast("double"))
     split = R.stratified_split(labelled, LABEL, id_col, test_fraction, seed)
     train_df = A.with_class_weight(split.filter(F.col("part") == "train"), LABEL, WEIGHT)
     test_df = split.filter(F.col("part") == "test")
@@ -158,37 +163,51 @@ def train(df: DataFrame, num_trees: int = S.FOREST_PARAMS["num_trees"], max_dept
                     "f1": m["f1"], "roc_auc": float(auc)},
         "top_feature_importances": top_importances(model),
         "class_balance_pct": balance,
-        "null_targets": null_targets(df),
+        "null_targets": null_targets(source),
     }
     scored.unpersist(blocking=False)
-    labelled.unpersist(blocking=False)
+    source.unpersist(blocking=False)
     R.release_caches()
     return TrainResult(model, meta, scored)
 
 
 # -- A9 / A10: persistence ---------------------------------------------------------------
 
+MODEL_SCHEMA = "model_version string, saved_at timestamp"
+
+
 def save(result: TrainResult, model_dir: str) -> str:
-    """Model under ``<dir>/<version>``, metadata next to it, then the ``current`` pointer
-    (a one-row dataset) - readers follow the pointer, so a half-written model is never used."""
+    """Model under ``<dir>/<version>``, metadata next to it, then the next place in the append-only
+    list of models: readers take the last one, so a half-written model is never used and a
+    writer lost at any point leaves the model before it in place."""
     from churnspark.sources import tables as TB
-    spark = SparkSession.getActiveSession()
+    from churnspark.sources.claims import Taken, claim, settle
+    spark = result.test_scores.sparkSession
     base = model_dir.rstrip("/")
     v = result.metadata["model_version"]
     result.model.write().overwrite().save(f"{base}/{v}/model")
     TB.write_metadata(spark, result.metadata, f"{base}/{v}/metadata")
-    spark.createDataFrame([(v,)], "model_version string").write.mode("overwrite").json(f"{base}/current")
-    return v
+    place = (_last_model(spark, base)[0] or 0) + 1
+    while True:
+        try:
+            claim(spark, f"{base}/_models", place, (v, dt.datetime.now(dt.timezone.utc)), MODEL_SCHEMA)
+            return v
+        except Taken:
+            settle(spark, f"{base}/_models", place, MODEL_SCHEMA, wait_seconds=30)
+            place += 1
+
+
+def _last_model(spark: SparkSession, base: str) -> tuple[int | None, str | None]:
+    from churnspark.sources.claims import claims
+    return tuple(claims(spark, f"{base}/_models", MODEL_SCHEMA).agg(F.max("n"), F.max_by("model_version", "n")).first())
 
 
 def load(spark: SparkSession, model_dir: str, version: str | None = None) -> tuple[PipelineModel, dict | None]:
     from churnspark.sources import tables as TB
     base = model_dir.rstrip("/")
+    version = version or _last_model(spark, base)[1]
     if version is None:
-        rows = spark.read.json(f"{base}/current").collect()
-        if not rows:
-            raise FileNotFoundError("no trained model yet: train first")
-        version = rows[0]["model_version"]
+        raise FileNotFoundError("no trained model yet: train first")
     return PipelineModel.load(f"{base}/{version}/model"), TB.read_metadata(spark, f"{base}/{version}/metadata")
 
 

@@ -83,3 +83,14 @@ def test_train_and_score_file(spark, tmp):
     assert exported.count() == 25 and exported.columns[0] == "customer_id"
     status = J.score_file(spark, path, os.path.join(tmp, "models"), with_status=True)
     assert status.filter("status = 'OK'").count() == 25
+
+
+def test_upload_with_quoted_line_feeds(spark, tmp):
+    path = os.path.join(tmp, "notes.csv")
+    with open(path, "w") as f:
+        f.write('churn_reason,customer_id\n"two\nlines",1\nplain,2\n')
+    table = VersionedTable(spark, os.path.join(tmp, "notes_table"))
+    with pytest.raises(Exception):
+        J.upload_csv(spark, path, table)
+    J.upload_csv(spark, path, table, multiline=True)
+    assert sorted((r.customer_id, r.churn_reason) for r in table.read().collect()) == [("1", "two\nlines"), ("2", "plain")]

@@ -64,6 +64,26 @@ def test_save_load_same_scores(spark, trained, tmp):
     assert a == b
 
 
+def test_a_lost_save_leaves_the_model_before(spark, trained, tmp, monkeypatch):
+    base = f"{tmp}/kept"
+    with pytest.raises(FileNotFoundError):
+        ML.load(spark, base)
+    v = ML.save(trained, base)
+    later = ML.TrainResult(trained.model, {**trained.metadata, "model_version": "v9", "null_targets": 7}, trained.test_scores)
+
+    def dies(*a, **k):
+        raise RuntimeError("driver lost")
+
+    with monkeypatch.context() as m:
+        m.setattr("churnspark.sources.claims.claim", dies)
+        with pytest.raises(RuntimeError):
+            ML.save(later, base)
+    assert ML.load(spark, base)[1]["model_version"] == v
+    assert ML.save(later, base) == "v9"
+    meta = ML.load(spark, base)[1]
+    assert (meta["model_version"], meta["null_targets"]) == ("v9", 7) and ML.load(spark, base, v)[1]["model_version"] == v
+
+
 def test_score_shapes_and_rules(spark, trained):
     pdf = _customers(seed=5, n=40, snake=False)        # model (Title Case) names
     pdf.loc[0, "Contract"] = "Month-to-Month"           # unseen spelling (T7) -> all-zero one-hot
