@@ -932,6 +932,26 @@ def q_churn_model_scores(spark, d):
     return ML.score(result.model, frame.drop("churn_value"), result.metadata["model_version"])
 
 
+# -- M10: per-row results of two files, one of which lacks a required field -----------------
+
+@query("score_rows_status", _with(C360_SQL) + """
+SELECT CASE WHEN contract IS NULL THEN 'N/A' ELSE CAST(customer_id AS VARCHAR) END AS customer_id, 'OK' AS status,
+       CAST(NULL AS VARCHAR) AS error, TRUE AS has_probability, FALSE AS failed FROM c360
+UNION ALL
+SELECT CAST(customer_id AS VARCHAR), 'Error', 'missing required value: Contract', FALSE, TRUE FROM c360""")
+def q_score_rows_status(spark, d):
+    from churnspark.ml import model as ML
+    frame = SI.model_frame(spark, d)
+    # the statuses do not depend on the forest, so a small one does
+    fitted = ML.train(frame, num_trees=5, max_depth=4)
+    rows = frame.drop("churn_value")
+    # a blank id is "N/A"
+    blank = rows.withColumn("customer_id", F.when(F.col("contract").isNull(), " ").otherwise(F.col("customer_id").cast("string")))
+    both = ML.score_with_status(fitted.model, blank, "v").unionByName(ML.score_with_status(fitted.model, rows.drop("contract"), "v"))
+    return both.select("customer_id", "status", "error", F.col("probability").isNotNull().alias("has_probability"),
+                       (F.col("prediction") == "Error").alias("failed"))
+
+
 # -- J3 / J5 not-found reports, J4 two-way diff, T19 type errors, B3, B4 -----------------
 
 @query("update_not_found", _with(REGISTRY_SQL) + """
