@@ -159,14 +159,15 @@ def upsert(table: DataFrame, incoming: DataFrame, key: str = S.KEY,
 def upsert_plan(table: DataFrame, incoming: DataFrame, key: str = S.KEY,
                 blanks: str = "overwrite", order: Sequence[str | Column] | None = None,
                 fields: Iterable[str] | None = None, strategy: str = "auto",
-                max_broadcast_bytes: int = R.MAX_BROADCAST_BYTES) -> tuple[DataFrame, str]:
+                max_broadcast_bytes: int = R.MAX_BROADCAST_BYTES, unique: bool = False) -> tuple[DataFrame, str]:
     """Insert new keys; for existing keys overwrite the columns the incoming frame carries
     and keep all others.  Presence is decided by the incoming *schema*, not by value.
 
     ``blanks="overwrite"``: an incoming NULL overwrites (the source system's behaviour).
     ``blanks="keep"``: an incoming NULL keeps the old value.
     Incoming duplicate keys: the last by ``order`` wins; without an order, keys with different
-    rows raise ``RepeatedKeysError``.  Unknown incoming columns are ignored.
+    rows raise ``RepeatedKeysError``.  ``unique`` says that keys do not repeat (a merge of sources,
+    say): the batch is then neither checked nor deduplicated.  Unknown incoming columns are ignored.
     ``strategy``: "shuffle" = one full outer sort-merge join; "broadcast" = the deduplicated
     batch is broadcast and the table is never shuffled; "auto" = broadcast when the batch
     takes at most ``max_broadcast_bytes`` (measured), else shuffle.
@@ -178,8 +179,10 @@ def upsert_plan(table: DataFrame, incoming: DataFrame, key: str = S.KEY,
         raise ValueError("blanks must be 'overwrite' or 'keep'")
     allowed = set(fields) if fields is not None else set(table.columns)
     given = [c for c in incoming.columns if c != key and c in allowed and c in table.columns]
-    require_order(incoming.select(_q(key), *[_q(c) for c in given]), key, order)
-    inc = dedup_last(incoming, key, order, payload=given)
+    inc = incoming
+    if not unique:
+        require_order(incoming.select(_q(key), *[_q(c) for c in given]), key, order)
+        inc = dedup_last(incoming, key, order, payload=given)
     inc = inc.select(_q(key), *[_q(c).alias(f"_n_{c}") for c in given], F.lit(True).alias("_in"))
     inc, strategy = _choose(strategy, inc, max_broadcast_bytes)
 

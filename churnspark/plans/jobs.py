@@ -46,7 +46,8 @@ def ingest_topics(spark: SparkSession, paths: Mapping[str, str], table: Versione
     merged = M.merge_sources(frames, S.KEY, orders=ords)
     full = merged.select(*[F.col(c) if c in merged.columns else F.lit(None).cast(t).alias(c)
                            for c, t, _ in S.CUSTOMER_COLUMNS])
-    return table.upsert(full)
+    # one row per key by construction
+    return table.upsert(full, unique=True)
 
 
 # -- A2 + J2 + B9 + D18: bulk CSV upload ---------------------------------------------

@@ -160,15 +160,18 @@ class VersionedTable:
                 return None
         return self.publish(df, fingerprint_row=fp, clustered=clustered)
 
-    def upsert(self, incoming: DataFrame, blanks: str = "overwrite", order=None) -> int:
+    def upsert(self, incoming: DataFrame, blanks: str = "overwrite", order=None, unique: bool = False) -> int:
         """Merge ``incoming`` into the latest version and publish the result.  Repeated keys
-        need an ``order``, in the first version as in any other."""
+        need an ``order``, in the first version as in any other; ``unique`` says that there are none,
+        and the batch is evaluated once less."""
         last = self.latest_version()
         if last is None:
+            if unique:
+                return self.publish(incoming)
             named = {c for c in (order or []) if isinstance(c, str)}
             M.require_order(incoming.drop(*named), self.key, order)
             return self.publish(M.dedup_last(incoming, self.key, order))
-        merged, strategy = M.upsert_plan(self.read(last), incoming, self.key, blanks=blanks, order=order)
+        merged, strategy = M.upsert_plan(self.read(last), incoming, self.key, blanks=blanks, order=order, unique=unique)
         return self.publish(merged, clustered=strategy == "broadcast")
 
     def diff(self, old: int, new: int) -> tuple[DataFrame, DataFrame]:

@@ -142,3 +142,18 @@ def test_repeated_keys_need_an_order(spark, table):
     assert ignored.columns == table.columns and ignored.count() == 4 and charge(ignored)["4"] == 9.0
     # equal rows are no conflict
     assert M.insert_ignore(table, batch.filter("seq = 1").unionByName(batch.filter("seq = 1")).drop("seq"), "customer_id").count() == 4
+
+
+def test_unique_batches_are_taken_as_they_are(spark, monkeypatch):
+    table = spark.createDataFrame([("1", "LA"), ("2", "SF")], "customer_id string, city string")
+    batch = spark.createDataFrame([("2", "SD"), ("3", "NY")], "customer_id string, city string")
+    want = sorted(map(tuple, M.upsert(table, batch, "customer_id", order=["city"]).collect()))
+
+    def refuse(*a, **k):
+        raise AssertionError("the batch was evaluated")
+
+    monkeypatch.setattr(M, "require_order", refuse)
+    monkeypatch.setattr(M, "dedup_last", refuse)
+    for strategy in ("broadcast", "shuffle"):
+        got, _ = M.upsert_plan(table, batch, "customer_id", strategy=strategy, unique=True)
+        assert sorted(map(tuple, got.collect())) == want == [("1", "LA"), ("2", "SD"), ("3", "NY")]
