@@ -1,18 +1,21 @@
 r"""Operator 9: document fingerprints from closed syncmers (native SQL functions only).
 
-Words are hashed; a k-mer is ``K`` words in a row and holds ``K - S + 1`` inner s-mers of
-``S`` words.  A k-mer is a closed syncmer, and its hash an anchor, when the smallest of its
-inner s-mer hashes is the first or the last one.  Whether a k-mer is an anchor depends on its
-own words alone, so that an edit changes only the anchors that overlap it.  The fingerprint
-keeps every anchor at every place, written as 16 hex digits with its word position, in order
-of hash, then of position; it grows with the text.
+A text is a row of letters.  A word of up to ``SHORT`` code points is one letter; a longer one
+(a text without spaces, a hash, a link) gives one letter for each of its places, the
+``WINDOW`` code points from there on.  Letters are hashed; a k-mer is ``K`` letters in a row
+and holds ``K - S + 1`` inner s-mers of ``S`` letters.  A k-mer is a closed syncmer, and its
+hash an anchor, when the smallest of its inner s-mer hashes is the first or the last one.
+Whether a k-mer is an anchor depends on its own letters alone, so that an edit changes only
+the anchors that overlap it.  The fingerprint keeps every anchor at every place, written as 16
+hex digits with its letter position, in order of hash, then of position; it grows with the text.
 
 Likeness is the Jaccard similarity of the two sets of anchors, exact; ``aligned`` counts the
 places where both texts have the same anchor at the same position.  Texts without a word have
 the empty fingerprint; two equal fingerprints have likeness 1, an empty and a non-empty one 0.
-Texts of fewer than ``K`` words have one anchor, the hash of all their words.
+Texts of fewer than ``K`` letters have one anchor, the hash of all their letters.
 
-Null texts count as empty.  Rows that share an id are ordered by text hash; rows equal in id
+Null texts count as empty; very long texts and words are processed whole, by the same rule;
+names of extra columns do not matter.  Rows that share an id are ordered by text hash; rows equal in id
 and text count as one document in the order of documents and get equal results; a null id
 comes last.  An empty table gives no rows.
 """
@@ -22,10 +25,29 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from churnspark.llm._shared import row_key, staged, table, text_or_empty, words_of
+from churnspark.llm._shared import WORD_RE, row_key, staged, table, text_or_empty, words_of
 from churnspark.operators.rows import positions
 
 K, S = 3, 1
+#: Code points: the longest word that is one letter, and the window over longer words.
+SHORT, WINDOW = 16, 8
+
+
+def letters_of(text: Column) -> Column:
+    """Hashes of the letters of a text that is not null, in order.  Windows are cut from four
+    bytes a code point, so that each is found at once, however long the word is."""
+    words = words_of(text)
+
+    def windows(word: Column) -> Column:
+        starts = F.sequence(F.lit(0), F.length(word) - WINDOW)
+        bound = F.transform(F.array(F.encode(F.make_valid_utf8(word), "UTF-32")), lambda b: F.transform(
+            starts, lambda i: F.xxhash64(F.substring(b, i * 4 + 1, F.lit(4 * WINDOW)))))
+        return F.get(bound, F.lit(0))
+
+    mixed = F.flatten(F.transform(words, lambda x: F.when(
+        F.length(x) <= SHORT, F.array(F.xxhash64(x))).otherwise(windows(x))))
+    return F.when(text.rlike(WORD_RE[:-1] + "{%d}" % (SHORT + 1)), mixed).otherwise(
+        F.transform(words, lambda x: F.xxhash64(x)))
 
 
 def with_anchors(df: DataFrame, text: str, name: str) -> DataFrame:
@@ -34,7 +56,7 @@ def with_anchors(df: DataFrame, text: str, name: str) -> DataFrame:
     h, s = F.col("_h"), F.col("_s")
     n = F.size("_h")
     inner = K - S + 1
-    df = df.withColumn("_h", F.transform(words_of(F.col(text)), lambda x: F.xxhash64(x)))
+    df = df.withColumn("_h", letters_of(F.col(text)))
     df = df.withColumn("_s", F.transform(h, lambda x, i: F.xxhash64(x, *[F.get(h, i + j) for j in range(1, S)])))
 
     def anchor(i: Column) -> Column:

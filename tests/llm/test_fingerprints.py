@@ -1,5 +1,8 @@
 import hashlib
+import random
+import re
 
+import xxhash
 from pyspark.sql import functions as F
 
 from churnspark.llm import fingerprints as P
@@ -61,3 +64,49 @@ def test_every_anchor_is_kept(spark):
     assert 0 < row[0] == len(one & two) / len(one | two) < .02
     assert row[1] == len(set(got[1]) & set(got[2])) > 5
     assert row[2] == ",".join(f"{h % 2 ** 64:016x}:{p}" for h, p in got[1])
+
+
+def brute_anchors(text):
+    """Closed syncmers by their definition, over every k-mer of the letters."""
+    def chain(parts):
+        seed = 42
+        for x in parts:
+            seed = xxhash.xxh64(x if isinstance(x, bytes) else x.to_bytes(8, "little"), seed=seed).intdigest()
+        return seed
+    letters = []
+    for word in re.findall(r"[^\x20\x09-\x0D]+", text or ""):
+        cuts = [word.encode()] if len(word) <= P.SHORT else [
+            word[i:i + P.WINDOW].encode("utf-32-be") for i in range(len(word) - P.WINDOW + 1)]
+        letters += [chain([c]) for c in cuts]
+    signed = lambda v: v - 2 ** 64 if v >= 2 ** 63 else v
+    if 0 < len(letters) < P.K:
+        return [(signed(chain(letters)), 0)]
+    out = []
+    for i in range(len(letters) - P.K + 1):
+        inner = [signed(chain(letters[j:j + P.S])) for j in range(i, i + P.K - P.S + 1)]
+        if min(inner) in (inner[0], inner[-1]):
+            out.append((signed(chain(letters[i:i + P.K])), i))
+    return sorted(out)
+
+
+def test_anchors_equal_brute_force(edge, spark):
+    rnd = random.Random(3)
+    made = ["".join(rnd.choice("abé中文 \n\U0001f600") for _ in range(rnd.randrange(400))) for _ in range(40)]
+    made += ["".join(chr(0x4E00 + rnd.randrange(3000)) for _ in range(n)) for n in (1, 8, 15, 16, 17, 18, 900)]
+    made += ["x" * 40, "a" * 16 + " " + "b" * 17, "see https://example.org/a/long/path?with=query now", "a b", " "]
+    docs = spark.createDataFrame(list(enumerate(made)), "doc_id long, text string")
+    for frame in (docs, edge):
+        texts = [r.text for r in frame.select("doc_id", "text").collect()]
+        got = [[(x.h, x.p) for x in r.anchors] for r in P.fingerprints(frame).collect()]
+        assert sorted(got) == sorted(brute_anchors(t) for t in texts)
+
+
+def test_text_without_spaces(spark):
+    rnd = random.Random(4)
+    text = lambda: "".join(chr(0x4E00 + rnd.randrange(3000)) for _ in range(9000))
+    docs = spark.createDataFrame([(2, text()), (1, text())], "doc_id long, text string")
+    a, e, x = F.col("anchors"), F.col("edited_anchors"), F.col("next_anchors")
+    for r in P.with_edited(docs).select("anchors", P.likeness(a, e).alias("ne"), P.likeness(a, x).alias("nn")).collect():
+        places = sorted(y.p for y in r.anchors)
+        assert len(places) > 5000 and max(q - p for p, q in zip(places, places[1:])) < 20 and places[-1] > 8900
+        assert .4 < r.ne < .6 and r.nn == 0
