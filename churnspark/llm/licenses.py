@@ -1,15 +1,17 @@
 """Operator 3: licence scans by canonical digest lookup.
 
-A text is brought to a canonical form: lower case, copyright lines dropped, equivalent
-spellings unified, punctuation dropped, white space collapsed.  Its digest is joined to the
-digests of known licence texts and notices.  The whole text of a document is looked up, and
-so is every line of it, since a notice is a whole line.
+A text is brought to a canonical form: lower case, copyright lines and a title in front
+dropped, equivalent spellings unified, punctuation dropped, white space collapsed.  Its digest
+is joined to the digests of known licence texts and notices.  The whole text of a document is
+looked up, and so are every line and every paragraph of several lines, since a notice is one
+of the two; comment marks before its lines are punctuation and do not matter.
 
 Canonical forms are compared entire: a text that only contains a licence among other words
-is no match for the whole-text lookup, while a notice on a line of its own is one for the
-line lookup.  Null and empty texts, and texts of copyright lines alone, have the digest of
+is no match for the whole-text lookup, while a notice on lines of its own is one for the
+block lookup.  Null and empty texts, and texts of copyright lines and a title alone, have the digest of
 the empty form and match nothing.  Two known texts with one canonical form count as one, the
-first by name.  Repeated rows get equal results; an empty table gives no rows.  The table of
+first by name.  Repeated rows get equal results; an empty table gives no rows; very long texts are
+processed whole; names of extra columns do not matter.  The table of
 known digests has one row per known text, a fixed number, and is broadcast.
 """
 
@@ -25,6 +27,11 @@ from churnspark.llm._shared import col, table, text_or_empty
 #: Known licence texts and notices (public licence wording).
 KNOWN: dict[str, str] = {
     "Apache-2.0-notice": "Licensed under the Apache License, Version 2.0.",
+    "Apache-2.0-header": """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at""",
+    "Apache-2.0-header-short": """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.""",
     "CC-BY-NC-4.0-notice": "Licensed under CC BY-NC 4.0.",
     "CC-BY-4.0-notice": "Licensed under CC BY 4.0.",
     "CC-BY-SA-4.0-notice": "Licensed under CC BY-SA 4.0.",
@@ -100,12 +107,19 @@ SPELLINGS: list[tuple[str, str]] = [
 COPYRIGHT_LINE = (r"(?m)^[\x20\t/*#;<!-]*(?:(?:copyright|\(c\)|©)[\x20\t]*(?:\(c\)|©|[0-9]{4}|by\b|<)"
                   r"|all rights reserved)[^\n]*$")
 
+#: A title in front of a lower-cased text: the licence's name alone on the first line.
+TITLE_LINE = (r"\A\s*[\x20\t/*#;<!-]*(?:the[\x20\t]+)?(?:mit|isc|zlib|bsd zero clause|zero-clause bsd|0bsd)"
+              r"[\x20\t]+licen[sc]e(?:[\x20\t]*\([a-z0-9/\x20-]+\))?[\x20\t:.*/#=-]*(?:\r?\n|\z)")
 
+
+#: Between paragraphs: lines that hold nothing but comment marks.
+PARAGRAPH_GAP = r"(?:^|\n)[\x20\t\r/*#;-]*(?=\n)"
 HINT = re.compile(r"licen[sc]|permission")
 
 
 def canonical(text: Column) -> Column:
     c = F.regexp_replace(F.lower(text), COPYRIGHT_LINE, "")
+    c = F.regexp_replace(c, TITLE_LINE, "")
     for pattern, same in SPELLINGS:
         c = F.regexp_replace(c, pattern, same) if any(x in pattern for x in "[?") else F.replace(c, F.lit(pattern), F.lit(same))
     c = F.regexp_replace(c, r"[^\p{L}\p{N}]+", " ")
@@ -134,16 +148,18 @@ def lookup(blocks: DataFrame, known: DataFrame, digest_col: str, name: str) -> D
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
          texts: dict[str, str] | None = None) -> DataFrame:
     """One row per input row: ``doc_id``, ``digest`` of the whole text, ``license`` it equals (or
-    null) and ``notices``, the licences whose texts stand on lines of it, in order of the line.
+    null) and ``notices``, the licences whose texts stand on lines of it, in order of the line,
+    then those that fill a paragraph of several lines, in order of the paragraph.
 
-    The line lookup is a map from digest to name held in the expression: it has as many
-    entries as there are known texts, and lines are never shuffled."""
+    The block lookup is a map from digest to name held in the expression: it has as many
+    entries as there are known texts, and blocks are never shuffled."""
     known = known_digests(docs.sparkSession, texts)
     base = docs.select(col(id_col).alias("doc_id"), text_or_empty(text_col).alias("t"))
     names_of = [x for r in known.collect() for x in (r.digest, r.license)]
-    lines = F.split("t", "\n")
+    paragraphs = F.filter(F.split("t", PARAGRAPH_GAP), lambda x: F.contains(x, F.lit("\n")))
+    lines = F.concat(F.split("t", "\n"), paragraphs)
     if all(HINT.search(t.lower()) for t in (texts or KNOWN).values()):
-        # every known text holds one of these words, so lines without one need no digest
+        # every known text holds one of these words, so blocks without one need no digest
         lines = F.filter(lines, lambda x: F.lower(x).rlike(HINT.pattern))
     table_ = F.create_map(*map(F.lit, names_of)) if names_of else F.create_map().cast("map<string,string>")
     step = base.select("doc_id", digest(F.col("t")).alias("digest"), lines.alias("lines"))

@@ -1,3 +1,7 @@
+import hashlib
+
+import regex
+
 from churnspark.llm import licenses
 
 
@@ -21,3 +25,55 @@ def test_own_texts_and_edge_rows(edge, nothing, spark):
     assert got[1].license == "free" and got[1].notices == ["free"] and got[2].license is None
     assert licenses.scan(edge).count() == edge.count() and licenses.scan(nothing).count() == 0
     assert licenses.scan(docs, texts={"blank": "..."}).filter("license IS NOT NULL").count() == 0
+
+
+def brute(text, texts):
+    """Canonical form, whole-text and block lookup, written with another regular expression engine."""
+    def canon(t):
+        marks = "[ \\t/*#;<!-]*"
+        start = r"(?:\A|(?<=[\n\r\x85\u2028\u2029]))"
+        t = regex.sub(start + marks + r"(?:(?:copyright|\(c\)|©)[ \t]*(?:\(c\)|©|[0-9]{4}|by\b|<)|all rights reserved)[^\n]*",
+                      "", t.lower())
+        head, _, rest = t.lstrip(" \t\n\x0b\f\r").partition("\n")
+        name = head.strip(" \t\r/*#;<!-:.=")
+        if regex.fullmatch(r"(the[ \t]+)?(mit|isc|zlib|bsd zero clause|zero-clause bsd|0bsd)[ \t]+licen[sc]e([ \t]*\([a-z0-9/ -]+\))?", name):
+            t = rest
+        for a, b in licenses.SPELLINGS:
+            t = regex.sub(a, b, t)
+        return regex.sub(r"[^\p{L}\p{N}]+", " ", t).strip()
+    known = {}
+    for name in sorted(texts):
+        if canon(texts[name]):
+            known.setdefault(canon(texts[name]), name)
+    text = text or ""
+    lines, paragraphs, part = text.split("\n"), [], []
+    for line in [*lines, ""]:
+        if line.strip(" \t\r/*#;-"):
+            part.append(line)
+        else:
+            paragraphs += [part] if len(part) > 1 else []
+            part = []
+    blocks = lines + ["\n".join(p) for p in paragraphs]
+    return (hashlib.sha256(canon(text).encode()).hexdigest(), known.get(canon(text)),
+            [known[canon(b)] for b in blocks if canon(b) in known])
+
+
+def test_equal_to_brute_force(edge, spark):
+    mit, isc = licenses.KNOWN["MIT"], licenses.KNOWN["ISC"]
+    body = mit.split("\n\n", 1)[1]
+    header = licenses.KNOWN["Apache-2.0-header-short"]
+    made = [*licenses.KNOWN.values(), body, "The MIT License (MIT)\n\n" + body, "# MIT Licence:\r\n" + body, "MIT License",
+            "MIT License\n", "The MIT License is short\n" + body, isc.lower(), mit + "\n\n" + isc, "  \n\nISC License\n" + isc.split("\n\n", 1)[1],
+            "int x;\n#\n" + "\n".join("# " + x for x in header.split("\n")) + "\n#\ny", header + "\nmore", "a\n\n" + header,
+            "/*\n * " + header.replace("\n", "\n * ") + "\n */\ncode", "one\n\n\n\ntwo licence\nlines\n\n" + body.split("\n\n")[1], "\n", "#\n"]
+    docs = spark.createDataFrame(list(enumerate(made)), "doc_id long, text string")
+    for frame in (docs, edge):
+        want = sorted((str(r.doc_id), *brute(r.text, licenses.KNOWN)[:1], str(brute(r.text, licenses.KNOWN)[1:]))
+                      for r in frame.select("doc_id", "text").collect())
+        got = sorted((str(r.doc_id), r.digest, str((r.license, list(r.notices)))) for r in licenses.scan(frame).collect())
+        assert got == want
+    got = {r.doc_id: r for r in licenses.scan(docs).collect()}
+    n = len(licenses.KNOWN)
+    assert [got[n + k].license for k in range(6)] == ["MIT", "MIT", "MIT", None, None, None]
+    assert got[n + 9].notices == got[n + 11].notices == got[n + 12].notices == ["Apache-2.0-header-short"]
+    assert got[n + 10].notices == []
