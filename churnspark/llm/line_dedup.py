@@ -36,6 +36,8 @@ from churnspark.llm._shared import WORD_RE, WS_CHARS, col, fresh, row_key, stage
 from churnspark.operators.rows import positions
 
 MIN_WORDS = 50
+#: An interval with more than one in HOT of all suffixes is hot: there are fewer than HOT of these.
+HOT = 1000
 
 
 def lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -125,22 +127,39 @@ def copies(segs: DataFrame, min_words: int) -> DataFrame:
     full = full.select(*runs.columns, "ra")
     full = full.join(b, _on(full, b, "b_", (full["h"] == b["b_h"]) & (full["seq"] + full["n"] - full["h"] == b["b_seq"])))
     full = staged(full.select("id", "th", "seg", "seq", "n", "ra", "rb"), "intervals")
-    first = full.groupBy("n", "ra", "rb").agg(F.min(F.struct("id", "th", "seq")).alias("first"),
-                                              F.count(F.lit(1)).alias("size")).filter("size > 1")
-    later = full.join(first, ["n", "ra", "rb"]).filter(~F.struct("id", "th", "seq").eqNullSafe(F.col("first")))
-    return later.select("id", "th", "seg", "seq", "n")
+    return later(full)
+
+
+def later(runs: DataFrame) -> DataFrame:
+    """The members of each interval (n, ra, rb) but its first.  Hot intervals meet their first
+    member by a broadcast of fewer than HOT rows, the others by a shuffle in which no key
+    holds more than one in HOT of the rows."""
+    key = ["n", "ra", "rb"]
+    firsts = staged(runs.groupBy(*key).agg(F.min(F.struct("id", "th", "seq")).alias("first"),
+                                           F.count(F.lit(1)).alias("size")).filter("size > 1"), "firsts")
+    bound = (firsts.agg(F.sum("size")).first()[0] or 0) // HOT
+    hot = firsts.filter(F.col("size") > bound).select(*key, "first")
+    cold = firsts.filter(F.col("size") <= bound).select(*key, "first")
+    met = runs.join(F.broadcast(hot), key, "left")
+    rest = met.filter("first IS NULL").drop("first").join(cold.hint("merge"), key)
+    both = met.filter("first IS NOT NULL").unionByName(rest)
+    return both.filter(~F.struct("id", "th", "seq").eqNullSafe(F.col("first"))).select("id", "th", "seg", "seq", "n")
 
 
 def deletions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """One row per document that loses lines: (id, th, runs), where ``runs`` are the deleted
     stretches of lines (s, e), counted from 0, the end exclusive."""
     segs = segments(staged(lines(docs, id_col, text_col), "lines"), min_words)
-    gone = copies(segs, min_words).select("id", "th", F.explode(F.sequence(
-        F.col("seq"), F.col("seq") + F.col("n") - 1)).alias("seq")).distinct()
-    where = segs.select(F.col("id").alias("s_id"), F.col("th").alias("s_th"), F.col("seq").alias("s_seq"), "line")
-    gone = gone.join(where, gone["id"].eqNullSafe(where["s_id"]) & (gone["th"] == where["s_th"])
-                     & (gone["seq"] == where["s_seq"])).select("id", "th", "line")
-    doc = Window.partitionBy("id", "th").orderBy("line")
+    # where runs begin and end; a line is deleted where more have begun than ended
+    ends = copies(segs, min_words).select("id", "th", F.explode(F.array(
+        F.struct(F.col("seq"), F.lit(1).alias("d")),
+        F.struct((F.col("seq") + F.col("n")).alias("seq"), F.lit(-1).alias("d")))).alias("x"))
+    ends = ends.groupBy("id", "th", F.col("x.seq").alias("seq")).agg(F.sum("x.d").alias("d")).filter("d <> 0")
+    marks = segs.select("id", "th", "seq", "line", F.lit(0).cast("long").alias("d")).unionByName(
+        ends, allowMissingColumns=True)
+    doc = Window.partitionBy("id", "th").orderBy("seq")
+    within = doc.rangeBetween(Window.unboundedPreceding, 0)
+    gone = marks.withColumn("open", F.sum("d").over(within)).filter("line IS NOT NULL AND open > 0")
     islands = gone.withColumn("g", F.col("line") - F.row_number().over(doc))
     runs = islands.groupBy("id", "th", "g").agg(F.min("line").alias("s"), (F.max("line") + 1).alias("e"))
     return runs.groupBy("id", "th").agg(F.sort_array(F.collect_list(F.struct("s", "e"))).alias("runs"))

@@ -1,5 +1,9 @@
 import random
 
+import pytest
+
+from pyspark.sql import functions as F
+
 from churnspark.llm import line_dedup
 from tests.llm import brute
 
@@ -8,7 +12,10 @@ def kept_text(text, gone):
     return "\n".join(x for i, x in enumerate(text.split("\n")) if i not in gone)
 
 
-def test_equals_every_run_tried(spark):
+@pytest.mark.parametrize("hot", [line_dedup.HOT, 30, 1])
+def test_equals_every_run_tried(spark, monkeypatch, hot):
+    # all intervals hot, some of them, none of them
+    monkeypatch.setattr(line_dedup, "HOT", hot)
     rnd = random.Random(3)
     lines = [" ".join(["ab"] * rnd.randint(1, 4)) + f" {k}" for k in range(25)]
     rows = []
@@ -38,6 +45,19 @@ def test_overlapping_copies_and_a_long_document(spark):
     assert got[1].count(line) < 20 and got[2] == rows[1][1] and got[3] == "head"
 
 
+def test_hot_interval_is_not_shuffled(spark):
+    runs = spark.range(3000).select(
+        F.col("id"), F.lit(1).cast("long").alias("th"), F.lit(0).alias("seg"), F.lit(0).alias("seq"), F.lit(3).alias("n"),
+        F.when(F.col("id") < 1000, 0).otherwise(1 + F.col("id") % 1000).cast("long").alias("ra"), F.lit(7).cast("long").alias("rb"))
+    out = line_dedup.later(runs)
+    found = {r.id for r in out.collect()}
+    first = {}
+    for i in range(3000):
+        first.setdefault(0 if i < 1000 else 1 + i % 1000, i)
+    assert found == set(range(3000)) - set(first.values())
+    assert "BroadcastHashJoin" in out._jdf.queryExecution().toString()
+
+
 def test_edge_rows(edge, nothing):
     out = line_dedup.dedup(edge)
     assert out.columns == edge.columns
