@@ -7,7 +7,8 @@ Scale notes
   merge into ONE aggregation keyed on the customer key: each source becomes a nullable
   struct column, rows are unioned, and ``max(struct(order..., payload...))`` per source
   picks the last row.  One shuffle instead of one per join, and map-side partial
-  aggregation collapses a hot key before it is shuffled.
+  aggregation collapses a hot key before it is shuffled.  A caller that names the columns it
+  wants shuffles only these (the optimizer cannot prune the fields of an aggregated struct).
 * ``dedup_last`` uses the same ``max(struct)`` aggregate instead of a
   ``row_number`` window, so a key holding a third of all rows is pre-aggregated on the
   map side instead of sorted inside one task.
@@ -81,14 +82,20 @@ def dedup_first(df: DataFrame, key: str, order: Sequence[str | Column] | None =
 
 def merge_sources(sources: Sequence[DataFrame], key: str = S.KEY,
                   orders: Sequence[Sequence[str | Column] | None] | None = None,
-                  strategy: str = "aggregate") -> DataFrame:
+                  strategy: str = "aggregate", columns: Sequence[str] | None = None,
+                  no_ties: bool = False) -> DataFrame:
     """N-way full outer merge on ``key``: a key in any source is kept, with NULLs for the
     fields of the sources it is absent from.  Duplicate keys within a source keep the last
     row by that source's order (``orders[i]``).
 
     ``strategy="aggregate"`` (default): one shuffle, see module notes.
     ``strategy="join"``: dedup each source, then chained full outer joins ``USING(key)``.
-    """
+
+    ``columns``: the columns wanted beside the key (default: all).  The rows stay the same; of
+    a source only these columns are shuffled, and of a source with none of them only its
+    keys.  Rows that tie in the order are told apart by their values from left to right, so the
+    columns before a wanted one are carried too, unless ``no_ties`` states that no two rows of a
+    key tie (without an order: that keys do not repeat)."""
     orders = list(orders) if orders is not None else [None] * len(sources)
     # order columns given by name are ordering only, not payload
     payloads = [[c for c in s.columns if c != key and c not in {x for x in (o or []) if isinstance(x, str)}]
@@ -99,24 +106,34 @@ def merge_sources(sources: Sequence[DataFrame], key: str = S.KEY,
         if dup:
             raise ValueError(f"columns in more than one source: {sorted(dup)}")
         seen.update(p)
+    wanted = [[c for c in p if columns is None or c in columns] for p in payloads]
+    if columns is not None:
+        unknown = set(columns) - seen - {key}
+        if unknown:
+            raise ValueError(f"columns in no source: {sorted(unknown)}")
+        payloads = [w if no_ties or not w else p[:p.index(w[-1]) + 1] for p, w in zip(payloads, wanted)]
 
     if strategy == "join":
         out = None
         for s, o, p in zip(sources, orders, payloads):
             d = dedup_last(s, key, o, payload=p)
             out = d if out is None else out.join(d, on=key, how="full_outer")
-        return out
+        return out.select(_q(key), *[_q(c) for w in wanted for c in w])
 
     tagged = []
     for i, (s, p, o) in enumerate(zip(sources, payloads, orders)):
+        if not p:
+            tagged.append(s.select(_q(key)))
+            continue
         packed = F.struct(_order_struct(o).alias("_ord"), F.struct(*[_q(c) for c in p]).alias("_row"))
         tagged.append(s.select(_q(key), packed.alias(f"_s{i}")))
     unioned = tagged[0]
     for t in tagged[1:]:
         unioned = unioned.unionByName(t, allowMissingColumns=True)
-    merged = unioned.groupBy(_q(key)).agg(*[F.max(f"_s{i}").alias(f"_s{i}") for i in range(len(sources))])
+    winners = [F.max(f"_s{i}").alias(f"_s{i}") for i, p in enumerate(payloads) if p]
+    merged = unioned.groupBy(_q(key)).agg(*winners) if winners else unioned.distinct()
     return merged.select(_q(key), *[F.col(f"_s{i}._row.`{c}`").alias(c)
-                                     for i, p in enumerate(payloads) for c in p])
+                                     for i, w in enumerate(wanted) for c in w])
 
 
 # -- small-batch path ---------------------------------------------------------------------

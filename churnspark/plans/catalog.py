@@ -169,7 +169,7 @@ SELECT count(*) AS customers,
        round(coalesce(avg(n_orders), 0.0), 6) AS avg_tenure
 FROM c360 WHERE contract IN ('1-URGENT', '2-HIGH', '3-MEDIUM')""")
 def q_kpi_overview(spark, d):
-    f = C.filter_in(SI.customer_360(spark, d), KPI_FILTER)
+    f = C.filter_in(SI.customer_360(spark, d, columns=["contract", "total_charges", "n_orders", "churn_value"]), KPI_FILTER)
     k = A.kpi_overview(f, churn="churn_value", cltv="total_charges", tenure="n_orders")
     return k.select("customers", r6("churn_rate_pct").alias("churn_rate_pct"),
                     r6("avg_cltv").alias("avg_cltv"), r6("avg_tenure").alias("avg_tenure"))
@@ -179,7 +179,7 @@ def q_kpi_overview(spark, d):
 SELECT contract, round(avg(churn_value) * 100.0, 6) AS churn_rate_pct
 FROM c360 WHERE contract IS NOT NULL GROUP BY contract""")
 def q_rate_by_category(spark, d):
-    out = A.rate_by(SI.customer_360(spark, d), "contract")
+    out = A.rate_by(SI.customer_360(spark, d, columns=["contract", "churn_value"]), "contract")
     return out.select("contract", r6("churn_rate_pct").alias("churn_rate_pct"))
 
 
@@ -187,7 +187,7 @@ def q_rate_by_category(spark, d):
 SELECT segment, round(avg(churn_value) * 100.0, 6) AS churn_rate_pct
 FROM c360 WHERE segment IS NOT NULL GROUP BY segment""")
 def q_rate_by_category_2(spark, d):
-    out = A.rate_by(SI.customer_360(spark, d), "segment")
+    out = A.rate_by(SI.customer_360(spark, d, columns=["segment", "churn_value"]), "segment")
     return out.select("segment", r6("churn_rate_pct").alias("churn_rate_pct"))
 
 
@@ -204,7 +204,7 @@ _GROUP_SQL = {
 
 def _group_query(how: str):
     def fn(spark, d):
-        out = A.group_agg(SI.customer_360(spark, d), "segment", "monthly_charge", how)
+        out = A.group_agg(SI.customer_360(spark, d, columns=["segment", "monthly_charge"]), "segment", "monthly_charge", how)
         v = r6("value") if how == "mean" else F.round("value", 2) if how == "sum" else F.col("value")
         return out.select("segment", v.alias("value"))
     return fn
@@ -220,7 +220,7 @@ SELECT contract, round(coalesce(sum(total_charges), 0), 2) AS value,
        round(coalesce(sum(total_charges), 0) / sum(coalesce(sum(total_charges), 0)) OVER (), 6) AS share
 FROM c360 GROUP BY contract""")
 def q_category_share(spark, d):
-    out = A.category_share(SI.customer_360(spark, d), "contract", "total_charges", "sum")
+    out = A.category_share(SI.customer_360(spark, d, columns=["contract", "total_charges"]), "contract", "total_charges", "sum")
     # sums of ~1e10 are compared in cents: double sums differ by summation order beyond that
     return out.select("contract", F.round("value", 2).alias("value"), r6("share").alias("share"))
 
@@ -262,7 +262,7 @@ def q_histogram_bins(spark, d):
 
 @query("histogram_by_group", _with(C360_SQL) + ", " + _hist_sql("c360", "n_orders", 30, "churn_value").strip())
 def q_histogram_by_group(spark, d):
-    return _hist_out(A.histogram(SI.customer_360(spark, d), "n_orders", 30, group="churn_value"), "churn_value")
+    return _hist_out(A.histogram(SI.customer_360(spark, d, columns=["n_orders", "churn_value"]), "n_orders", 30, group="churn_value"), "churn_value")
 
 
 # -- D12 / D13 --------------------------------------------------------------------------
@@ -338,7 +338,7 @@ OPTION_COLS = ["contract", "segment", "state"]
     f"SELECT DISTINCT '{c}' AS \"column\", CAST({c} AS VARCHAR) AS value FROM c360 WHERE {c} IS NOT NULL"
     for c in OPTION_COLS))
 def q_filter_options(spark, d):
-    return A.filter_options(SI.customer_360(spark, d), OPTION_COLS)
+    return A.filter_options(SI.customer_360(spark, d, columns=OPTION_COLS), OPTION_COLS)
 
 
 MULTI_FILTER = {"contract": ["1-URGENT", "2-HIGH"], "segment": ["BUILDING", "MACHINERY", "HOUSEHOLD"], "state": []}
@@ -550,7 +550,7 @@ SELECT format('{:,}', count(*)) AS customers_text,
        printf('%.1f', round(coalesce(avg(n_orders), 0.0), 1)) AS avg_tenure_text
 FROM c360""")
 def q_format_metrics(spark, d):
-    k = A.kpi_overview(SI.customer_360(spark, d), cltv="total_charges", tenure="n_orders")
+    k = A.kpi_overview(SI.customer_360(spark, d, columns=["total_charges", "n_orders", "churn_value"]), cltv="total_charges", tenure="n_orders")
     return k.select(X.fmt_count("customers").alias("customers_text"),
                     X.fmt_percent1("churn_rate_pct").alias("churn_rate_text"),
                     X.fmt_count(F.round("avg_cltv", 0)).alias("avg_cltv_text"),
@@ -576,7 +576,8 @@ SELECT customer_id, age,
        CASE WHEN churn_value = 1 THEN 'Churned' WHEN n_orders <= 3 THEN 'Joined' ELSE 'Stayed' END AS customer_status
 FROM (SELECT *, CAST(floor(balance / 5.0) AS INTEGER) AS age FROM c360)""")
 def q_derived_flags(spark, d):
-    c = SI.customer_360(spark, d).withColumn("age", F.floor(F.col("balance") / 5.0).cast("int"))
+    c = SI.customer_360(spark, d, columns=["balance", "n_orders", "churn_value"])
+    c = c.withColumn("age", F.floor(F.col("balance") / 5.0).cast("int"))
     return c.select("customer_id", "age", X.under_30("age").alias("under_30"),
                     X.senior("age").alias("senior_citizen"),
                     X.customer_status("churn_value", "n_orders").alias("customer_status"))
@@ -631,7 +632,7 @@ SELECT "column", rule, count(*) AS n_violations FROM (
   UNION ALL SELECT 'segment', 'length' FROM c360 WHERE length(segment) > 9)
 GROUP BY ALL""")
 def q_domain_violations(spark, d):
-    return Q.domain_violations(SI.customer_360(spark, d), DOMAINS, RANGES, LENGTHS)
+    return Q.domain_violations(SI.customer_360(spark, d, columns=[*DOMAINS, *RANGES, *LENGTHS]), DOMAINS, RANGES, LENGTHS)
 
 
 @query("compose_split_pair", """
@@ -818,7 +819,7 @@ SELECT customer_id, round((monthly_charge - (SELECT avg(monthly_charge) FROM c36
                           / nullif((SELECT stddev_pop(monthly_charge) FROM c360), 0), 6) AS monthly_charge_z
 FROM c360""")
 def q_zscore(spark, d):
-    z = MT.zscore(SI.customer_360(spark, d), ["monthly_charge"])
+    z = MT.zscore(SI.customer_360(spark, d, columns=["monthly_charge"]), ["monthly_charge"])
     return z.select("customer_id", r6("monthly_charge_z").alias("monthly_charge_z"))
 
 
@@ -829,7 +830,7 @@ FROM (SELECT 'contract' AS "column", contract AS value, count(*) AS n_rows FROM
       UNION ALL
       SELECT 'segment', segment, count(*) FROM c360 WHERE segment IS NOT NULL GROUP BY 2)""")
 def q_one_hot_counts(spark, d):
-    return MT.category_slots(SI.customer_360(spark, d), ["contract", "segment"])
+    return MT.category_slots(SI.customer_360(spark, d, columns=["contract", "segment"]), ["contract", "segment"])
 
 
 @query("topk_values", """
@@ -854,7 +855,7 @@ SELECT c.customer_id, s.contract, c.monthly_charge, c.total_charges,
 FROM c360 c, (VALUES ('1-URGENT'), ('2-HIGH'), ('3-MEDIUM'), ('4-NOT SPECIFIED'), ('5-LOW')) s(contract)""")
 def q_whatif_grid(spark, d):
     from churnspark.ml import score as SC
-    base = SI.customer_360(spark, d).select("customer_id", "monthly_charge", "total_charges")
+    base = SI.customer_360(spark, d, columns=["monthly_charge", "total_charges"])
     return SC.whatif_grid(base, {"contract": WHATIF_CONTRACTS})
 
 
@@ -1041,7 +1042,7 @@ UNION ALL SELECT 'monthly_box', coalesce(churn_label, ''), round(quantile_cont(m
           FROM f WHERE monthly_charge IS NOT NULL GROUP BY churn_label""")
 def q_dashboard_overview(spark, d):
     from churnspark.plans import dashboard as DB
-    c = SI.customer_360(spark, d)
+    c = SI.customer_360(spark, d, columns=["contract", "segment", "monthly_charge", "total_charges", "n_orders", "churn_value"])
     c = c.withColumn("churn_label", F.when(F.col("churn_value") == 1, "Yes").when(F.col("churn_value") == 0, "No"))
     ov = DB.overview(c, KPI_FILTER, OVERVIEW_COLUMNS)
     return ov.long_form().select("panel", "label", r6("value").alias("value"))

@@ -77,11 +77,13 @@ def status(spark: SparkSession, d: str) -> DataFrame:
                   .otherwise(0).alias("churn_value")))
 
 
-def customer_360(spark: SparkSession, d: str, strategy: str = "aggregate") -> DataFrame:
-    """J1 over the four stand-in sources (one row per customer)."""
+def customer_360(spark: SparkSession, d: str, strategy: str = "aggregate", columns: list[str] | None = None) -> DataFrame:
+    """J1 over the four stand-in sources (one row per customer); ``columns``: those wanted beside
+    the key.  Both orders end in a row id, and location and status hold a key once."""
     return M.merge_sources(
         [location(spark, d), demographics(spark, d), services_rows(spark, d), status(spark, d)],
-        key="customer_id", orders=[None, EVENTS_ORDER, SERVICES_ORDER, None], strategy=strategy)
+        key="customer_id", orders=[None, EVENTS_ORDER, SERVICES_ORDER, None], strategy=strategy,
+        columns=columns, no_ties=True)
 
 
 # -- old / incoming tables for the merge family --------------------------------------

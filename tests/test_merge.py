@@ -1,5 +1,7 @@
 """Merge family on literal rows (FIXTURES §7: outer merge, dedup, upsert, versions)."""
 
+import random
+
 import pytest
 
 from churnspark.operators import merge as M
@@ -24,6 +26,40 @@ def test_outer_merge_keeps_every_key(spark, strategy):
                           ("d", None, "M", None, None, None)]   # in one only
 
 
+@pytest.mark.parametrize("strategy", ["aggregate", "join"])
+def test_merge_of_some_columns_gives_the_same_rows(spark, strategy):
+    rnd = random.Random(11)
+    # ties in the order, repeated keys, null keys and null values
+    def rows(n):
+        return [(rnd.choice([None, "a", "b", "c", "d"]), rnd.randrange(2), rnd.choice([None, 1, 2, 3]),
+                 rnd.choice([None, "x", "y"]), rnd.choice([None, 0.5, 1.5])) for _ in range(n)]
+
+    one = spark.createDataFrame(rows(40), "k string, seq int, p int, q string, r double")
+    two = spark.createDataFrame(rows(3), "k string, seq int, s int, t string, u double")
+
+    def merge(**kw):
+        return M.merge_sources([one, two], "k", orders=[["seq"], None], strategy=strategy, **kw)
+
+    every = [c for c in merge().columns if c != "k"]
+    for wanted in [[], ["p"], ["q"], ["r", "s"], ["u"], ["seq"], every]:
+        names = ["k", *[c for c in every if c in wanted]]
+        out = merge(columns=wanted)
+        assert out.columns == names
+        assert sorted(map(repr, out.collect())) == sorted(map(repr, merge().select(*names).collect()))
+    with pytest.raises(ValueError):
+        merge(columns=["nowhere"])
+
+
+def test_merge_without_ties_carries_only_the_columns_asked_for(spark, tmp):
+    for name, cols in (("one", "id AS k, id AS seq, id AS p, uuid() AS q"), ("two", "id AS k, uuid() AS s")):
+        spark.range(50).selectExpr(*[c.strip() for c in cols.split(",")]).write.parquet(f"{tmp}/{name}")
+    one, two = (spark.read.parquet(f"{tmp}/{x}") for x in ("one", "two"))
+    out = M.merge_sources([one, two], "k", orders=[["seq"], None], columns=["q"], no_ties=True)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "ReadSchema: struct<k:bigint,seq:bigint,q:string>" in plan and "ReadSchema: struct<k:bigint>" in plan
+    assert out.count() == 50
+
+
 def test_merge_rejects_overlapping_columns(spark):
     a = spark.createDataFrame([("a", 1)], "customer_id string, x int")
     with pytest.raises(ValueError):
