@@ -59,15 +59,19 @@ def with_anchors(df: DataFrame, text: str, name: str) -> DataFrame:
     df = df.withColumn("_h", letters_of(F.col(text)))
     df = df.withColumn("_s", F.transform(h, lambda x, i: F.xxhash64(x, *[F.get(h, i + j) for j in range(1, S)])))
 
+    def closed(i: Column) -> Column:
+        first, *between, last = (F.get(s, i + j) for j in range(inner))
+        low = F.least(first, last)
+        return low <= (F.least(low, *between) if between else low)
+
     def anchor(i: Column) -> Column:
-        low = F.least(*[F.get(s, i + j) for j in range(inner)])
-        closed = (F.get(s, i) == low) | (F.get(s, i + inner - 1) == low)
-        return F.when(closed, F.struct(F.xxhash64(*[F.get(h, i + j) for j in range(K)]).alias("h"), i.alias("p")))
+        return F.struct(F.xxhash64(*[F.get(h, i + j) for j in range(K)]).alias("h"), i.alias("p"))
 
     short = F.when(n > 0, F.array(F.struct(F.xxhash64(h).alias("h"), F.lit(0).alias("p")))).otherwise(
         F.array().cast("array<struct<h:bigint,p:int>>"))
-    every = F.when(n < K, short).otherwise(F.array_compact(F.transform(
-        F.sequence(F.lit(0), F.greatest(n - K, F.lit(0))), anchor)))
+    # the places are chosen first, so that only anchors are hashed and none is made to be dropped
+    every = F.when(n < K, short).otherwise(F.transform(
+        F.filter(F.sequence(F.lit(0), F.greatest(n - K, F.lit(0))), closed), anchor))
     return df.withColumn(name, F.sort_array(every)).drop("_s", "_h")
 
 

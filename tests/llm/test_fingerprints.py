@@ -110,3 +110,16 @@ def test_text_without_spaces(spark):
         places = sorted(y.p for y in r.anchors)
         assert len(places) > 5000 and max(q - p for p, q in zip(places, places[1:])) < 20 and places[-1] > 8900
         assert .4 < r.ne < .6 and r.nn == 0
+
+
+def test_only_closed_kmers_are_hashed(spark, monkeypatch):
+    """Places are chosen before k-mers are hashed; the choice holds for other k and s too."""
+    docs = spark.createDataFrame([(1, words(60)), (2, "a b a b a b a b a"), (3, "x " * 30), (4, "a b c")], "doc_id long, text string")
+    plan = P.fingerprints(docs)._jdf.queryExecution().optimizedPlan().toString()
+    assert "filter(sequence(" in plan
+    texts = [r.text for r in docs.select("text").collect()]
+    for k, s in ((3, 1), (5, 1), (6, 2), (4, 3)):
+        monkeypatch.setattr(P, "K", k)
+        monkeypatch.setattr(P, "S", s)
+        got = [[(x.h, x.p) for x in r.anchors] for r in P.fingerprints(docs).collect()]
+        assert sorted(got) == sorted(brute_anchors(t) for t in texts)
