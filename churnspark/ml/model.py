@@ -25,9 +25,12 @@ from churnspark.operators import clean as C
 from churnspark.operators import metrics as MT
 from churnspark.operators import quality as Q
 from churnspark.operators import rows as R
+from churnspark.session import cut_lineage
 from churnspark.sources.readers import file_row_numbers, with_file_order
 
 LABEL, WEIGHT, FEATURES = "_label", "_weight", "_features"
+#: Rows of the training frame in one task (MLlib keeps two numbers per row and tree: about 2 kB at 200 trees).
+ROWS_PER_TASK = 200_000
 
 
 def _idx(c: str) -> str:
@@ -107,6 +110,14 @@ def top_importances(model: PipelineModel, k: int = S.TOP_IMPORTANCES, digits: in
 
 # -- M5: fit and evaluate ----------------------------------------------------------------
 
+def training_tasks(spark: SparkSession, rows: int) -> int:
+    """Tasks over the training frame: enough for all cores and for ``ROWS_PER_TASK`` each, whatever
+    the partitions of the input.  At each level every task makes, sends and reads the statistics
+    of nearly all open nodes, and a task that scores reads the whole forest, so that small
+    tasks multiply the cost."""
+    return max(spark.sparkContext.defaultParallelism, -(-rows // ROWS_PER_TASK))
+
+
 @dataclass
 class TrainResult:
     model: PipelineModel
@@ -131,19 +142,24 @@ def train(df: DataFrame, num_trees: int = S.FOREST_PARAMS["num_trees"], max_dept
     # the input is computed once: the checks, class counts, split ranks, fit and evaluation read this copy
     source = source.select(*[F.col(f"`{c}`") for c in used if c in source.columns]).persist(StorageLevel.MEMORY_AND_DISK)
     prepared = prepare_training(source, ("_ord",) if numbered else ())
-    if prepared.isEmpty():
+    n_rows = prepared.count()
+    if not n_rows:
         raise ValueError("0 customer records available for training")
     id_col = "_rid" if numbered else S.KEY
     if numbered:
         prepared = R.row_ids(prepared, ["_ord"], "_rid").drop("_ord")
     labelled = prepared.withColumn(LABEL, F.col(f"`{S.TARGET}`").cast("double"))
     split = R.stratified_split(labelled, LABEL, id_col, test_fraction, seed)
-    train_df = A.with_class_weight(split.filter(F.col("part") == "train"), LABEL, WEIGHT)
-    test_df = split.filter(F.col("part") == "test")
+    # dealt evenly whatever the keys; ordered, so that a lost task is drawn again from the same rows
+    dealt = split.repartition(training_tasks(df.sparkSession, n_rows)).sortWithinPartitions(id_col)
+    train_df = A.with_class_weight(dealt.filter(F.col("part") == "train"), LABEL, WEIGHT)
+    test_df = dealt.filter(F.col("part") == "test")
     model = build_pipeline(num_trees, max_depth, min_leaf, seed, max_bins).fit(train_df)
     scored = probability_of_churn(model.transform(test_df.withColumn(WEIGHT, F.lit(1.0))))
-    # read for the confusion cells and again for the AUC: the forest scores the test set once
-    scored = scored.withColumn("_pred", F.col("_p") > 0.5).persist(StorageLevel.MEMORY_AND_DISK)
+    # read for the confusion cells and again for the AUC: the forest scores the test set once, and
+    # with its lineage cut no later task reads the forest again
+    scored = cut_lineage(scored.select(id_col, LABEL, "_raw", "_probability", "_prediction", "_p",
+                                       (F.col("_p") > 0.5).alias("_pred")))
     m = MT.binary_metrics(scored, LABEL, "_pred").first()
     n_classes = labelled.select(LABEL).distinct().count()
     auc = MT.roc_auc(scored, LABEL, "_p").first()[0] if n_classes > 1 else 0.0
@@ -165,7 +181,6 @@ def train(df: DataFrame, num_trees: int = S.FOREST_PARAMS["num_trees"], max_dept
         "class_balance_pct": balance,
         "null_targets": null_targets(source),
     }
-    scored.unpersist(blocking=False)
     source.unpersist(blocking=False)
     R.release_caches()
     return TrainResult(model, meta, scored)

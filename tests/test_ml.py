@@ -155,3 +155,26 @@ def test_exact_auc_matches_mllib_evaluator(spark, trained):
                                            metricName="areaUnderROC", numBins=0).evaluate(scores)
     assert ours == pytest.approx(theirs, abs=1e-9)
     assert trained.metadata["metrics"]["roc_auc"] == round(ours, 4)
+
+
+def test_training_tasks_follow_rows_not_input_partitions(spark, monkeypatch):
+    """Every task sends the statistics of nearly all open nodes and, scoring, reads the whole
+    forest: input in many small partitions must not multiply that; no row is lost by it."""
+    fitted, build = [], ML.build_pipeline
+
+    def recorded(*args):
+        pipeline = build(*args)
+        fit = pipeline.fit
+        pipeline.fit = lambda df: (fitted.append((df.rdd.getNumPartitions(), df.count())), fit(df))[1]
+        return pipeline
+
+    monkeypatch.setattr(ML, "build_pipeline", recorded)
+    cores = spark.sparkContext.defaultParallelism
+    result = ML.train(spark.createDataFrame(_customers()).repartition(8 * cores), num_trees=3, max_depth=3)
+    assert fitted == [(cores, result.metadata["n_train_rows"])]
+    # the scored test rows are kept without the lineage that holds the forest
+    assert result.test_scores.rdd.getNumPartitions() == cores
+    assert "UDF" not in result.test_scores._jdf.queryExecution().executedPlan().toString()
+    assert result.test_scores.count() == result.metadata["n_test_rows"]
+    monkeypatch.setattr(ML, "ROWS_PER_TASK", 50)
+    assert ML.training_tasks(spark, 0) == cores and ML.training_tasks(spark, 601) == max(cores, 13)
